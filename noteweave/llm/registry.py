@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from noteweave.llm import bpe_automaton, simhash
+from noteweave.llm import bitsliced, bpe_automaton, simhash
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -18,6 +18,11 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(spark, table(spark, sf_dir, "documents"))
 
 
+def op6_bitsliced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return bitsliced.top_k(spark, vectors, vectors.filter("vec_id % 50 = 0"))
+
+
 def op7_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return bpe_automaton.digest(bpe_automaton.round_trip(spark, docs, VOCABULARY))
@@ -25,6 +30,7 @@ def op7_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op6_bitsliced": op6_bitsliced,
     "op7_bpe_automaton": op7_bpe_automaton,
 }
 
