@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from noteweave.llm import bitsliced, bpe_automaton, simhash
+from noteweave.llm import bitsliced, bpe_automaton, html_crf, simhash
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -18,6 +18,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(spark, table(spark, sf_dir, "documents"))
 
 
+def op2_html_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_crf.extract(spark, table(spark, sf_dir, "pages"), ["page_id", "url"])
+
+
 def op6_bitsliced(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return bitsliced.top_k(spark, vectors, vectors.filter("vec_id % 50 = 0"))
@@ -30,6 +34,7 @@ def op7_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_html_crf": op2_html_crf,
     "op6_bitsliced": op6_bitsliced,
     "op7_bpe_automaton": op7_bpe_automaton,
 }
