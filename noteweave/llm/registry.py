@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from noteweave.llm import bitsliced, bpe_automaton, html_crf, simhash
+from noteweave.llm import bitsliced, bpe_automaton, html_crf, language_id, simhash
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -32,11 +32,17 @@ def op7_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_automaton.digest(bpe_automaton.round_trip(spark, docs, VOCABULARY))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = language_id.train(table(spark, sf_dir, "documents"))
+    return language_id.identify_pages(spark, table(spark, sf_dir, "pages"), model)
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_html_crf": op2_html_crf,
     "op6_bitsliced": op6_bitsliced,
     "op7_bpe_automaton": op7_bpe_automaton,
+    "op9_language_id": op9_language_id,
 }
 
 #: Bitmaps, automata, random walks, trained models and keyed surrogates have no SQL twin; those are
