@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from noteweave.llm import bitsliced, bpe_automaton, html_crf, language_id, simhash
+from noteweave.llm import bitsliced, bpe_automaton, decontaminate, html_crf, language_id, simhash
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -37,12 +37,17 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify_pages(spark, table(spark, sf_dir, "pages"), model)
 
 
+def op10_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_html_crf": op2_html_crf,
     "op6_bitsliced": op6_bitsliced,
     "op7_bpe_automaton": op7_bpe_automaton,
     "op9_language_id": op9_language_id,
+    "op10_cgk_decontamination": op10_cgk_decontamination,
 }
 
 #: Bitmaps, automata, random walks, trained models and keyed surrogates have no SQL twin; those are
