@@ -5,10 +5,13 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from noteweave.llm import bitsliced, bpe_automaton, decontaminate, html_crf, language_id, simhash
+from noteweave.llm import bitsliced, bpe_automaton, decontaminate, html_crf, language_id, pii, simhash
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
+#: The key of the surrogates; a deployment passes its own.
+SECRET = "noteweave"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -41,11 +44,17 @@ def op10_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.pseudonymise(docs, SECRET, count_col="n_entities")
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_html_crf": op2_html_crf,
     "op6_bitsliced": op6_bitsliced,
     "op7_bpe_automaton": op7_bpe_automaton,
+    "op8_pii_surrogates": op8_pii_surrogates,
     "op9_language_id": op9_language_id,
     "op10_cgk_decontamination": op10_cgk_decontamination,
 }
