@@ -5,9 +5,10 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from noteweave.llm import bitsliced, bpe_automaton, decontaminate, html_crf, language_id, pii, simhash
+from noteweave.llm import bitsliced, bpe_automaton, chat_repair, decontaminate, html_crf, language_id, lm_scoring, pii, simhash, trie_counts
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 #: The key of the surrogates; a deployment passes its own.
 SECRET = "noteweave"
@@ -25,6 +26,19 @@ def op2_html_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_crf.extract(spark, table(spark, sf_dir, "pages"), ["page_id", "url"])
 
 
+def op3_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_repair.repair(spark, table(spark, sf_dir, "conversations"))
+
+
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
+    return lm_scoring.score(spark, table(spark, sf_dir, "documents"), good)
+
+
+def op5_trie_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie_counts.count_tokens(spark, table(spark, sf_dir, "documents"), PIECES)
+
+
 def op6_bitsliced(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return bitsliced.top_k(spark, vectors, vectors.filter("vec_id % 50 = 0"))
@@ -52,6 +66,9 @@ def op8_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_html_crf": op2_html_crf,
+    "op3_chat_repair": op3_chat_repair,
+    "op4_lm_scoring": op4_lm_scoring,
+    "op5_trie_counts": op5_trie_counts,
     "op6_bitsliced": op6_bitsliced,
     "op7_bpe_automaton": op7_bpe_automaton,
     "op8_pii_surrogates": op8_pii_surrogates,
