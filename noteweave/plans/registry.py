@@ -1,6 +1,572 @@
-"""All queries of the core library, by name, with the SQL that must give the same rows."""
+"""All queries of the core library over the given tables, by name, with the SQL that must give the same rows."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+import tempfile
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from noteweave.functions.text import chunk_id, content_hash, result_id, tokens
+from noteweave.operators import audit, browse, evaluate, feedback, index, ingest, lsa, ranking
+from noteweave.streaming import feedback as stream
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+AS_OF = "2000-01-01"
+
+
+def query(sql: str | None = None):
+    """Register a function under its name, with its SQL twin."""
+
+    def keep(function):
+        QUERIES[function.__name__] = function
+        if sql is not None:
+            ORACLE_SQL[function.__name__] = sql
+        return function
+
+    return keep
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# --- shared pieces of the SQL twins --------------------------------------------------------------
+
+
+def tok(text: str) -> str:
+    """The tokeniser in DuckDB SQL."""
+    z = f"regexp_replace({text}, '[^一-鿿]', '', 'g')"
+    grams = f"flatten(list_transform(range(1, length({z})), lambda i: CASE WHEN i + 2 <= length({z}) THEN [substr({z}, i, 2), substr({z}, i, 3)] ELSE [substr({z}, i, 2)] END))"
+    return f"list_concat(CASE WHEN length({z}) >= 2 THEN {grams} ELSE [] END, list_transform(regexp_extract_all({text}, '[a-zA-Z0-9]+'), lambda x: lower(x)))"
+
+
+TOKENS = f"d AS (SELECT doc_id, tokens, len(tokens) AS dl FROM (SELECT doc_id, {tok('text')} AS tokens FROM documents))"
+POSTS = f"{TOKENS}, p AS (SELECT doc_id, dl, term, count(*) AS freq FROM (SELECT doc_id, dl, unnest(tokens) AS term FROM d) GROUP BY ALL)"
+
+
+def bm25_ctes(queries: str, name: str = "r", k: int = 50, keep: str = "true") -> str:
+    """CTEs from postings to a ranking; `queries` is a SELECT of query_id, query."""
+    return f"""q_{name} AS (SELECT DISTINCT query_id, unnest({tok('query')}) AS term FROM ({queries})),
+s_{name} AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM d), f_{name} AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+sc_{name} AS (SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * freq * 2.5 / (freq + 1.5 * (0.25 + 0.75 * greatest(dl, 1) / avgdl))), 6) AS score
+  FROM p JOIN f_{name} USING (term) JOIN q_{name} USING (term) CROSS JOIN s_{name} WHERE doc_id IN (SELECT doc_id FROM documents WHERE {keep}) GROUP BY query_id, doc_id),
+{name} AS (SELECT * FROM (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM sc_{name}) WHERE rank <= {k})"""
+
+
+def cosine_ctes(queries: str, name: str = "v", k: int = 50, keep: str = "true") -> str:
+    return f"""q_{name} AS (SELECT DISTINCT query_id, unnest({tok('query')}) AS term FROM ({queries})),
+n_{name} AS (SELECT doc_id, sqrt(sum((ln(freq) + 1) * (ln(freq) + 1))) AS norm FROM p GROUP BY doc_id), z_{name} AS (SELECT query_id, sqrt(count(*)) AS size FROM q_{name} GROUP BY query_id),
+sc_{name} AS (SELECT query_id, doc_id, round(any_value(dot) / (any_value(norm) * any_value(size)), 6) AS score FROM (SELECT query_id, doc_id, sum(ln(freq) + 1) AS dot FROM p JOIN q_{name} USING (term)
+  WHERE doc_id IN (SELECT doc_id FROM documents WHERE {keep}) GROUP BY query_id, doc_id) JOIN n_{name} USING (doc_id) JOIN z_{name} USING (query_id) GROUP BY query_id, doc_id),
+{name} AS (SELECT * FROM (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM sc_{name}) WHERE rank <= {k})"""
+
+
+def fused_ctes(wv: float = 1.0, ww: float = 1.0) -> str:
+    return f"""fu AS (SELECT coalesce(v.query_id, r.query_id) AS query_id, coalesce(v.doc_id, r.doc_id) AS doc_id, v.rank AS vec_rank, r.rank AS kw_rank, v.score AS similarity, r.score AS bm25,
+  round(coalesce(CAST({wv} AS DOUBLE) / (60 + v.rank), 0) + coalesce(CAST({ww} AS DOUBLE) / (60 + r.rank), 0), 9) AS fused FROM v FULL OUTER JOIN r ON v.query_id = r.query_id AND v.doc_id = r.doc_id),
+h AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, vec_rank NULLS LAST, kw_rank NULLS LAST, doc_id) AS INTEGER) AS rank FROM fu)"""
+
+
+ITEMS = "SELECT item_id AS query_id, text AS query FROM benchmark"
+
+
+def first_tokens(n: int) -> str:
+    return f"SELECT item_id AS query_id, array_to_string(({tok('text')})[1:{n}], ' ') AS query FROM benchmark"
+
+
+GOLD = "gold AS (SELECT item_id AS query_id, doc_id FROM benchmark b JOIN documents x ON contains(x.text, b.text))"
+
+
+def metric_cte(ranking: str, name: str) -> str:
+    return f"""fh_{name} AS (SELECT g.query_id, min(rank) AS first FROM (SELECT DISTINCT query_id FROM gold) g LEFT JOIN (SELECT query_id, rank FROM {ranking} SEMI JOIN gold USING (query_id, doc_id)) USING (query_id) GROUP BY g.query_id),
+{name} AS (SELECT count(*) AS n, round(coalesce(avg(CASE WHEN first <= 1 THEN 1.0 ELSE 0.0 END), 0), 6) AS hit1, round(coalesce(avg(CASE WHEN first <= 5 THEN 1.0 ELSE 0.0 END), 0), 6) AS hit5,
+  round(coalesce(avg(CASE WHEN first <= 5 THEN CAST(1.0 AS DOUBLE) / first ELSE 0.0 END), 0), 6) AS mrr FROM fh_{name})"""
+
+
+def items(spark: SparkSession, sf_dir: str, first: int | None = None) -> DataFrame:
+    text = F.col("text") if first is None else F.array_join(F.slice(tokens(F.col("text")), 1, first), " ")
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), text.alias("query"))
+
+
+# --- text and index ------------------------------------------------------------------------------
+
+
+@query(f"SELECT doc_id, len(t) AS n_tokens, len(list_distinct(t)) AS n_distinct FROM (SELECT doc_id, {tok('text')} AS t FROM documents)")
+def tokenize_docs(spark, sf_dir):
+    toks = index.tokenised(table(spark, sf_dir, "documents"))
+    return toks.select("doc_id", F.col("dl").alias("n_tokens"), F.size(F.array_distinct("tokens")).cast("long").alias("n_distinct"))
+
+
+@query("SELECT doc_id, md5(source || '|' || lang || '|' || substr(text, 1, 100)) AS chunk_id, sha256(text) AS content_hash, source || ' ' || lang || ' | ' || substr(text, 1, 40) AS doc_text FROM documents")
+def chunk_identity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    shown = F.concat(F.col("source"), F.lit(" "), F.col("lang"), F.lit(" | "), F.substring("text", 1, 40))
+    return docs.select("doc_id", chunk_id(F.col("source"), F.col("lang"), F.col("text")).alias("chunk_id"), content_hash(F.col("text")).alias("content_hash"), shown.alias("doc_text"))
+
+
+@query(f"WITH {POSTS} SELECT doc_id, term, freq FROM p")
+def term_freq(spark, sf_dir):
+    return index.postings(index.tokenised(table(spark, sf_dir, "documents"))).select("doc_id", "term", "freq")
+
+
+@query(f"WITH {POSTS} SELECT term, count(*) AS df FROM p GROUP BY term")
+def doc_freq(spark, sf_dir):
+    toks = index.tokenised(table(spark, sf_dir, "documents"))
+    return index.document_frequencies(toks.select("doc_id", F.explode(F.array_distinct("tokens")).alias("term")))
+
+
+@query(f"WITH {TOKENS} SELECT count(*) AS n_docs, CAST(sum(dl) AS BIGINT) AS n_tokens, round(avg(dl), 6) AS avgdl FROM d")
+def corpus_stats(spark, sf_dir):
+    return index.corpus_stats(index.tokenised(table(spark, sf_dir, "documents"))).withColumn("avgdl", F.round("avgdl", 6))
+
+
+@query(f"""WITH {TOKENS}, l0 AS (SELECT doc_id AS k, sha256(array_to_string(tokens, chr(0))) AS h FROM d),
+l1 AS (SELECT CAST(floor(k / 1024) AS BIGINT) AS k, sha256(string_agg(h, chr(1) ORDER BY k, h)) AS h FROM l0 GROUP BY 1),
+l2 AS (SELECT CAST(floor(k / 1024) AS BIGINT) AS k, sha256(string_agg(h, chr(1) ORDER BY k, h)) AS h FROM l1 GROUP BY 1)
+SELECT CAST(floor(k / 1024) AS BIGINT) AS part, sha256(string_agg(h, chr(1) ORDER BY k, h)) AS digest FROM l2 GROUP BY 1""")
+def corpus_digest(spark, sf_dir):
+    return index.corpus_digest(index.tokenised(table(spark, sf_dir, "documents")))
+
+
+# --- ranking -------------------------------------------------------------------------------------
+
+
+@query(f"WITH {POSTS}, {bm25_ctes(ITEMS, k=10)} SELECT query_id, rank, doc_id, score FROM r")
+def bm25_topk(spark, sf_dir):
+    return ranking.bm25(table(spark, sf_dir, "documents"), items(spark, sf_dir), 10)
+
+
+@query(f"WITH {POSTS}, {bm25_ctes(ITEMS, k=10)} SELECT r.query_id, r.doc_id, substr(md5(b.text || '|' || r.doc_id), 1, 12) AS result_id FROM r JOIN benchmark b ON b.item_id = r.query_id")
+def result_ids(spark, sf_dir):
+    asked = items(spark, sf_dir)
+    found = ranking.bm25(table(spark, sf_dir, "documents"), asked, 10).join(asked, "query_id")
+    return found.select("query_id", "doc_id", result_id(F.col("query"), F.col("doc_id")).alias("result_id"))
+
+
+KNN = """WITH s AS (SELECT a.vec_id AS query_id, b.vec_id, round({score}, 6) AS score FROM (SELECT * FROM embeddings WHERE vec_id % 100 = 0) a CROSS JOIN embeddings b)
+SELECT * FROM (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s) WHERE rank <= 10"""
+
+
+@query(KNN.format(score="list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"))
+def vector_topk(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return ranking.nearest(spark, vectors, vectors.filter("vec_id % 100 = 0"), 10)
+
+
+@query(KNN.format(score="1 - list_sum(list_transform(list_zip(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"))
+def legacy_similarity(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return ranking.nearest(spark, vectors, vectors.filter("vec_id % 100 = 0"), 10, metric="l2")
+
+
+def _fused(spark, sf_dir, wv, ww):
+    docs, asked = table(spark, sf_dir, "documents"), items(spark, sf_dir, 6)
+    found = ranking.hits(ranking.fuse(ranking.term_cosine(docs, asked), ranking.bm25(docs, asked), wv, ww), 10)
+    return found.select("query_id", "rank", "doc_id", F.col("fused").alias("fused_score"), "vec_rank", "kw_rank")
+
+
+RRF = "WITH {posts}, {cos}, {bm}, {fu} SELECT query_id, rank, doc_id, fused AS fused_score, vec_rank, kw_rank FROM h WHERE rank <= 10"
+
+
+@query(RRF.format(posts=POSTS, cos=cosine_ctes(first_tokens(6)), bm=bm25_ctes(first_tokens(6)), fu=fused_ctes()))
+def rrf_fusion(spark, sf_dir):
+    return _fused(spark, sf_dir, 1.0, 1.0)
+
+
+@query(RRF.format(posts=POSTS, cos=cosine_ctes(first_tokens(6)), bm=bm25_ctes(first_tokens(6)), fu=fused_ctes(2.0, 1.0)))
+def rrf_fusion_weighted(spark, sf_dir):
+    return _fused(spark, sf_dir, 2.0, 1.0)
+
+
+KEEP = "lang = 'en' AND contains(source, '1')"
+HITS = "SELECT query_id, rank, doc_id, round_even(fused, 5) AS fused_score, lang, source, substr(text, 1, 200) AS excerpt FROM h JOIN documents USING (doc_id) WHERE rank <= 10"
+
+
+def _search(spark, sf_dir, mode):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    keep = browse.matches({"lang": "en", "source": {"contains": "1"}})
+    found = ranking.search(docs, items(spark, sf_dir, 6), 10, keep, mode)
+    return found.select("query_id", "rank", "doc_id", "fused_score", "lang", "source", "excerpt")
+
+
+@query(f"WITH {POSTS}, {cosine_ctes(first_tokens(6), keep=KEEP)}, {bm25_ctes(first_tokens(6), keep=KEEP)}, {fused_ctes()} {HITS}")
+def hybrid_search_filtered(spark, sf_dir):
+    return _search(spark, sf_dir, "hybrid")
+
+
+@query(f"WITH {POSTS}, {cosine_ctes(first_tokens(6), keep='false')}, {bm25_ctes(first_tokens(6), keep=KEEP)}, {fused_ctes()} {HITS}")
+def bm25_only(spark, sf_dir):
+    return _search(spark, sf_dir, "keyword")
+
+
+@query(f"WITH {POSTS}, {cosine_ctes(first_tokens(6), keep=KEEP)}, {bm25_ctes(first_tokens(6), keep='false')}, {fused_ctes()} {HITS}")
+def vector_only(spark, sf_dir):
+    return _search(spark, sf_dir, "vector")
+
+
+@query(f"""WITH {POSTS}, {bm25_ctes(first_tokens(6))}, qt AS (SELECT query_id, list_distinct({tok('query')}) AS q FROM ({first_tokens(6)})),
+j AS (SELECT r.query_id, r.doc_id, r.rank AS pool_rank, CASE WHEN count(*) OVER (PARTITION BY r.query_id) > 10 THEN round(len(list_intersect(q, {tok('substr(text, 1, 512)')})) / greatest(len(q), 1), 6) END AS rerank_score
+  FROM r JOIN qt USING (query_id) JOIN documents USING (doc_id))
+SELECT * FROM (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC NULLS LAST, pool_rank) AS INTEGER) AS rank, doc_id, rerank_score, pool_rank FROM j) WHERE rank <= 10""")
+def rerank_lexical(spark, sf_dir):
+    docs, asked = table(spark, sf_dir, "documents"), items(spark, sf_dir, 6)
+    return ranking.rerank(docs, asked, ranking.bm25(docs, asked), 10)
+
+
+@query(f"""WITH {POSTS}, n AS (SELECT count(*) AS n FROM documents), t AS (SELECT term, count(*) AS df, sum(freq) AS total FROM p GROUP BY term ORDER BY total DESC, term LIMIT 50000),
+w AS (SELECT doc_id, term, (ln(freq) + 1) * (ln((1.0 + n) / (df + 1.0)) + 1) AS w FROM p JOIN t USING (term) CROSS JOIN n), m AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM w GROUP BY doc_id)
+SELECT doc_id, term, round(w / norm, 6) AS weight FROM w JOIN m USING (doc_id)""")
+def tfidf_weights(spark, sf_dir):
+    return ranking.tfidf(table(spark, sf_dir, "documents")).withColumn("weight", F.round("weight", 6))
+
+
+@query()
+def lsa_similarity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    vectors = lsa.transform(spark, docs, lsa.fit(spark, docs, rank=16, rounds=2))
+    return ranking.nearest(spark, vectors, vectors.filter("vec_id % 100 = 0"), 5)
+
+
+# --- browsing ------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, lang, source, n_chars, substr(text, 1, 300) AS excerpt FROM documents WHERE lang = 'en' AND contains(source, '1') AND contains(text, 'that') ORDER BY doc_id LIMIT 50")
+def filter_docs(spark, sf_dir):
+    return browse.browse(table(spark, sf_dir, "documents"), {"lang": "en", "source": {"contains": "1"}}, "that", 50)
+
+
+@query("SELECT coalesce(lang, 'unknown') AS lang, count(*) AS n FROM documents GROUP BY 1")
+def type_distribution(spark, sf_dir):
+    return browse.type_distribution(table(spark, sf_dir, "documents"), "lang")
+
+
+@query("SELECT count(*) AS n_chunks, count(DISTINCT source) AS n_files FROM documents")
+def kb_stats(spark, sf_dir):
+    return browse.stats(table(spark, sf_dir, "documents"), "source")
+
+
+# --- ingest --------------------------------------------------------------------------------------
+
+
+def conversation_notes(spark, sf_dir) -> DataFrame:
+    """One markdown note for each turn: a heading for the conversation, one for the role, the text."""
+    turns = table(spark, sf_dir, "conversations")
+    body = F.concat(F.lit("# conv "), F.col("conv_id"), F.lit("\n## "), F.col("role"), F.lit("\n"), F.col("text"))
+    return turns.select(F.concat(F.lit("conv/"), F.col("conv_id"), F.lit("/"), F.col("turn"), F.lit(".md")).alias("path"), body.alias("body"))
+
+
+TURN = "SELECT 'conv/' || conv_id || '/' || turn || '.md' AS path, 'conv ' || conv_id AS h1, role AS h2, regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', '') AS t FROM conversations"
+
+
+@query(f"""WITH c AS ({TURN}) SELECT path AS source_file, CASE WHEN length(t) > 20 THEN h1 || ' > ' || h2 ELSE regexp_extract(path, '([^/]*)\\.md$', 1) END AS header_path, CAST(0 AS INTEGER) AS chunk_index,
+CASE WHEN length(t) > 20 THEN md5(path || '|' || h1 || ' > ' || h2 || '|' || substr(t, 1, 100)) ELSE md5(path || '|full') END AS id FROM c""")
+def section_chunks(spark, sf_dir):
+    return ingest.chunks(conversation_notes(spark, sf_dir)).select("source_file", "header_path", F.col("chunk_index").cast("int").alias("chunk_index"), "id")
+
+
+@query(f"WITH c AS ({TURN}) SELECT path, CAST(1 AS BIGINT) AS section, h1 AS header_path FROM c UNION ALL SELECT path, 2, h1 || ' > ' || h2 FROM c")
+def heading_paths(spark, sf_dir):
+    return ingest.sections(conversation_notes(spark, sf_dir)).filter("section > 0").select("path", "section", "header_path")
+
+
+@query("SELECT c_custkey, 'fact' AS memory_type, lower(trim(c_mktsegment)) AS status, 'a|b ' || c_nationkey AS tags, c_name AS owner, '' AS expiry, 'Body of ' || c_custkey AS body FROM customer")
+def frontmatter_parse(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    raw = F.concat(F.lit("---\nmemory_type: fact\nstatus: "), F.lower(F.trim("c_mktsegment")), F.lit("\ntags:\n  - a\n  - b "), F.col("c_nationkey"), F.lit("\nowner: \""), F.col("c_name"), F.lit("\"\nunknown: x\n---\nBody of "), F.col("c_custkey"))
+    return ingest.front_matter(c.select("c_custkey", raw.alias("raw"))).select("c_custkey", "memory_type", "status", "tags", "owner", "expiry", "body")
+
+
+def _mutated(docs: DataFrame) -> DataFrame:
+    text = F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit(" changed"))).otherwise(F.col("text"))
+    changed = docs.filter(F.col("doc_id") % 11 != 0).select(F.when(F.col("doc_id") % 13 == 0, F.col("doc_id") + 100_000_000).otherwise(F.col("doc_id")).alias("id"), content_hash(text).alias("content_hash"))
+    return changed
+
+
+MUTATED = """o AS (SELECT doc_id AS id, sha256(text) AS h FROM documents), m AS (SELECT CASE WHEN doc_id % 13 = 0 THEN doc_id + 100000000 ELSE doc_id END AS id, sha256(CASE WHEN doc_id % 7 = 0 THEN text || ' changed' ELSE text END) AS h FROM documents WHERE doc_id % 11 <> 0)"""
+
+
+@query(f"WITH {MUTATED} SELECT coalesce(o.id, m.id) AS id, CASE WHEN o.id IS NULL THEN 'insert' WHEN m.id IS NULL THEN 'delete' WHEN o.h <> m.h THEN 'update' ELSE 'keep' END AS action FROM o FULL OUTER JOIN m ON o.id = m.id")
+def incremental_diff(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return ingest.difference(docs.select(F.col("doc_id").alias("id"), content_hash(F.col("text")).alias("content_hash")), _mutated(docs))
+
+
+@query(f"WITH {MUTATED} SELECT id, h AS content_hash FROM m")
+def apply_upsert(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return ingest.upsert(docs.select(F.col("doc_id").alias("id"), content_hash(F.col("text")).alias("content_hash")), _mutated(docs))
+
+
+# --- audit ---------------------------------------------------------------------------------------
+
+ORDER_RULES = {"1-URGENT": ("o_clerk_note", "o_orderstatus"), "2-HIGH": ("o_clerk_note",)}
+ALLOWED = ("O", "F")
+
+
+def _orders(spark, sf_dir) -> DataFrame:
+    """Orders as notes: the note is blank on every fifth, a date is misspelt on every ninth."""
+    o = table(spark, sf_dir, "orders")
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    return o.select(
+        "o_orderkey", "o_orderstatus", "o_orderpriority", F.when(F.col("o_orderkey") % 5 == 0, " ").otherwise("x").alias("o_clerk_note"),
+        F.when(F.col("o_orderkey") % 9 == 0, F.regexp_replace(day, "-", "/")).otherwise(day).alias("day"),
+    )
+
+
+ORDERS = "o AS (SELECT o_orderkey, o_orderstatus, o_orderpriority, CASE WHEN o_orderkey % 5 = 0 THEN ' ' ELSE 'x' END AS o_clerk_note, CASE WHEN o_orderkey % 9 = 0 THEN strftime(o_orderdate, '%Y/%m/%d') ELSE strftime(o_orderdate, '%Y-%m-%d') END AS day FROM orders)"
+Q_REQUIRED = "SELECT 'A' AS dimension, 'missing_field' AS code, CAST(o_orderkey AS VARCHAR) AS file, 'o_clerk_note' AS detail FROM o WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') AND trim(o_clerk_note) = ''"
+Q_ENUM = "SELECT 'A' AS dimension, 'bad_status' AS code, CAST(o_orderkey AS VARCHAR) AS file, o_orderstatus AS detail FROM o WHERE o_orderstatus NOT IN ('O', 'F')"
+Q_DATES = "SELECT 'A' AS dimension, 'bad_date' AS code, CAST(o_orderkey AS VARCHAR) AS file, 'day=' || day AS detail FROM o WHERE NOT regexp_full_match(day, '\\d{4}-\\d{2}-\\d{2}')"
+Q_STALE = f"""SELECT 'B' AS dimension, 'stale' AS code, CAST(o_orderkey AS VARCHAR) AS file, CAST(age AS VARCHAR) AS detail FROM (SELECT o_orderkey, o_orderpriority, date_diff('day', CAST(o_orderdate AS DATE), DATE '{AS_OF}') AS age FROM orders)
+WHERE age > CASE o_orderpriority WHEN '1-URGENT' THEN 1000 WHEN '2-HIGH' THEN 1500 ELSE 2000 END"""
+Q_SHORT = "SELECT 'D' AS dimension, 'short_body' AS code, CAST(doc_id AS VARCHAR) AS file, CAST(n AS VARCHAR) AS detail FROM (SELECT doc_id, length(regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', '')) AS n FROM documents) WHERE n < 50"
+
+
+@query(f"WITH {ORDERS} {Q_REQUIRED}")
+def audit_required_fields(spark, sf_dir):
+    return audit.required_fields(_orders(spark, sf_dir), ORDER_RULES, "o_orderpriority", "o_orderkey")
+
+
+@query(f"WITH {ORDERS} {Q_ENUM}")
+def audit_enums(spark, sf_dir):
+    return audit.not_in(_orders(spark, sf_dir), "o_orderstatus", ALLOWED, "o_orderkey", "bad_status")
+
+
+@query(f"WITH {ORDERS} {Q_DATES}")
+def audit_dates(spark, sf_dir):
+    return audit.bad_dates(_orders(spark, sf_dir), ("day",), "o_orderkey")
+
+
+CONFIDENCE = "CASE WHEN l_linenumber = 3 THEN 'high' WHEN l_linenumber = 4 THEN CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) ELSE '0.5' END"
+
+
+@query(f"""SELECT 'A' AS dimension, CASE WHEN try_cast(c AS DOUBLE) IS NULL THEN 'not_numeric' ELSE 'out_of_range' END AS code, file, c AS detail FROM (SELECT l_orderkey || '/' || l_linenumber AS file, {CONFIDENCE} AS c FROM lineitem)
+WHERE try_cast(c AS DOUBLE) IS NULL OR try_cast(c AS DOUBLE) NOT BETWEEN 0 AND 1""")
+def audit_confidence(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem")
+    value = F.when(F.col("l_linenumber") == 3, "high").when(F.col("l_linenumber") == 4, F.col("l_quantity").cast("int").cast("string")).otherwise("0.5")
+    return audit.bad_confidence(lines.select(F.concat_ws("/", "l_orderkey", "l_linenumber").alias("file"), value.alias("c")), "c", "file")
+
+
+@query("""SELECT 'A' AS dimension, 'expiry_before_update' AS code, CAST(l_orderkey AS VARCHAR) || '/' || l_linenumber AS file, strftime(l_shipdate, '%Y-%m-%d') AS detail FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+WHERE l_shipdate < o_orderdate + INTERVAL 30 DAY AND strftime(l_shipdate, '%Y-%m-%d') < strftime(o_orderdate + INTERVAL 30 DAY, '%Y-%m-%d')""")
+def audit_expiry(spark, sf_dir):
+    text = lambda c: F.date_format(c, "yyyy-MM-dd")
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), text(F.date_add("o_orderdate", 30)).alias("updated"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.concat_ws("/", "l_orderkey", "l_linenumber").alias("file"), text("l_shipdate").alias("expiry"))
+    return audit.expiry_before_update(lines.join(o, "l_orderkey"), "expiry", "updated", "file")
+
+
+@query(f"SELECT 'B' AS dimension, 'expired' AS code, l_orderkey || '/' || l_linenumber AS file, CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS detail FROM lineitem WHERE CAST(l_shipdate AS DATE) < DATE '{AS_OF}' - INTERVAL 4 YEAR")
+def audit_expired(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").select(F.concat_ws("/", "l_orderkey", "l_linenumber").alias("file"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("expiry"))
+    return audit.expired(lines, "expiry", "file", "1996-01-01")
+
+
+@query(Q_STALE)
+def audit_stale(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
+    return audit.stale(o, "o_orderpriority", "day", "o_orderkey", AS_OF, {"1-URGENT": 1000, "2-HIGH": 1500}, 2000)
+
+
+HREF = 'href="/([^"]*)"'
+LINKS = f"""l AS (SELECT page_id AS file, unnest(regexp_extract_all(html, '{HREF}', 1)) AS target FROM pages),
+k AS (SELECT DISTINCT unnest(regexp_extract_all(lower(regexp_extract(html, '<title>(.*?)</title>', 1)), '[^\\s]+')) AS target FROM pages),
+b AS (SELECT file, target FROM l WHERE target <> '' AND NOT EXISTS (SELECT 1 FROM k WHERE k.target = l.target OR ends_with(k.target, '/' || l.target)))"""
+
+
+def _links(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    pages = table(spark, sf_dir, "pages")
+    found = pages.select(F.col("page_id").alias("file"), F.explode(F.regexp_extract_all("html", F.lit(HREF), F.lit(1))).alias("target"))
+    title = F.lower(F.regexp_extract("html", "<title>(.*?)</title>", 1))
+    return found, pages.select(F.explode(F.regexp_extract_all(title, F.lit("[^\\s]+"), F.lit(0))).alias("name")).distinct()
+
+
+@query(f"WITH {LINKS} SELECT file, target FROM b")
+def broken_links(spark, sf_dir):
+    return audit.broken(*_links(spark, sf_dir))
+
+
+@query(f"WITH {LINKS} SELECT target, count(*) AS refs, count(DISTINCT file) AS n_sources, min(file) AS first_source, count(DISTINCT file) > 3 AS more FROM b GROUP BY target")
+def broken_link_summary(spark, sf_dir):
+    return audit.broken_summary(audit.broken(*_links(spark, sf_dir)))
+
+
+@query(Q_SHORT)
+def audit_short_bodies(spark, sf_dir):
+    return audit.short_bodies(table(spark, sf_dir, "documents"), "text", "doc_id")
+
+
+@query("SELECT source, sha256(text) AS h, count(*) AS n FROM documents GROUP BY ALL HAVING count(*) > 1")
+def audit_dup_names(spark, sf_dir):
+    return audit.duplicate_names(table(spark, sf_dir, "documents").select("source", content_hash(F.col("text")).alias("h")), ("source", "h"))
+
+
+@query("""SELECT doc_id, 'indexed_not_on_disk' AS code FROM labels WHERE doc_id % 13 = 0 UNION ALL SELECT doc_id, 'on_disk_not_indexed' FROM documents WHERE doc_id % 13 <> 0 AND doc_id NOT IN (SELECT doc_id FROM labels)""")
+def index_consistency(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").filter("doc_id % 13 <> 0")
+    return audit.index_consistency(table(spark, sf_dir, "labels"), docs, "doc_id")
+
+
+@query(f"WITH {ORDERS}, i AS ({Q_REQUIRED} UNION ALL {Q_ENUM} UNION ALL {Q_DATES} UNION ALL {Q_STALE} UNION ALL {Q_SHORT}) SELECT coalesce(dimension, 'all') AS dimension, coalesce(code, 'all') AS code, count(*) AS n FROM i GROUP BY ROLLUP (dimension, code)")
+def audit_counts(spark, sf_dir):
+    parts = (audit_required_fields, audit_enums, audit_dates, audit_stale, audit_short_bodies)
+    every = None
+    for part in parts:
+        every = part(spark, sf_dir) if every is None else every.unionByName(part(spark, sf_dir))
+    return audit.counts(every)
+
+
+# --- evaluation ----------------------------------------------------------------------------------
+
+
+def _gold(spark, sf_dir) -> DataFrame:
+    return ranking.gold_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).withColumnRenamed("item_id", "query_id")
+
+
+def _metrics(spark, sf_dir, first: int, gold: DataFrame) -> DataFrame:
+    asked = items(spark, sf_dir, first)
+    return evaluate.metrics(evaluate.first_hits(ranking.bm25(table(spark, sf_dir, "documents"), asked), gold, asked))
+
+
+@query(f"WITH {POSTS}, {GOLD}, {bm25_ctes(first_tokens(4))}, {metric_cte('r', 'm')} SELECT n, hit1, hit5, mrr FROM m")
+def retrieval_eval(spark, sf_dir):
+    return _metrics(spark, sf_dir, 4, _gold(spark, sf_dir))
+
+
+@query(f"WITH {GOLD} SELECT item_id FROM benchmark WHERE item_id NOT IN (SELECT query_id FROM gold)")
+def gold_reachability(spark, sf_dir):
+    items_ = table(spark, sf_dir, "benchmark")
+    return evaluate.unreachable(items_, _gold(spark, sf_dir).withColumnRenamed("query_id", "item_id")).select("item_id")
+
+
+@query("""SELECT doc_id, source AS gold FROM (SELECT doc_id, source, h, row_number() OVER (PARTITION BY source ORDER BY h, doc_id) AS turn FROM (SELECT doc_id, source, md5(CAST(doc_id AS VARCHAR)) AS h FROM documents))
+WHERE turn <= 50 // (SELECT count(DISTINCT source) FROM documents) + 1 ORDER BY h, doc_id LIMIT 50""")
+def self_cases(spark, sf_dir):
+    return evaluate.self_cases(table(spark, sf_dir, "documents"), 50).select("doc_id", "gold")
+
+
+@query(f"""WITH {POSTS}, {GOLD}, {bm25_ctes(first_tokens(4), 'ra')}, {bm25_ctes(first_tokens(6), 'rb')}, {bm25_ctes(first_tokens(2), 'rc')}, {metric_cte('ra', 'a')}, {metric_cte('rb', 'b')}, {metric_cte('rc', 'c')}
+SELECT candidate, x.hit5, x.mrr, a.mrr AS base_mrr, round(x.mrr - a.mrr, 4) AS delta_mrr, x.hit5 >= 0.85 - 1e-9 AND x.mrr >= a.mrr - 0.02 - 1e-9 AS passed FROM (SELECT 'six' AS candidate, * FROM b UNION ALL SELECT 'two', * FROM c UNION ALL SELECT 'same', * FROM a) x CROSS JOIN a""")
+def offline_gate(spark, sf_dir):
+    gold = _gold(spark, sf_dir)
+    base = _metrics(spark, sf_dir, 4, gold).first()
+    rows = None
+    for name, first in (("six", 6), ("two", 2), ("same", 4)):
+        part = _metrics(spark, sf_dir, first, gold).select(F.lit(name).alias("candidate"), "hit5", "mrr")
+        rows = part if rows is None else rows.unionByName(part)
+    judged = feedback.gate(rows.withColumn("base_mrr", F.lit(base.mrr)))
+    return judged.select("candidate", "hit5", "mrr", "base_mrr", F.round(F.col("mrr") - F.col("base_mrr"), 4).alias("delta_mrr"), "passed")
+
+
+# --- feedback ------------------------------------------------------------------------------------
+
+
+def _feedback(spark, sf_dir) -> DataFrame:
+    k = F.get_json_object("props", "$.k").cast("long")
+    adopted = F.col("event_type").isin("purchase", "signup")
+    return table(spark, sf_dir, "events").select("event_id", "ts", "user_id", k.alias("k"), adopted.alias("adopted"), F.concat(F.lit("file"), k % 10).alias("file"))
+
+
+EVENTS = "e AS (SELECT event_id, ts, user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, event_type IN ('purchase', 'signup') AS adopted, 'file' || (CAST(json_extract_string(props, '$.k') AS BIGINT) % 10) AS file FROM events)"
+LATEST = f"{EVENTS}, l AS (SELECT * EXCLUDE (turn) FROM (SELECT *, row_number() OVER (PARTITION BY user_id, k ORDER BY ts DESC, event_id DESC) AS turn FROM e) WHERE turn = 1)"
+
+
+def _latest(spark, sf_dir) -> DataFrame:
+    return feedback.latest(_feedback(spark, sf_dir), ["user_id", "k"], ["ts", "event_id"])
+
+
+@query(f"WITH {LATEST} SELECT user_id, k, event_id, adopted FROM l")
+def feedback_latest(spark, sf_dir):
+    return _latest(spark, sf_dir).select("user_id", "k", "event_id", "adopted")
+
+
+@query(f"WITH {LATEST} SELECT count(*) AS total, count(*) FILTER (adopted) AS adopted, count(*) FILTER (NOT adopted) AS rejected, round(count(*) FILTER (adopted) / count(*), 6) AS rate FROM l")
+def feedback_stats(spark, sf_dir):
+    return feedback.totals(_latest(spark, sf_dir)).drop("rate_text")
+
+
+@query(f"WITH {LATEST} SELECT file, count(*) FILTER (adopted) AS n_adopted, count(*) FILTER (NOT adopted) AS n_rejected FROM l GROUP BY file")
+def feedback_by_file(spark, sf_dir):
+    return feedback.by_file(_latest(spark, sf_dir), "file")
+
+
+@query(f"WITH {LATEST} SELECT file, count(*) FILTER (adopted) AS n_adopted FROM l GROUP BY file ORDER BY n_adopted DESC, file LIMIT 5")
+def top_adopted_files(spark, sf_dir):
+    return feedback.top_files(_latest(spark, sf_dir), "file", 5)
+
+
+@query(f"WITH {EVENTS} SELECT event_id, user_id, coalesce(CASE WHEN c_name <> '' THEN c_name END, file) AS file FROM e LEFT JOIN customer ON c_custkey = user_id AND c_custkey % 2 = 0")
+def feedback_enrich(spark, sf_dir):
+    served = table(spark, sf_dir, "customer").filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("user_id"), F.col("c_name").alias("file"))
+    return feedback.enrich(_feedback(spark, sf_dir).select("event_id", "user_id", "file"), served, ["user_id"], ["file"])
+
+
+STARTED = "2024-01-01 00:00:00"
+ARMS = f"{EVENTS}, a AS (SELECT user_id, count(*) FILTER (k >= 90) AS n_base, coalesce(count(*) FILTER (k >= 90 AND adopted) / nullif(count(*) FILTER (k >= 90), 0), 0) AS rate_base, count(*) FILTER (k < 90) AS n_cand, coalesce(count(*) FILTER (k < 90 AND adopted) / nullif(count(*) FILTER (k < 90), 0), 0) AS rate_cand FROM e WHERE strftime(ts, '%Y-%m-%d %H:%M:%S') >= '{STARTED}' GROUP BY user_id)"
+
+
+def _arms(spark, sf_dir) -> DataFrame:
+    rows = _feedback(spark, sf_dir).filter(F.date_format("ts", "yyyy-MM-dd HH:mm:ss") >= STARTED)
+    return feedback.adoption(rows, F.col("k") < 90, ["user_id"], F.col("adopted"))
+
+
+@query(f"WITH {ARMS} SELECT user_id, n_base, round(rate_base, 6) AS rate_base, n_cand, round(rate_cand, 6) AS rate_cand FROM a")
+def adoption_by_arm(spark, sf_dir):
+    return _arms(spark, sf_dir).withColumns({c: F.round(c, 6) for c in ("rate_base", "rate_cand")})
+
+
+@query(f"WITH {ARMS} SELECT user_id, CASE WHEN n_base < 10 OR n_cand < 10 THEN 'keep' WHEN rate_cand < rate_base - CAST(0.1 AS DOUBLE) THEN 'rollback' WHEN rate_cand >= rate_base + CAST(0.02 AS DOUBLE) THEN 'promote' ELSE 'keep' END AS action FROM a")
+def ab_decision(spark, sf_dir):
+    return feedback.decide(_arms(spark, sf_dir)).select("user_id", "action")
+
+
+@query("SELECT user_id, b AS bucket, CASE WHEN b < 2000 THEN 'candidate' ELSE 'baseline' END AS variant FROM (SELECT DISTINCT user_id, CAST(('0x' || substr(md5(CAST(user_id AS VARCHAR)), 1, 6)) AS BIGINT) % 10000 AS b FROM events)")
+def traffic_routing(spark, sf_dir):
+    return feedback.route(table(spark, sf_dir, "events").select("user_id").distinct(), "user_id")
+
+
+@query(f"""WITH {LATEST}, j AS (SELECT DISTINCT user_id AS query, k AS doc, adopted FROM l), n AS (SELECT query, doc AS neg FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY md5(CAST(doc AS VARCHAR)), doc) AS turn FROM j WHERE NOT adopted) WHERE turn <= 3)
+SELECT p.query, p.doc AS pos, n.neg FROM j p JOIN n USING (query) WHERE p.adopted AND p.doc <> n.neg""")
+def training_triples(spark, sf_dir):
+    return feedback.triples(_latest(spark, sf_dir).select(F.col("user_id").alias("query"), F.col("k").alias("doc"), "adopted"))
+
+
+@query(f"WITH {POSTS}, {GOLD}, {bm25_ctes(first_tokens(4), k=20)} SELECT query_id, neg, turn FROM (SELECT query_id, doc_id AS neg, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank, doc_id) AS INTEGER) AS turn FROM r ANTI JOIN gold USING (query_id, doc_id)) WHERE turn <= 3")
+def hard_negatives(spark, sf_dir):
+    found = ranking.bm25(table(spark, sf_dir, "documents"), items(spark, sf_dir, 4), 20)
+    return feedback.hard_negatives(found, _gold(spark, sf_dir))
+
+
+@query("""WITH c AS (SELECT doc_id, source, source || ' > ' || lang || ' ' || (doc_id % 97) AS header, text, md5(CAST(doc_id AS VARCHAR)) AS id FROM documents WHERE length(text) >= 40),
+f AS (SELECT *, md5(id) AS h, lang_q AS query FROM (SELECT *, trim(split_part(header, ' > ', 2)) AS lang_q FROM c)),
+a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY h, id) AS t FROM f) WHERE t = 1), b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY h, id) AS t2 FROM a) WHERE t2 <= 6)
+SELECT query, id AS pos FROM b ORDER BY h, id LIMIT 400""")
+def structural_triples(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    header = F.concat(F.col("source"), F.lit(" > "), F.col("lang"), F.lit(" "), F.col("doc_id") % 97)
+    chunked = docs.select(F.md5(F.col("doc_id").cast("string").cast("binary")).alias("id"), F.col("source").alias("source_file"), header.alias("header_path"), "text")
+    return feedback.structural(chunked)
+
+
+@query(f"WITH {LATEST} SELECT count(*) FILTER (adopted) AS positives, count(*) FILTER (adopted) >= 8 AS triggered FROM l")
+def loop_trigger(spark, sf_dir):
+    return feedback.triggered(_latest(spark, sf_dir))
+
+
+@query(f"WITH {LATEST} SELECT user_id, k, event_id, adopted FROM l")
+def feedback_stream(spark, sf_dir):
+    """The latest state again, from the events as a file stream that is read to its end."""
+    events = table(spark, sf_dir, "events")
+    spark.conf.set("spark.sql.streaming.schemaInference", "true")
+    source = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events.parquet*")
+    k = F.get_json_object("props", "$.k").cast("long")
+    rows = source.select("event_id", "ts", "user_id", k.alias("k"), F.col("event_type").isin("purchase", "signup").alias("adopted"))
+    last = stream.latest(rows, ["user_id", "k"], ["ts", "event_id"], ["event_id", "adopted"])
+    where = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="stream-")
+    name = f"feedback_{abs(hash((sf_dir, id(last)))):x}"
+    return stream.drain(last, f"{where}/{name}", name).select("user_id", "k", "event_id", "adopted")
