@@ -22,7 +22,7 @@ def read_notes(spark: SparkSession, folder: str, excluded: tuple[str, ...] = EXC
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(folder)
     root = folder.rstrip("/") + "/"
     path = F.regexp_replace(F.substring_index(F.col("path"), root, -1), r"\\", "/")
-    rows = files.select(path.alias("path"), F.decode("content", F.lit("UTF-8")).alias("raw"))
+    rows = files.select(path.alias("path"), F.decode("content", "UTF-8").alias("raw"))
     return rows.filter(~F.exists(F.split("path", "/"), lambda p: p.isin(*excluded)))
 
 
