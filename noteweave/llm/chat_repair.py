@@ -36,7 +36,7 @@ BLOCK = 512
 STATES = ("", "system", "user", "assistant")
 LEGAL = {0: (1, 2), 1: (2,), 2: (3,), 3: (2,)}
 NAMES = {"system": 1, "user": 2, "human": 2, "assistant": 3, "gpt": 3, "bot": 3, "model": 3}
-MERGE, RELABEL, UNKNOWN, INSERT = 2, 3, 1, 4
+MERGE, RELABEL, UNKNOWN, INSERT = 2, 7, 1, 4
 FAR = 1 << 40
 
 
