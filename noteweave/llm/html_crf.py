@@ -152,7 +152,7 @@ def leaf_blocks(page: str) -> list[tuple[str, frozenset, float, bool, str]]:
     return out
 
 
-def features(block: tuple[str, frozenset, float, bool, str], index: int, n: int) -> set[str]:
+def features(block: tuple[str, frozenset, float, bool, str]) -> set[str]:
     words, above, linked, _, tag = block
     tokens = words.split(" ", 60)
     found = {"bias", f"own:{tag}", f"links:{min(3, int(linked * 4))}", f"words:{min(5, len(tokens).bit_length())}", *above}
@@ -164,10 +164,6 @@ def features(block: tuple[str, frozenset, float, bool, str], index: int, n: int)
         found.add("has:comma")
     if len(tokens) <= 30 and not TELLING.isdisjoint(x.lower().strip(".,:;!?()") for x in tokens):
         found.add("has:telling")
-    if index == 0:
-        found.add("first")
-    if index == n - 1:
-        found.add("last")
     return found
 
 
@@ -181,11 +177,11 @@ class Field:
         """The best labels, by Viterbi."""
         if not blocks:
             return []
-        n, get = len(blocks), self.weights.get
+        get = self.weights.get
         (c00, c01), (c10, c11) = self.chain.tolist()
         back, zero, one = [], 0.0, 0.0
         for i, block in enumerate(blocks):
-            emission = sum(get(f, 0.0) for f in features(block, i, n))
+            emission = sum(get(f, 0.0) for f in features(block))
             if i:
                 a, b = zero + c00 >= one + c10, zero + c01 >= one + c11
                 back.append((not a, not b))
@@ -205,7 +201,7 @@ def train(pages: Iterable[str], rounds: int = 100, penalty: float = 0.02) -> Fie
     """Penalised maximum likelihood by full-batch gradient steps (Adam) over at most MOST_PAGES pages."""
     chains = [c for _, page in zip(range(MOST_PAGES), pages, strict=False) if (c := leaf_blocks(page))]
     names: dict[str, int] = {}
-    rows = [[sorted(names.setdefault(f, len(names)) for f in sorted(features(b, i, len(c)))) for i, b in enumerate(c)] for c in chains]
+    rows = [[sorted(names.setdefault(f, len(names)) for f in sorted(features(b))) for b in c] for c in chains]
     if not rows:
         return Field({}, np.zeros((2, 2)))
     longest, n = max(map(len, rows)), len(rows)
@@ -343,6 +339,10 @@ def labelled_pages(n: int = TRAINING_PAGES, seed: int = 7) -> list[str]:
             article = element(rng.choice(["div class='page'", "div id='wrapper'", "div class='container'", "main", "div class='row'"]), article)
         before = "".join(around(k) for k in ("notice", "header", "menu", "form", "advert", "sidebar") if rng.random() < 0.4)
         after = "".join(around(k) for k in ("advert", "sidebar", "comments", "form", "footer", "notice") if rng.random() < 0.45)
+        before, after = (x if rng.random() < 0.8 else "" for x in (before, after))
+        if rng.random() < 0.1:
+            pages.append(before + article + after)  # a fragment
+            continue
         pages.append(f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{sentence(2, 8)}</title><style>p{{}}</style><script>var a='<p>x</p>';</script></head><body>{before}{article}{after}</body></html>")
     return pages
 

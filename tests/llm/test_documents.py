@@ -30,7 +30,7 @@ def test_field_on_held_out_pages(field):
 def test_viterbi_is_best(field):
     page = "<body><div class='ad'>Buy now.</div><article><h1>T</h1><p>One, two.</p><p>Three</p></article><div id='comments'><p>Hi</p></div></body>"
     blocks = html_crf.leaf_blocks(page)
-    emit = [sum(field.weights.get(f, 0.0) for f in html_crf.features(b, i, len(blocks))) for i, b in enumerate(blocks)]
+    emit = [sum(field.weights.get(f, 0.0) for f in html_crf.features(b)) for b in blocks]
     score = lambda y: sum(e for e, x in zip(emit, y, strict=True) if x) + sum(field.chain[a, b] for a, b in zip(y, y[1:], strict=False))
     best = max(itertools.product((0, 1), repeat=len(blocks)), key=score)
     assert [int(x) for x in field.labels(blocks)] == list(best)
