@@ -10,34 +10,53 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noteweave.operators.ranking import tfidf
 
 
-def fit(spark: SparkSession, docs: DataFrame, rank: int = 16, most: int = 50_000, rounds: int = 4, seed: int = 42) -> tuple[dict[str, int], np.ndarray]:
-    """The vocabulary and the right singular vectors (terms x rank)."""
-    rows = _sparse(tfidf(docs, most))
-    names = [r.term for r in rows.select(F.explode("cells").alias("c")).select("c.term").distinct().collect()]  # `most` at most
-    vocabulary = {t: i for i, t in enumerate(sorted(names))}
-    basis = np.linalg.qr(np.random.default_rng(seed).standard_normal((len(vocabulary), min(rank + 8, max(1, len(vocabulary))))))[0]
+def weighted(docs: DataFrame, most: int = 50_000) -> DataFrame:
+    """`doc_id`, `terms`, `weights`: the TF-IDF vector of each document; persist it if it is used again."""
+    cells = tfidf(docs, most).groupBy("doc_id").agg(F.collect_list(F.struct("term", "weight")).alias("cells"))
+    return cells.select("doc_id", F.col("cells.term").alias("terms"), F.col("cells.weight").alias("weights"))
+
+
+def _rows(batch: pa.RecordBatch, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, term number and weight of each cell whose term is known."""
+    lengths = batch.column("terms").value_lengths().to_numpy()
+    numbers = pc.fill_null(pc.index_in(batch.column("terms").flatten(), value_set=vocabulary), -1).to_numpy()
+    weights, row = batch.column("weights").flatten().to_numpy(), np.repeat(np.arange(len(lengths)), lengths)
+    known = numbers >= 0
+    return row[known], numbers[known], weights[known]
+
+
+def _projected(n: int, row: np.ndarray, term: np.ndarray, weight: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    out = np.zeros((n, basis.shape[1]))
+    np.add.at(out, row, weight[:, None] * basis[term])
+    return out
+
+
+def fit(spark: SparkSession, rows: DataFrame, rank: int = 16, rounds: int = 4, seed: int = 42) -> tuple[pa.Array, np.ndarray]:
+    """The vocabulary and the right singular vectors (terms x rank) of `weighted` rows."""
+    names = [r.term for r in rows.select(F.explode("terms").alias("term")).distinct().collect()]  # bounded by `most`
+    vocabulary = pa.array(sorted(names), pa.string())
+    width = min(rank + 8, max(1, len(vocabulary)))
+    basis = np.linalg.qr(np.random.default_rng(seed).standard_normal((len(vocabulary), width)))[0]
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast((vocabulary, basis))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            of, v = shared.value
+            names_, v = shared.value
             total = np.zeros_like(v)
             for batch in batches:
-                for cells in batch.column("cells").to_pylist():
-                    at = np.array([of[c["term"]] for c in cells])
-                    w = np.array([c["weight"] for c in cells])
-                    total[at] += w[:, None] * (w @ v[at])
+                row, term, weight = _rows(batch, names_)
+                np.add.at(total, term, weight[:, None] * _projected(batch.num_rows, row, term, weight, v)[row])
             used = np.flatnonzero(total.any(axis=1))
-            yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used].tolist(), pa.list_(pa.float64()))], ["t", "x"])
+            yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(list(total[used]), pa.list_(pa.float64()))], ["t", "x"])
 
-        width = basis.shape[1]
-        part = rows.select("cells").mapInArrow(run, "t long, x array<double>")
+        part = rows.select("terms", "weights").mapInArrow(run, "t long, x array<double>")
         summed = part.groupBy("t").agg(F.array(*(F.sum(F.col("x")[i]) for i in range(width))).alias("x")).collect()
         product = np.zeros_like(basis)
         for r in summed:
@@ -46,22 +65,16 @@ def fit(spark: SparkSession, docs: DataFrame, rank: int = 16, most: int = 50_000
     return vocabulary, basis[:, :rank]
 
 
-def _sparse(weights: DataFrame) -> DataFrame:
-    return weights.groupBy("doc_id").agg(F.collect_list(F.struct("term", "weight")).alias("cells"))
-
-
-def transform(spark: SparkSession, docs: DataFrame, model: tuple[dict[str, int], np.ndarray], most: int = 50_000) -> DataFrame:
-    """`vec_id` and `embedding` (unit length; a zero vector stays zero) of each document with a known term."""
+def transform(spark: SparkSession, rows: DataFrame, model: tuple[pa.Array, np.ndarray]) -> DataFrame:
+    """`vec_id` and `embedding` (unit length; a zero vector stays zero) of `weighted` rows."""
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, v = shared.value
+        names, v = shared.value
         for batch in batches:
-            out = []
-            for cells in batch.column("cells").to_pylist():
-                known = [(of[c["term"]], c["weight"]) for c in cells if c["term"] in of]
-                x = sum((w * v[i] for i, w in known), np.zeros(v.shape[1]))
-                out.append((x / (np.linalg.norm(x) or 1.0)).astype(np.float32).tolist())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.list_(pa.float32()))], ["vec_id", "embedding"])
-
-    return _sparse(tfidf(docs, most)).select("doc_id", "cells").mapInArrow(run, "vec_id long, embedding array<float>")
+            x = _projected(batch.num_rows, *_rows(batch, names), v)
+            norm = np.linalg.norm(x, axis=1, keepdims=True)
+            x = (x / np.where(norm == 0, 1.0, norm)).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(list(x), pa.list_(pa.float32()))], ["vec_id", "embedding"])
+
+    return rows.mapInArrow(run, "vec_id long, embedding array<float>")

@@ -226,8 +226,8 @@ def tfidf_weights(spark, sf_dir):
 
 @query()
 def lsa_similarity(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    vectors = lsa.transform(spark, docs, lsa.fit(spark, docs, rank=16, rounds=2))
+    rows = lsa.weighted(table(spark, sf_dir, "documents")).persist()
+    vectors = lsa.transform(spark, rows, lsa.fit(spark, rows))
     return ranking.nearest(spark, vectors, vectors.filter("vec_id % 100 = 0"), 5)
 
 
@@ -562,7 +562,6 @@ def loop_trigger(spark, sf_dir):
 def feedback_stream(spark, sf_dir):
     """The latest state again, from the events as a file stream that is read to its end."""
     events = table(spark, sf_dir, "events")
-    spark.conf.set("spark.sql.streaming.schemaInference", "true")
     source = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events.parquet*")
     k = F.get_json_object("props", "$.k").cast("long")
     rows = source.select("event_id", "ts", "user_id", k.alias("k"), F.col("event_type").isin("purchase", "signup").alias("adopted"))

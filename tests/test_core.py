@@ -3,11 +3,12 @@
 import json
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from noteweave.functions import text as tx
-from noteweave.operators import audit, browse, evaluate, feedback, index, ingest, ranking
+from noteweave.operators import audit, browse, evaluate, feedback, index, ingest, lsa, ranking
 from noteweave.sources import notes as src
 from noteweave.sources import state
 from noteweave.streaming import feedback as stream
@@ -207,3 +208,19 @@ def test_corpus_digest_depends_on_tokens(spark):
     docs = frame(spark, DOCS, "doc_id long, text string")
     digest = lambda d: index.corpus_digest(index.tokenised(d)).collect()
     assert digest(docs) == digest(docs.orderBy(F.desc("doc_id"))) != digest(docs.withColumn("text", F.concat("text", F.lit(" x"))))
+
+
+def test_lsa_equals_dense_svd(spark, sf):
+    """Cosines in the latent space equal those of a dense SVD; signs and rotations are free."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").limit(60)
+    rows = lsa.weighted(docs).persist()
+    got = {r.vec_id: np.array(r.embedding) for r in lsa.transform(spark, rows, lsa.fit(spark, rows, rank=5, rounds=30)).collect()}
+    cells = rows.collect()
+    terms = {t: i for i, t in enumerate(sorted({t for r in cells for t in r.terms}))}
+    dense = np.zeros((len(cells), len(terms)))
+    for n, r in enumerate(cells):
+        dense[n, [terms[t] for t in r.terms]] = r.weights
+    vectors = dense @ np.linalg.svd(dense, full_matrices=False)[2][:5].T
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    mine = np.stack([got[r.doc_id] for r in cells])
+    assert np.abs(mine @ mine.T - vectors @ vectors.T).max() < 0.02
