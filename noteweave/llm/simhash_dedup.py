@@ -1,15 +1,14 @@
-"""Near-duplicate removal for corpora, on the SimHash operator's keys: similarity 0.8 on five-word shingles.
+"""Near-duplicate removal for corpora: similarity 0.8 on five-word shingles, by prefixes.
 
-Texts at a Jaccard similarity of 0.8 on five-word shingles differ in few words, but in too many bits for
-the two-bit radius of one shingle fingerprint. So candidates come from REPEATS fingerprints over a text's
-different words, each with its own mixing of the hashes; the Golay keys of `simhash` find those within two
-bits in any of them (measured on the test tables: all pairs at seven repeats or more). Every candidate
-is verified by the exact similarity of the two shingle sets, and verified links make components.
+Candidates come from prefixes. Each text's different shingles are put in one order that all texts share, rare
+ones first. Two texts at a Jaccard similarity of 0.8 share four fifths of either's shingles, so the first
+shingle they share is among the first n - ceil(0.8 n) + 1 of either, and as many follow it in both as the
+similarity asks for. Texts that share such a key at places that leave room for the similarity are compared by
+their shingle sets, and the links found make components. Any order is without loss; the order by counts in
+a sample of SAMPLE texts only keeps common shingles (license lines, templates) out of most prefixes.
 
-Equal texts are one node from the start. A key shared by many nodes is not expanded into pairs: its
-nodes are compared with the smallest one of the key, the smallest one that also shares the third segment's
-nearest codeword, and the smallest one of the same fingerprint; work stays linear in the key's size, and the
-other keys of the other fingerprints add their comparisons.
+A key shared by more than PAIRWISE texts is not expanded into pairs at once: its texts are compared with
+the smallest one only.
 
 Defined results: null texts and texts without words are duplicates of equal texts only; with fewer words than
 a shingle the whole sequence is the one shingle; of each group the row with the smallest id stays, once
@@ -22,70 +21,84 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from xxhash import xxh64_intdigest
 
 from noteweave.llm.common import checkpoint, prepare, small_batches, stored
-from noteweave.llm.simhash import PAIRWISE, _segments, components, fingerprint, golay, shingle_hashes
+from noteweave.llm.simhash import PAIRWISE, components, shingle_hashes
 
-REPEATS, SHINGLE, SIMILAR = 7, 5, 0.8
-_MIX = 0x9E3779B97F4A7C15
+SHINGLE, SIMILAR = 5, 0.8
+#: Texts whose shingles are counted for the order, and the least count that is listed.
+SAMPLE, LISTED = 20_000, 4
 
 
-def _mixed(hashes: np.ndarray, repeat: int) -> np.ndarray:
-    """Another 64 bits of each hash for each repeat (the finaliser of splitmix64)."""
-    x = hashes + np.uint64(_MIX * (repeat + 1) & (1 << 64) - 1)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+def common_shingles(nodes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, sorted, and counts of the shingles that LISTED or more of about SAMPLE texts hold."""
+    share = min(1.0, SAMPLE / max(1, nodes.count()))
+    part = nodes.filter(F.pmod(F.xxhash64("node"), F.lit(1 << 20)) < int(share * (1 << 20)))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, "t"):
+            found = [np.unique(shingle_hashes(t, SHINGLE)) for t in batch.column("t").cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["key"])
 
-def word_keys(nodes: DataFrame) -> DataFrame:
-    """`key`, `node`, `probe`, `third` (key with the third segment's codeword) and `whole` of each text.
+    counted = part.select("node", "t").mapInArrow(run, "key long").groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= LISTED).toArrow()
+    hashes, counts = counted.column("key").to_numpy().view(np.uint64), counted.column("n").to_numpy()
+    order = np.argsort(hashes)
+    return hashes[order], counts[order]
 
-    `whole` is 16 bits of the fingerprint's hash. Nodes (columns node, t) without words have no keys.
-    """
+
+def prefix_keys(nodes: DataFrame) -> DataFrame:
+    """`key`, `node`, `n` (the text's shingles), `at` (place in the order) and `listed` of each text's prefix."""
+    shared = nodes.sparkSession.sparkContext.broadcast(common_shingles(nodes))  # SAMPLE texts' shingles / LISTED at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = golay()
+        hashes, counts = shared.value
         for batch in small_batches(batches, "t"):
-            names, prints = [], []
+            parts = []
             for node, text in zip(batch.column("node").to_pylist(), batch.column("t").cast(pa.binary()).to_pylist(), strict=True):
-                if found := set((text or b"").lower().split()):
-                    hashes = np.fromiter(map(xxh64_intdigest, found), np.uint64, len(found))
-                    names.append(node)
-                    prints.append([fingerprint(_mixed(hashes, r)) for r in range(REPEATS)])
-            if not names:
-                continue
-            node, every = np.array(names, np.int64), np.array(prints, np.uint64)
-            for r in range(REPEATS):
-                words = np.ascontiguousarray(every[:, r])
-                parts, whole = _segments(words), (_mixed(words, 0) >> np.uint64(48)).astype(np.uint16).view(np.int16)
-                for i in range(3):
-                    near = code.near(parts[(i + 1) % 3])
-                    third = code.nearest(parts[(i + 2) % 3])
-                    row, col = np.nonzero(near >= 0)
-                    key = (np.int64(r * 3 + i) << 34) | (parts[i][row] << 12) | near[row, col]
-                    columns = [key, node[row], col == 0, third[row].astype(np.int16), whole[row]]
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["key", "node", "probe", "third", "whole"])
-
-    return nodes.select("node", "t").mapInArrow(run, "key long, node long, probe boolean, third short, whole short")
-
-
-def candidates(nodes: DataFrame) -> DataFrame:
-    """Pairs `a` < `b` of nodes to compare."""
-    keys = word_keys(nodes)
-    shared = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    keys = checkpoint(keys.join(shared, "key"))
-    few = keys.filter(F.col("n") <= PAIRWISE)
-    left, right = few.filter("probe").select("key", F.col("node").alias("x")), few.select("key", F.col("node").alias("y"))
-    found = left.join(right, "key").filter("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    many = keys.filter(F.col("n") > PAIRWISE)
-    for level in (["key"], ["key", "third"], ["key", "third", "whole"]):
-        first = many.groupBy(*level).agg(F.min("node").alias("a"))
-        found = found.unionByName(many.join(first, level).filter("a < node").select("a", F.col("node").alias("b")).distinct())
-    return checkpoint(found.distinct())
+                found = np.unique(shingle_hashes(text, SHINGLE))
+                n = len(found)
+                if not n:
+                    continue
+                seen = np.zeros(n, np.int64)
+                if len(hashes):
+                    slot = np.minimum(np.searchsorted(hashes, found), len(hashes) - 1)
+                    seen = np.where(hashes[slot] == found, counts[slot], 0)
+                length = n - (4 * n + 4) // 5 + 1
+                first = np.argsort(seen, kind="stable")[:length]
+                parts.append((found[first].view(np.int64), np.full(length, node, np.int64), np.full(length, n, np.int32), np.arange(length, dtype=np.int32), seen[first] > 0))
+            if parts:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], ["key", "node", "n", "at", "listed"])
+
+    return nodes.select("node", "t").mapInArrow(run, "key long, node long, n int, at int, listed boolean")
+
+
+def shared_keys(nodes: DataFrame) -> DataFrame:
+    """The rows of prefix keys that texts share, with `members` and the key's smallest node `first`.
+
+    Listed keys may be hot: they are counted by aggregation and joined by broadcast, the others go by window.
+    """
+    keys = stored(prefix_keys(nodes))
+    members, first = F.count("*").alias("members"), F.min("node").alias("first")
+    group = Window.partitionBy("key")
+    rare = keys.filter("not listed").select("key", "node", "n", "at", F.count("*").over(group).alias("members"), F.min("node").over(group).alias("first"))
+    hot = keys.filter("listed")
+    hot = hot.join(F.broadcast(hot.groupBy("key").agg(members, first)), "key").select(*rare.columns)
+    return stored(rare.filter("members > 1").unionByName(hot.filter("members > 1")))
+
+
+def side(rows: DataFrame, name: str) -> DataFrame:
+    return rows.select(*(F.col(c).alias(c if c in ("key", "mine", "other") else f"{name}_{c}") for c in rows.columns))
+
+
+def room() -> Column:
+    """Whether the sizes and places of x and y leave room for the similarity if this is the first shingle they share."""
+    return 9 * F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at")) >= 4 * (F.col("x_n") + F.col("y_n"))
+
+
+def paired(joined: DataFrame) -> DataFrame:
+    return joined.filter(room()).select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
 
 
 def shingle_sets(nodes: DataFrame) -> DataFrame:
@@ -99,14 +112,26 @@ def shingle_sets(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", "t").mapInArrow(run, "node long, s array<int>")
 
 
-def links(nodes: DataFrame) -> DataFrame:
-    """The candidates whose similarity is SIMILAR or more."""
-    pairs = candidates(nodes)
+def verified(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs `a` < `b` whose similarity is SIMILAR or more."""
+    pairs = checkpoint(pairs)
     named = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     sets = checkpoint(shingle_sets(nodes.join(named, "node", "left_semi")))
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
-    return both.filter(common >= SIMILAR * (F.size("sa") + F.size("sb") - common)).filter(common > 0).select("a", "b")
+    return checkpoint(both.filter(common >= SIMILAR * (F.size("sa") + F.size("sb") - common)).filter(common > 0).select("a", "b"))
+
+
+def links(nodes: DataFrame) -> DataFrame:
+    """The candidates whose similarity is SIMILAR or more."""
+    keys = shared_keys(nodes)
+    few, many = keys.filter(F.col("members") <= PAIRWISE), keys.filter(F.col("members") > PAIRWISE)
+    short = F.col("at") <= F.col("n") - F.ceil(8 * F.col("n") / 9)
+    ordered = (F.col("x_n") < F.col("y_n")) | (F.col("x_n") == F.col("y_n")) & (F.col("x_node") < F.col("y_node"))
+    pairs = paired(side(few.filter(short), "x").join(side(few, "y"), "key").filter(ordered))
+    stars = many.filter("first < node").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    found = verified(nodes, pairs.unionByName(stars).distinct())
+    return found
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

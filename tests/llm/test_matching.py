@@ -96,6 +96,40 @@ def test_deduplicate(spark):
     assert kept == sorted(want)
 
 
+def _check_groups(spark, texts):
+    """Against brute force over all pairs."""
+
+    def shingles(text):
+        words = text.lower().split()
+        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+    sets = {i: shingles(t) for i, t in enumerate(texts)}
+    close = [(a, b) for a, b in itertools.combinations(sets, 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = sorted(r.doc_id for r in simhash_dedup.deduplicate(spark, docs).collect())
+    assert kept == sorted(n for n, c in groups(sets, close).items() if n == c)
+    return sets, close
+
+
+def test_deduplicate_finds_each_kind_of_edit(spark):
+    """Appended, truncated, preceded and inserted blocks and swapped words at similarities from 0.81."""
+    rng = random.Random(12)
+    fresh = iter(f"w{i}" for i in range(1_000_000))
+    texts = []
+    for n in (60, 200, 500):
+        for share in (0.81, 0.85):
+            for edit in range(5):
+                base = [next(fresh) for _ in range(n)]
+                extra, left_out = [next(fresh) for _ in range(int((n - 8) / share) - n)], int((n - 4) * (1 - share))
+                copy = [base + extra, base[: n - left_out], extra + base, base[: n // 2] + extra + base[n // 2 :], list(base)][edit]
+                if edit == 4:
+                    for at in rng.sample(range(0, n, 10), int((n - 4) * (1 - share) / (1 + share) / 5)):
+                        copy[at] = next(fresh)
+                texts += [" ".join(base), " ".join(copy)]
+    _, close = _check_groups(spark, texts)
+    assert len(close) == len(texts) // 2
+
+
 def test_leaks(spark):
     rng = random.Random(6)
     vocabulary = ["".join(rng.choices("abcdefghij", k=4)) for _ in range(300)]
