@@ -1,4 +1,4 @@
-"""Near-duplicate removal for corpora: similarity 0.8 on five-word shingles, by prefixes.
+"""Near-duplicate removal for corpora: similarity 0.8 on five-word shingles, found without loss.
 
 Candidates come from prefixes. Each text's different shingles are put in one order that all texts share, rare
 ones first. Two texts at a Jaccard similarity of 0.8 share four fifths of either's shingles, so the first
@@ -7,8 +7,10 @@ similarity asks for. Texts that share such a key at places that leave room for t
 their shingle sets, and the links found make components. Any order is without loss; the order by counts in
 a sample of SAMPLE texts only keeps common shingles (license lines, templates) out of most prefixes.
 
-A key shared by more than PAIRWISE texts is not expanded into pairs at once: its texts are compared with
-the smallest one only.
+A key shared by more than PAIRWISE texts is not expanded into pairs at once: its texts are first compared with
+the smallest one, and once the components of these links are known, with each text of the key in another
+component, in blocks of BLOCK by BLOCK texts for many tasks. What is left out are pairs that are in one
+component anyway, so the components are those of all pairs.
 
 Defined results: null texts and texts without words are duplicates of equal texts only; with fewer words than
 a shingle the whole sequence is the one shingle; of each group the row with the smallest id stays, once
@@ -28,8 +30,8 @@ from noteweave.llm.common import checkpoint, prepare, small_batches, stored
 from noteweave.llm.simhash import PAIRWISE, components, shingle_hashes
 
 SHINGLE, SIMILAR = 5, 0.8
-#: Texts whose shingles are counted for the order, and the least count that is listed.
-SAMPLE, LISTED = 20_000, 4
+#: Texts whose shingles are counted for the order, the least count that is listed, and the side of a block of pairs.
+SAMPLE, LISTED, BLOCK = 20_000, 4, 1024
 
 
 def common_shingles(nodes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -123,7 +125,7 @@ def verified(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def links(nodes: DataFrame) -> DataFrame:
-    """The candidates whose similarity is SIMILAR or more."""
+    """Links `a` < `b` that have the components of all pairs whose similarity is SIMILAR or more."""
     keys = shared_keys(nodes)
     few, many = keys.filter(F.col("members") <= PAIRWISE), keys.filter(F.col("members") > PAIRWISE)
     short = F.col("at") <= F.col("n") - F.ceil(8 * F.col("n") / 9)
@@ -131,7 +133,20 @@ def links(nodes: DataFrame) -> DataFrame:
     pairs = paired(side(few.filter(short), "x").join(side(few, "y"), "key").filter(ordered))
     stars = many.filter("first < node").select(F.col("first").alias("a"), F.col("node").alias("b"))
     found = verified(nodes, pairs.unionByName(stars).distinct())
-    return found
+    if many.isEmpty():
+        return found
+    named = many.drop("first").join(components(found), "node", "left").select("key", "node", "n", "at", "members", F.coalesce("component", "node").alias("c"))
+    named = stored(named)
+    largest = named.groupBy("key", "c").agg(F.count("*").alias("size")).groupBy("key").agg(F.max_by("c", "size").alias("largest"), F.count("*").alias("kinds"))
+    rows = stored(named.join(largest.filter("kinds > 1").drop("kinds"), "key"))
+    if rows.isEmpty():
+        return found
+    blocks = F.ceil(F.col("members") / BLOCK)
+    own, every = F.pmod(F.xxhash64("node"), blocks), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))
+    left = side(rows.filter("c != largest").withColumn("mine", own).withColumn("other", every), "x")
+    right = side(rows.withColumn("other", own).withColumn("mine", every), "y")
+    apart = (F.col("x_c") != F.col("y_c")) & ((F.col("y_c") == F.col("y_largest")) | (F.col("x_node") < F.col("y_node")))
+    return found.unionByName(verified(nodes, paired(left.join(right, ["key", "mine", "other"]).filter(apart))))
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -130,6 +130,17 @@ def test_deduplicate_finds_each_kind_of_edit(spark):
     assert len(close) == len(texts) // 2
 
 
+def test_deduplicate_splits_hot_keys(spark, monkeypatch):
+    """Near copies whose only shared keys are hot ones with smaller texts below 0.8 to all of them."""
+    monkeypatch.setattr(simhash_dedup, "BLOCK", 16, raising=False)
+    fresh = iter(f"w{i}" for i in range(1_000_000))
+    template = [next(fresh) for _ in range(104)]
+    smaller = [template[:at] + template[at + 26 :] for at in (0, 26, 52, 78)]
+    copies = [template + [next(fresh) for _ in range(10)] for _ in range(60)]
+    _, close = _check_groups(spark, [" ".join(x) for x in smaller + copies])
+    assert len(close) == 60 * 59 // 2 and min(map(min, close)) == 4
+
+
 def test_leaks(spark):
     rng = random.Random(6)
     vocabulary = ["".join(rng.choices("abcdefghij", k=4)) for _ in range(300)]
