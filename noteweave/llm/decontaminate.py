@@ -1,7 +1,8 @@
 """Benchmark decontamination: documents that hold a benchmark item, exactly or within few word edits.
 
-Items and documents are word sequences (lower case runs of letters and digits). A document leaks an item
-if some passage of it is within edit distance floor(0.2 * words of the item), a similarity of 0.8.
+Items and documents are word sequences (lower case runs of letters and digits; in scripts that are written
+without spaces each letter is a word). A document leaks an item if some passage of it is within edit distance floor(0.2 * words of the item), a similarity of 0.8; items of fewer than five
+words allow no edit and match exact occurrences.
 
 Search goes by CGK random-walk embedding. A walk with shared random bits reads a sequence and, at each
 of 3n steps, puts out the word it stands on and moves on or not as the word's bit for that step says;
@@ -18,8 +19,7 @@ so that it is one at least) are embedded, and no leak is lost by it.
 Items go to the workers in blocks of at most BLOCK items, one pass over the documents for each block, so
 what is broadcast is bounded; documents are never shuffled, only hits are.
 
-Defined results: null or empty texts and items have no words and never match; items of fewer than LEAST
-words are too short to tell and never match; repeated items each match under their own id, and repeated
+Defined results: null or empty texts and items have no words and never match; repeated items each match under their own id, and repeated
 rows each give their hits; ties between passages go to the first; an empty table on either side gives
 an empty result; further columns are not read.
 """
@@ -39,13 +39,15 @@ from pyspark.sql import functions as F
 
 from noteweave.llm.common import prepare, small_batches
 
-#: Edits allowed for each word of an item; shortest item; items in a block.
-SHARE, LEAST, BLOCK = 0.2, 5, 20_000
+#: Edits allowed for each word of an item; items in a block.
+SHARE, BLOCK = 0.2, 20_000
 #: Positions in a key, the chance that one agrees at the largest distance, and the wanted recall.
 SAMPLED, AGREE, RECALL = 2, 0.35, 0.995
 REPEATS = math.ceil(math.log(1 - RECALL) / math.log(1 - AGREE**SAMPLED))
 
-WORDS = re.compile(r"[^\W_]+").findall
+#: Scripts without spaces between words: Thai, Lao, Burmese, Khmer, kana, Chinese characters.
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\ua9e0-\ua9ff\uaa60-\uaa7f\uf900-\ufaff\uff66-\uff9f\U0001b000-\U0001b16f\U00020000-\U0003ffff"
+WORDS = re.compile(rf"[^\W_{UNSPACED}]+|[^\W_]").findall
 
 
 def words(text: str | None) -> list[str]:
@@ -88,7 +90,7 @@ class Index:
         self.vocabulary: dict[str, int] = {}
         self.ids, self.items = [], []
         for item_id, found in items:
-            if len(found) >= LEAST:
+            if found:
                 self.ids.append(item_id)
                 self.items.append(np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in found], np.int64))
         # By run length: the runs' numbers in order, and the (item, place) pairs of each.
@@ -102,15 +104,20 @@ class Index:
             for at, value in enumerate(codes(item, q).tolist()):
                 own[value].append((k, at))
         self.known = {q: np.array(sorted(own), np.int64) for q, own in self.runs.items()}
-        longest = max(map(len, self.items), default=0)
-        rng = np.random.default_rng(seed)
-        self.moves = rng.integers(0, 2, (3 * longest, REPEATS, len(self.vocabulary) + 1), dtype=np.int8)
+        self.seed = seed
         self.samples = {n: np.sort(np.random.default_rng([seed, n]).integers(0, 3 * n, (REPEATS, SAMPLED)), axis=1) for n in {len(x) for x in self.items}}
         self.keys = [self.lsh(x[None, :], len(x))[0] for x in self.items]
 
+    def moves(self, step: int, word: np.ndarray) -> np.ndarray:
+        """Each walk's bit for its word at this step: bit of the walk in a hash (splitmix64) of seed, step and word."""
+        x = word.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((self.seed << 40) + step)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return ((x ^ (x >> np.uint64(31))) >> np.arange(REPEATS, dtype=np.uint64) & np.uint64(1)).astype(np.int64)
+
     def lsh(self, windows: np.ndarray, n: int) -> np.ndarray:
         """(windows, REPEATS) keys of windows of n words (0: a word of no item, or beyond the text)."""
-        count, walks = len(windows), np.arange(REPEATS)
+        count = len(windows)
         out, stands = np.zeros((count, REPEATS), np.int64), np.zeros((count, REPEATS), np.int64)
         padded, at = np.concatenate([windows, np.zeros((count, 1), np.int64)], axis=1), np.arange(count)[:, None]
         sampled = self.samples[n]
@@ -119,7 +126,7 @@ class Index:
             for taken in (sampled == step).T:
                 if taken.any():
                     out[:, taken] = out[:, taken] * 1_000_003 + word[:, taken] + 1
-            stands = np.minimum(stands + self.moves[step][walks, word], n)
+            stands = np.minimum(stands + self.moves(step, word), n)
         return out
 
     def dense(self, k: int, pairs: set[tuple[int, int]]) -> list[int]:

@@ -141,6 +141,26 @@ def test_deduplicate_splits_hot_keys(spark, monkeypatch):
     assert len(close) == 60 * 59 // 2 and min(map(min, close)) == 4
 
 
+def test_leaks_of_short_and_unspaced_items(spark):
+    """Items below five words match exactly; Chinese, Japanese and Thai by letters, within the edits."""
+    long = "水稻的起源可以追溯到一万年前的长江中下游地区"
+    items = [(1, "Quick brown fox"), (2, long), (3, "東京は日本の首都です"), (4, "ปลาวาฬอาศยอยในทะเล"), (5, "42")]
+    rows = [
+        (10, "the quick, brown FOX ran"),
+        (11, "the quick red fox ran, brown"),
+        (20, f"众所周知{long[:5]}地{long[6:]}而且"),
+        (21, f"众所周知{long[:3]}甲乙丙丁戊己{long[9:]}而且"),
+        (30, "実は東京は日本の首都です。"),
+        (40, "กขคปลาวาฬอาศยอยในทะเลงจ"),
+        (50, "answer: 42."),
+        (51, "answer: 421"),
+    ]
+    docs, frame = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.distance) for r in decontaminate.leaks(spark, docs, frame).collect()}
+    assert got == {(10, 1, 0), (20, 2, 1), (30, 3, 0), (40, 4, 0), (50, 5, 0)}
+    assert sorted(r.doc_id for r in decontaminate.without_leaks(spark, docs, frame).collect()) == [11, 21, 51]
+
+
 def test_leaks(spark):
     rng = random.Random(6)
     vocabulary = ["".join(rng.choices("abcdefghij", k=4)) for _ in range(300)]
