@@ -63,8 +63,8 @@ PHONE = r"(?<![\p{L}\p{N}+.])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[
 #: In this order; the first that matches names the type.
 TYPES = {"email": EMAIL, "secret": SECRET, "ip": IP, "ip6": IP6, "iban": IBAN, "ssn": SSN, "card": CARD, "phone": PHONE, "name": NAME}
 PATTERN = "|".join(TYPES.values())
-#: Texts with neither two digits nor an at sign, an access key's start or a colon between hexadecimal digits,
-#: nor this, cannot match. The capital is tested first, so that most characters cost one comparison.
+#: Texts with neither two digits nor an at sign, an access key's start, a colon between hexadecimal digits, a point
+#: between digits or 32 of the letters of hexadecimal numbers, nor this, cannot match. The capital is tested first, so that most characters cost one comparison.
 NAMED = rf"(?=[A-ZÀ-ÞΑ-ΩА-Я])(?<![\p{{L}}\p{{N}}])(?:(?:{'|'.join(ADDRESS)})\.?|{_FIRST}) \p{{Lu}}"
 
 STARTS = ("AKIA", "ASIA", "ghp_", "gho_", "sk-", "xoxb-", "xoxp-")
@@ -74,7 +74,7 @@ DIGITS = ("card", "ssn", "phone")
 def mentions(text: Column) -> Column:
     """The mentions in a text, in order, repeats included."""
     none = F.array().cast("array<string>")
-    may = text.contains("@") | reduce(lambda a, b: a | b, map(text.contains, STARTS)) | text.rlike("[0-9]{2}") | text.rlike("[0-9A-Fa-f]:[0-9A-Fa-f]") | text.rlike(NAMED)
+    may = text.contains("@") | reduce(lambda a, b: a | b, map(text.contains, STARTS)) | text.rlike("[0-9]{2}") | text.rlike("[0-9A-Fa-f]:[0-9A-Fa-f]") | text.rlike(r"[0-9]\.[0-9]") | text.rlike("[0-9a-f]{32}|[0-9A-F]{32}") | text.rlike(NAMED)
     return F.when(may, F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(none)
 
 

@@ -150,3 +150,13 @@ def test_pipeline(spark, sf):
     assert 9004 not in seen["language"] and {9001, 9002, 9003, 9005} <= seen["language"]
     assert not {9001, 9002} & seen["near_duplicates"] and 9005 in seen["near_duplicates"]
     assert 9003 not in seen["benchmark"] and seen["personal_data"] == seen["benchmark"] == seen["encode"]
+
+
+def test_mentions_pass_the_cheap_hints(spark):
+    """The hints before the pattern lose no mention of any type."""
+    texts = ["ask 8.8.8.8 first", "at 1.1.1.1.", "key " + "abcdefab" * 4, "key " + "ABCDEFAB" * 4, "a:b:c:d:e:f:a:b", "x@y.org", "sk-abcdefghijklmnop", "DE12 ABCD EFGH IJKL", "call (0)", "+1 23 45", "no one"]
+    texts += [f"{name} Xu" for names in pii.GIVEN.values() for name in names] + [f"{form} Xu" for form in pii.ADDRESS]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    rows = docs.select("text", pii.mentions(F.col("text")).alias("got"), F.regexp_extract_all("text", F.lit(pii.PATTERN), F.lit(0)).alias("want")).collect()
+    assert [r.got for r in rows] == [r.want for r in rows]
+    assert {r.text: r.got for r in rows}["at 1.1.1.1."] == ["1.1.1.1"]
