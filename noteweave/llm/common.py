@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 ROOT = str(Path(__file__).resolve().parents[2])
@@ -32,28 +33,72 @@ def prepare(spark: SparkSession) -> None:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder that the cluster names.
-
-    A temporary folder serves only where neither the session nor the context names one.
-    """
+    """Cut the lineage with a reliable checkpoint in the folder that the cluster names."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of the session; where none is set, one in the warehouse, or with a local master, whose
+    executors share the driver's disk, a temporary one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        local = (sc.master or "").startswith("local")
+        sc.setCheckpointDir(named or (tempfile.mkdtemp(prefix="checkpoint-") if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"))
     return sc.getCheckpointDir()
 
 
+_written: list[str] = []
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Cut the lineage with a Parquet table in the shared folder: compressed, for rows that hold texts."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Delete the tables that `stored` wrote in this session; call it once the results are written."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
+def positional(df: DataFrame) -> DataFrame:
+    """The columns by place, c0, c1 and so on, so that helper columns clash with none of them."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+
+
+def named(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The first columns c0, c1 and so on under their own names again, and all others dropped."""
+    return df.select(*(f"c{i}" for i in range(len(columns)))).toDF(*columns)
+
+
+#: A key with more than 1 / HOT of the rows is split, so there are fewer than HOT such keys; FEW rows need no split.
+HOT, FEW = 256, 1000
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """`left` (a stored table) joined with `right`, which has one row for each key, hot keys of `left` split.
+
+    Hot keys are counted by a partial aggregation; their list has fewer than HOT rows and is broadcast. Rows of
+    a hot key go to as many places as it holds shares of 1 / HOT of all rows, and its row of `right` to each.
+    """
+    total = left.count()
+    counts = left.groupBy(*keys).agg(F.count("*").alias("_n")).filter((F.col("_n") * HOT > total) & (F.col("_n") > FEW))
+    hot = checkpoint(counts.select(*keys, F.ceil(F.col("_n") * HOT / max(1, total)).cast("int").alias("_parts")))
+    if hot.isEmpty():
+        return left.join(right, keys, how)
+    parts = F.coalesce("_parts", F.lit(1))
+    dealt = left.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.pmod(F.monotonically_increasing_id(), parts).cast("int"))
+    copied = right.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return dealt.drop("_parts").join(copied.drop("_parts"), [*keys, "_salt"], how).drop("_salt")
+
+
 def small_batches(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that a piece holds about `limit` bytes of `column` (one row at least)."""
     for batch in batches:

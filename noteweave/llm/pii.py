@@ -1,35 +1,39 @@
 """Personal data: detected entities get keyed, type-consistent surrogates. DataFrame functions only.
 
-Detection is one pattern for e-mail addresses, IP addresses, card and account numbers, social security
-numbers, phone numbers, IBANs, secrets (hexadecimal digests and access keys) and names (after a form of
-address, or a listed given name with a surname).
+Detection is one pattern, evaluated once for each text, for e-mail addresses, IP addresses, card and account
+numbers, social security numbers, phone numbers, IBANs, secrets (hexadecimal digests and access keys) and names
+(after a form of address or words like "my name is", or a listed given name with a surname).
 
-A surrogate is computed once for each different entity, from its canonical form and a key: digits become
-digits, letters letters of the same script and case, separators stay, so the format survives; card
-numbers keep their check digit's validity; e-mail addresses keep their top-level domain, and equal domains
-stay equal; given names become given names of the same gender and script by a keyed rotation of the list,
-and surnames are built from syllables of the script. Mentions that differ in format only, such as a phone
-number with and without brackets, share a canonical form, so coreference holds within and across rows.
+A surrogate is computed once for each different entity, from its canonical form, an attempt number and a key
+(HMAC-SHA-256): digits become digits, letters letters of the same script and case, separators stay, so the format
+survives; card numbers keep their check digit's validity; e-mail addresses keep their top-level domain, and equal
+domains stay equal; given names become names of the same gender and script, and surnames are built from syllables of
+the script. Mentions that differ in format only, such as a phone number with and without brackets, share a canonical
+form, so coreference holds within and across rows.
 
 Distinctness is checked: a surrogate that a different entity also got, or that is itself a real entity of
-the table, is drawn anew with the next attempt number until no clash is left. Entities are a small table
-beside the texts; it is dealt by entity and never gathered. Rows without entities are not shuffled; the
-others are joined once with the surrogates of their own text.
+the table, is drawn anew with the next attempt number. Only entities that clash are drawn again, and those that
+still clash after ROUNDS draws (their form leaves no room) get a keyed token with their type, so it always ends.
+
+Entities are a small table beside the texts; it is dealt by entity and never gathered. Each different mention is
+rendered once. Rows without entities are not shuffled; the others are joined once with the rendered mentions of their
+own text. Mentions, entities and texts that hold more than a small share of the rows are split over many tasks.
 
 Defined results: null and empty texts stay as they are, with no entities; repeated rows and equal
-texts get equal results; ties (two entities with one surrogate) go to the lower attempt, then to the
-smaller hash; an empty table gives an empty result; all columns are kept, and helper columns carry a reserved
-prefix.
+texts get equal results; ties (two entities with one surrogate) go to the smaller hash; an empty table gives an empty
+result; all columns are kept, whatever their names.
 """
 
 from __future__ import annotations
 
+import hashlib
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from noteweave.llm.common import checkpoint
+from noteweave.llm.common import checkpoint, named, positional, spread_join, stored
 
 #: Given names by script and gender (fixed values).
 GIVEN = {
@@ -49,17 +53,29 @@ SYLLABLES = {
     "greek": ("Παπ Αντ Δημ Γεω Νικ Κων Μαρ Σταυ".split(), "α ο ι ε αρ ιν".split(), "ίδης όπουλος άκης ίου άτος ούδης".split()),
 }
 
+#: Endings of made-up given names, by script and gender (fixed values).
+ENDINGS = {
+    "latin_f": "a ia ina ella ette ine".split(),
+    "latin_m": "o us ard bert win mund".split(),
+    "cyrillic_f": "а ия ина ела".split(),
+    "cyrillic_m": "ий ан слав мир".split(),
+    "greek_f": "α ία ίνα ούλα".split(),
+    "greek_m": "ος ης ιος ων".split(),
+}
+#: Draws before an entity gets a token; the first NATURAL ones take a listed given name.
+ROUNDS, NATURAL = 12, 2
+
 _FIRST = "|".join(n for names in GIVEN.values() for n in names)
 _PART = r"\p{Lu}[\p{L}'’-]++"
-NAME = rf"(?<![\p{{L}}\p{{N}}])(?:(?:{'|'.join(ADDRESS)})\.? {_PART}(?: {_PART}){{0,3}}|(?:{_FIRST})(?: {_PART}){{1,3}})"
+NAME = rf"(?<![\p{{L}}\p{{N}}])(?:(?:{'|'.join(ADDRESS)})\.? {_PART}(?: {_PART}){{0,3}}|(?:{_FIRST})(?: {_PART}){{1,3}}|(?<=[Nn]ame is |[Nn]ame: |[Nn]amed ){_PART}(?: {_PART}){{1,3}})"
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)*+(?<=\.\p{L}{2,24})"
-SECRET = r"(?<![\p{L}\p{N}])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|(?:AKIA|ASIA)[0-9A-Z]{16}|(?:ghp_|gho_|sk-|xox[bp]-)[0-9A-Za-z-]{16,128})(?![\p{L}\p{N}])"
+SECRET = r"(?<![\p{L}\p{N}])(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+|(?:AKIA|ASIA)[0-9A-Z]{16}|(?:ghp_|gho_|sk-|xox[bp]-)[0-9A-Za-z-]{16,128})(?![\p{L}\p{N}])"
 IP = r"(?<![\p{L}\p{N}.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\p{L}\p{N}]|\.\d)"
-IP6 = r"(?<![\p{L}\p{N}:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\p{L}\p{N}:])"
+IP6 = r"(?<![\p{L}\p{N}:])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5}::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?)(?![\p{L}\p{N}:])"
 IBAN = r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])"
 CARD = r"(?<![\p{L}\p{N}+.-])(?:\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?![\p{L}\p{N}])"
 SSN = r"(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}-])"
-PHONE = r"(?<![\p{L}\p{N}+.])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{2,5}\)[ .-]?\d{3,4}[ .-]?\d{3,4}|\d{3}[ .-]\d{3}[ .-]\d{4}|0\d{2,4}[ /-]\d{5,8})(?![\p{L}\p{N}])"
+PHONE = r"(?<![\p{L}\p{N}+.])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{2,5}\)[ .-]?\d{3,4}[ .-]?\d{3,4}|\d{3}[ .-]\d{3}[ .-]\d{4}|0\d{2,4}[ /-]\d{5,8}|0\d(?:[ .-]\d{2}){4}|0\d{2,4} \d{3,4} \d{3,4}|[67]\d{2} \d{3} \d{3}(?! \d{3}(?!\d)))(?![\p{L}\p{N}])"
 #: In this order; the first that matches names the type.
 TYPES = {"email": EMAIL, "secret": SECRET, "ip": IP, "ip6": IP6, "iban": IBAN, "ssn": SSN, "card": CARD, "phone": PHONE, "name": NAME}
 PATTERN = "|".join(TYPES.values())
@@ -71,10 +87,14 @@ STARTS = ("AKIA", "ASIA", "ghp_", "gho_", "sk-", "xoxb-", "xoxp-")
 DIGITS = ("card", "ssn", "phone")
 
 
+#: Words before a name, tested without a pattern.
+CUES = ("ame is ", "ame: ", "amed ")
+
+
 def mentions(text: Column) -> Column:
     """The mentions in a text, in order, repeats included."""
     none = F.array().cast("array<string>")
-    may = text.contains("@") | reduce(lambda a, b: a | b, map(text.contains, STARTS)) | text.rlike("[0-9]{2}") | text.rlike("[0-9A-Fa-f]:[0-9A-Fa-f]") | text.rlike(r"[0-9]\.[0-9]") | text.rlike("[0-9a-f]{32}|[0-9A-F]{32}") | text.rlike(NAMED)
+    may = text.contains("@") | reduce(lambda a, b: a | b, map(text.contains, (*STARTS, *CUES))) | text.rlike("[0-9]{2}") | text.rlike("[0-9A-Fa-f]:[0-9A-Fa-f]") | text.contains("::") | text.rlike(r"[0-9]\.[0-9]") | text.rlike("[0-9a-f]{32}|[0-9A-F]{32}") | text.rlike(NAMED)
     return F.when(may, F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(none)
 
 
@@ -82,13 +102,13 @@ def kind(mention: Column) -> Column:
     """The type of a mention, told from its form."""
     shapes = {
         "email": mention.contains("@"),
-        "name": mention.rlike(rf"^(?:(?:{'|'.join(ADDRESS)})\b|(?:{_FIRST}) )"),
         "secret": mention.rlike(r"^(?:[0-9a-f]{32,}|[0-9A-F]{32,}|(?:AKIA|ASIA)[0-9A-Z]{16}|(?:ghp_|gho_|sk-|xox[bp]-).*)$"),
         "ip": mention.rlike(r"^\d{1,3}(?:\.\d{1,3}){3}$"),
-        "ip6": mention.rlike(r"^[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}$"),
+        "ip6": mention.rlike(r"^[0-9A-Fa-f:]+$") & mention.contains(":"),
         "iban": mention.rlike(r"^[A-Z]{2}\d{2}"),
         "ssn": mention.rlike(r"^\d{3}-\d{2}-\d{4}$"),
         "card": mention.rlike(r"^(?:\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})$"),
+        "name": mention.rlike(r"^\p{Lu}"),
     }
     chosen = None
     for name, test in shapes.items():
@@ -119,80 +139,95 @@ def keys(mention: Column) -> Column:
     return F.when(what == "name", names).otherwise(F.array(F.concat_ws("|", what, canonical)))
 
 
-_ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "абвгдежзийклмнопрстуфхцчшщыэюя", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЫЭЮЯ", "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ", "àáâãäåæçèéêëìíîïñòóôõöøùúûüý")
+def letters(first: int, last: int, category: str = "L") -> str:
+    """The letters of a range of code points whose Unicode category starts with `category`."""
+    return "".join(chr(i) for i in range(first, last + 1) if unicodedata.category(chr(i)).startswith(category))
+
+
+#: ASCII; then by case Latin-1, Cyrillic, Greek, Armenian; then Georgian, Hebrew, Arabic, Devanagari, Thai, kana.
+ALPHABETS = (
+    "0123456789", letters(0x61, 0x7A), letters(0x41, 0x5A), letters(0xDF, 0xFF, "Ll"), letters(0xC0, 0xDE, "Lu"), letters(0x430, 0x45F, "Ll"), letters(0x400, 0x42F, "Lu"),
+    letters(0x3AC, 0x3CE, "Ll"), letters(0x386, 0x3A9, "Lu"), letters(0x561, 0x586, "Ll"), letters(0x531, 0x556, "Lu"), letters(0x10D0, 0x10F0), letters(0x5D0, 0x5EA), letters(0x620, 0x64A, "Lo"),
+    letters(0x905, 0x939), letters(0xE01, 0xE2E), letters(0x3041, 0x3096), letters(0x30A1, 0x30FA),
+)
+HAN, HANGUL = letters(0x4E00, 0x4EFF), letters(0xAC00, 0xACFF)
 _HEX = "0123456789abcdef"
 
 
-def _stream(seed: Column, length: Column) -> Column:
+def keyed(secret: str, message: Column) -> Column:
+    """HMAC-SHA-256 of a message, in hexadecimal."""
+    key = secret.encode()
+    key = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    inner = F.sha2(F.concat(F.lit(bytearray(b ^ 0x36 for b in key)), message.cast("binary")), 256)
+    return F.sha2(F.concat(F.lit(bytearray(b ^ 0x5C for b in key)), F.unhex(inner)), 256)
+
+
+def _stream(secret: str, seed: Column, length: Column) -> Column:
     """Keyed hexadecimal digits, two for each of `length` characters."""
-    blocks = F.transform(F.sequence(F.lit(0), F.floor(length / 32).cast("int")), lambda b: F.sha2(F.concat_ws("|", seed, b.cast("string")).cast("binary"), 256))
-    return F.array_join(blocks, "")
+    return F.array_join(F.transform(F.sequence(F.lit(0), F.floor(length / 32).cast("int")), lambda b: keyed(secret, F.concat_ws("|", seed, b.cast("string")))), "")
 
 
-def _drawn(stream: Column, at: Column, n: int) -> Column:
-    return F.pmod(F.conv(F.substring(stream, at * 2 + 1, F.lit(2)), 16, 10).cast("int"), F.lit(n))
+def _drawn(stream: Column, at: Column, n: Column) -> Column:
+    return F.pmod(F.conv(F.substring(stream, at * 2 + 1, F.lit(2)), 16, 10).cast("int"), n)
 
 
-def _pick(text: str, index: Column) -> Column:
-    return F.substring(F.lit(text), index + 1, F.lit(1))
+def _chars(value: Column) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(value), F.lit(1))), lambda i: F.substring(value, i, F.lit(1)))
 
 
-def _masked(value: Column, seed: Column, hexadecimal: bool = False) -> Column:
-    """`value` with each letter and digit drawn anew from its own alphabet."""
-    stream = _stream(seed, F.length(value))
+def _masked(value: Column, secret: str, seed: Column, hexadecimal: bool = False) -> Column:
+    """`value` with each letter and digit drawn anew from its own alphabet; letters of scripts that are not listed become Latin ones."""
+    stream = _stream(secret, seed, F.length(value))
+    listed = F.array(*map(F.lit, ALPHABETS))
 
     def one(c: Column, i: Column) -> Column:
         if hexadecimal:
-            return F.when(c.rlike("[0-9a-f]"), _pick(_HEX, _drawn(stream, i, 16))).when(c.rlike("[A-F]"), F.upper(_pick("abcdef", _drawn(stream, i, 6)))).otherwise(c)
-        chosen = None
-        for alphabet in _ALPHABETS:
-            letter = _pick(alphabet, _drawn(stream, i, len(alphabet)))
-            test = F.lit(alphabet).contains(c)
-            chosen = F.when(test, letter) if chosen is None else chosen.when(test, letter)
-        return chosen.otherwise(c)
+            own = F.when(c.rlike("[0-9a-f]"), _HEX).when(c.rlike("[A-F]"), "ABCDEF")
+        else:
+            other = F.when(c.rlike(r"\p{IsHan}"), HAN).when(c.rlike(r"\p{IsHangul}"), HANGUL).when(c.rlike(r"[\p{L}\p{N}]"), ALPHABETS[1])
+            own = F.coalesce(F.get(F.filter(listed, lambda a: (c != "") & a.contains(c)), F.lit(0)), other)
+        return F.coalesce(F.substring(own, _drawn(stream, i, F.length(own)) + 1, F.lit(1)), c)
 
-    return F.array_join(F.transform(F.filter(F.split(value, ""), lambda c: c != ""), one), "")
+    return F.array_join(F.transform(_chars(value), one), "")
 
 
 def _luhn(digits: Column) -> Column:
     """The sum of a number's digits, every second one from the right but one doubled."""
-    reverse = F.reverse(F.filter(F.split(digits, ""), lambda c: c != ""))
-    parts = F.transform(reverse, lambda c, i: F.when(i % 2 == 0, c.cast("int")).otherwise(F.when(c.cast("int") > 4, c.cast("int") * 2 - 9).otherwise(c.cast("int") * 2)))
+    parts = F.transform(_chars(F.reverse(digits)), lambda c, i: F.when(i % 2 == 0, c.cast("int")).otherwise(F.when(c.cast("int") > 4, c.cast("int") * 2 - 9).otherwise(c.cast("int") * 2)))
     return F.aggregate(parts, F.lit(0), lambda a, b: a + b)
 
 
 def surrogate(entity: Column, attempt: Column, secret: str) -> Column:
     """The surrogate of a `type|canonical form` key at an attempt; a pure function of both and the secret."""
     what, value = F.substring_index(entity, "|", 1), F.regexp_replace(entity, r"^[^|]*\|", "")
-    seed = F.concat_ws("|", F.lit(secret), entity, attempt.cast("string"))
-    stream = _stream(seed, F.lit(31))
-    masked = _masked(value, seed)
+    seed = F.concat_ws("|", entity, attempt.cast("string"))
+    stream = _stream(secret, seed, F.lit(31))
+    masked = _masked(value, secret, seed)
     host = F.substring_index(value, "@", -1)
     labels = F.regexp_replace(host, r"\.[^.]*$", "")
     # Equal domains get equal surrogates, whatever the attempt.
-    email = F.concat(_masked(F.substring_index(value, "@", 1), seed), F.lit("@"), _masked(labels, F.concat_ws("|", F.lit(secret), F.lit("domain"), host)), F.regexp_extract(host, r"\.[^.]*$", 0))
+    email = F.concat(_masked(F.substring_index(value, "@", 1), secret, seed), F.lit("@"), _masked(labels, secret, F.concat_ws("|", F.lit("domain"), host)), F.regexp_extract(host, r"\.[^.]*$", 0))
     ip = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (F.pmod(F.conv(F.substring(stream, i * 4 + 1, F.lit(4)), 16, 10).cast("int"), F.lit(254)) + 1).cast("string")), ".")
     kept = F.concat(F.substring(value, 1, 1), F.substring(masked, F.lit(2), F.length(value) - 2))
     check = F.pmod(F.lit(10) - _luhn(F.concat(kept, F.lit("0"))) % 10, F.lit(10)).cast("string")
     card = F.when(_luhn(value) % 10 == 0, F.concat(kept, check)).otherwise(F.concat(kept, F.substring(masked, -1, 1)))
     iban = F.concat(F.substring(value, 1, 2), F.substring(masked, F.lit(3), F.length(value)))
-    given = None
-    for group, names in GIVEN.items():
-        turn = 1 + int(__import__("hashlib").sha256(f"{secret}|{group}".encode()).hexdigest(), 16) % (len(names) - 1)
-        turned = F.create_map(*(F.lit(x) for i, v in enumerate(names) for x in (v, names[(i + turn) % len(names)])))
-        test, name = what == f"given_{group}", F.try_element_at(turned, value)
-        given = F.when(test, name) if given is None else given.when(test, name)
+    pick = lambda parts, i: F.element_at(F.array(*map(F.lit, parts)), _drawn(stream, i, F.lit(len(parts))) + 1)
 
-    def built(script: str) -> Column:
-        first, middle, last = SYLLABLES[script]
-        pick = lambda parts, i: F.element_at(F.array(*map(F.lit, parts)), _drawn(stream, i, len(parts)) + 1)
+    def built(script: str, last: list[str]) -> Column:
+        first, middle, _ = SYLLABLES[script]
         # Each attempt adds a syllable, so there is always room for another name.
-        inner = F.array_join(F.transform(F.sequence(F.lit(1), attempt.cast("int") + 1), lambda i: pick(middle, i % 12 + 1)), "")
-        name = F.concat(pick(first, F.lit(0)), inner, pick(last, F.lit(20)))
-        return F.when(value.rlike("а$"), F.concat(name, F.lit("а"))).otherwise(name) if script == "cyrillic" else name
+        inner = F.array_join(F.transform(F.sequence(F.lit(1), attempt.cast("int") + 1), lambda i: pick(middle, i % 19 + 1)), "")
+        return F.concat(pick(first, F.lit(0)), inner, pick(last, F.lit(21)))
 
-    surname = F.when(value.rlike(r"\p{IsCyrillic}"), built("cyrillic")).when(value.rlike(r"\p{IsGreek}"), built("greek")).when(value.rlike(r"^[\p{IsLatin}'’-]+$"), built("latin")).otherwise(masked)
-    hexadecimal = F.when(value.rlike(r"^[0-9A-Fa-f:]+$"), _masked(value, seed, True)).otherwise(F.concat(F.regexp_extract(value, r"^(?:AKIA|ASIA|ghp_|gho_|sk-|xox[bp]-)", 0), _masked(F.regexp_replace(value, r"^(?:AKIA|ASIA|ghp_|gho_|sk-|xox[bp]-)", ""), seed)))
+    given = None
+    for group, names in GIVEN.items():
+        test, name = what == f"given_{group}", F.when(attempt < NATURAL, pick(names, F.lit(0))).otherwise(built(group.split("_")[0], ENDINGS[group]))
+        given = F.when(test, name) if given is None else given.when(test, name)
+    cyrillic = F.concat(built("cyrillic", SYLLABLES["cyrillic"][2]), F.when(value.endswith("а"), "а").otherwise(""))
+    surname = F.when(value.rlike(r"\p{IsCyrillic}"), cyrillic).when(value.rlike(r"\p{IsGreek}"), built("greek", SYLLABLES["greek"][2])).when(value.rlike(r"^[\p{IsLatin}'’-]+$"), built("latin", SYLLABLES["latin"][2])).otherwise(masked)
+    prefix = r"^(?:AKIA|ASIA|ghp_|gho_|sk-|xox[bp]-)"
+    hexadecimal = F.when(value.rlike(r"^[0-9A-Fa-f:]+$"), _masked(value, secret, seed, True)).otherwise(F.concat(F.regexp_extract(value, prefix, 0), _masked(F.regexp_replace(value, prefix, ""), secret, seed)))
     return (
         F.when(what == "email", email).when(what == "ip", ip).when(what == "card", card).when(what == "iban", iban)
         .when(what.isin("secret", "ip6"), hexadecimal).when(what == "surname", surname).when(what.startswith("given_"), given)
@@ -200,56 +235,68 @@ def surrogate(entity: Column, attempt: Column, secret: str) -> Column:
     )
 
 
-def surrogates(entities: DataFrame, secret: str) -> DataFrame:
-    """`entity` and `surrogate` for the different keys in column `entity`, all surrogates distinct and new.
+def token(entity: Column, secret: str) -> Column:
+    """What an entity gets whose form leaves no room for a surrogate: its type and a keyed digest."""
+    return F.concat(F.lit("["), F.upper(F.substring_index(entity, "|", 1)), F.lit("-"), F.substring(keyed(secret, entity), 1, 32), F.lit("]"))
+
 
-    Given names are a rotation of their list, so they are distinct by construction and need no draw.
-    """
-    live = checkpoint(entities.select("entity").distinct().withColumn("attempt", F.lit(0)))
+def surrogates(entities: DataFrame, secret: str) -> DataFrame:
+    """`entity` and `surrogate` for the different keys in column `entity`, all surrogates distinct and new."""
+    real = checkpoint(entities.select("entity").distinct())
     mark = F.concat_ws("|", F.substring_index("entity", "|", 1), "surrogate")
-    while True:
-        drawn = live.withColumn("surrogate", surrogate(F.col("entity"), F.col("attempt"), secret)).withColumn("_mark", mark)
-        free = F.col("entity").startswith("given_")
-        order = Window.partitionBy("_mark").orderBy("attempt", F.xxhash64("entity"), "entity")
-        ranked = drawn.withColumn("_turn", F.row_number().over(order))
-        real = live.select(F.col("entity").alias("_mark"), F.lit(True).alias("_real"))
-        judged = checkpoint(ranked.join(real, "_mark", "left").withColumn("_again", ~free & ((F.col("_turn") > 1) | F.col("_real").isNotNull())).select("entity", "attempt", "surrogate", "_again"))
-        if not judged.filter("_again").limit(1).count():
-            return judged.select("entity", "surrogate")
-        live = judged.select("entity", (F.col("attempt") + F.col("_again").cast("int")).alias("attempt"))
+    taken, live, done = real.select(F.col("entity").alias("mark")), real, None
+    for attempt in range(ROUNDS):
+        drawn = live.withColumn("surrogate", surrogate(F.col("entity"), F.lit(attempt), secret)).withColumn("mark", mark)
+        order = Window.partitionBy("mark").orderBy(F.xxhash64("entity"), "entity")
+        ranked = drawn.withColumn("turn", F.row_number().over(order)).join(taken.withColumn("real", F.lit(True)), "mark", "left")
+        judged = checkpoint(ranked.select("entity", "surrogate", "mark", ((F.col("turn") > 1) | F.col("real").isNotNull()).alias("again")))
+        settled = judged.filter("not again")
+        done = settled.select("entity", "surrogate") if done is None else done.unionByName(settled.select("entity", "surrogate"))
+        taken = taken.unionByName(settled.select("mark"))
+        live = judged.filter("again").select("entity")
+        if live.isEmpty():
+            return done
+    return done.unionByName(live.select("entity", token(F.col("entity"), secret).alias("surrogate")))
 
 
 def _rendered(mention: Column, found: Column) -> Column:
     """A mention with the surrogates of its keys, in its own format."""
-    what, first = kind(mention), F.element_at(keys(mention), 1)
-    value = F.try_element_at(found, first)
+    what, value = kind(mention), F.element_at(F.map_values(found), 1)
     start = F.struct(F.lit("").alias("out"), F.lit(1).alias("next"))
-    chars = F.filter(F.split(mention, ""), lambda c: c != "")
     takes = lambda a, c: F.struct(F.concat(a["out"], F.when(c.rlike("[0-9A-Z]"), F.substring(value, a["next"], F.lit(1))).otherwise(c)).alias("out"), (a["next"] + c.rlike("[0-9A-Z]").cast("int")).alias("next"))
-    filled = F.aggregate(chars, start, takes, lambda a: a["out"])
+    filled = F.when(value.startswith("["), value).otherwise(F.aggregate(_chars(mention), start, takes, lambda a: a["out"]))
 
-    def word(token: Column) -> Column:
-        new = F.try_element_at(found, token_key(token))
-        return F.when(new.isNull(), token).when(_upper(token), F.upper(new)).otherwise(new)
+    def word(part: Column) -> Column:
+        new = F.try_element_at(found, token_key(part))
+        return F.when(new.isNull(), part).when(_upper(part), F.upper(new)).otherwise(new)
 
     names = F.array_join(F.transform(F.split(mention, " "), word), " ")
     shouted = F.when(F.upper(mention) == mention, F.upper(value)).otherwise(value)
     return F.when(what == "name", names).when(what.isin("iban", *DIGITS), filled).when(what == "email", shouted).otherwise(value)
 
 
+def rendered_mentions(found: DataFrame, secret: str) -> DataFrame:
+    """`mention` and `new`, its replacement, for the different values of column `mention`."""
+    each = stored(found.select("mention").distinct().select("mention", F.explode(keys(F.col("mention"))).alias("entity")).distinct())
+    own = spread_join(each, surrogates(each, secret), ["entity"])
+    own = own.groupBy("mention").agg(F.map_from_entries(F.collect_list(F.struct("entity", "surrogate"))).alias("own"))  # a key for each word at most
+    return own.select("mention", _rendered(F.col("mention"), F.col("own")).alias("new"))
+
+
 def pseudonymise(df: DataFrame, secret: str, text_col: str = "text", count_col: str | None = None) -> DataFrame:
     """`df` with the entities of `text_col` replaced, and their number in `count_col` if it is named."""
-    columns, text = df.columns, F.col(text_col)
-    marked = df.withColumn("_found", mentions(F.coalesce(text, F.lit(""))))
-    named = (lambda n: [n.cast("long").alias(count_col)]) if count_col else (lambda n: [])
-    clean = marked.filter(F.size("_found") == 0).select(*columns, *named(F.lit(0)))
-    held = marked.filter(F.size("_found") > 0).withColumns({"_h1": F.xxhash64(text), "_h2": F.xxhash64(text, F.lit(1))})
-    each = held.select("_h1", "_h2", F.explode(F.array_distinct(F.flatten(F.transform("_found", keys)))).alias("entity"))
-    each = checkpoint(each.distinct())
-    table = surrogates(each, secret)
-    own = each.join(table, "entity").groupBy("_h1", "_h2").agg(F.map_from_entries(F.collect_list(F.struct("entity", "surrogate"))).alias("_map"))
-    between = F.split(text, PATTERN, -1)
-    pieces = F.zip_with(between, F.transform("_found", lambda m: _rendered(m, F.col("_map"))), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
-    replaced = held.join(own, ["_h1", "_h2"]).withColumn("_new", F.array_join(pieces, ""))
-    kept = [F.col("_new").alias(c) if c == text_col else F.col(c) for c in columns]
-    return clean.unionByName(replaced.select(*kept, *named(F.size("_found"))))
+    columns = df.columns
+    at = f"c{columns.index(text_col)}"
+    text = F.col(at)
+    marked = stored(positional(df).withColumn("found", mentions(F.coalesce(text, F.lit("")))))
+    last = f"c{len(columns)}"
+    count = {last: F.size("found").cast("long")} if count_col else {}
+    clean = marked.filter(F.size("found") == 0).withColumns(count)
+    held = marked.filter(F.size("found") > 0).withColumns({"h1": F.xxhash64(at), "h2": F.xxhash64(at, F.lit(1))})
+    each = stored(held.select("h1", "h2", F.explode(F.array_distinct("found")).alias("mention")).distinct())
+    new = spread_join(each, rendered_mentions(each, secret), ["mention"])
+    own = new.groupBy("h1", "h2").agg(F.map_from_entries(F.collect_list(F.struct("mention", "new"))).alias("own"))
+    pieces = F.zip_with(F.split(text, PATTERN, -1), F.transform("found", lambda m: F.try_element_at("own", m)), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+    replaced = spread_join(held, own, ["h1", "h2"]).withColumn(at, F.array_join(pieces, "")).withColumns(count)
+    names = [*columns, count_col] if count_col else columns
+    return named(clean, names).unionByName(named(replaced, names))

@@ -160,3 +160,58 @@ def test_mentions_pass_the_cheap_hints(spark):
     rows = docs.select("text", pii.mentions(F.col("text")).alias("got"), F.regexp_extract_all("text", F.lit(pii.PATTERN), F.lit(0)).alias("want")).collect()
     assert [r.got for r in rows] == [r.want for r in rows]
     assert {r.text: r.got for r in rows}["at 1.1.1.1."] == ["1.1.1.1"]
+
+
+def test_surrogates_of_every_script_end(spark):
+    """Names and addresses in scripts without a list of names are replaced, and the draws end."""
+    rows = [(1, "Dr Արամ met 张三@例子.中国 here"), (2, "Dr Արամ again"), (3, "Frau ՇՆՈՐՀ"), (4, "my name is Ana Lopez, or ANA LOPEZ"), (5, "2001:db8::1 and 01 23 45 67 89 and " + "ab" * 90)]
+    got = {r.doc_id: r.text for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id int, text string"), "k").collect()}
+    assert re.fullmatch(r"Dr [Ա-Ֆ][ա-ֆ]{3} met [一-鿿]{2}@[一-鿿]{2}\.中国 here", got[1])
+    assert got[2] == got[1].split(" met")[0] + " again" and "Արամ" not in got[1] and "张三" not in got[1]
+    assert "ՇՆՈՐՀ" not in got[3] and not any(x in got[4] for x in ("Ana", "Lopez"))
+    assert got[5][:-180].endswith(" and ") and not any(x in got[5] for x in ("db8", "23 45", "abab"))
+
+
+def test_exhausted_forms_get_tokens(spark, monkeypatch):
+    """Entities whose form leaves no free value end as distinct tokens with their type."""
+    entities = spark.createDataFrame([(f"iban|DE{i:02d}",) for i in range(100)], "entity string")
+    monkeypatch.setattr(pii, "ROUNDS", 2)
+    got = [r.surrogate for r in pii.surrogates(entities, "k").collect()]
+    assert len(set(got)) == 100 and all(re.fullmatch(r"\[IBAN-[0-9a-f]{32}\]", x) for x in got)
+
+
+def test_hmac(spark):
+    import hashlib
+    import hmac
+
+    for key in ("k", "long" * 40):
+        got = spark.range(1).select(pii.keyed(key, F.lit("ünï|1"))).first()[0]
+        assert got == hmac.new(key.encode(), "ünï|1".encode(), hashlib.sha256).hexdigest()
+
+
+def test_surrogates_against_brute_force(spark, sf):
+    """Every text of the table is the original with each mention replaced, one value for one entity, none of them real."""
+    import regex
+
+    pattern = regex.compile(pii.PATTERN)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    got = {r.doc_id: r for r in pii.pseudonymise(docs, "k", count_col="n").collect()}
+    pairs = set()
+    for i, text in texts.items():
+        found, between = pattern.findall(text), pattern.split(text)
+        assert got[i].n == len(found)
+        rest = got[i].text or ""
+        shape = regex.fullmatch("(.*?)".join(map(regex.escape, between)), rest, flags=regex.S)
+        pairs |= set(zip(found, shape.groups(), strict=True))
+    assert len({a for a, _ in pairs}) == len(pairs) > 10
+    whole = [(a, b) for a, b in pairs if not a[0].isalpha() or "@" in a]
+    assert len({b for _, b in whole}) == len(whole) and not {a for a, _ in pairs} & {b for _, b in pairs}
+
+
+def test_surrogates_keep_clashing_columns(spark):
+    columns = ["doc_id", "text", "found", "h1", "own", "mention", "c0", "entity"]
+    rows = [(1, "Mr. Smith", "a", "b", "c", "d", "e", "f"), (1, "Mr. Smith", "a", "b", "c", "d", "e", "f"), (2, None, None, None, None, None, None, None), (3, "Mr. Smith " + "word " * 60000, "g", "h", "i", "j", "k", "l")]
+    docs = spark.createDataFrame(rows, "doc_id int, " + ", ".join(f"{c} string" for c in columns[1:]))
+    got = pii.pseudonymise(docs, "k")
+    assert got.columns == columns and sorted(tuple(r)[2:] for r in got.collect() if r.found) == sorted(r[2:] for r in rows if r[2])
