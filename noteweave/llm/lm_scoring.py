@@ -1,141 +1,239 @@
 """Cross-entropy difference scores from matched bigram models (Moore and Lewis's selection).
 
 The target model is fitted on the labelled good documents and the background model on all documents. Both
-share one vocabulary, order and smoothing, so their losses on a token can be subtracted: a document's score
-is the mean of (target loss - background loss) over its tokens, low for documents like the target.
-
-The shared vocabulary holds the words with at least 1 / WORDS of all tokens, so it has at most WORDS
-entries however large the corpus is; all others are one unknown word. A bigram is kept if it has at least
-1 / PAIRS of all bigrams of either model, so there are at most 2 * PAIRS; the others back off to the
-unigrams with the mass that absolute discounting leaves, and each model sums to one. These bounds follow
-from the shares, not from a cut, and make what is broadcast bounded. Counts cover all documents: tasks
-count what they read, and the counts are added up by word and by bigram.
+share one vocabulary (every word of the corpus), order and smoothing, so their losses on a token can be
+subtracted: a document's score is the mean of (target loss - background loss) over its tokens, low for documents like
+the target. A model's probability of a word after another is (pairs + PRIOR / V) / (contexts + PRIOR), with V words in
+the vocabulary: a Dirichlet prior, so each model sums to one, and a loss is a part for the context less one for the pair.
+
+Every pair and every context of the corpus counts, however rare; there is no cut. Their number grows with the input,
+so the counts never meet in one place:
+
+1. One pass counts the vocabulary and finds the keys (pairs and contexts, by 63-bit hashes) with at least 1 / HEAVY of
+   all entries, an entry being a key of a document. Such a key holds that share of some part of a task's
+   entries, so tasks name candidates from their own counts; fewer than HEAVY pass.
+2. The heavy keys are counted exactly, added up by slot, and broadcast with their losses.
+3. The last pass scores heavy keys in place and sends all others, of which none is hot, to buckets of bounded size
+   by hash, packed in arrays. A bucket counts its keys over the whole corpus and sends back what each document's sums
+   lack, to the part of a task (a few thousand documents) that they came from, where the sums are completed.
 
 Defined results: null and empty texts have no tokens and null scores; without any target document the
 target model is uniform over the vocabulary; repeated rows count as often as they stand; several labels of
 one document make it a target if one of them does; an empty table gives an empty result; further columns
-are not read.
+are not read. Two keys with one 63-bit hash would share their counts. Rows must come in the same order if a task is
+repeated, as those of a stored table do.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from xxhash import xxh64_intdigest
 
-from noteweave.llm.common import prepare, small_batches
+from noteweave.llm.common import prepare, small_batches, stored
 
-#: A word is in the vocabulary with 1 / WORDS of the tokens, a bigram in the model with 1 / PAIRS.
-WORDS, PAIRS = 100_000, 1_000_000
-DISCOUNT = 0.75
-#: Different words, and bigrams, that a task gathers before it passes its counts on.
-HELD_WORDS, HELD_PAIRS = 300_000, 1 << 21
+#: Weight of the uniform prior, in tokens.
+PRIOR = 4.0
+#: A key with 1 / HEAVY of all entries is broadcast; entries that a task holds at a time; entries in a bucket.
+HEAVY, HELD, BUCKET = 500_000, 1 << 22, 1 << 22
 #: Target ids are broadcast up to this many, and joined by shuffle beyond.
 BROADCAST_IDS = 2_000_000
+#: Word hashes that a task remembers.
+REMEMBERED = 500_000
+
+START = np.uint64(xxh64_intdigest("", 17))
 
 
 def tokens(text: str | None) -> list[str]:
     return text.lower().split() if text else []
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """`word` and `n` over all texts (column t)."""
+class Hashes(dict):
+    """Words' hashes, remembered."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = found = xxh64_intdigest(word, 17)
+        return found
+
+    def of(self, text: str | None) -> np.ndarray:
+        if len(self) > REMEMBERED:
+            self.clear()
+        found = tokens(text)
+        return np.fromiter(map(self.__getitem__, found), np.uint64, len(found))
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def entries(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A text's different keys, even for contexts and odd for pairs, and how often each occurs."""
+    before = np.concatenate([[START], words[:-1]])[: len(words)]
+    context = mixed(before)
+    pair = mixed(context * np.uint64(0x9E3779B97F4A7C15) + words)
+    keys = np.concatenate([context & ~np.uint64(1), pair | np.uint64(1)]).view(np.int64)
+    return np.unique(keys, return_counts=True)
+
+
+def losses(keys: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
+    """What an occurrence of each key adds to a text's loss."""
+    return np.where(keys & 1, -np.log(counts + PRIOR / size), np.log(counts + PRIOR))
+
+
+def gathered(rows: DataFrame) -> DataFrame:
+    """`kind`, `k`, `n`: 0 the vocabulary's words; 1 keys that may be heavy, with counted entries; 2 the number of entries."""
+
+    share, limit = HEAVY, HELD
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        hashes, parts, words, held = Hashes(), [], [], 0
 
-        def out() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["word", "n"])
-            counts.clear()
-            return batch
+        def out() -> Iterator[pa.RecordBatch]:
+            keys, n = np.unique(np.concatenate(parts), return_counts=True)
+            may = n * share >= held
+            found = ((0, np.unique(np.concatenate(words)).view(np.int64), None), (1, keys[may], n[may]), (2, np.zeros(1, np.int64), np.array([held])))
+            for kind, k, count in found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int8)), pa.array(k), pa.array(np.zeros(len(k), np.int64) if count is None else count)], ["kind", "k", "n"])
 
         for batch in small_batches(batches, "t"):
             for text in batch.column("t").to_pylist():
-                counts.update(tokens(text))
-            if len(counts) > HELD_WORDS:
-                yield out()
-        if counts:
-            yield out()
+                found = hashes.of(text)
+                parts.append(entries(found)[0])
+                words.append(np.unique(found))
+                held += len(parts[-1])
+            if held > limit:
+                yield from out()
+                parts, words, held = [], [], 0
+        if held:
+            yield from out()
 
-    return docs.select("t").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return stored(rows.select("t").mapInArrow(run, "kind byte, k long, n long").groupBy("kind", "k").agg(F.sum("n").alias("n")))
 
 
-class Numbers:
-    """Word numbers from 1; 0 is the unknown word, and V + 1 stands before a text's first word."""
+def heavy_counts(rows: DataFrame, shared) -> DataFrame:
+    """`slot`, `target` and `background`: exact occurrences of the heavy keys."""
 
-    def __init__(self, words: list[str]):
-        self.of = {w: i for i, w in enumerate(sorted(words), 1)}
-        self.size = len(words) + 1
-        self.first = self.size
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heavy, hashes = shared.value, Hashes()
+        counts = np.zeros((2, len(heavy)), np.int64)
+        for batch in small_batches(batches, "t"):
+            for text, good in zip(batch.column("t").to_pylist(), batch.column("target").to_pylist(), strict=True):
+                keys, n = entries(hashes.of(text))
+                slot, hit = placed(keys, heavy)
+                counts[1, slot[hit]] += n[hit]
+                if good:
+                    counts[0, slot[hit]] += n[hit]
+        some = np.flatnonzero(counts[1])
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[0, some]), pa.array(counts[1, some])], ["slot", "target", "background"])
+
+    counted = rows.select("t", "target").mapInArrow(run, "slot long, target long, background long")
+    return counted.groupBy("slot").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
+
+
+def placed(keys: np.ndarray, heavy: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each key's slot among the sorted heavy ones, and whether it is there."""
+    if not len(heavy):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    slot = np.minimum(np.searchsorted(heavy, keys), len(heavy) - 1)
+    return slot, heavy[slot] == keys
+
+
+def _lists(values: np.ndarray, ends: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(values))
+
+
+def _flat(table: pa.Table, name: str) -> np.ndarray:
+    return pa.chunked_array([c.flatten() for c in table.column(name).chunks]).to_numpy() if table.num_rows else np.zeros(0)
 
-    def pairs(self, text: str | None) -> np.ndarray:
-        """(number before) * (size + 1) + (number) for each token."""
-        found = tokens(text)
-        here = np.fromiter(map(self.of.get, found, repeat(0)), np.int64, len(found))
-        before = np.empty_like(here)
-        before[:1], before[1:] = self.first, here[:-1]
-        return before * (self.size + 1) + here
 
+def packed(rows: DataFrame, kind: str, shared, size: int, buckets: int) -> DataFrame:
+    """The other keys by bucket, in arrays, one row for each bucket and part of a task.
 
-def pair_counts(docs: DataFrame, shared) -> DataFrame:
-    """`pair`, `target` and `background` counts over all texts (columns t and target)."""
+    `part` numbers the part and `doc` a document in it. One row of each part brings its documents' ids, token numbers
+    and sums, in which keys that are not heavy count as if no other document had them.
+    """
+    id_type, limit = to_arrow_type(rows.schema["i"].dataType), HELD
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, parts, marks, held = shared.value, [], [], 0
+        heavy, values = shared.value
+        hashes, number = Hashes(), 0
+        ids, docs, held = [], [], 0
 
         def out() -> pa.RecordBatch:
-            pair, where = np.unique(np.concatenate(parts), return_inverse=True)
-            every = np.bincount(where, minlength=len(pair))
-            good = np.bincount(where, weights=np.concatenate(marks), minlength=len(pair)).astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(pair), pa.array(good), pa.array(every.astype(np.int64))], ["pair", "target", "background"])
+            part = (TaskContext.get().partitionId() << 32) + number
+            keys, n, doc, good = (np.concatenate([d[c] for d in docs]) for c in range(4))
+            base = np.array([d[4] for d in docs])
+            bucket = ((keys.view(np.uint64) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            keys, n, doc, good, bucket = (x[order] for x in (keys, n, doc, good, bucket))
+            names = np.union1d(np.unique(bucket), [number % buckets])
+            ends = np.searchsorted(bucket, names, side="right")
+            bears = names == number % buckets
+            own = np.cumsum(np.where(bears, len(docs), 0))
+            listed = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], own]).astype(np.int32)), pa.concat_arrays(ids))
+            columns = [pa.array(names), pa.array(np.full(len(names), part)), _lists(keys, ends), _lists(n, ends), _lists(doc, ends), _lists(good, ends), listed]
+            columns += [_lists(base[:, c], own) for c in range(3)]
+            return pa.RecordBatch.from_arrays(columns, ["bucket", "part", "k", "n", "doc", "good", "ids", "tokens", "st", "sb"])
 
         for batch in small_batches(batches, "t"):
-            for text, good in zip(batch.column("t").to_pylist(), batch.column("target").to_pylist(), strict=True):
-                parts.append(numbers.pairs(text))
-                marks.append(np.full(len(parts[-1]), good, np.bool_))
-                held += len(parts[-1])
-            if held > HELD_PAIRS:
+            ids.append(batch.column("i").cast(id_type))
+            for text, mark in zip(batch.column("t").to_pylist(), batch.column("target").to_pylist(), strict=True):
+                found = hashes.of(text)
+                keys, n = entries(found)
+                slot, hit = placed(keys, heavy)
+                rare, times = keys[~hit], n[~hit]
+                sums = n[hit] @ values[slot[hit]] if hit.any() else np.zeros(2)
+                sums = sums + [times @ losses(rare, times * mark, size), times @ losses(rare, times, size)]
+                docs.append((rare, times.astype(np.int32), np.full(len(rare), len(docs), np.int32), np.full(len(rare), mark), (len(found), *sums)))
+                held += len(rare)
+            if held > limit:
                 yield out()
-                parts, marks, held = [], [], 0
-        if held:
+                ids, docs, held, number = [], [], 0, number + 1
+        if docs:
             yield out()
 
-    counted = docs.select("t", "target").mapInArrow(run, "pair long, target long, background long")
-    return counted.groupBy("pair").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
-
-
-class Models:
-    """Both models on one vocabulary: unigram probabilities, kept bigrams, and the mass for backing off."""
-
-    def __init__(self, numbers: Numbers, singles: np.ndarray, before: np.ndarray, pair: np.ndarray, counts: np.ndarray):
-        """`singles` and `before`: (size + 1, 2) counts of words and of contexts; `counts`: (kept, 2)."""
-        self.numbers, self.pair = numbers, pair
-        base = numbers.size + 1
-        smooth = singles[: numbers.size] + 1.0
-        self.single = smooth / smooth.sum(axis=0)
-        context = pair // base
-        self.share = np.maximum(counts - DISCOUNT, 0) / np.maximum(before[context], 1)
-        used = np.stack([np.bincount(context, weights=self.share[:, m], minlength=base) for m in (0, 1)], axis=1)
-        self.rest = 1.0 - used
-
-    def losses(self, text: str | None) -> tuple[int, float, float]:
-        """Tokens, and the mean loss (natural log) under the target and the background model."""
-        pairs = self.numbers.pairs(text)
-        if not len(pairs):
-            return 0, np.nan, np.nan
-        before, here = np.divmod(pairs, self.numbers.size + 1)
-        p = self.rest[before] * self.single[here]
-        if len(self.pair):
-            slot = np.minimum(np.searchsorted(self.pair, pairs), len(self.pair) - 1)
-            hit = self.pair[slot] == pairs
-            p[hit] += self.share[slot[hit]]
-        target, background = -np.log(p).mean(axis=0)
-        return len(pairs), float(target), float(background)
+    schema = f"bucket long, part long, k array<long>, n array<int>, doc array<int>, good array<boolean>, ids array<{kind}>, tokens array<double>, st array<double>, sb array<double>"
+    return rows.mapInArrow(run, schema)
+
+
+def completed(parts: DataFrame, kind: str, size: int) -> DataFrame:
+    """`i`, `n_tokens`, `target_loss` and `background_loss`: each bucket's keys counted, each part's sums completed."""
+
+    def lacking(table: pa.Table) -> pa.Table:
+        keys, n, doc, good = (_flat(table, c) for c in ("k", "n", "doc", "good"))
+        sizes = np.concatenate([c.value_lengths().to_numpy() for c in table.column("k").chunks])
+        row = np.repeat(np.arange(table.num_rows), sizes)
+        different, where = np.unique(keys, return_inverse=True)
+        both = np.stack([np.bincount(where, weights=n * good, minlength=len(different)), np.bincount(where, weights=n, minlength=len(different))])
+        others = both[1][where] > n
+        where, n, doc, good, row, key = where[others], n[others], doc[others], good[others], row[others], keys[others]
+        more = [n * (losses(key, both[m][where], size) - losses(key, n * good if m == 0 else n, size)) for m in (0, 1)]
+        # The rows of a part stand together, and so do those of a document.
+        new = np.ones(len(row), bool)
+        new[1:] = (row[1:] != row[:-1]) | (doc[1:] != doc[:-1])
+        at = np.flatnonzero(new)
+        sums = [np.add.reduceat(x, at) if len(at) else np.zeros(0) for x in more]
+        ends = np.searchsorted(row[at], np.arange(table.num_rows), side="right")
+        out = [table.column("part"), _lists(doc[at].astype(np.int32), ends), _lists(sums[0], ends), _lists(sums[1], ends), *(table.column(c) for c in ("ids", "tokens", "st", "sb"))]
+        return pa.table(out, names=["part", "doc", "dt", "db", "ids", "tokens", "st", "sb"])
+
+    def finished(table: pa.Table) -> pa.Table:
+        n, st, sb = (_flat(table, c) for c in ("tokens", "st", "sb"))
+        doc = _flat(table, "doc").astype(np.int64)
+        lost = [np.where(n > 0, (s + np.bincount(doc, weights=_flat(table, d), minlength=len(n))) / np.maximum(n, 1), np.nan) for s, d in ((st, "dt"), (sb, "db"))]
+        ids = pa.chunked_array([c.flatten() for c in table.column("ids").chunks])
+        return pa.table([ids, pa.array(n.astype(np.int64)), *(pa.array(x, from_pandas=True) for x in lost)], names=["i", "n_tokens", "target_loss", "background_loss"])
+
+    lacked = parts.groupBy("bucket").applyInArrow(lacking, f"part long, doc array<int>, dt array<double>, db array<double>, ids array<{kind}>, tokens array<double>, st array<double>, sb array<double>")
+    return lacked.groupBy("part").applyInArrow(finished, f"i {kind}, n_tokens long, target_loss double, background_loss double")
 
 
 def score(spark: SparkSession, docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -146,39 +244,18 @@ def score(spark: SparkSession, docs: DataFrame, targets: DataFrame, id_col: str
     prepare(spark)
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"))
     kind = rows.schema["i"].dataType.simpleString()
-    words = word_counts(rows).persist()
-    total = words.agg(F.sum("n")).first()[0] or 0
-    numbers = Numbers([r.word for r in words.filter(F.col("n") * WORDS >= total).collect()])
-    words.unpersist()
+    facts = gathered(rows)
+    size, total = facts.agg(F.count_if(F.col("kind") == 0), F.coalesce(F.sum(F.when(F.col("kind") == 2, F.col("n"))), F.lit(0))).first()
+    found = facts.filter((F.col("kind") == 1) & (F.col("n") * HEAVY >= total)).select("k").toArrow()  # HEAVY at most
+    heavy = np.sort(found.column("k").to_numpy())
     good = targets.select(F.col(id_col).alias("i")).filter("i is not null").distinct().withColumn("good", F.lit(True))
     few = good.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    marked = rows.join(F.broadcast(good) if few else good, "i", "left").select("t", F.col("good").isNotNull().alias("target"))
-    shared = spark.sparkContext.broadcast(numbers)
-    counted = pair_counts(marked, shared).persist()
-    base = numbers.size + 1
-
-    def margin(part) -> np.ndarray:
-        found = np.zeros((base, 2))
-        for r in counted.groupBy(part.alias("w")).agg(F.sum("target"), F.sum("background")).collect():
-            found[r[0]] = r[1], r[2]
-        return found
-
-    singles, before = margin(F.col("pair") % base), margin(F.floor(F.col("pair") / base))
-    sums = singles.sum(axis=0)
-    kept = counted.filter((F.col("target") > 0) & (F.col("target") * PAIRS >= float(sums[0])) | (F.col("background") * PAIRS >= float(sums[1]))).toArrow()
-    counted.unpersist()
-    pair = kept["pair"].to_numpy()
-    order = np.argsort(pair)
-    counts = np.stack([kept[c].to_numpy() for c in ("target", "background")], axis=1).astype(float)
-    models = spark.sparkContext.broadcast(Models(numbers, singles, before, pair[order], counts[order]))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = models.value
-        for batch in small_batches(batches, "t"):
-            found = [both.losses(t) for t in batch.column("t").to_pylist()]
-            n, a, b = zip(*found, strict=True)
-            target, background = (pa.array(np.array(x), from_pandas=True) for x in (a, b))
-            yield pa.RecordBatch.from_arrays([batch.column("i"), pa.array(n, pa.int64()), target, background], ["i", "n_tokens", "target_loss", "background_loss"])
-
-    out = rows.mapInArrow(run, f"i {kind}, n_tokens long, target_loss double, background_loss double")
+    marked = rows.join(F.broadcast(good) if few else good, "i", "left").select("i", "t", F.col("good").isNotNull().alias("target"))
+    marked = marked if few else stored(marked)  # a shuffle's rows may come in another order
+    counted = heavy_counts(marked, spark.sparkContext.broadcast(heavy)).toArrow()  # HEAVY at most
+    counts, size = np.zeros((len(heavy), 2)), max(1, size)
+    counts[counted.column("slot").to_numpy()] = np.stack([counted.column(c).to_numpy() for c in ("target", "background")], axis=1)
+    values = np.stack([losses(heavy, counts[:, m], size) for m in (0, 1)], axis=1)
+    parts = packed(marked, kind, spark.sparkContext.broadcast((heavy, values)), size, -(-total // BUCKET) or 1)
+    out = completed(parts, kind, size)
     return out.withColumn("score", F.col("target_loss") - F.col("background_loss")).withColumnRenamed("i", id_col)

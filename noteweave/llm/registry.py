@@ -86,15 +86,10 @@ ORACLE_SQL: dict[str, str] = {
 s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2])) AS BIGINT) AS score FROM (SELECT * FROM v WHERE vec_id % 50 = 0) a JOIN v b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q))
 SELECT * FROM (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s) WHERE rank <= 5""",
     "op4_lm_scoring": """WITH t AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '') AS w FROM documents),
-e AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM t),
-v AS (SELECT word FROM e GROUP BY word HAVING count(*) * 100000 >= (SELECT count(*) FROM e)), size AS (SELECT count(*) + 1 AS n FROM v),
-m AS (SELECT doc_id, pos, CASE WHEN v.word IS NULL THEN '' ELSE e.word END AS word FROM e LEFT JOIN v USING (word)),
-p AS (SELECT doc_id, word, coalesce(lag(word) OVER (PARTITION BY doc_id ORDER BY pos), ' ') AS prev FROM m),
+e AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM t), v AS (SELECT count(DISTINCT word) AS n FROM e),
+p AS (SELECT doc_id, word, coalesce(lag(word) OVER (PARTITION BY doc_id ORDER BY pos), '') AS prev FROM e),
 c AS (SELECT prev, word, count(*) AS b, count(*) FILTER (doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)) AS t FROM p GROUP BY prev, word),
-tot AS (SELECT sum(t) AS tt, sum(b) AS tb FROM c), s1 AS (SELECT word, sum(t) AS t1, sum(b) AS b1 FROM c GROUP BY word), s0 AS (SELECT prev, sum(t) AS t0, sum(b) AS b0 FROM c GROUP BY prev),
-k AS (SELECT prev, word, greatest(t - CAST(0.75 AS DOUBLE), 0) / greatest(t0, 1) AS st, greatest(b - CAST(0.75 AS DOUBLE), 0) / greatest(b0, 1) AS sb FROM c JOIN s0 USING (prev) CROSS JOIN tot WHERE t > 0 AND t * 1000000 >= tt OR b * 1000000 >= tb),
-r AS (SELECT prev, 1 - sum(st) AS rt, 1 - sum(sb) AS rb FROM k GROUP BY prev),
-l AS (SELECT doc_id, -ln(coalesce(rt, 1) * (t1 + 1) / (tt + n) + coalesce(st, 0)) AS lt, -ln(coalesce(rb, 1) * (b1 + 1) / (tb + n) + coalesce(sb, 0)) AS lb
-  FROM p JOIN s1 USING (word) LEFT JOIN r USING (prev) LEFT JOIN k USING (prev, word) CROSS JOIN tot CROSS JOIN size)
+s AS (SELECT prev, sum(t) AS t0, sum(b) AS b0 FROM c GROUP BY prev),
+l AS (SELECT doc_id, ln(t0 + 4.0::DOUBLE) - ln(t + 4.0::DOUBLE / n) AS lt, ln(b0 + 4.0::DOUBLE) - ln(b + 4.0::DOUBLE / n) AS lb FROM p JOIN c USING (prev, word) JOIN s USING (prev) CROSS JOIN v)
 SELECT d.doc_id, count(lt) AS n_tokens, round(avg(lt), 6) AS target_loss, round(avg(lb), 6) AS background_loss, round(avg(lt) - avg(lb), 6) AS score FROM documents d LEFT JOIN l USING (doc_id) GROUP BY d.doc_id""",
 }

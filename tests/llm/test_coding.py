@@ -145,7 +145,11 @@ def test_long_conversation_in_blocks_costs_the_same(spark):
     assert chat_repair.repair(spark, spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
-def test_lm_scores_equal_plain_models(spark):
+@pytest.mark.parametrize("heavy, held, bucket", [(500_000, 1 << 22, 1 << 22), (20, 64, 50), (1, 1, 7)])
+def test_lm_scores_equal_plain_models(spark, monkeypatch, heavy, held, bucket):
+    """Equal where all keys are broadcast, where some go to many buckets from many parts, and where nearly all do."""
+    for name, value in (("HEAVY", heavy), ("HELD", held), ("BUCKET", bucket)):
+        monkeypatch.setattr(lm_scoring, name, value)
     rng = random.Random(3)
     rows = [(i, " ".join(rng.choices("a b c d e".split(), weights=[5, 4, 3, 2, 1 + i % 2 * 6], k=40))) for i in range(20)] + [(20, None), (21, ""), (5, "a b a")]
     good = {i for i in range(0, 20, 2)}
@@ -154,16 +158,15 @@ def test_lm_scores_equal_plain_models(spark):
     got = lm_scoring.score(spark, docs, targets).collect()
     assert len(got) == len(rows)
 
+    size = len({w for _, t in rows for w in (t or "").split()})
+
     def model(texts):
-        singles, pairs, before = Counter(), Counter(), Counter()
+        pairs, before = Counter(), Counter()
         for t in texts:
             w = ["<s>", *(t or "").split()]
-            singles.update(w[1:])
             pairs.update(zip(w, w[1:], strict=False))
             before.update(w[:-1])
-        size = sum(singles.values()) + 6  # five words and the unknown one
-        rest = {u: 1 - sum(max(c - 0.75, 0) for (a, _), c in pairs.items() if a == u) / before[u] for u in before}
-        return lambda u, w: max(pairs[u, w] - 0.75, 0) / max(before[u], 1) + rest.get(u, 1.0) * (singles[w] + 1) / size
+        return lambda u, w: (pairs[u, w] + lm_scoring.PRIOR / size) / (before[u] + lm_scoring.PRIOR)
 
     target, background = model([t for i, t in rows if i in good]), model([t for _, t in rows])
     for r in got:
