@@ -5,22 +5,23 @@ without spaces each letter is a word). A document leaks an item if some passage
 words allow no edit and match exact occurrences.
 
 Search goes by CGK random-walk embedding. A walk with shared random bits reads a sequence and, at each
-of 3n steps, puts out the word it stands on and moves on or not as the word's bit for that step says;
-small edit distances become small Hamming distances. Bit-sampling LSH then takes a few positions of the
-output as a key; REPEATS independent walks and samples, their number set by the wanted recall, make
-candidates of item-sized windows that share a key with an item. Every candidate is verified by the exact
-edit distance between the item and the best passage around the window.
+step, puts out the word it stands on and moves on or not as the word's bit for that step says; small edit
+distances become small Hamming distances. Bit-sampling LSH then takes a few steps of the output as a key; REPEATS
+independent walks and samples from either end of a window, their number set by the wanted recall, put each item in
+2 * REPEATS buckets, and the item-sized windows of a text look their own buckets up. What stands in them is
+verified by the exact edit distance between the item and the best passage around the windows. Steps are sampled
+only while a walk still stands on a word (a step moves on by one word at most), so that keys speak of words alone.
 
 Windows need not be embedded where no leak can be: of an item's n - q + 1 runs of q words, e edits
-spoil q * e at most, so a passage with e edits holds the others unchanged, and on diagonals that are at
-most e apart from the passage's start. Only windows whose surroundings hold that many runs (q is chosen
-so that it is one at least) are embedded, and no leak is lost by it.
+spoil q * e at most, so a passage with e edits holds the others unchanged. Items are grouped by size, and for each
+group only windows whose surroundings hold as many runs of any of its items as that (q is chosen so that it is one
+at least) are embedded. No leak is lost by it, and which item a window resembles is left to the buckets.
 
-Items go to the workers in blocks of at most BLOCK items, one pass over the documents for each block, so
+Items go to the workers in blocks of about BLOCK characters, one pass over the documents for each block, so
 what is broadcast is bounded; documents are never shuffled, only hits are.
 
 Defined results: null or empty texts and items have no words and never match; repeated items each match under their own id, and repeated
-rows each give their hits; ties between passages go to the first; an empty table on either side gives
+rows each give their hits; ties between passages go to the first; the window is as long as the item and ends where its passage does; an empty table on either side gives
 an empty result; further columns are not read.
 """
 
@@ -37,13 +38,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noteweave.llm.common import prepare, small_batches
+from noteweave.llm.common import positional, prepare, small_batches
 
-#: Edits allowed for each word of an item; items in a block.
-SHARE, BLOCK = 0.2, 20_000
-#: Positions in a key, the chance that one agrees at the largest distance, and the wanted recall.
-SAMPLED, AGREE, RECALL = 2, 0.35, 0.995
-REPEATS = math.ceil(math.log(1 - RECALL) / math.log(1 - AGREE**SAMPLED))
+#: Edits allowed for each word of an item; characters of items in a block.
+SHARE, BLOCK = 0.2, 8_000_000
+#: Steps in a key; walks from either end; longest walk; growth of the items' size from group to group.
+SAMPLED, REPEATS, STEPS, GROWTH = 3, 32, 64, 1.2
 
 #: Scripts without spaces between words: Thai, Lao, Burmese, Khmer, kana, Chinese characters.
 UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\ua9e0-\ua9ff\uaa60-\uaa7f\uf900-\ufaff\uff66-\uff9f\U0001b000-\U0001b16f\U00020000-\U0003ffff"
@@ -83,8 +83,88 @@ def codes(numbers: np.ndarray, q: int) -> np.ndarray:
     return np.where(whole, out, 0)
 
 
+def splitmix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+class Group:
+    """Items of about one size: their runs, and their LSH buckets from either end."""
+
+    def __init__(self, size: int, q: int, members: list[tuple[int, np.ndarray]], seed: int):
+        self.q, self.seed, self.steps = q, seed, min(size, STEPS)
+        lengths = [len(item) for _, item in members]
+        self.sizes = {k: len(item) for k, item in members}
+        self.longest, self.reach = max(lengths), allowed(max(lengths))
+        self.need = min(max(1, n - q + 1 - q * allowed(n)) for n in lengths)
+        self.runs = np.unique(np.concatenate([codes(item, q) for _, item in members]))
+        self.samples = np.sort(np.random.default_rng([seed, size]).integers(0, self.steps, (2, REPEATS, SAMPLED)), axis=2)
+        self.buckets = []
+        for end in (0, 1):
+            keys = np.concatenate([self.item_keys([item[:: -1 if end else 1] for _, item in members[cut : cut + 1000]], end) for cut in range(0, len(members), 1000)])
+            owners = np.repeat(np.array([k for k, _ in members]), REPEATS)
+            order = np.argsort(keys, kind="stable")
+            self.buckets.append((keys[order], owners[order]))
+
+    def keys(self, numbers: np.ndarray, starts: np.ndarray, end: int) -> np.ndarray:
+        """(windows, REPEATS) keys of the windows at `starts` (0: a word of no item, or beyond the text)."""
+        padded = np.concatenate([numbers, np.zeros(self.steps, numbers.dtype)])
+        different, place = np.unique(padded, return_inverse=True)
+        walks = np.arange(REPEATS, dtype=np.uint64)
+        out = np.tile(np.arange(1, REPEATS + 1, dtype=np.int64), (len(starts), 1))
+        stands = np.repeat(starts[:, None], REPEATS, axis=1)
+        words = different.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        for step in range(int(self.samples[end].max()) + 1):
+            here = place[stands]
+            taken = np.flatnonzero((self.samples[end] == step).any(axis=1))
+            if len(taken):
+                out[:, taken] = (out[:, taken] * 1_000_003 + different[here[:, taken]] + 1) & ((1 << 62) - 1)
+            bits = splitmix(words + np.uint64((self.seed << 40) + (end << 32) + step))
+            stands += (bits[here] >> walks & np.uint64(1)).astype(np.int64)
+        return out
+
+    def item_keys(self, items: list[np.ndarray], end: int) -> np.ndarray:
+        """The items' keys, one after the other; walks are no longer than an item, so they stay in their own."""
+        starts = np.cumsum([0, *(len(x) for x in items[:-1])])
+        return self.keys(np.concatenate(items), starts, end).ravel()
+
+    def windows(self, known: np.ndarray) -> np.ndarray:
+        """Starts of the windows that may hold a leak; `known` marks the places where a run of the group begins."""
+        total = np.concatenate([[0], np.cumsum(known)])
+        starts = np.arange(len(known))
+        low, high = np.maximum(starts - self.reach, 0), np.minimum(starts + self.longest + self.reach, len(known))
+        return np.flatnonzero(total[high] - total[low] >= self.need)
+
+    def candidates(self, numbers: np.ndarray, places: np.ndarray, values: np.ndarray) -> dict[int, set[int]]:
+        """For each item that shares a bucket with a window of the text, where such windows start.
+
+        `places` and `values` are the text's runs of q words that some item has.
+        """
+        out: dict[int, set[int]] = defaultdict(set)
+        own = places[self.runs[np.minimum(np.searchsorted(self.runs, values), len(self.runs) - 1)] == values]
+        if len(own) < self.need:
+            return out
+        known = np.zeros(len(numbers) - self.q + 1, bool)
+        known[own] = True
+        rest = np.zeros(self.q - 1, bool)
+        for end, (keys, owners) in enumerate(self.buckets):
+            # From the other end a text is read backwards, and so are its runs.
+            read = numbers[::-1] if end else numbers
+            starts = self.windows(np.concatenate([known[::-1] if end else known, rest]))
+            for cut in range(0, len(starts), 2048):
+                some = starts[cut : cut + 2048]
+                found = self.keys(read, some, end).ravel()
+                first, last = np.searchsorted(keys, found), np.searchsorted(keys, found, side="right")
+                for at in np.flatnonzero(first < last).tolist():
+                    start = int(some[at // REPEATS])
+                    for owner in set(owners[first[at] : last[at]].tolist()):
+                        out[owner].add(len(numbers) - start - self.sizes[owner] if end else start)
+        return out
+
+
 class Index:
-    """A block of items: their words' numbers, aligned runs, walks, and LSH keys."""
+    """A block of items: their words' numbers, groups by size, and the items too short for an edit."""
 
     def __init__(self, items: list[tuple[int, list[str]]], seed: int = 11):
         self.vocabulary: dict[str, int] = {}
@@ -93,61 +173,19 @@ class Index:
             if found:
                 self.ids.append(item_id)
                 self.items.append(np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in found], np.int64))
-        # By run length: the runs' numbers in order, and the (item, place) pairs of each.
-        self.runs: dict[int, dict[int, list[tuple[int, int]]]] = {}
-        self.needed = []
+        grouped, whole = defaultdict(list), defaultdict(list)
         for k, item in enumerate(self.items):
             n, e = len(item), allowed(len(item))
-            q = min(4, n // (e + 1))
-            self.needed.append(max(1, n - q + 1 - q * e))
-            own = self.runs.setdefault(q, defaultdict(list))
-            for at, value in enumerate(codes(item, q).tolist()):
-                own[value].append((k, at))
-        self.known = {q: np.array(sorted(own), np.int64) for q, own in self.runs.items()}
-        self.seed = seed
-        self.samples = {n: np.sort(np.random.default_rng([seed, n]).integers(0, 3 * n, (REPEATS, SAMPLED)), axis=1) for n in {len(x) for x in self.items}}
-        self.keys = [self.lsh(x[None, :], len(x))[0] for x in self.items]
-
-    def moves(self, step: int, word: np.ndarray) -> np.ndarray:
-        """Each walk's bit for its word at this step: bit of the walk in a hash (splitmix64) of seed, step and word."""
-        x = word.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((self.seed << 40) + step)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return ((x ^ (x >> np.uint64(31))) >> np.arange(REPEATS, dtype=np.uint64) & np.uint64(1)).astype(np.int64)
-
-    def lsh(self, windows: np.ndarray, n: int) -> np.ndarray:
-        """(windows, REPEATS) keys of windows of n words (0: a word of no item, or beyond the text)."""
-        count = len(windows)
-        out, stands = np.zeros((count, REPEATS), np.int64), np.zeros((count, REPEATS), np.int64)
-        padded, at = np.concatenate([windows, np.zeros((count, 1), np.int64)], axis=1), np.arange(count)[:, None]
-        sampled = self.samples[n]
-        for step in range(int(sampled.max()) + 1):
-            word = padded[at, stands]
-            for taken in (sampled == step).T:
-                if taken.any():
-                    out[:, taken] = out[:, taken] * 1_000_003 + word[:, taken] + 1
-            stands = np.minimum(stands + self.moves(step, word), n)
-        return out
-
-    def dense(self, k: int, pairs: set[tuple[int, int]]) -> list[int]:
-        """Diagonals that have enough different runs of item k within its edits to either side."""
-        need, reach = self.needed[k], allowed(len(self.items[k]))
-        if len(pairs) < need:
-            return []
-        ordered, out, low, high = sorted(pairs), [], 0, 0
-        counts: dict[int, int] = defaultdict(int)
-        for start in sorted({d for d, _ in ordered}):
-            while high < len(ordered) and ordered[high][0] <= start + reach:
-                counts[ordered[high][1]] += 1
-                high += 1
-            while ordered[low][0] < start - reach:
-                counts[ordered[low][1]] -= 1
-                if not counts[ordered[low][1]]:
-                    del counts[ordered[low][1]]
-                low += 1
-            if len(counts) >= need:
-                out.append(start)
-        return out
+            if e:
+                size = 5
+                while max(size + 1, int(size * GROWTH)) <= n:
+                    size = max(size + 1, int(size * GROWTH))
+                grouped[size, min(4, n // (e + 1))].append((k, item))
+            else:
+                whole[n].append((int(codes(item, n)[0]), k))
+        self.groups = [Group(size, q, members, seed) for (size, q), members in sorted(grouped.items())]
+        self.runs = {q: np.unique(np.concatenate([g.runs for g in self.groups if g.q == q])) for q in {g.q for g in self.groups}}
+        self.whole = {n: (np.array([c for c, _ in sorted(found)]), np.array([k for _, k in sorted(found)])) for n, found in whole.items()}
 
     def hits(self, text: str | None) -> list[tuple[int, int, int, int]]:
         """(item id, distance, first word of the window, end of the passage) for each item that leaks."""
@@ -155,40 +193,56 @@ class Index:
         if not found or not self.items:
             return []
         numbers = np.fromiter(map(self.vocabulary.get, found, repeat(0)), np.int64, len(found))
-        aligned: dict[int, set[tuple[int, int]]] = defaultdict(set)
-        for q, known in self.known.items():
+        out = []
+        for n, (known, owners) in self.whole.items():
+            here = codes(numbers, n)
+            where, first = np.unique(here, return_index=True)
+            for at in np.flatnonzero(np.isin(known, where[where > 0])):
+                start = int(first[np.searchsorted(where, known[at])])
+                out.append((self.ids[owners[at]], 0, start, start + n))
+        for q, runs in self.runs.items():
             here = codes(numbers, q)
             places = np.flatnonzero(here)
-            slot = np.minimum(np.searchsorted(known, here[places]), len(known) - 1)
-            for place in places[known[slot] == here[places]].tolist():
-                for k, at in self.runs[q][int(here[place])]:
-                    aligned[k].add((place - at, at))
-        starts = {k: begin for k, pairs in aligned.items() if (begin := self.dense(k, pairs))}
-        out = []
-        for k, begin in starts.items():
-            item = self.items[k]
-            n, most = len(item), allowed(len(item))
-            begins = np.array(begin, np.int64)
-            best: tuple[int, int, int] | None = None
-            for cut in range(0, len(begins), 4096):
-                some = begins[cut : cut + 4096]
-                where = some[:, None] + np.arange(n)
-                inside = (where >= 0) & (where < len(numbers))
-                windows = np.where(inside, numbers[np.clip(where, 0, len(numbers) - 1)], 0)
-                candidates = some[(self.lsh(windows, n) == self.keys[k]).any(axis=1)]
-                for start in candidates.tolist():
-                    low, high = max(0, start - most), min(len(numbers), start + n + most)
-                    distance, end = passage_distance(item, numbers[low:high])
-                    if distance <= most and (best is None or distance < best[0]):
-                        best = (distance, start, low + end)
-                        if not distance:
-                            break
-                if best and not best[0]:
-                    break
-            if best:
-                out.append((self.ids[k], *best))
+            places = places[runs[np.minimum(np.searchsorted(runs, here[places]), len(runs) - 1)] == here[places]]
+            if not len(places):
+                continue
+            for group in self.groups:
+                if group.q == q:
+                    for k, starts in sorted(group.candidates(numbers, places, here[places]).items()):
+                        best = self.best(k, sorted(starts), numbers)
+                        if best:
+                            out.append((self.ids[k], *best))
         return out
 
+    def best(self, k: int, starts: list[int], numbers: np.ndarray) -> tuple[int, int, int] | None:
+        """(distance, start, end) of item k's best passage around the windows, if it is within the edits."""
+        item = self.items[k]
+        n, most = len(item), allowed(len(item))
+        regions: list[list[int]] = []
+        for start in starts:
+            low, high = max(0, start - 2 * most), min(len(numbers), start + n + 2 * most)
+            if regions and low <= regions[-1][1]:
+                regions[-1][1] = max(high, regions[-1][1])
+            else:
+                regions.append([low, high])
+        found = None
+        for low, high in regions:
+            distance, end = passage_distance(item, numbers[low:high])
+            if distance <= most and (found is None or distance < found[0]):
+                found = (distance, max(0, low + end - n), low + end)
+                if not distance:
+                    break
+        return found
+
+
+def blocks(named: DataFrame) -> Iterator[Index]:
+    """Indexes of blocks of items (`k`, `t`), about BLOCK characters each, dealt by a hash."""
+    total = named.agg(F.sum(F.length("t"))).first()[0] or 0
+    passes = -(-total // BLOCK)
+    for number in range(passes):
+        part = named if passes == 1 else named.filter(F.pmod(F.xxhash64("k", "t"), F.lit(passes)) == number)
+        yield Index([(r.k, words(r.t)) for r in part.collect()])
+
 
 def leaks(spark: SparkSession, docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """`id_col`, `item_id`, `distance` (word edits), `start` and `stop` (words of the passage's window)."""
@@ -196,12 +250,9 @@ def leaks(spark: SparkSession, docs: DataFrame, items: DataFrame, id_col: str =
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"))
     kind = rows.schema["i"].dataType.simpleString()
     named = items.filter(F.col(item_col).isNotNull()).select(F.col(item_col).cast("long").alias("k"), F.col(item_text_col).alias("t"))
-    total = named.count()
     out = spark.createDataFrame([], f"i {kind}, item_id long, distance int, start long, stop long")
-    passes = -(-total // BLOCK)
-    for number in range(passes):
-        part = named if passes == 1 else named.filter(F.pmod(F.xxhash64("k", "t"), F.lit(passes)) == number)
-        shared = spark.sparkContext.broadcast(Index([(r.k, words(r.t)) for r in part.collect()]))  # about BLOCK items
+    for index in blocks(named):
+        shared = spark.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value
@@ -219,17 +270,15 @@ def leaks(spark: SparkSession, docs: DataFrame, items: DataFrame, id_col: str =
 def without_leaks(spark: SparkSession, docs: DataFrame, items: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of `docs` that leak no item, with all their columns; texts are not shuffled."""
     prepare(spark)
-    named = items.filter(F.col("item_id").isNotNull())
-    passes = -(-named.count() // BLOCK)
-    out, columns = docs, docs.columns
-    for number in range(passes):
-        part = named if passes == 1 else named.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == number)
-        shared = spark.sparkContext.broadcast(Index([(r.item_id, words(r.text)) for r in part.select("item_id", "text").collect()]))
+    out, columns = positional(docs), docs.columns
+    schema, at = out.schema, f"c{columns.index(text_col)}"
+    for index in blocks(items.filter(F.col("item_id").isNotNull()).select(F.col("item_id").alias("k"), F.col("text").alias("t"))):
+        shared = spark.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value
-            for batch in small_batches(batches, text_col):
-                yield batch.filter(pa.array([not index.hits(t) for t in batch.column(text_col).to_pylist()], pa.bool_()))
+            for batch in small_batches(batches, at):
+                yield batch.filter(pa.array([not index.hits(t) for t in batch.column(at).to_pylist()], pa.bool_()))
 
-        out = out.mapInArrow(run, docs.schema)
-    return out.select(*columns)
+        out = out.mapInArrow(run, schema)
+    return out.toDF(*columns)

@@ -242,7 +242,9 @@ def token(entity: Column, secret: str) -> Column:
 
 def surrogates(entities: DataFrame, secret: str) -> DataFrame:
     """`entity` and `surrogate` for the different keys in column `entity`, all surrogates distinct and new."""
-    real = checkpoint(entities.select("entity").distinct())
+    # Short rows but long work: dealt by number, since by size they would all go to one task.
+    partitions = int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    real = checkpoint(entities.select("entity").distinct().repartition(partitions, "entity"))
     mark = F.concat_ws("|", F.substring_index("entity", "|", 1), "surrogate")
     taken, live, done = real.select(F.col("entity").alias("mark")), real, None
     for attempt in range(ROUNDS):

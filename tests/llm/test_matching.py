@@ -215,3 +215,47 @@ def test_top_k(spark):
     assert got == want
     assert bitsliced.top_k(spark, frame.limit(0), frame.limit(0)).count() == 0
     assert frame.filter(F.col("vec_id") == 100).count() == 2
+
+
+def test_buckets_alone_find_items_at_the_edit_limit():
+    """Without the filter by runs, the LSH buckets hold nearly all items at the largest distance, and few others."""
+    rng = random.Random(1)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    for n, passed in ((5, 1.0), (15, 0.5), (40, 0.15), (120, 0.05)):
+        found = other = 0
+        for _ in range(60):
+            item = rng.choices(vocabulary, k=n)
+            copy = list(item)
+            for at in sorted(rng.sample(range(n), decontaminate.allowed(n)), reverse=True):
+                copy[at : at + rng.choice([0, 1])] = rng.choice([[], [rng.choice(vocabulary)]])
+            index = decontaminate.Index([(1, item)])
+            group = index.groups[0]
+            group.windows = lambda known: np.arange(len(known))
+            group.need = 0
+            for own, text in ((True, rng.choices(vocabulary, k=50) + copy + rng.choices(vocabulary, k=50)), (False, rng.choices(item, k=200))):
+                numbers = np.array([index.vocabulary.get(w, 0) for w in text])
+                starts = group.candidates(numbers, np.zeros(0, np.int64), np.zeros(0, np.int64))
+                if own:
+                    found += index.best(0, sorted(starts[0]), numbers) is not None
+                else:
+                    other += len(starts[0]) / 400
+        assert found >= 0.97 * 60 and other / 60 <= passed
+
+
+def test_leaks_in_edge_cases(spark):
+    """Very long texts and items, items in several blocks, clashing names, no documents."""
+    rng = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(500)]
+    long = rng.choices(vocabulary, k=3000)
+    copy = list(long)
+    for at in rng.sample(range(3000), 300):
+        copy[at] = "x"
+    rows = [(1, " ".join(rng.choices(vocabulary, k=30000) + copy), "a", "b"), (2, " ".join(rng.choices(vocabulary, k=3000)), None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, item_id string, c0 string")
+    items = spark.createDataFrame([(7, " ".join(long)), (7, " ".join(long)), (None, "w1")], "item_id long, text string")
+    got = [tuple(r) for r in decontaminate.leaks(spark, docs, items).collect()]
+    assert len(got) == 2 and {(i, k) for i, k, *_ in got} == {(1, 7)} and all(x[2] <= 300 for x in got)
+    left = decontaminate.without_leaks(spark, docs, items)
+    assert left.columns == docs.columns and [r.doc_id for r in left.collect()] == [2]
+    assert decontaminate.without_leaks(spark, docs.limit(0), items).count() == 0 == decontaminate.leaks(spark, docs.limit(0), items).count()
+    assert decontaminate.without_leaks(spark, docs, items.limit(0)).count() == 2
