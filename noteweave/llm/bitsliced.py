@@ -15,14 +15,15 @@ Work is queries x candidates, as the task demands; it is dealt in blocks of both
 gathered but k rows for each query and block.
 
 Defined results: vectors that are null or hold a null or non-finite component take no part, nor do empty
-ones; vectors of different lengths are not compared; rows with the query's own id are not its candidates,
-and a query id that is repeated counts once, with its smallest vector; equal candidate rows are ranked
-one after the other; components are limited to 2**20 in size, beyond which a score might not fit a long,
-and such vectors take no part; an empty table gives an empty result; further columns are not read.
+ones; vectors of different lengths are not compared; rows with the query's own id are not its candidates;
+each row of `queries` is a query, so a repeated id has a ranking for each of its rows; equal candidate rows are ranked
+one after the other; where a score might not fit a long, vectors are compared one by one, in integers of any size, and a
+score beyond a long becomes the nearest long; an empty table gives an empty result; further columns are not read.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,8 +34,11 @@ from pyspark.sql import functions as F
 from noteweave.llm.common import checkpoint, prepare
 
 #: Components in a block of candidates (65,536 rows of 64), and queries in a group.
-COMPONENTS, QUERIES = 1 << 22, 256
+COMPONENTS, QUERIES = 1 << 22, 2048
 DROPPED_BITS = 2
+#: Quantised components below 2**LARGE go into slices.
+LARGE = 60
+LONG = 1 << 63
 
 
 class Slices:
@@ -42,6 +46,7 @@ class Slices:
 
     def __init__(self, values: np.ndarray, dropped: int):
         self.values, self.rows, self.dropped = values, len(values), dropped
+        self.largest = int(np.abs(values).max(initial=0))
         kept = values >> dropped
         self.low = int(kept.min(initial=0))
         shifted = (kept - self.low).astype(np.uint64)
@@ -56,7 +61,8 @@ class Slices:
 
     def total(self, weights: np.ndarray) -> list[np.ndarray]:
         """Slices of the weighted sum of the kept bits, lowest first; a constant is left out."""
-        places: list[list[np.ndarray]] = [[] for _ in range(64)]
+        widest = int(np.abs(weights).max(initial=0)).bit_length()
+        places: list[list[np.ndarray]] = [[] for _ in range(self.bits + widest + 64)]
         for attribute in np.flatnonzero(weights):
             weight = int(weights[attribute])
             planes = (self.slices if weight > 0 else self.complements)[attribute]
@@ -124,36 +130,62 @@ class Slices:
         if not count:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         total = self.total(weights)
-        size = int(np.abs(weights).sum())
+        size = sum(map(abs, weights.tolist()))
         # A dropped rest lies in 0 .. 2**dropped - 1, so the exact score is within this many units.
         slack = -(-size * ((1 << self.dropped) - 1) >> self.dropped)
         bound = self.kth(total, min(k, count), among) - slack
         chosen = self.at_least(total, bound, among)
         rows = np.flatnonzero(np.unpackbits(chosen.view(np.uint8), bitorder="little"))
-        scores = self.values[rows].astype(np.int64) @ weights
+        scores = self.values[rows] @ weights
         order = np.lexsort((ids[rows], -scores))[:k]
         return rows[order], scores[order]
 
 
-def quantised(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """`id`, `dim`, `q`: the integer vectors that take part."""
-    wide = F.transform(F.col(vector_col), lambda x: F.floor(x.cast("double") * 256.0))
-    fit = F.col(vector_col).isNotNull() & (F.size(vector_col) > 0) & F.col(id_col).isNotNull() & F.forall(F.col(vector_col), lambda x: F.coalesce(F.abs(x.cast("double")) * 256.0 < float(1 << 20), F.lit(False)))
-    return df.filter(fit).select(F.col(id_col).cast("long").alias("id"), F.size(vector_col).alias("dim"), wide.cast("array<int>").alias("q"))
+def integers(values: np.ndarray) -> list[list[int]]:
+    """Quantised components of any size, exactly."""
+    return [[math.floor(x * 256.0) if abs(x) < 2.0**40 else int(x) * 256 for x in row] for row in values.tolist()]
+
+
+def finite(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """`id`, `dim`, `q`: the vectors that take part."""
+    fit = F.col(vector_col).isNotNull() & (F.size(vector_col) > 0) & F.col(id_col).isNotNull() & F.forall(F.col(vector_col), lambda x: F.coalesce(F.abs(x.cast("double")) < float("inf"), F.lit(False)) & ~F.isnan(F.coalesce(x.cast("double"), F.lit(0.0))))
+    return df.filter(fit).select(F.col(id_col).cast("long").alias("id"), F.size(vector_col).alias("dim"), F.col(vector_col).cast("array<double>").alias("q"))
+
+
+def solved(candidates: tuple[np.ndarray, np.ndarray], asking: tuple[np.ndarray, np.ndarray, np.ndarray], k: int, dropped: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(query row, query id, ids, scores) of each query's k best candidates of one block."""
+    order = np.argsort(candidates[0], kind="stable")
+    ids, exact = candidates[0][order], candidates[1][order]
+    small = (np.abs(exact) < 2.0 ** (LARGE - 8)).all(axis=1)
+    near = ids[small]
+    slices = Slices(np.floor(exact[small] * 256.0).astype(np.int64), dropped)
+    for row, own, vector in zip(*asking, strict=True):
+        whole = integers(vector[None, :])[0]
+        fits = slices.largest * sum(map(abs, whole)) < LONG and max(map(abs, whole)) < LONG
+        others = np.flatnonzero((ids != own) & ~(small & fits))
+        scores = [sum(a * b for a, b in zip(x, whole, strict=True)) for x in integers(exact[others])]
+        scores = np.array([min(max(s, -LONG), LONG - 1) for s in scores], np.int64)
+        picked = np.lexsort((ids[others], ~scores))[:k] if len(others) else others
+        yield int(row), int(own), ids[others[picked]], scores[picked]
+        if fits:
+            at, scores = slices.best(near, int(own), np.array(whole, np.int64), k)
+            yield int(row), int(own), near[at], scores
 
 
 def top_k(spark: SparkSession, df: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", dropped: int = DROPPED_BITS) -> DataFrame:
     """`query_id`, `rank` (from 1), `vec_id`, `score`: the k best candidates of each query."""
     prepare(spark)
-    vectors = checkpoint(quantised(df, id_col, vector_col))
-    asked = quantised(queries, id_col, vector_col).groupBy("id", "dim").agg(F.min("q").alias("q"))
+    vectors = checkpoint(finite(df, id_col, vector_col))
+    asked = checkpoint(finite(queries, id_col, vector_col).withColumn("row", F.monotonically_increasing_id()))
     n, m = vectors.agg(F.sum("dim")).first()[0] or 0, asked.count()
-    blocks, groups = -(-n // COMPONENTS) or 1, -(-m // QUERIES) or 1
+    groups = -(-m // QUERIES) or 1
+    # As many blocks as memory asks for, and as many cells as there are cores.
+    blocks = max(-(-n // COMPONENTS), min(-(-spark.sparkContext.defaultParallelism // groups), -(-n // 65_536))) or 1
     # Candidates are dealt to the blocks by id and queries to their groups; each block meets each group.
-    cut = vectors.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    cut = cut.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).withColumn("asked", F.lit(False))
-    ask = asked.withColumn("group", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int"))
-    ask = ask.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("asked", F.lit(True))
+    cut = vectors.withColumns({"block": F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"), "row": F.lit(None).cast("long")})
+    cut = cut.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    ask = asked.withColumn("group", F.pmod(F.xxhash64("row"), F.lit(groups)).cast("int"))
+    ask = ask.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     cells = cut.unionByName(ask).repartition(blocks * groups, "block", "group")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,26 +194,23 @@ def top_k(spark: SparkSession, df: DataFrame, queries: DataFrame, k: int = 5, id
             lengths, where = batch.column("q").value_lengths().to_numpy(), batch.column("q")
             flat = where.values.to_numpy()[where.offsets[0].as_py() : where.offsets[-1].as_py()]
             starts = np.cumsum(lengths) - lengths
-            ids, block, group, asks = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "block", "group", "asked"))
-            names = np.stack([block, group, lengths, asks.astype(np.int32)], axis=1)
+            ids, block, group = (batch.column(c).to_numpy() for c in ("id", "block", "group"))
+            row = batch.column("row").fill_null(-1).to_numpy()
+            names = np.stack([block, group, lengths, row >= 0], axis=1)
             for name in np.unique(names, axis=0):
                 rows = np.flatnonzero((names == name).all(axis=1))
-                dim = int(name[2])
-                held.setdefault(tuple(name[:3].tolist()), [[], []])[int(name[3])].append((ids[rows], flat[starts[rows][:, None] + np.arange(dim)]))
-        for (_, _, dim), (candidates, asking) in held.items():
+                vectors_ = flat[starts[rows][:, None] + np.arange(int(name[2]))]
+                held.setdefault(tuple(name[:3].tolist()), [[], []])[int(name[3])].append((row[rows], ids[rows], vectors_))
+        for candidates, asking in held.values():
             if not candidates or not asking:
                 continue
-            ids, values = np.concatenate([x[0] for x in candidates]), np.concatenate([x[1] for x in candidates])
-            order = np.argsort(ids, kind="stable")
-            ids = ids[order]
-            slices = Slices(values[order], dropped)
-            found = [[], [], []]
-            for own, weights in ((i, w) for some in asking for i, w in zip(*some, strict=True)):
-                rows, scores = slices.best(ids, int(own), weights.astype(np.int64), k)
-                for kept, values_ in zip(found, (np.full(len(rows), own), ids[rows], scores), strict=True):
+            found = [[], [], [], []]
+            several = [np.concatenate([x[c] for x in candidates]) for c in (1, 2)]
+            for number, own, names, scores in solved(tuple(several), tuple(np.concatenate([x[c] for x in asking]) for c in range(3)), k, dropped):
+                for kept, values_ in zip(found, (np.full(len(names), number), np.full(len(names), own), names, scores), strict=True):
                     kept.append(values_)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in found], ["query_id", "vec_id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in found], ["row", "query_id", "vec_id", "score"])
 
-    winners = cells.select("id", "q", "block", "group", "asked").mapInArrow(run, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    winners = cells.select("id", "q", "block", "group", "row").mapInArrow(run, "row long, query_id long, vec_id long, score long")
+    order = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     return winners.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -83,8 +83,8 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op6_bitsliced": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2])) AS BIGINT) AS score FROM (SELECT * FROM v WHERE vec_id % 50 = 0) a JOIN v b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q))
-SELECT * FROM (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s) WHERE rank <= 5""",
+s AS (SELECT a.turn, a.vec_id AS query_id, b.vec_id, CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2])) AS BIGINT) AS score FROM (SELECT *, row_number() OVER () AS turn FROM v WHERE vec_id % 50 = 0) a JOIN v b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q))
+SELECT * FROM (SELECT query_id, CAST(row_number() OVER (PARTITION BY turn ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s) WHERE rank <= 5""",
     "op4_lm_scoring": """WITH t AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '') AS w FROM documents),
 e AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM t), v AS (SELECT count(DISTINCT word) AS n FROM e),
 p AS (SELECT doc_id, word, coalesce(lag(word) OVER (PARTITION BY doc_id ORDER BY pos), '') AS prev FROM e),

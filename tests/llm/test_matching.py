@@ -259,3 +259,17 @@ def test_leaks_in_edge_cases(spark):
     assert left.columns == docs.columns and [r.doc_id for r in left.collect()] == [2]
     assert decontaminate.without_leaks(spark, docs.limit(0), items).count() == 0 == decontaminate.leaks(spark, docs.limit(0), items).count()
     assert decontaminate.without_leaks(spark, docs, items.limit(0)).count() == 2
+
+
+def test_top_k_of_large_components_and_repeated_queries(spark):
+    """On each side of the former limit, beyond a long, and with one ranking for each row of a repeated query id."""
+    big = [[1.0, 1.0], [5000.0, 1.0], [4095.99, 0.5], [4096.0, 0.0], [-9000.0, 2.0], [1e6, -1e6], [2.0**51, 1.0], [2.0**53, -(2.0**53)], [1e200, -1e200], [0.0, 0.0], [3.0, -7.0]]
+    rows = [(i, v) for i, v in enumerate(big)] + [(0, [2.0, -1.0]), (50, [2.0**53, 2.0**53]), (100, [1e200, 1e200])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in bitsliced.top_k(spark, frame, frame.filter("vec_id % 50 = 0")).collect()]
+    whole = [(i, [int(np.floor(x * 256)) if abs(x) < 2**40 else int(x) * 256 for x in v]) for i, v in rows]
+    want, top = [], (1 << 63) - 1
+    for q, w in ((i, v) for i, v in whole if i % 50 == 0):
+        clipped = [(min(max(sum(a * b for a, b in zip(v, w, strict=True)), -top - 1), top), i) for i, v in whole if i != q]
+        want += [(q, n, i, s) for n, (s, i) in enumerate(sorted(clipped, key=lambda x: (-x[0], x[1]))[:5], 1)]
+    assert sorted(got) == sorted(want)
