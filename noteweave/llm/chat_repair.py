@@ -8,10 +8,11 @@ empty answer may be added. Then the repaired sequence is rendered.
 
 A conversation need not fit in one task. It is cut into blocks by turn number, and a block of turns acts on
 the four states as a 4 x 4 matrix of least costs, so long conversations are solved in three steps: the
-blocks' matrices, in parallel; one pass over the matrices of each long conversation, which fixes the
-states at the blocks' borders; and the blocks' turns between fixed states, in parallel again. Texts are
-shuffled once. The result has one row for each input turn, with the piece it adds to the rendered text;
-pieces in order make up the conversation.
+blocks' matrices, in parallel; then the states at the blocks' borders, first those between groups of blocks and then
+those inside each group; and the blocks' turns between fixed states, in parallel again. Where turn numbers are missing
+or repeated so often that a block would be crowded, its conversation is dealt by the order of its turns instead, over many
+tasks, and cut into blocks there. Texts are shuffled once otherwise. The result has one row for each input turn, with
+the piece it adds to the rendered text; pieces in order make up the conversation (`rendered`).
 
 Defined results: turns are ordered by number, then role, then text, with null numbers last, so ties have
 one order; repeated rows are turns of their own; unknown and null roles are relabelled at a lower cost;
@@ -26,13 +27,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from noteweave.llm.common import checkpoint, prepare
+from noteweave.llm.common import checkpoint, prepare, spread_join, stored
 
-#: Turn numbers in a block.
-BLOCK = 512
+#: Turn numbers in a block, blocks in a group, and turns in a block that make it crowded.
+BLOCK, GROUP, CROWDED = 512, 512, 4096
 STATES = ("", "system", "user", "assistant")
 LEGAL = {0: (1, 2), 1: (2,), 2: (3,), 3: (2,)}
 NAMES = {"system": 1, "user": 2, "human": 2, "assistant": 3, "gpt": 3, "bot": 3, "model": 3}
@@ -129,40 +132,97 @@ def _runs(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator
         yield key, rows
 
 
-def repair(spark: SparkSession, turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """`conv_col`, `turn_col`, `role_col`, `action`, `out_role`, `inserted`, `cost` and `piece` for each turn."""
-    prepare(spark)
-    block = F.coalesce(F.floor(F.col(turn_col) / BLOCK), F.lit(1 << 52)).cast("long")
-    rows = turns.select(F.col(conv_col).alias("c"), block.alias("b"), F.col(turn_col).cast("long").alias("n"), F.col(role_col).cast("string").alias("r"), F.col(text_col).cast("string").alias("t"))
-    kind = rows.schema["c"].dataType.simpleString()
-    # Long conversations: the states at the borders of their blocks.
-    spans = rows.groupBy(F.col("c").alias("spanning")).agg(F.min("b").alias("low"), F.max("b").alias("high")).filter("low < high")
-    long = rows.select("c", "b", "n", "r").join(spans, F.col("c").eqNullSafe(F.col("spanning")), "left_semi")
+def path(steps: np.ndarray, enter: int, leave: int | None) -> list[tuple[int, int]]:
+    """The states before and after each of a row of matrices, at least cost from `enter` to `leave` (None: any)."""
+    costs = [np.where(np.arange(4) == enter, 0, FAR)]
+    for step in steps:
+        costs.append(np.minimum((costs[-1][:, None] + step).min(axis=0), FAR))
+    state = int(np.argmin(costs[-1] + np.array(END))) if leave is None else leave
+    ends = []
+    for at in range(len(steps) - 1, -1, -1):
+        before = int(np.argmin(costs[at] + steps[at][:, state]))
+        ends.append((before, state))
+        state = before
+    return ends[::-1]
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """`rows` (c, g, b, n, r, t), the conversations with crowded blocks cut into blocks `b` by the order of their turns."""
+    kind = rows.schema["c"].dataType
+    block, c_type = BLOCK, to_arrow_type(kind)
+    marked = rows.withColumns({"k": F.coalesce(F.col("c").cast("string"), F.lit("")), "z": F.col("c").isNull()})
+    crowded = checkpoint(marked.groupBy("k", "z", "b").agg(F.count("*").alias("size")).filter(F.col("size") > CROWDED).select("k", "z").distinct())
+    if crowded.isEmpty():
+        return rows
+    marked = spread_join(marked, crowded.withColumn("crowded", F.lit(True)), ["k", "z"], "left")
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        conv, at, part = (), 0, TaskContext.get().partitionId()
+        for batch in batches:
+            blocks = []
+            for c in batch.column("c").to_pylist():
+                conv, at = (c, at + 1) if c == conv else (c, 0)
+                blocks.append((part << 32) + at // block)
+            columns = [batch.column("c").cast(c_type), pa.array(np.full(len(blocks), part, np.int64)), pa.array(blocks, pa.int64()), *(batch.column(x) for x in ("n", "r", "t"))]
+            yield pa.RecordBatch.from_arrays(columns, ["c", "g", "b", "n", "r", "t"])
+
+    # Repeated rows are told apart by a number, so that a range can be split anywhere.
+    order = ["z", "k", F.col("n").asc_nulls_last(), "r", "t", "turn"]
+    many = marked.filter("crowded").withColumn("turn", F.monotonically_increasing_id())
+    ranged = many.repartitionByRange(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
+    cut = stored(ranged.select("c", "n", "r", "t").mapInArrow(number, f"c {kind.simpleString()}, g long, b long, n long, r string, t string"))
+    return marked.filter("crowded is null").select(*rows.columns).unionByName(cut)
+
+
+def borders(long: DataFrame) -> DataFrame:
+    """`c`, `b`, `enter`, `leave` and `last` of each block of `long` conversations (c, g, b, n, r)."""
+    kind = long.schema["c"].dataType
+    name, c_type = kind.simpleString(), to_arrow_type(kind)
+
+    def rows_of(keys: list, columns: dict[str, tuple[list, pa.DataType]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(keys, c_type), *(pa.array(x, t) for x, t in columns.values())], ["c", *columns])
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (conv, number), found in _runs(batches, ("c", "b")):
-            yield pa.RecordBatch.from_arrays([pa.array([conv], types["c"]), pa.array([number]), pa.array([block_matrix([role_number(x["r"]) for x in found])], pa.list_(pa.int64()))], ["c", "b", "m"])
+        for (conv, group, number), found in _runs(batches, ("c", "g", "b")):
+            yield rows_of([conv], {"g": ([group], pa.int64()), "b": ([number], pa.int64()), "m": ([block_matrix([role_number(x["r"]) for x in found])], pa.list_(pa.int64()))})
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (conv, group), found in _runs(batches, ("c", "g")):
+            whole = np.array(found[0]["m"]).reshape(4, 4)
+            for x in found[1:]:
+                whole = np.minimum((whole[:, :, None] + np.array(x["m"]).reshape(4, 4)).min(axis=1), FAR)
+            yield rows_of([conv], {"g": ([group], pa.int64()), "m": ([whole.ravel().tolist()], pa.list_(pa.int64()))})
 
-    def borders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (conv,), found in _runs(batches, ("c",)):
-            steps = np.array([x["m"] for x in found], np.int64).reshape(-1, 4, 4)
-            costs = [np.array([0, FAR, FAR, FAR])]
-            for step in steps:
-                costs.append(np.minimum((costs[-1][:, None] + step).min(axis=0), FAR))
-            state = int(np.argmin(costs[-1] + np.array(END)))
-            ends = []
-            for at in range(len(steps) - 1, -1, -1):
-                before = int(np.argmin(costs[at] + steps[at][:, state]))
-                ends.append((before, state))
-                state = before
-            ends.reverse()
-            yield pa.RecordBatch.from_arrays([pa.array([conv] * len(found), types["c"]), pa.array([x["b"] for x in found]), pa.array([e[0] for e in ends]), pa.array([e[1] for e in ends]), pa.array([i == len(ends) - 1 for i in range(len(ends))])], ["c", "b", "enter", "leave", "last"])
+            ends = path(np.array([x["m"] for x in found], np.int64).reshape(-1, 4, 4), 0, None)
+            yield rows_of([conv] * len(found), {"g": ([x["g"] for x in found], pa.int64()), "enter": ([e[0] for e in ends], pa.int64()), "leave": ([e[1] for e in ends], pa.int64()), "last": ([i == len(ends) - 1 for i in range(len(ends))], pa.bool_())})
+
+    def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (conv, _), found in _runs(batches, ("c", "g")):
+            border = found.pop(0)
+            ends = path(np.array([x["m"] for x in found], np.int64).reshape(-1, 4, 4), border["enter"], border["leave"])
+            last = [border["last"] and i == len(ends) - 1 for i in range(len(ends))]
+            yield rows_of([conv] * len(found), {"b": ([x["b"] for x in found], pa.int64()), "enter": ([e[0] for e in ends], pa.int64()), "leave": ([e[1] for e in ends], pa.int64()), "last": (last, pa.bool_())})
 
-    from pyspark.sql.pandas.types import to_arrow_type
+    found = checkpoint(long.repartition("c", "b").sortWithinPartitions("c", "g", "b", F.col("n").asc_nulls_last(), "r").mapInArrow(matrices, f"c {name}, g long, b long, m array<long>"))
+    groups = found.repartition("c", "g").sortWithinPartitions("c", "g", "b").mapInArrow(products, f"c {name}, g long, m array<long>")
+    fixed = groups.repartition("c").sortWithinPartitions("c", "g").mapInArrow(between, f"c {name}, g long, enter long, leave long, last boolean")
+    both = found.unionByName(fixed, allowMissingColumns=True).repartition("c", "g").sortWithinPartitions("c", "g", F.col("enter").asc_nulls_last(), "b")
+    return checkpoint(both.mapInArrow(inside, f"c {name}, b long, enter long, leave long, last boolean"))
 
+
+def repair(spark: SparkSession, turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+    """`conv_col`, `turn_col`, `role_col`, `action`, `out_role`, `inserted`, `cost` and `piece` for each turn."""
+    prepare(spark)
+    block: Column = F.coalesce(F.floor(F.col(turn_col) / BLOCK), F.lit(1 << 52)).cast("long")
+    rows = turns.select(F.col(conv_col).alias("c"), F.floor(block / GROUP).alias("g"), block.alias("b"), F.col(turn_col).cast("long").alias("n"), F.col(role_col).cast("string").alias("r"), F.col(text_col).cast("string").alias("t"))
+    rows = spread(rows)
+    kind = rows.schema["c"].dataType.simpleString()
+    # Long conversations: the states at the borders of their blocks.
+    spans = rows.groupBy(F.col("c").alias("spanning")).agg(F.min("b").alias("low"), F.max("b").alias("high")).filter("low < high")
+    fixed = borders(rows.select("c", "g", "b", "n", "r").join(spans, F.col("c").eqNullSafe(F.col("spanning")), "left_semi"))
     types = {"c": to_arrow_type(rows.schema["c"].dataType)}
-    cut = long.repartition("c", "b").sortWithinPartitions("c", "b", F.col("n").asc_nulls_last(), "r").mapInArrow(matrices, f"c {kind}, b long, m array<long>")
-    fixed = checkpoint(cut.repartition("c").sortWithinPartitions("c", "b").mapInArrow(borders, f"c {kind}, b long, enter long, leave long, last boolean"))
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (conv, _), found in _runs(batches, ("c", "b")):
@@ -178,8 +238,15 @@ def repair(spark: SparkSession, turns: DataFrame, conv_col: str = "conv_id", tur
             kinds = [types["c"], pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], ["c", "n", "r", "action", "out_role", "inserted", "cost", "piece"])
 
-    every = rows.withColumns({"enter": F.lit(None).cast("long"), "leave": F.lit(None).cast("long"), "last": F.lit(None).cast("boolean")})
+    every = rows.drop("g").withColumns({"enter": F.lit(None).cast("long"), "leave": F.lit(None).cast("long"), "last": F.lit(None).cast("boolean")})
     both = every.unionByName(fixed, allowMissingColumns=True)
     dealt = both.repartition("c", "b").sortWithinPartitions("c", "b", F.col("enter").asc_nulls_last(), F.col("n").asc_nulls_last(), "r", "t")
     out = dealt.mapInArrow(solve, f"c {kind}, n long, r string, action string, out_role string, inserted string, cost long, piece string")
     return out.select(F.col("c").alias(conv_col), F.col("n").alias(turn_col), F.col("r").alias(role_col), "action", "out_role", "inserted", "cost", "piece")
+
+
+def rendered(repaired: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role") -> DataFrame:
+    """`conv_col` and `text`: each conversation's pieces joined in order; for conversations that fit in a row."""
+    pieces = F.sort_array(F.collect_list(F.struct(F.col(turn_col).isNull().alias("z"), F.col(turn_col).alias("n"), F.col(role_col).alias("r"), "at", "piece")))
+    numbered = repaired.withColumn("at", F.monotonically_increasing_id())
+    return numbered.groupBy(conv_col).agg(F.array_join(F.transform(pieces, lambda p: p["piece"]), "").alias("text"))

@@ -145,6 +145,28 @@ def test_long_conversation_in_blocks_costs_the_same(spark):
     assert chat_repair.repair(spark, spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_crowded_blocks_are_cut(spark, monkeypatch):
+    """Turns without a number, or all of one number, or one repeated turn, at the cost of the whole conversation."""
+    for name, value in (("BLOCK", 16), ("GROUP", 4), ("CROWDED", 50)):
+        monkeypatch.setattr(chat_repair, name, value)
+    rng = random.Random(5)
+    names = ["user", "assistant", "system", "tool", None]
+    rows = [(None, None, rng.choice(names), f"t{i}", 1) for i in range(400)] + [(3, 7, rng.choice(names), f"u{i}", 1) for i in range(300)]
+    rows += [(4, 0, "user", "again", 1)] * 300 + [(5, t, rng.choice(names), f"v{t}", 1) for t in range(700)] + [(6, 0, "user", "hi", 1), (6, 1, "assistant", "yes", 1)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, c int")
+    repaired = chat_repair.repair(spark, frame)
+    got = repaired.collect()
+    assert sorted(((r.conv_id or 0, r.turn or 0, r.role or "") for r in got)) == sorted(((c or 0, n or 0, r or "") for c, n, r, _, _ in rows))
+    for conv in (None, 3, 4, 5, 6):
+        own = sorted((r for r in rows if r[0] == conv), key=lambda r: (r[1] is None, r[1] or 0, r[2] is not None, r[2] or "", r[3]))
+        roles = [chat_repair.role_number(r[2]) for r in own]
+        path = chat_repair.chosen(roles, 0, None)
+        whole = sum(next(m[2] for m in chat_repair.MOVES[r] if (m[0], m[1], m[3], m[4]) == step) for r, step in zip(roles, path, strict=True)) + chat_repair.END[path[-1][1]]
+        assert sum(r.cost for r in got if r.conv_id == conv) == whole
+    text = {r.conv_id: r.text for r in chat_repair.rendered(repaired).collect()}
+    assert text[6] == "<|user|>\nhi<|end|>\n<|assistant|>\nyes<|end|>\n" and text[4].count("again") == 300
+
+
 @pytest.mark.parametrize("heavy, held, bucket", [(500_000, 1 << 22, 1 << 22), (20, 64, 50), (1, 1, 7)])
 def test_lm_scores_equal_plain_models(spark, monkeypatch, heavy, held, bucket):
     """Equal where all keys are broadcast, where some go to many buckets from many parts, and where nearly all do."""
