@@ -11,13 +11,14 @@
 
 Aggregations are partial before they shuffle, so a host with a third of all rows is one short row for each
 task. The table of host priors is broadcast only if its counted size is within BROADCAST_HOSTS; beyond
-that it is joined by shuffle.
+that it is joined by shuffle, with hot hosts split.
 
 Defined results: null or empty texts are judged by the other evidence alone; rows without any evidence
 get the global prior's best language with its posterior; a null or malformed address has the empty host; an
 unknown declared language counts as declared "other", a missing one as not declared; ties go to the
-language first in alphabetical order; repeated rows count as often as they stand; an empty table gives an
-empty result; further columns are kept by `evidence` and clashing names are avoided by a reserved prefix.
+language first in alphabetical order; repeated rows count as often as they stand, but a repeated id trains once, with
+its smallest text; without any labelled row no language is known, so pages get null and `keep_identified` keeps nothing; an
+empty table gives an empty result; further columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noteweave.llm.common import checkpoint, prepare, small_batches
+from noteweave.llm.common import checkpoint, named, positional, prepare, small_batches, spread_join, stored
 
 #: Labelled rows that the text models are trained on: a documented bound.
 SAMPLE = 3_000
@@ -83,16 +84,16 @@ class TextModel:
 
 
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", bound: int = SAMPLE) -> TextModel:
-    """Train on the `bound` labelled rows that come first in the order of a hash of the id.
+    """Train on the `bound` labelled ids that come first in the order of a hash.
 
     The hashes alone are sorted; then the texts up to the last hash are fetched, so that the driver gets
     `bound` texts and not as many from every task.
     """
     rows = labelled.filter(F.col(text_col).isNotNull() & (F.coalesce(F.col(lang_col), F.lit("")) != ""))
     rows = rows.select(F.xxhash64(id_col).alias("h"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
-    last = rows.select("h").orderBy("h").limit(bound).agg(F.max("h")).first()[0]
-    drawn = rows.filter(F.col("h") <= last).limit(2 * bound).collect() if last is not None else []
-    return TextModel.train(sorted((r.t, r.l) for r in drawn))
+    last = rows.select("h").distinct().orderBy("h").limit(bound).agg(F.max("h")).first()[0]
+    drawn = rows.filter(F.col("h") <= last).groupBy("h").agg(F.min(F.struct("t", "l")).alias("r")).collect() if last is not None else []
+    return TextModel.train(sorted((r.r.t, r.r.l) for r in drawn))
 
 
 def code(value: Column) -> Column:
@@ -201,7 +202,7 @@ def fuse(rows: DataFrame, prior: DataFrame, channels: list[list[dict[str, float]
     """`rows` with `_lang` and `_posterior`, and without the columns of evidence."""
     n = len(languages)
     few = prior.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
-    joined = rows.join(F.broadcast(prior) if few else prior, "_host", "left")
+    joined = rows.join(F.broadcast(prior), "_host", "left") if few else spread_join(stored(rows), prior, ["_host"], "left")
     spoken = F.col("_scores")
     parts = [F.col("_prior")]
     for name, channel in zip(("_declared", "_suffix"), channels, strict=True):
@@ -219,6 +220,8 @@ def fuse(rows: DataFrame, prior: DataFrame, channels: list[list[dict[str, float]
 
 def identify_pages(spark: SparkSession, pages: DataFrame, model: TextModel, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """`id_col`, `url_col`, `lang` and `posterior` for each page."""
+    if not model.languages:
+        return pages.select(id_col, url_col, F.lit(None).cast("string").alias("lang"), F.lit(None).cast("double").alias("posterior"))
     narrow = pages.select(F.col(id_col).alias("i"), F.col(url_col).alias("u"), F.col(html_col).alias("_html"))
     rows = checkpoint(evidence(spark, narrow, model, "_html", True, None, F.col("u")).drop("_html"))
     prior, channels = priors(rows, len(model.languages))
@@ -231,7 +234,12 @@ def keep_identified(spark: SparkSession, docs: DataFrame, model: TextModel, leas
 
     The source stands for the host. Texts are read twice and never shuffled.
     """
-    rows = evidence(spark, docs, model, text_col, False, F.col(lang_col), None, F.col(source_col))
-    prior, channels = priors(rows.drop(*docs.columns), len(model.languages))
+    columns = docs.columns
+    text, lang, source = (f"c{columns.index(c)}" for c in (text_col, lang_col, source_col))
+    plain = positional(docs)
+    if not model.languages:
+        return docs.filter(F.lit(False))
+    rows = evidence(spark, plain, model, text, False, F.col(lang), None, F.col(source))
+    prior, channels = priors(rows.drop(*plain.columns), len(model.languages))
     found = fuse(rows, prior, channels, model.languages)
-    return found.filter((F.col("_posterior") >= least) & F.col(text_col).rlike(r"\p{L}")).select(*(F.col(c) for c in docs.columns))
+    return named(found.filter((F.col("_posterior") >= least) & F.col(text).rlike(r"\p{L}")), columns)
