@@ -4,8 +4,8 @@ A pre-token's best segmentation maximises the sum of its pieces' scores. The for
 best score of its segmentations, and how many pieces that takes) does not depend on what follows, so
 the different pre-tokens are inserted in a trie and each node's forward value is computed once, from the
 values of the nodes above it; a terminal node stores the pre-token's count. A document's count is the sum
-over its pre-tokens. Each worker keeps one trie of at most KEPT nodes and starts anew beyond that, so memory
-is bounded and nothing is shuffled.
+over its pre-tokens. Each worker keeps one trie of at most KEPT nodes and starts anew beyond that, and pre-tokens of
+more than LONGEST characters go through the same recursion without nodes, so memory is bounded and nothing is shuffled.
 
 The vocabulary is a public tokenizer's file; nothing is trained. Pieces are scored by their rank in the
 file, -log(rank + 1) - log(harmonic sum), Zipf's law, since such files carry ranks and not probabilities.
@@ -30,6 +30,8 @@ from noteweave.llm.common import prepare, small_batches
 
 #: Trie nodes, and pre-tokens with a stored count, that a worker keeps.
 KEPT = 400_000
+#: Longer pre-tokens are not inserted.
+LONGEST = 256
 #: The mark of a pre-token's start in the vocabulary.
 START = "▁"
 
@@ -68,6 +70,8 @@ class Trie:
             return found
         if len(self.above) > KEPT or len(self.terminal) > KEPT:
             self.clear()
+        if len(token) > LONGEST:
+            return self.plain(START + token)
         node, child, word = 0, self.child, START + token
         for end, letter in enumerate(word, 1):
             following = child.get((node, letter))
@@ -75,6 +79,21 @@ class Trie:
         self.terminal[token] = self.count[node]
         return self.count[node]
 
+    def plain(self, word: str) -> int:
+        """The same recursion for one long word, without nodes."""
+        values = [(0.0, 0)]
+        for end in range(1, len(word) + 1):
+            score, count = values[-1][0] + self.unknown, values[-1][1] + 1
+            begin = end - 1
+            while begin >= 0 and (part := word[begin:end]) in self.suffixes:
+                if (own := self.pieces.get(part)) is not None:
+                    new, n = values[begin][0] + own, values[begin][1] + 1
+                    if new > score or new == score and n < count:
+                        score, count = new, n
+                begin -= 1
+            values.append((score, count))
+        return values[-1][1]
+
     def insert(self, node: int, letter: str, word: str, end: int) -> int:
         """A new node below `node`; its forward value comes from the nodes on the way up."""
         score, count = self.best[node] + self.unknown, self.count[node] + 1

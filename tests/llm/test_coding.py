@@ -202,3 +202,15 @@ def test_lm_scores_equal_plain_models(spark, monkeypatch, heavy, held, bucket):
     means = [sum(r.score for r in got if r.n_tokens == 40 and r.doc_id % 2 == odd) for odd in (0, 1)]
     assert means[0] < means[1]
     assert lm_scoring.score(spark, docs.limit(0), targets).count() == 0
+
+
+def test_trie_edges(spark):
+    """Very long pre-tokens and texts, null and empty texts, clashing names, an empty table."""
+    rows = [(1, "é" * 5000 + " the", "a"), (2, None, None), (3, " \n", "b"), (4, "the and " * 30000, "c"), (4, "the", "d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_tokens string")
+    got = sorted(tuple(r) for r in trie_counts.count_tokens(spark, docs, PIECES).collect())
+    trie = trie_counts.Trie(trie_counts.scores(PIECES))
+    word = "ab" * 100
+    assert trie.plain(trie_counts.START + word) == trie.terminal_count(word)
+    assert [(i, p) for i, _, p in got] == [(1, 2), (2, 0), (3, 0), (4, 1), (4, 60000)] and got[4][1] == 60000 and got[1][1] == 0
+    assert trie_counts.count_tokens(spark, docs.limit(0), PIECES).count() == 0
