@@ -18,7 +18,7 @@ that share such a word are linked to the smallest of them. Two fingerprints diff
 exactly if they share such a word, so this is exact and linear too.
 
 Components come from alternating large-star and small-star rounds over the links, each round
-checkpointed in the shared folder, so nothing is gathered in one place.
+checkpointed in the shared folder, so nothing is gathered in one place; nodes with very many links are split.
 
 Defined results: null, empty and white-space-only texts have fingerprint zero and link like any other;
 with fewer words than a shingle the whole sequence is the one shingle; a repeated doc_id keeps its rows,
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from noteweave.llm.common import checkpoint, prepare, small_batches
+from noteweave.llm.common import checkpoint, prepare, small_batches, spread_join
 
 #: Lowest bit and width of each segment.
 SEGMENTS = ((42, 22), (21, 21), (0, 21))
@@ -200,7 +200,7 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.filter("b > a").join(low, "a").select(F.col("m").alias("a"), "b").filter("a < b").distinct()
+        large = spread_join(both.filter("b > a"), low, ["a"]).select(F.col("m").alias("a"), "b").filter("a < b").distinct()
         down = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(down, "b")
         edges = checkpoint(small.select(F.col("m").alias("a"), F.when(F.col("a") == F.col("m"), F.col("b")).otherwise(F.col("a")).alias("b")).filter("a < b").distinct())

@@ -1,6 +1,11 @@
-"""Near-duplicate removal for corpora: similarity 0.8 on five-word shingles, found without loss.
+"""Near-duplicate removal for corpora: SimHash by Golay-code keys, verified, and made whole for similarity 0.8.
 
-Candidates come from prefixes. Each text's different shingles are put in one order that all texts share, rare
+SimHash comes first: fingerprints over five-word shingles, the fuzzy keys of `simhash`, and links at two or fewer
+differing bits, each verified by the similarity of the shingle sets. It joins copies with few edits at little cost.
+But two texts at a Jaccard similarity of 0.8 often differ in more bits (a copy with a paragraph more nearly always), and
+a radius that holds them would link unrelated texts, so what it may miss is looked for by prefixes of the shingles.
+
+Each text's different shingles are put in one order that all texts share, rare
 ones first. Two texts at a Jaccard similarity of 0.8 share four fifths of either's shingles, so the first
 shingle they share is among the first n - ceil(0.8 n) + 1 of either, and as many follow it in both as the
 similarity asks for. Texts that share such a key at places that leave room for the similarity are compared by
@@ -14,7 +19,7 @@ component anyway, so the components are those of all pairs.
 
 Defined results: null texts and texts without words are duplicates of equal texts only; with fewer words than
 a shingle the whole sequence is the one shingle; of each group the row with the smallest id stays, once
-if it is repeated, nulls last; an empty table gives an empty result; all columns are kept.
+if it is repeated (that with the smallest hash of all columns), nulls last; an empty table gives an empty result; all columns are kept.
 """
 
 from __future__ import annotations
@@ -26,7 +31,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from noteweave.llm.common import checkpoint, prepare, small_batches, stored
+from noteweave.llm import simhash
+from noteweave.llm.common import checkpoint, named, positional, prepare, small_batches, spread_join, stored
 from noteweave.llm.simhash import PAIRWISE, components, shingle_hashes
 
 SHINGLE, SIMILAR = 5, 0.8
@@ -124,6 +130,14 @@ def verified(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     return checkpoint(both.filter(common >= SIMILAR * (F.size("sa") + F.size("sb") - common)).filter(common > 0).select("a", "b"))
 
 
+def simhash_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs `a` < `b` with equal fingerprints (with the smallest node of each) or linked ones, not yet verified."""
+    fps = checkpoint(simhash.fingerprints(nodes.sparkSession, nodes, "node", "t", SHINGLE))
+    first = checkpoint(fps.groupBy("fp").agg(F.min("node").alias("node")))
+    equal = spread_join(fps, first.withColumnRenamed("node", "a"), ["fp"]).filter("a < node").select("a", F.col("node").alias("b"))
+    return equal.unionByName(simhash.links(first))
+
+
 def links(nodes: DataFrame) -> DataFrame:
     """Links `a` < `b` that have the components of all pairs whose similarity is SIMILAR or more."""
     keys = shared_keys(nodes)
@@ -132,7 +146,7 @@ def links(nodes: DataFrame) -> DataFrame:
     ordered = (F.col("x_n") < F.col("y_n")) | (F.col("x_n") == F.col("y_n")) & (F.col("x_node") < F.col("y_node"))
     pairs = paired(side(few.filter(short), "x").join(side(few, "y"), "key").filter(ordered))
     stars = many.filter("first < node").select(F.col("first").alias("a"), F.col("node").alias("b"))
-    found = verified(nodes, pairs.unionByName(stars).distinct())
+    found = verified(nodes, pairs.unionByName(stars).unionByName(simhash_pairs(nodes)).distinct())
     if many.isEmpty():
         return found
     named = many.drop("first").join(components(found), "node", "left").select("key", "node", "n", "at", "members", F.coalesce("component", "node").alias("c"))
@@ -152,17 +166,16 @@ def links(nodes: DataFrame) -> DataFrame:
 def deduplicate(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group of near-duplicates, with all columns."""
     prepare(spark)
-    columns, text = docs.columns, F.col(text_col)
-    hashes = {"_h1": F.xxhash64(text), "_h2": F.xxhash64(text, F.lit(1))}
-    marked = docs.withColumns(hashes).withColumn("_id", F.col(id_col).cast("long"))
-    first = checkpoint(marked.groupBy("_h1", "_h2").agg(F.min("_id").alias("_id")))
+    columns, plain = docs.columns, positional(docs)
+    own, text = (f"c{columns.index(c)}" for c in (id_col, text_col))
+    marked = plain.withColumns({"h1": F.xxhash64(text), "h2": F.xxhash64(text, F.lit(1)), "id": F.col(own).cast("long")})
+    first = checkpoint(marked.groupBy("h1", "h2").agg(F.min("id").alias("id")))
     # Without an id a text is named by its hash, below all ids that are not negative.
-    node = F.coalesce("_id", -F.abs(F.col("_h1") % F.lit(1 << 62)) - 1)
-    named = first.withColumn("_node", node)
-    keys = ["_h1", "_h2", "_id"]
-    once = Window.partitionBy(*keys).orderBy(F.lit(0))
-    kept = marked.withColumn("_id", F.coalesce("_id", F.lit(0))).join(named.withColumn("_id", F.coalesce("_id", F.lit(0))), keys).withColumn("_turn", F.row_number().over(once)).filter("_turn = 1")
-    nodes = stored(kept.select(*columns, "_node"))
-    groups = components(links(nodes.select(F.col("_node").alias("node"), F.col(text_col).cast("string").alias("t"))))
-    gone = groups.filter("node != component").select(F.col("node").alias("_node"))
-    return nodes.join(gone, "_node", "left_anti").select(*columns)
+    first = first.withColumn("node", F.coalesce("id", -F.abs(F.col("h1") % F.lit(1 << 62)) - 1)).withColumn("id", F.coalesce("id", F.lit(0)))
+    keys = ["h1", "h2", "id"]
+    once = Window.partitionBy(*keys).orderBy(F.xxhash64(*plain.columns))
+    kept = marked.withColumn("id", F.coalesce("id", F.lit(0))).join(first, keys).withColumn("turn", F.row_number().over(once)).filter("turn = 1")
+    nodes = stored(kept.select(*plain.columns, "node"))
+    groups = components(links(nodes.select("node", F.col(text).cast("string").alias("t"))))
+    gone = groups.filter("node != component").select("node")
+    return named(nodes.join(gone, "node", "left_anti"), columns)

@@ -215,3 +215,81 @@ def test_surrogates_keep_clashing_columns(spark):
     docs = spark.createDataFrame(rows, "doc_id int, " + ", ".join(f"{c} string" for c in columns[1:]))
     got = pii.pseudonymise(docs, "k")
     assert got.columns == columns and sorted(tuple(r)[2:] for r in got.collect() if r.found) == sorted(r[2:] for r in rows if r[2])
+
+
+def test_language_posteriors_equal_plain_bayes(spark):
+    """The fused posteriors, recomputed row by row: text, declared language, suffix and smoothed host priors."""
+    import math
+
+    texts = {"en": "the of and that is for it was with his they", "de": "der die und das ist nicht mit ein auch sich", "fr": "le la les et des une est pas que dans"}
+    model = language_id.TextModel.train([(t, lang) for lang, t in texts.items()])
+    words = [w.split() for w in texts.values()]
+    rows = []
+    for i in range(60):
+        said = " ".join(words[i % 3][i % 5 : i % 5 + 3]) if i % 7 else ""
+        declared = ["en-US", "de", "", "fr", "xx"][i % 5]
+        url = ["https://a.b.de/x", "https://c.b.de/fr/y", "http://x.co.uk/", None, "https://q.org/de/1"][i % 4]
+        rows.append((i, url, f"<html lang='{declared}'><p>{said}</p>" if i % 11 else None))
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    n, names = 3, model.languages
+    soft = lambda x: [math.exp(v - max(x)) / sum(math.exp(u - max(x)) for u in x) for v in x]
+    facts = []
+    for _, url, page in rows:
+        plain = language_id._MARKUP.sub(" ", page) if page else page
+        found = re.search(r"lang\s*=\s*[\"']?([A-Za-z-]+)", page or "")
+        host = re.match(r"https?://([^/]*)", url)[1] if url else ""
+        domain = ".".join(host.split(".")[-3:] if host.endswith(".co.uk") else host.split(".")[-2:])
+        path = re.match(r"https?://[^/]*/([a-z]{2})/", url or "")
+        suffix = language_id.SUFFIXES.get(path[1] if path else None) or language_id.SUFFIXES.get(host.rsplit(".", 1)[-1], "")
+        facts.append((list(model.scores(plain)), found[1].split("-")[0].lower() if found else "", suffix, host, domain))
+    post = [soft(f[0]) for f in facts]
+    total = lambda test: [sum(p[i] for p, f in zip(post, facts, strict=True) if test(f)) for i in range(n)]
+    mass = total(lambda f: True)
+    start = [(m + 1) / (sum(mass) + n) for m in mass]
+    smooth = lambda counts, above: [(c + 20 * a) / (sum(counts) + 20) for c, a in zip(counts, above, strict=True)]
+    got = {r.page_id: r for r in language_id.identify_pages(spark, frame, model).collect()}
+    for (i, _, _), fact in zip(rows, facts, strict=True):
+        level = smooth(total(lambda f: f[3] == fact[3]), smooth(total(lambda f: f[4] == fact[4]), start))  # noqa: B023
+        score = [a + math.log(p) for a, p in zip(fact[0], level, strict=True)]
+        for channel in (1, 2):
+            kinds = {f[channel] for f in facts}
+            if fact[channel]:
+                own = total(lambda f: f[channel] == fact[channel])  # noqa: B023
+                score = [s + math.log((own[j] + 1) / (mass[j] + len(kinds) + 1)) for j, s in enumerate(score)]
+        want = soft(score)
+        assert got[i].posterior == pytest.approx(max(want), abs=1e-9) and got[i].lang == names[want.index(max(want))]
+
+
+def test_language_without_labels_or_rows(spark, monkeypatch):
+    schema = "doc_id long, text string, lang string, source string, c0 string, _host string, _scores int"
+    rows = [(1, "the of and that is", None, "s", "a", "b", 1), (None, None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, schema)
+    none = language_id.train(docs)
+    assert none.languages == [] and language_id.keep_identified(spark, docs, none).count() == 0
+    pages = spark.createDataFrame([(1, "https://a.de/", "<p>x</p>")], "page_id long, url string, html string")
+    assert [tuple(r) for r in language_id.identify_pages(spark, pages, none).collect()] == [(1, "https://a.de/", None, None)]
+    labelled = docs.unionByName(spark.createDataFrame([(i, "the of and that is", "en", "s", "a", "b", 1) for i in (1, 2, 2, 2, 2)], schema))
+    model = language_id.train(labelled, bound=2)
+    assert model.languages == ["en"]
+    monkeypatch.setattr(language_id, "BROADCAST_HOSTS", 0)
+    kept = language_id.keep_identified(spark, labelled, model)
+    assert kept.columns == labelled.columns and sorted(r.doc_id for r in kept.collect()) == [1, 1, 2, 2, 2, 2]
+
+
+def test_pipeline_stages_on_odd_tables(spark, sf):
+    """Each stage on an empty table, unlabelled rows, null columns, a very long text and clashing names."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, node long, c0 string, h1 string"
+    long = " ".join(f"word{i % 997}x{i % 89}" for i in range(40000))
+    rows = [(1, long, "en", "s", 1, 1, "a", "b"), (2, None, None, None, None, None, None, None), (2, None, None, None, None, None, None, None), (3, "", "en", "s", 0, 1, "a", "b"), (None, "The same words twice here, and of the.", "en", "s", 1, 1, "a", "b"), (4, "The same words twice here, and of the.", "en", "s", 1, 1, "a", "b")]
+    for docs in (spark.createDataFrame([], schema), spark.createDataFrame(rows, schema), spark.createDataFrame([r[:2] + (None,) + r[3:] for r in rows], schema)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, sf)
+            if name != "encode":
+                assert out.columns == docs.columns
+            kept = out.collect()
+            if docs.isEmpty():
+                assert not kept
+            if name == "near_duplicates" and not docs.isEmpty():
+                assert sorted((r.doc_id or 0) for r in kept) == [1, 2, 3, 4]
+            if name in ("personal_data", "encode"):
+                assert len(kept) == docs.count()
