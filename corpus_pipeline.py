@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from noteweave.llm import bpe_automaton, decontaminate, language_id, pii, simhash_dedup
 from noteweave.llm.common import checkpoint
-from noteweave.llm.registry import SECRET, VOCABULARY
+from noteweave.llm.registry import VOCABULARY, secret
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +35,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace entities, and count the characters anew."""
     columns = docs.columns
-    out = pii.pseudonymise(docs, SECRET)
+    out = pii.pseudonymise(docs, secret(spark))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*columns) if "n_chars" in columns else out
 
 
