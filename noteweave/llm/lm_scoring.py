@@ -40,8 +40,8 @@ from noteweave.llm.common import prepare, small_batches, stored
 
 #: Weight of the uniform prior, in tokens.
 PRIOR = 4.0
-#: A key with 1 / HEAVY of all entries is broadcast; entries that a task holds at a time; entries in a bucket.
-HEAVY, HELD, BUCKET = 500_000, 1 << 22, 1 << 22
+#: A key with 1 / HEAVY of all entries is broadcast; entries that a task holds at a time while it counts, and while it packs; entries in a bucket.
+HEAVY, HELD, PACKED, BUCKET = 500_000, 1 << 22, 1 << 21, 1 << 22
 #: Target ids are broadcast up to this many, and joined by shuffle beyond.
 BROADCAST_IDS = 2_000_000
 #: Word hashes that a task remembers.
@@ -160,7 +160,7 @@ def packed(rows: DataFrame, kind: str, shared, size: int, buckets: int) -> DataF
     `part` numbers the part and `doc` a document in it. One row of each part brings its documents' ids, token numbers
     and sums, in which keys that are not heavy count as if no other document had them.
     """
-    id_type, limit = to_arrow_type(rows.schema["i"].dataType), HELD
+    id_type, limit = to_arrow_type(rows.schema["i"].dataType), PACKED
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heavy, values = shared.value

@@ -170,7 +170,7 @@ def test_crowded_blocks_are_cut(spark, monkeypatch):
 @pytest.mark.parametrize("heavy, held, bucket", [(500_000, 1 << 22, 1 << 22), (20, 64, 50), (1, 1, 7)])
 def test_lm_scores_equal_plain_models(spark, monkeypatch, heavy, held, bucket):
     """Equal where all keys are broadcast, where some go to many buckets from many parts, and where nearly all do."""
-    for name, value in (("HEAVY", heavy), ("HELD", held), ("BUCKET", bucket)):
+    for name, value in (("HEAVY", heavy), ("HELD", held), ("PACKED", held), ("BUCKET", bucket)):
         monkeypatch.setattr(lm_scoring, name, value)
     rng = random.Random(3)
     rows = [(i, " ".join(rng.choices("a b c d e".split(), weights=[5, 4, 3, 2, 1 + i % 2 * 6], k=40))) for i in range(20)] + [(20, None), (21, ""), (5, "a b a")]
