@@ -9,7 +9,7 @@ Each text's different shingles are put in one order that all texts share, rare
 ones first. Two texts at a Jaccard similarity of 0.8 share four fifths of either's shingles, so the first
 shingle they share is among the first n - ceil(0.8 n) + 1 of either, and as many follow it in both as the
 similarity asks for. Texts that share such a key at places that leave room for the similarity are compared by
-their shingle sets, and the links found make components. Any order is without loss; the order by counts in
+their shingle sets unless SimHash links hold them together already, and the links found make components. Any order is without loss; the order by counts in
 a sample of SAMPLE texts only keeps common shingles (license lines, templates) out of most prefixes.
 
 A key shared by more than PAIRWISE texts is not expanded into pairs at once: its texts are first compared with
@@ -38,6 +38,8 @@ from noteweave.llm.simhash import PAIRWISE, components, shingle_hashes
 SHINGLE, SIMILAR = 5, 0.8
 #: Texts whose shingles are counted for the order, the least count that is listed, and the side of a block of pairs.
 SAMPLE, LISTED, BLOCK = 20_000, 4, 1024
+#: Characters of texts for each bucket of keys, keys that a task holds at a time, and nodes whose list is broadcast.
+CHARS, HELD, BROADCAST_NODES = 1 << 24, 1 << 20, 2_000_000
 
 
 def common_shingles(nodes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -56,14 +58,28 @@ def common_shingles(nodes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return hashes[order], counts[order]
 
 
-def prefix_keys(nodes: DataFrame) -> DataFrame:
-    """`key`, `node`, `n` (the text's shingles), `at` (place in the order) and `listed` of each text's prefix."""
+def packed_keys(nodes: DataFrame, buckets: int) -> DataFrame:
+    """The keys of each text's prefix by bucket, in arrays: `key`, `node`, `n` (the text's shingles), `at` (place in the order) and `listed`.
+
+    Listed keys may be hot, so they are dealt by node and not by key.
+    """
     shared = nodes.sparkSession.sparkContext.broadcast(common_shingles(nodes))  # SAMPLE texts' shingles / LISTED at most
+    limit = HELD
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, counts = shared.value
+        parts, held = [], 0
+
+        def out() -> pa.RecordBatch:
+            key, node, n, at, listed = (np.concatenate(x) for x in zip(*parts, strict=True))
+            bucket = (np.where(listed, node * 0x9E3779B1, key).view(np.uint64) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            names, first = np.unique(bucket[order], return_index=True)
+            ends = pa.array(np.append(first, len(order)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x[order])) for x in (key, node, n, at, listed)]
+            return pa.RecordBatch.from_arrays([pa.array(names), *lists], ["bucket", "key", "node", "n", "at", "listed"])
+
         for batch in small_batches(batches, "t"):
-            parts = []
             for node, text in zip(batch.column("node").to_pylist(), batch.column("t").cast(pa.binary()).to_pylist(), strict=True):
                 found = np.unique(shingle_hashes(text, SHINGLE))
                 n = len(found)
@@ -76,24 +92,36 @@ def prefix_keys(nodes: DataFrame) -> DataFrame:
                 length = n - (4 * n + 4) // 5 + 1
                 first = np.argsort(seen, kind="stable")[:length]
                 parts.append((found[first].view(np.int64), np.full(length, node, np.int64), np.full(length, n, np.int32), np.arange(length, dtype=np.int32), seen[first] > 0))
-            if parts:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], ["key", "node", "n", "at", "listed"])
+                held += length
+            if held > limit:
+                yield out()
+                parts, held = [], 0
+        if parts:
+            yield out()
 
-    return nodes.select("node", "t").mapInArrow(run, "key long, node long, n int, at int, listed boolean")
+    return nodes.select("node", "t").mapInArrow(run, "bucket long, key array<long>, node array<long>, n array<int>, at array<int>, listed array<boolean>")
 
 
 def shared_keys(nodes: DataFrame) -> DataFrame:
-    """The rows of prefix keys that texts share, with `members` and the key's smallest node `first`.
-
-    Listed keys may be hot: they are counted by aggregation and joined by broadcast, the others go by window.
-    """
-    keys = stored(prefix_keys(nodes))
-    members, first = F.count("*").alias("members"), F.min("node").alias("first")
-    group = Window.partitionBy("key")
-    rare = keys.filter("not listed").select("key", "node", "n", "at", F.count("*").over(group).alias("members"), F.min("node").over(group).alias("first"))
-    hot = keys.filter("listed")
-    hot = hot.join(F.broadcast(hot.groupBy("key").agg(members, first)), "key").select(*rare.columns)
-    return stored(rare.filter("members > 1").unionByName(hot.filter("members > 1")))
+    """The rows of prefix keys that texts share, with `members` and the key's smallest node `first`."""
+    size = nodes.agg(F.sum(F.length("t"))).first()[0] or 0
+
+    def shared(table: pa.Table) -> pa.Table:
+        key, node, n, at, listed = (np.concatenate([np.zeros(0, t), *(c.flatten().to_numpy(zero_copy_only=False) for c in table.column(x).chunks)]) for x, t in (("key", np.int64), ("node", np.int64), ("n", np.int32), ("at", np.int32), ("listed", bool)))
+        order = np.lexsort((node, key))
+        key, node, n, at, listed = (x[order] for x in (key, node, n, at, listed))
+        start = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+        members = np.diff(np.append(start, len(key)))
+        first = np.repeat(node[start], members)
+        members = np.repeat(members, members)
+        keep = listed | (members > 1)
+        return pa.table([pa.array(x[keep]) for x in (key, node, n, at, members, first, listed)], names=["key", "node", "n", "at", "members", "first", "listed"])
+
+    found = packed_keys(nodes, -(-size // CHARS) or 1).groupBy("bucket").applyInArrow(shared, "key long, node long, n int, at int, members long, first long, listed boolean")
+    found = stored(found)
+    rare, hot = found.filter("not listed").drop("listed"), found.filter("listed").drop("members", "first", "listed")
+    counted = hot.groupBy("key").agg(F.count("*").alias("members"), F.min("node").alias("first")).filter("members > 1")
+    return rare.unionByName(hot.join(F.broadcast(counted), "key"))  # no more keys than are listed
 
 
 def side(rows: DataFrame, name: str) -> DataFrame:
@@ -123,30 +151,40 @@ def shingle_sets(nodes: DataFrame) -> DataFrame:
 def verified(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs `a` < `b` whose similarity is SIMILAR or more."""
     pairs = checkpoint(pairs)
-    named = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = checkpoint(shingle_sets(nodes.join(named, "node", "left_semi")))
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+    held = checkpoint(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct())
+    few = held.count() <= BROADCAST_NODES
+    sets = stored(shingle_sets(nodes.join(F.broadcast(held) if few else held, "node", "left_semi")))
+    both = spread_join(spread_join(pairs, sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), ["b"]), sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), ["a"])
     common = F.size(F.array_intersect("sa", "sb"))
     return checkpoint(both.filter(common >= SIMILAR * (F.size("sa") + F.size("sb") - common)).filter(common > 0).select("a", "b"))
 
 
 def simhash_pairs(nodes: DataFrame) -> DataFrame:
-    """Pairs `a` < `b` with equal fingerprints (with the smallest node of each) or linked ones, not yet verified."""
+    """Pairs `a` < `b`, not yet verified: each text with the smallest one of its fingerprint, and with the smallest linked one."""
     fps = checkpoint(simhash.fingerprints(nodes.sparkSession, nodes, "node", "t", SHINGLE))
     first = checkpoint(fps.groupBy("fp").agg(F.min("node").alias("node")))
     equal = spread_join(fps, first.withColumnRenamed("node", "a"), ["fp"]).filter("a < node").select("a", F.col("node").alias("b"))
-    return equal.unionByName(simhash.links(first))
+    return equal.unionByName(simhash.links(first).groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+
+
+def apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The pairs whose ends are not in one component (`node`, `component`) already."""
+    named = pairs
+    for end in ("a", "b"):
+        named = named.join(groups.select(F.col("node").alias(end), F.col("component").alias(f"c{end}")), end, "left")
+    return named.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
 
 def links(nodes: DataFrame) -> DataFrame:
     """Links `a` < `b` that have the components of all pairs whose similarity is SIMILAR or more."""
+    found = verified(nodes, simhash_pairs(nodes))
     keys = shared_keys(nodes)
     few, many = keys.filter(F.col("members") <= PAIRWISE), keys.filter(F.col("members") > PAIRWISE)
     short = F.col("at") <= F.col("n") - F.ceil(8 * F.col("n") / 9)
     ordered = (F.col("x_n") < F.col("y_n")) | (F.col("x_n") == F.col("y_n")) & (F.col("x_node") < F.col("y_node"))
     pairs = paired(side(few.filter(short), "x").join(side(few, "y"), "key").filter(ordered))
     stars = many.filter("first < node").select(F.col("first").alias("a"), F.col("node").alias("b"))
-    found = verified(nodes, pairs.unionByName(stars).unionByName(simhash_pairs(nodes)).distinct())
+    found = found.unionByName(verified(nodes, apart(pairs.unionByName(stars).distinct(), components(found))))
     if many.isEmpty():
         return found
     named = many.drop("first").join(components(found), "node", "left").select("key", "node", "n", "at", "members", F.coalesce("component", "node").alias("c"))
@@ -159,8 +197,8 @@ def links(nodes: DataFrame) -> DataFrame:
     own, every = F.pmod(F.xxhash64("node"), blocks), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))
     left = side(rows.filter("c != largest").withColumn("mine", own).withColumn("other", every), "x")
     right = side(rows.withColumn("other", own).withColumn("mine", every), "y")
-    apart = (F.col("x_c") != F.col("y_c")) & ((F.col("y_c") == F.col("y_largest")) | (F.col("x_node") < F.col("y_node")))
-    return found.unionByName(verified(nodes, paired(left.join(right, ["key", "mine", "other"]).filter(apart))))
+    other = (F.col("x_c") != F.col("y_c")) & ((F.col("y_c") == F.col("y_largest")) | (F.col("x_node") < F.col("y_node")))
+    return found.unionByName(verified(nodes, paired(left.join(right, ["key", "mine", "other"]).filter(other))))
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
