@@ -40,6 +40,8 @@ SHINGLE, SIMILAR = 5, 0.8
 SAMPLE, LISTED, BLOCK = 20_000, 4, 1024
 #: Characters of texts for each bucket of keys, keys that a task holds at a time, and nodes whose list is broadcast.
 CHARS, HELD, BROADCAST_NODES = 1 << 24, 1 << 20, 2_000_000
+#: Counters in a text's sketch.
+COUNTERS = 64
 
 
 def common_shingles(nodes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -137,31 +139,63 @@ def paired(joined: DataFrame) -> DataFrame:
     return joined.filter(room()).select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
 
 
+def short_hashes(text: bytes | None) -> np.ndarray:
+    """The 32-bit hashes of the text's different shingles."""
+    return np.unique(shingle_hashes(text, SHINGLE).astype(np.uint32))
+
+
 def shingle_sets(nodes: DataFrame) -> DataFrame:
-    """`node` and `s`, the 32-bit hashes of the text's different shingles."""
+    """`node` and `s`, the hashes of the text's different shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "t"):
-            found = [np.unique(shingle_hashes(t, SHINGLE).astype(np.uint32)).view(np.int32) for t in batch.column("t").cast(pa.binary()).to_pylist()]
+            found = [short_hashes(t).view(np.int32) for t in batch.column("t").cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.list_(pa.int32()))], ["node", "s"])
 
     return nodes.select("node", "t").mapInArrow(run, "node long, s array<int>")
 
 
-def verified(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs `a` < `b` whose similarity is SIMILAR or more."""
-    pairs = checkpoint(pairs)
-    held = checkpoint(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct())
+def signatures(nodes: DataFrame) -> DataFrame:
+    """`node`, `fp`, the SimHash fingerprint, and `k`, the sketch: how many shingle hashes fall to each of COUNTERS counters."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, "t"):
+            found = [shingle_hashes(t, SHINGLE) for t in batch.column("t").cast(pa.binary()).to_pylist()]
+            fps = np.array([simhash.fingerprint(x) for x in found], np.uint64).view(np.int64)
+            sketches = [np.bincount(np.unique(x.astype(np.uint32)) % COUNTERS, minlength=COUNTERS).astype(np.int32) for x in found]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(fps), pa.array(sketches, pa.list_(pa.int32()))], ["node", "fp", "k"])
+
+    return stored(nodes.select("node", "t").mapInArrow(run, "node long, fp long, k array<int>"))
+
+
+def similar(common: Column, x: Column, y: Column) -> Column:
+    """Whether sets of x and y elements with `common` ones have the similarity."""
+    return (common >= SIMILAR * (x + y - common)) & (common > 0)
+
+
+def verified(nodes: DataFrame, signed: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs `a` < `b` whose similarity is SIMILAR or more.
+
+    Sets share no more elements than the lesser of their counters allow, so most other pairs go by the sketches,
+    which are much shorter than the sets.
+    """
+    pairs, total = checkpoint(pairs), lambda c: F.aggregate(c, F.lit(0), lambda x, y: x + y)
+
+    def with_both(rows: DataFrame, facts: DataFrame, name: str) -> DataFrame:
+        # The smaller node of a pair may be that of very many.
+        one, two = (facts.select(F.col("node").alias(end), F.col(name).alias(f"{name}{end}")) for end in ("a", "b"))
+        return spread_join(rows, one, ["a"]).join(two, "b")
+
+    kept = checkpoint(with_both(pairs, signed, "k").filter(similar(total(F.zip_with("ka", "kb", lambda x, y: F.least(x, y))), total("ka"), total("kb"))).select("a", "b"))
+    held = checkpoint(kept.select(F.col("a").alias("node")).unionByName(kept.select(F.col("b").alias("node"))).distinct())
     few = held.count() <= BROADCAST_NODES
     sets = stored(shingle_sets(nodes.join(F.broadcast(held) if few else held, "node", "left_semi")))
-    both = spread_join(spread_join(pairs, sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), ["b"]), sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), ["a"])
-    common = F.size(F.array_intersect("sa", "sb"))
-    return checkpoint(both.filter(common >= SIMILAR * (F.size("sa") + F.size("sb") - common)).filter(common > 0).select("a", "b"))
+    return checkpoint(with_both(kept, sets, "s").filter(similar(F.size(F.array_intersect("sa", "sb")), F.size("sa"), F.size("sb"))).select("a", "b"))
 
 
-def simhash_pairs(nodes: DataFrame) -> DataFrame:
+def simhash_pairs(signed: DataFrame) -> DataFrame:
     """Pairs `a` < `b`, not yet verified: each text with the smallest one of its fingerprint, and with the smallest linked one."""
-    fps = checkpoint(simhash.fingerprints(nodes.sparkSession, nodes, "node", "t", SHINGLE))
+    fps = signed.select("fp", "node")
     first = checkpoint(fps.groupBy("fp").agg(F.min("node").alias("node")))
     equal = spread_join(fps, first.withColumnRenamed("node", "a"), ["fp"]).filter("a < node").select("a", F.col("node").alias("b"))
     return equal.unionByName(simhash.links(first).groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
@@ -177,14 +211,15 @@ def apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
 
 def links(nodes: DataFrame) -> DataFrame:
     """Links `a` < `b` that have the components of all pairs whose similarity is SIMILAR or more."""
-    found = verified(nodes, simhash_pairs(nodes))
+    signed = signatures(nodes)
+    found = verified(nodes, signed, simhash_pairs(signed))
     keys = shared_keys(nodes)
     few, many = keys.filter(F.col("members") <= PAIRWISE), keys.filter(F.col("members") > PAIRWISE)
     short = F.col("at") <= F.col("n") - F.ceil(8 * F.col("n") / 9)
     ordered = (F.col("x_n") < F.col("y_n")) | (F.col("x_n") == F.col("y_n")) & (F.col("x_node") < F.col("y_node"))
     pairs = paired(side(few.filter(short), "x").join(side(few, "y"), "key").filter(ordered))
     stars = many.filter("first < node").select(F.col("first").alias("a"), F.col("node").alias("b"))
-    found = found.unionByName(verified(nodes, apart(pairs.unionByName(stars).distinct(), components(found))))
+    found = found.unionByName(verified(nodes, signed, apart(pairs.unionByName(stars).distinct(), components(found))))
     if many.isEmpty():
         return found
     named = many.drop("first").join(components(found), "node", "left").select("key", "node", "n", "at", "members", F.coalesce("component", "node").alias("c"))
@@ -198,7 +233,7 @@ def links(nodes: DataFrame) -> DataFrame:
     left = side(rows.filter("c != largest").withColumn("mine", own).withColumn("other", every), "x")
     right = side(rows.withColumn("other", own).withColumn("mine", every), "y")
     other = (F.col("x_c") != F.col("y_c")) & ((F.col("y_c") == F.col("y_largest")) | (F.col("x_node") < F.col("y_node")))
-    return found.unionByName(verified(nodes, paired(left.join(right, ["key", "mine", "other"]).filter(other))))
+    return found.unionByName(verified(nodes, signed, paired(left.join(right, ["key", "mine", "other"]).filter(other))))
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
