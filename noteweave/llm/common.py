@@ -29,7 +29,7 @@ def prepare(spark: SparkSession) -> None:
         env["PYTHONPATH"] = ":".join([*paths, ROOT])
     # Whole texts make wide rows; the default of 10,000 rows in an Arrow batch is held several times over.
     if int(spark.conf.get(ROWS)) == 10_000:
-        spark.conf.set(ROWS, "1000")
+        spark.conf.set(ROWS, "500")
 
 
 def checkpoint(df: DataFrame) -> DataFrame:

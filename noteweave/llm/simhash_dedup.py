@@ -39,7 +39,7 @@ SHINGLE, SIMILAR = 5, 0.8
 #: Texts whose shingles are counted for the order, the least count that is listed, and the side of a block of pairs.
 SAMPLE, LISTED, BLOCK = 20_000, 4, 1024
 #: Characters of texts for each bucket of keys, keys that a task holds at a time, and nodes whose list is broadcast.
-CHARS, HELD, BROADCAST_NODES = 1 << 24, 1 << 20, 2_000_000
+CHARS, HELD, BROADCAST_NODES = 1 << 23, 1 << 18, 2_000_000
 #: Counters in a text's sketch.
 COUNTERS = 64
 
