@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from noteweave.functions.text import DATE, WIKILINK, stripped
@@ -12,6 +12,14 @@ MEMORY_TYPES = ("fact", "preference", "experience", "task_state", "navigation",
 STATUSES = ("active", "in_progress", "archived", "deprecated", "draft", "completed", "approved")
 STALE_DAYS = {"fact": 180, "preference": 365, "experience": 180, "task_state": 30, "navigation": 180}
 STALE_DEFAULT, SHORT_BODY = 180, 50
+REQUIRED = {
+    "fact": ("memory_type", "source", "date_updated"),
+    "preference": ("memory_type", "owner", "date_updated"),
+    "experience": ("memory_type", "date_updated"),
+    "task_state": ("memory_type", "status", "date_updated"),
+    "navigation": ("memory_type", "date_updated"),
+}
+TEMPLATES = "模板"
 
 
 def issue(rows: DataFrame, dimension: str, code: str, file: str, detail: Column) -> DataFrame:
@@ -105,3 +113,71 @@ def counts(issues: DataFrame) -> DataFrame:
     """Issues for each dimension and code, and totals for each dimension and over all (`all`)."""
     rolled = issues.rollup("dimension", "code").agg(F.count("*").alias("n"))
     return rolled.select(F.coalesce("dimension", F.lit("all")).alias("dimension"), F.coalesce("code", F.lit("all")).alias("code"), "n")
+
+
+def is_template(path: Column) -> Column:
+    """Whether a note lies in a template folder, where placeholders stand for fields."""
+    return F.array_contains(F.split(path, "/"), TEMPLATES)
+
+
+def structure(notes: DataFrame, path: str = "path") -> DataFrame:
+    """Front-matter issues of notes as `ingest.front_matter` reads them.
+
+    A note without front matter has that one issue; a template is only tested for a type that does not exist; all
+    others also for a missing type, and for each field that their type requires (any other type: the type itself).
+    """
+    typed = notes.withColumn("memory_type", F.when(F.col("memory_type") != "unknown", F.col("memory_type")).otherwise(""))
+    held = typed.filter("has_front_matter")
+    own = held.filter(~is_template(F.col(path)))
+    none = issue(typed.filter("not has_front_matter"), "A", "no_front_matter", path, F.lit(""))
+    return (
+        none.unionByName(issue(own.filter("memory_type = ''"), "A", "missing_type", path, F.lit("")))
+        .unionByName(not_in(held, "memory_type", MEMORY_TYPES, path, "bad_type"))
+        .unionByName(required_fields(own, REQUIRED, "memory_type", path, ("memory_type",)))
+    )
+
+
+def run(notes: DataFrame, as_of: str, indexed: DataFrame | None = None, files: DataFrame | None = None, path: str = "path") -> DataFrame:
+    """All issues of a vault: `notes` with front matter and `body`, other `files` (`name`) that links may name, `indexed` paths."""
+    held = notes.filter(F.col("has_front_matter") & ~is_template(F.col(path)))
+    dates = ("date_created", "date_updated", "expiry")
+    found = structure(notes, path).unionByName(not_in(held, "status", STATUSES, path, "bad_status")).unionByName(bad_dates(held, dates, path)).unionByName(bad_confidence(held, "confidence", path))
+    found = found.unionByName(expiry_before_update(held, "expiry", "date_updated", path)).unionByName(expired(held, "expiry", path, as_of)).unionByName(stale(held, "memory_type", "date_updated", path, as_of))
+    known = notes.select(F.regexp_replace(path, r"\.md$", "").alias("name")).unionByName(notes.select(F.col(path).alias("name")))
+    known = (known if files is None else known.unionByName(files.select("name"))).distinct()
+    missing = broken(links(notes, path, "body"), known)
+    found = found.unionByName(issue(missing, "C", "broken_link", "file", F.col("target")))
+    found = found.unionByName(short_bodies(held, "body", path))
+    if indexed is not None:
+        gone = index_consistency(indexed.select(path), indexable(notes, path), path)
+        found = found.unionByName(issue(gone, "E", "index", path, F.col("code")))
+    return found
+
+
+def indexable(notes: DataFrame, path: str = "path", body: str = "body") -> DataFrame:
+    """The notes that an index should hold: no templates, and no bodies too short for a chunk."""
+    return notes.filter(~is_template(F.col(path)) & (F.length(stripped(F.col(body))) >= SHORT_BODY))
+
+
+def coverage(notes: DataFrame, path: str = "path") -> DataFrame:
+    """`files`, `with_front_matter` and `links` of a vault."""
+    n = F.size(F.regexp_extract_all(F.coalesce("body", F.lit("")), F.lit(WIKILINK), F.lit(0)))
+    return notes.agg(F.count("*").alias("files"), F.count_if(F.col("has_front_matter")).alias("with_front_matter"), F.coalesce(F.sum(n), F.lit(0)).cast("long").alias("links"))
+
+
+def report(issues: DataFrame, limit: int = 30) -> DataFrame:
+    """The first `limit` issues of each dimension by file, code and detail, with how many more there are.
+
+    The limit is the feature of a report.
+    """
+    turn = F.row_number().over(Window.partitionBy("dimension").orderBy("file", "code", "detail"))
+    total = issues.groupBy("dimension").agg(F.greatest(F.count("*") - limit, F.lit(0)).alias("more"))
+    return issues.withColumn("turn", turn).filter(F.col("turn") <= limit).join(F.broadcast(total), "dimension")
+
+
+def broken_sources(broken_links: DataFrame) -> DataFrame:
+    """The missing targets, most references first: `target`, `refs`, the first three sources, and whether there are more."""
+    each = broken_links.groupBy("target", "file").agg(F.count("*").alias("n"))
+    turn = F.row_number().over(Window.partitionBy("target").orderBy("file"))
+    first = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("turn") <= 3, F.struct("turn", F.col("file").cast("string").alias("file"))))), lambda x: x["file"]), ", ")
+    return each.withColumn("turn", turn).groupBy("target").agg(F.sum("n").alias("refs"), first.alias("sources"), (F.count("*") > 3).alias("more")).orderBy(F.desc("refs"), "target")

@@ -102,3 +102,30 @@ def structural(chunked: DataFrame, most: int = 6, shortest: int = 40, cap: int =
     first = drawn.withColumn("t", F.row_number().over(Window.partitionBy("query").orderBy("h", "id"))).filter("t = 1")
     few = first.withColumn("t", F.row_number().over(Window.partitionBy("source_file").orderBy("h", "id"))).filter(F.col("t") <= most)
     return few.orderBy("h", "id").limit(cap).select("query", F.col("id").alias("pos"))
+
+
+def look_up(wanted: DataFrame, chunked: DataFrame) -> DataFrame:
+    """`wanted` (`source_file`, `header_path`) with the `text` of that chunk, or of its file's first chunk where there is none."""
+    first = chunked.groupBy("source_file", "header_path").agg(F.min_by("text", "chunk_index").alias("own"))
+    file = chunked.groupBy("source_file").agg(F.min_by("text", "chunk_index").alias("any"))
+    found = wanted.join(first, ["source_file", "header_path"], "left").join(file, "source_file", "left")
+    return found.withColumn("text", F.coalesce("own", "any")).drop("own", "any")
+
+
+def training_set(primary: DataFrame, *further: DataFrame, least: int = 30) -> DataFrame:
+    """The triples of feedback, with those of further sources where there are fewer than `least`."""
+    if primary.limit(least).count() >= least:
+        return primary
+    for more in further:
+        primary = primary.unionByName(more)
+    return primary
+
+
+def positive_pairs(triples_: DataFrame) -> DataFrame:
+    """(`query`, `pos`) without the negatives."""
+    return triples_.select("query", "pos").distinct()
+
+
+def newest(rows: DataFrame, order: list[str], keep: int = 800) -> DataFrame:
+    """The `keep` rows inserted last: what a bounded cache holds. The bound is the feature."""
+    return rows.orderBy(*(F.desc(c) for c in order)).limit(keep)

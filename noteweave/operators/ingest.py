@@ -76,9 +76,9 @@ def chunks(notes: DataFrame, path_col: str = "path", body_col: str = "body") ->
 
 
 def difference(stored: DataFrame, new: DataFrame, id_col: str = "id", hash_col: str = "content_hash") -> DataFrame:
-    """`id` and `action`: insert, update, delete or keep, of each id on either side."""
-    a = stored.select(F.col(id_col).alias("id"), F.col(hash_col).alias("old")).dropDuplicates(["id"])
-    b = new.select(F.col(id_col).alias("id"), F.col(hash_col).alias("new")).dropDuplicates(["id"])
+    """`id` and `action`: insert, update, delete or keep, of each id on either side; of a repeated id the greatest hash counts."""
+    a = stored.select(F.col(id_col).alias("id"), F.col(hash_col).alias("old")).groupBy("id").agg(F.max("old").alias("old"))
+    b = new.select(F.col(id_col).alias("id"), F.col(hash_col).alias("new")).groupBy("id").agg(F.max("new").alias("new"))
     action = F.when(F.col("old").isNull(), "insert").when(F.col("new").isNull(), "delete").when(F.col("old") != F.col("new"), "update").otherwise("keep")
     return a.join(b, "id", "full_outer").select("id", action.alias("action"))
 

@@ -170,20 +170,36 @@ def rerank(docs: DataFrame, queries: DataFrame, pool: DataFrame, top_k: int = 10
     return scored.withColumn("new_rank", F.row_number().over(order)).filter(F.col("new_rank") <= top_k).select("query_id", F.col("new_rank").alias("rank"), "doc_id", "rerank_score", F.col("rank").alias("pool_rank"))
 
 
+#: Items without an inner token that are broadcast at a time.
+SHORT_ITEMS = 10_000
+
+
+def with_paths(docs: DataFrame, *parts: str) -> DataFrame:
+    """`docs` with the columns `parts` (path, file name) before the text, so that path tokens count in keyword search, once."""
+    return docs.withColumn("text", F.concat_ws(" ", *parts, "text"))
+
+
 def gold_pairs(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(`item_id`, `doc_id`) where the document's text contains the item's whole text.
 
-    Not a comparison of all pairs: the item's rarest inner token leads to the documents that hold it, and
-    only those are compared. Items of fewer than three tokens have no inner token and match by equality alone.
+    Not a comparison of all pairs: a text that contains an item has all its inner tokens, which are its CJK grams
+    and the runs of letters and digits that touch neither end of it. The item's rarest inner token leads to the
+    documents that hold it, and only those are compared. Items without any are a stated query set, which meets all
+    texts in blocks of SHORT_ITEMS. The empty item is in every text that is not null.
     """
     toks = tokenised(docs)
-    sized = items.select("item_id", "text", tokens(F.col("text")).alias("t"))
-    inner = sized.filter(F.size("t") >= 3).select("item_id", F.explode(F.array_distinct(F.expr("slice(t, 2, size(t) - 2)"))).alias("term"))
+    kept = F.regexp_replace(F.regexp_replace("text", "^[a-zA-Z0-9]+", ""), "[a-zA-Z0-9]+$", "")
+    sized = items.filter(F.col("text").isNotNull()).select("item_id", "text", F.array_distinct(tokens(kept)).alias("t"))
+    inner = sized.filter(F.size("t") > 0).select("item_id", F.explode("t").alias("term"))
     posts = postings(toks, inner)
     counts = document_frequencies(posts)
     rarest = inner.join(counts, "term").groupBy("item_id").agg(F.min(F.struct("df", "term")).alias("best")).select("item_id", F.col("best.term").alias("term"))
     near = rarest.join(posts.select("term", "doc_id"), "term").select("item_id", "doc_id")
     texts = docs.select("doc_id", F.col("text").alias("doc_text"))
-    long = near.join(items.select("item_id", "text"), "item_id").join(texts, "doc_id").filter(F.col("doc_text").contains(F.col("text"))).select("item_id", "doc_id")
-    short = sized.filter(F.size("t") < 3).select("item_id", F.col("text").alias("doc_text")).join(texts, "doc_text").select("item_id", "doc_id")
-    return long.unionByName(short)
+    found = near.join(items.select("item_id", "text"), "item_id").join(texts, "doc_id").filter(F.col("doc_text").contains(F.col("text"))).select("item_id", "doc_id")
+    short = sized.filter(F.size("t") == 0).select("item_id", "text")
+    blocks = -(-short.count() // SHORT_ITEMS)
+    for number in range(blocks):
+        block = short if blocks == 1 else short.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == number)
+        found = found.unionByName(texts.join(F.broadcast(block), F.col("doc_text").contains(F.col("text"))).select("item_id", "doc_id"))
+    return found

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from noteweave.functions.text import chunk_id, content_hash, result_id, tokens
@@ -34,6 +35,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that the session names; else the warehouse, or with a local master a temporary folder."""
+    named = spark.sparkContext.getCheckpointDir() or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if named is None and spark.sparkContext.master.startswith("local"):
+        return tempfile.mkdtemp(prefix="stream-")
+    return named or spark.conf.get("spark.sql.warehouse.dir")
+
+
 # --- shared pieces of the SQL twins --------------------------------------------------------------
 
 
@@ -140,6 +149,12 @@ def bm25_topk(spark, sf_dir):
     return ranking.bm25(table(spark, sf_dir, "documents"), items(spark, sf_dir), 10)
 
 
+@query(f"WITH documents AS (SELECT doc_id, source || ' ' || lang || ' ' || text AS text FROM main.documents), {POSTS}, {bm25_ctes(ITEMS, k=10)} SELECT query_id, rank, doc_id, score FROM r")
+def bm25_with_paths(spark, sf_dir):
+    docs = ranking.with_paths(table(spark, sf_dir, "documents"), "source", "lang")
+    return ranking.bm25(docs, items(spark, sf_dir), 10)
+
+
 @query(f"WITH {POSTS}, {bm25_ctes(ITEMS, k=10)} SELECT r.query_id, r.doc_id, substr(md5(b.text || '|' || r.doc_id), 1, 12) AS result_id FROM r JOIN benchmark b ON b.item_id = r.query_id")
 def result_ids(spark, sf_dir):
     asked = items(spark, sf_dir)
@@ -421,6 +436,50 @@ def audit_counts(spark, sf_dir):
     return audit.counts(every)
 
 
+TYPES = "CASE o_orderpriority WHEN '1-URGENT' THEN 'fact' WHEN '2-HIGH' THEN 'task_state' WHEN '3-MEDIUM' THEN '' WHEN '5-LOW' THEN 'navigation' ELSE 'bogus' END"
+NOTES = f"""n AS (SELECT CASE WHEN o_orderkey % 7 = 0 THEN '模板/' ELSE 'notes/' END || o_orderkey || '.md' AS path, o_orderkey % 7 = 0 AS template, o_orderkey % 10 <> 0 AS fm, {TYPES} AS type, o_orderkey % 3 = 0 AS blank FROM orders),
+a AS (SELECT 'A' AS dimension, 'no_front_matter' AS code, path AS file, '' AS detail FROM n WHERE NOT fm UNION ALL SELECT 'A', 'missing_type', path, '' FROM n WHERE fm AND NOT template AND type = ''
+UNION ALL SELECT 'A', 'bad_type', path, type FROM n WHERE fm AND type = 'bogus' UNION ALL SELECT 'A', 'missing_field', path, 'memory_type' FROM n WHERE fm AND NOT template AND type = ''
+UNION ALL SELECT 'A', 'missing_field', path, 'source' FROM n WHERE fm AND NOT template AND type = 'fact' AND blank UNION ALL SELECT 'A', 'missing_field', path, 'status' FROM n WHERE fm AND NOT template AND type = 'task_state')"""
+
+
+def _order_notes(spark, sf_dir) -> DataFrame:
+    """Orders as raw notes: every tenth without front matter, every third with a blank source, every seventh a template."""
+    o, key = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    path = F.concat(F.when(key % 7 == 0, "模板/").otherwise("notes/"), key, F.lit(".md"))
+    body = F.concat(F.lit("See [[notes/"), key + 1, F.lit("]] and [["), key, F.lit("|this]]."))
+    head = F.concat(F.lit("---\nmemory_type: "), F.expr(TYPES), F.lit("\nsource: "), F.when(key % 3 == 0, " ").otherwise("x"), F.lit("\ndate_updated: "), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("\n---\n"), body)
+    return ingest.front_matter(o.select(path.alias("path"), F.when(key % 10 == 0, body).otherwise(head).alias("raw")))
+
+
+@query(f"WITH {NOTES} SELECT * FROM a")
+def audit_structure(spark, sf_dir):
+    return audit.structure(_order_notes(spark, sf_dir))
+
+
+@query(f"WITH {NOTES} SELECT count(*) AS files, count(*) FILTER (fm) AS with_front_matter, 2 * count(*) AS links FROM n")
+def audit_coverage(spark, sf_dir):
+    return audit.coverage(_order_notes(spark, sf_dir))
+
+
+@query(f"WITH {NOTES} SELECT dimension, file, code, detail, CAST(turn AS INTEGER) AS turn, greatest(n - 30, 0) AS more FROM (SELECT *, row_number() OVER (PARTITION BY dimension ORDER BY file, code, detail) AS turn, count(*) OVER (PARTITION BY dimension) AS n FROM a) WHERE turn <= 30")
+def audit_report(spark, sf_dir):
+    return audit.report(audit.structure(_order_notes(spark, sf_dir)))
+
+
+@query("""WITH d AS (SELECT doc_id FROM documents WHERE doc_id % 17 <> 0 AND length(regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', '')) >= 50)
+SELECT doc_id, 'indexed_not_on_disk' AS code FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM d) UNION ALL SELECT doc_id, 'on_disk_not_indexed' FROM d WHERE doc_id NOT IN (SELECT doc_id FROM labels)""")
+def audit_index(spark, sf_dir):
+    path = F.concat(F.when(F.col("doc_id") % 17 == 0, "模板/").otherwise("notes/"), "doc_id")
+    notes = audit.indexable(table(spark, sf_dir, "documents").withColumn("path", path), "path", "text")
+    return audit.index_consistency(table(spark, sf_dir, "labels"), notes, "doc_id")
+
+
+@query(f"WITH {LINKS}, s AS (SELECT target, file, count(*) AS n, row_number() OVER (PARTITION BY target ORDER BY file) AS turn FROM b GROUP BY target, file) SELECT target, CAST(sum(n) AS BIGINT) AS refs, string_agg(CAST(file AS VARCHAR), ', ' ORDER BY turn) FILTER (turn <= 3) AS sources, count(*) > 3 AS more FROM s GROUP BY target")
+def broken_link_sources(spark, sf_dir):
+    return audit.broken_sources(audit.broken(*_links(spark, sf_dir)))
+
+
 # --- evaluation ----------------------------------------------------------------------------------
 
 
@@ -553,6 +612,15 @@ def structural_triples(spark, sf_dir):
     return feedback.structural(chunked)
 
 
+@query("""WITH c AS (SELECT source AS source_file, lang AS header_path, arg_min(text, doc_id) AS own FROM documents GROUP BY ALL), f AS (SELECT source AS source_file, arg_min(text, doc_id) AS any_ FROM documents GROUP BY source)
+SELECT e.event_id, sha256(coalesce(own, any_, '')) AS h FROM (SELECT event_id, s.source AS source_file, CASE WHEN event_id % 2 = 0 THEN 'en' ELSE 'none' END AS header_path FROM events JOIN (SELECT source, row_number() OVER (ORDER BY source) - 1 AS n FROM (SELECT DISTINCT source FROM documents)) s ON user_id % 5 = n) e LEFT JOIN c USING (source_file, header_path) LEFT JOIN f USING (source_file)""")
+def feedback_texts(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("source_file"), F.col("lang").alias("header_path"), F.col("doc_id").alias("chunk_index"), "text")
+    names = docs.select("source_file").distinct().withColumn("n", F.row_number().over(Window.orderBy("source_file")) - 1)  # a few sources
+    asked = table(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 5).cast("int").alias("n"), F.when(F.col("event_id") % 2 == 0, "en").otherwise("none").alias("header_path"))
+    return feedback.look_up(asked.join(names, "n").drop("n"), docs).select("event_id", content_hash(F.col("text")).alias("h"))
+
+
 @query(f"WITH {LATEST} SELECT count(*) FILTER (adopted) AS positives, count(*) FILTER (adopted) >= 8 AS triggered FROM l")
 def loop_trigger(spark, sf_dir):
     return feedback.triggered(_latest(spark, sf_dir))
@@ -562,10 +630,9 @@ def loop_trigger(spark, sf_dir):
 def feedback_stream(spark, sf_dir):
     """The latest state again, from the events as a file stream that is read to its end."""
     events = table(spark, sf_dir, "events")
-    source = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events.parquet*")
+    source = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     k = F.get_json_object("props", "$.k").cast("long")
     rows = source.select("event_id", "ts", "user_id", k.alias("k"), F.col("event_type").isin("purchase", "signup").alias("adopted"))
     last = stream.latest(rows, ["user_id", "k"], ["ts", "event_id"], ["event_id", "adopted"])
-    where = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="stream-")
-    name = f"feedback_{abs(hash((sf_dir, id(last)))):x}"
-    return stream.drain(last, f"{where}/{name}", name).select("user_id", "k", "event_id", "adopted")
+    where = f"{shared_folder(spark)}/feedback-{uuid.uuid4().hex}"
+    return stream.drain(last, f"{where}/log", f"{where}/rows").select("user_id", "k", "event_id", "adopted")

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Folder names that are left out at any depth (fixed values).
-EXCLUDED = (".obsidian", ".trash", ".git", "templates", "Templates")
+#: Folder names that are left out at any depth, for a sync and for an audit, which sees templates (fixed values).
+EXCLUDED = (".obsidian", ".trash", ".git", "模板", "templates", "Templates")
+UNSEEN = (".obsidian", ".trash")
 
 FEEDBACK = T.StructType([
     T.StructField("timestamp", T.StringType()), T.StructField("result_id", T.StringType()), T.StructField("adopted", T.BooleanType()),
@@ -26,6 +27,19 @@ def read_notes(spark: SparkSession, folder: str, excluded: tuple[str, ...] = EXC
     return rows.filter(~F.exists(F.split("path", "/"), lambda p: p.isin(*excluded)))
 
 
+def write_summary(counts: DataFrame, path: str) -> None:
+    """Replace the one-row summary of a sync."""
+    counts.coalesce(1).write.mode("overwrite").json(path)
+
+
+def read_summary(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The summary of the last sync; no row where it is missing or malformed."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """JSON lines; blank and malformed lines are dropped."""
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
@@ -48,8 +62,11 @@ def write_collection(df: DataFrame, root: str, name: str) -> None:
     df.withColumn("collection", F.lit(name)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("collection").parquet(root)
 
 
-def read_collection(spark: SparkSession, root: str, name: str) -> DataFrame:
-    return spark.read.parquet(root).filter(F.col("collection") == name).drop("collection")
+def read_collection(spark: SparkSession, root: str, name: str, columns: tuple[str, ...] = (), limit: int | None = None) -> DataFrame:
+    """One collection, of it the `columns` named and the first `limit` rows by the first of them if these are given."""
+    rows = spark.read.parquet(root).filter(F.col("collection") == name).drop("collection")
+    rows = rows.select(*columns) if columns else rows
+    return rows if limit is None else rows.orderBy(rows.columns[0]).limit(limit)
 
 
 def write_postings(postings: DataFrame, table: str, buckets: int = 64) -> None:

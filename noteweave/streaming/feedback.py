@@ -26,11 +26,18 @@ def windowed_adoption(stream: DataFrame, time: str, adopted: str, length: str =
     return stream.withWatermark(time, late).groupBy(F.window(time, length)).agg(F.count("*").alias("n"), F.count_if(F.col(adopted)).alias("adopted"))
 
 
-def drain(result: DataFrame, checkpoint: str, name: str, mode: str = "complete") -> DataFrame:
-    """Process all that is there and return it as a table in memory; for tests and small results."""
-    query = result.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def drain(result: DataFrame, checkpoint: str, target: str) -> DataFrame:
+    """Process all that is there and return the result, written as Parquet to `target` batch by batch.
+
+    Complete mode hands over the whole state each time, so the last batch is the result; nothing is gathered.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(target)
+
+    query = result.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return result.sparkSession.table(name)
+    return result.sparkSession.read.schema(result.schema).parquet(target)
 
 
 def upsert_sink(stream: DataFrame, root: str, checkpoint: str, id_col: str = "id", hash_col: str = "content_hash"):
@@ -42,7 +49,7 @@ def upsert_sink(stream: DataFrame, root: str, checkpoint: str, id_col: str = "id
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        fresh = batch.dropDuplicates([id_col])
+        fresh = batch.groupBy(id_col).agg(F.max_by(F.struct(*batch.columns), hash_col).alias("r")).select("r.*")
         if number:
             stored = spark.read.parquet(f"{root}/version={number - 1}")
             changed = fresh.select(id_col, hash_col)

@@ -224,3 +224,45 @@ def test_lsa_equals_dense_svd(spark, sf):
     vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
     mine = np.stack([got[r.doc_id] for r in cells])
     assert np.abs(mine @ mine.T - vectors @ vectors.T).max() < 0.02
+
+
+def test_gold_pairs_are_containment(spark):
+    """Short and mixed-script items, and items that begin or end inside a word."""
+    from noteweave.operators import ranking
+
+    texts = ["xabc 中文字 defg", "abc", "hello world", "say hello worlds", "中", "a b c d", "", "the mid word here", None]
+    items = ["abc 中文字 def", "bc", "hello world", "中", "b", "b c", "id word her", "", "...", None, "文"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {tuple(r) for r in ranking.gold_pairs(docs, spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).select("item_id", "doc_id").collect()}
+    assert got == {(k, i) for i, t in enumerate(texts) if t is not None for k, item in enumerate(items) if item is not None and item in t}
+
+
+def test_audit_run(spark):
+    from noteweave.operators import audit, ingest
+
+    raw = [
+        ("a.md", "no front matter, and [[gone]] with [[b]] in a body that is long enough for the rules"),
+        ("b.md", "---\nmemory_type: fact\nsource: s\ndate_updated: 2026-01-30\n---\n" + "words " * 20),
+        ("c.md", "---\nstatus: odd\nconfidence: 2\nexpiry: 2025-01-01\n---\nshort"),
+        ("模板/t.md", "---\nmemory_type: wrong\n---\n"),
+    ]
+    notes = ingest.front_matter(spark.createDataFrame(raw, "path string, raw string"))
+    indexed = spark.createDataFrame([("b.md",), ("old.md",)], "path string")
+    got = sorted((r.dimension, r.code, r.file) for r in audit.run(notes, "2026-01-31", indexed).collect())
+    assert got == sorted([
+        ("A", "no_front_matter", "a.md"), ("A", "missing_type", "c.md"), ("A", "missing_field", "c.md"), ("A", "bad_status", "c.md"), ("A", "out_of_range", "c.md"), ("A", "bad_type", "模板/t.md"),
+        ("B", "expired", "c.md"), ("C", "broken_link", "a.md"), ("D", "short_body", "c.md"), ("E", "index", "a.md"), ("E", "index", "old.md"),
+    ])
+
+
+def test_sources_of_a_sync(spark, tmp_path):
+    from noteweave.operators import feedback
+    from noteweave.sources import notes
+
+    counts = spark.createDataFrame([(3, "x")], "files long, at string")
+    assert notes.read_summary(spark, f"{tmp_path}/s", counts.schema.simpleString()[7:-1].replace(":", " ")).count() == 0
+    notes.write_summary(counts, f"{tmp_path}/s")
+    assert [tuple(r) for r in notes.read_summary(spark, f"{tmp_path}/s", "files long, at string").collect()] == [(3, "x")]
+    rows = spark.createDataFrame([("q", "p", "n"), ("q", "p", "m")], "query string, pos string, neg string")
+    assert feedback.training_set(rows, rows, least=3).count() == 4 and feedback.training_set(rows, rows, least=2).count() == 2
+    assert feedback.positive_pairs(rows).count() == 1 and feedback.newest(rows, ["neg"], 1).first().neg == "n"
