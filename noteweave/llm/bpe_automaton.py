@@ -42,7 +42,7 @@ from noteweave.llm.common import prepare, small_batches
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 #: Words and byte transitions that a worker keeps; a table starts anew beyond that.
-KEPT_WORDS, KEPT_STEPS = 100_000, 300_000
+KEPT_WORDS, KEPT_STEPS = 50_000, 150_000
 
 
 def splitter() -> Callable[[str], list[str]]:

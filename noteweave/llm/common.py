@@ -27,6 +27,9 @@ def prepare(spark: SparkSession) -> None:
     paths = [p for p in env.get("PYTHONPATH", "").split(":") if p]
     if ROOT not in paths:
         env["PYTHONPATH"] = ":".join([*paths, ROOT])
+    # Workers give memory back to the system once a large array is freed, since they stay for later stages.
+    for name, value in (("MALLOC_MMAP_THRESHOLD_", "1048576"), ("MALLOC_TRIM_THRESHOLD_", "1048576"), ("MALLOC_ARENA_MAX", "2"), ("ARROW_DEFAULT_MEMORY_POOL", "system")):
+        env.setdefault(name, value)
     # Whole texts make wide rows; the default of 10,000 rows in an Arrow batch is held several times over.
     if int(spark.conf.get(ROWS)) == 10_000:
         spark.conf.set(ROWS, "500")
