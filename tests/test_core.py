@@ -201,7 +201,7 @@ def test_streams(spark, tmp_path):
 
     schema = StructType.fromDDL("k string, n long, adopted boolean")
     last = stream.latest(stream.read_log(spark, f"{tmp_path}/log", schema), ["k"], ["n"], ["n", "adopted"])
-    assert [tuple(r) for r in stream.drain(last, f"{tmp_path}/cp", "latest_state").collect()] == [("a", 2, False)]
+    assert [tuple(r) for r in stream.drain(last, f"{tmp_path}/cp", f"{tmp_path}/rows").collect()] == [("a", 2, False)]
 
 
 def test_corpus_digest_depends_on_tokens(spark):
