@@ -16,12 +16,19 @@ def text_or_empty(text: Column) -> Column:
 
 
 def cjk_grams(text: Column) -> Column:
-    """Interleaved 2- and 3-grams over all CJK characters of a text, those that are apart included."""
-    only = F.regexp_replace(text, "[^一-鿿]", "")
-    n = F.length(only)
-    at = F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1)))
-    pairs = F.flatten(F.transform(at, lambda i: F.when(i + 2 <= n, F.array(F.substring(only, i, F.lit(2)), F.substring(only, i, F.lit(3)))).otherwise(F.array(F.substring(only, i, F.lit(2))))))
-    return F.when(n >= 2, pairs).otherwise(F.array().cast("array<string>"))
+    """Interleaved 2- and 3-grams over all CJK characters of a text, those that are apart included.
+
+    The characters are bound once, as the only element of an array, so that long texts cost linear time.
+    """
+    none = F.array().cast("array<string>")
+
+    def grams(c: Column) -> Column:
+        two = lambda x, i: F.concat(x, F.get(c, i + 1))
+        three = lambda x, i: F.array(two(x, i), F.concat(two(x, i), F.get(c, i + 2)))
+        return F.flatten(F.transform(c, lambda x, i: F.when(i + 2 < F.size(c), three(x, i)).when(i + 1 < F.size(c), F.array(two(x, i))).otherwise(none)))
+
+    chars = F.split(F.regexp_replace(text, "[^一-鿿]+", ""), "")
+    return F.when(text.rlike("[一-鿿]"), F.element_at(F.transform(F.array(chars), grams), 1)).otherwise(none)
 
 
 def tokens(text: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noteweave.functions.text import tokens
@@ -17,16 +17,44 @@ def tokenised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 def postings(tokenised_docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """`doc_id`, `term`, `freq`, `dl`; of the terms in column `term` only, if given.
 
-    The restriction stands below the aggregation, so a query's postings cost one narrow scan.
+    The restriction stands below the aggregation, so a query's postings cost one narrow scan. Further columns of
+    `tokenised_docs` are kept; they are part of the key. The outer form spares the filter on the size of the tokens that
+    Spark would infer, which would tokenise once more.
     """
-    each = tokenised_docs.select("doc_id", "dl", F.explode("tokens").alias("term"))
+    own = [c for c in tokenised_docs.columns if c != "tokens"]
+    each = tokenised_docs.select(*own, F.explode_outer("tokens").alias("term")).filter("term is not null")
     if terms is not None:
         each = each.join(terms.select("term").distinct(), "term", "left_semi")
-    return each.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("freq"))
+    return each.groupBy(*own, "term").agg(F.count("*").alias("freq"))
+
+
+#: The term of the posting that stands for the document itself; no token is empty.
+ITSELF = ""
+
+
+def marked_postings(docs: DataFrame, keep: Column | None = None, terms: DataFrame | None = None) -> DataFrame:
+    """Postings with `kept` (whether the row meets `keep`), and one posting of ITSELF for each row.
+
+    Frequencies, lengths and the corpus statistics all come from this one plan: what reads it must use `freq` and no
+    filter on the keys, so that Spark sees one exchange and tokenises once.
+    """
+    flag = F.lit(True) if keep is None else F.coalesce(keep, F.lit(False))
+    rows = docs.select("doc_id", flag.alias("kept"), tokens(F.col("text")).alias("tokens")).withColumn("dl", F.size("tokens").cast("long"))
+    rows = rows.withColumn("tokens", F.concat("tokens", F.array(F.lit(ITSELF))))
+    if terms is not None:
+        terms = terms.select("term").union(docs.sparkSession.range(1).select(F.lit(ITSELF)))
+    return postings(rows, terms)
+
+
+def marked_stats(posts: DataFrame) -> DataFrame:
+    """`n` and `avgdl` in one row, from marked postings."""
+    rows = F.when(F.col("term") == ITSELF, F.col("freq"))
+    n = F.coalesce(F.sum(rows), F.lit(0)).cast("double")
+    return posts.agg(n.alias("n"), F.coalesce(F.sum(rows * F.col("dl")) / F.nullif(n, F.lit(0.0)), F.lit(0.0)).alias("avgdl"))
 
 
 def document_frequencies(posts: DataFrame) -> DataFrame:
-    return posts.groupBy("term").agg(F.count("*").alias("df"))
+    return posts.groupBy("term").agg(F.sum(F.least("freq", F.lit(1))).alias("df")) if "freq" in posts.columns else posts.groupBy("term").agg(F.count("*").alias("df"))
 
 
 def corpus_stats(tokenised_docs: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Latent semantic vectors: TF-IDF, truncated SVD by subspace iteration, unit length.
 
-The term side (vocabulary x rank) is bounded by the vocabulary limit and travels as a broadcast; documents
-stay distributed, and each pass sums small matrices up by term.
+The term side (vocabulary x rank) is bounded by the vocabulary limit and travels in broadcasts of COLUMNS columns;
+documents stay distributed, and each pass sums blocks of terms up. A model is its vocabulary and its term vectors.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,39 +33,89 @@ def _rows(batch: pa.RecordBatch, vocabulary: pa.Array) -> tuple[np.ndarray, np.n
     return row[known], numbers[known], weights[known]
 
 
+#: Components at most; columns that one pass takes along; terms of a block of sums; cells that are multiplied at a time.
+RANK, COLUMNS, BLOCK, CELLS = 384, 128, 1024, 1 << 16
+
+
+def _add(out: np.ndarray, at: np.ndarray, weight: np.ndarray, source: np.ndarray, of: np.ndarray) -> None:
+    """Add `weight * source[of]` to the rows `at` of `out`, a bounded slice of cells at a time."""
+    for i in range(0, len(at), CELLS):
+        order = np.argsort(at[i : i + CELLS], kind="stable")
+        rows = at[i : i + CELLS][order]
+        starts = np.flatnonzero(np.diff(rows, prepend=-1))
+        out[rows[starts]] += np.add.reduceat(weight[i : i + CELLS][order, None] * source[of[i : i + CELLS][order]], starts, axis=0)
+
+
 def _projected(n: int, row: np.ndarray, term: np.ndarray, weight: np.ndarray, basis: np.ndarray) -> np.ndarray:
     out = np.zeros((n, basis.shape[1]))
-    np.add.at(out, row, weight[:, None] * basis[term])
+    _add(out, row, weight, basis, term)
+    return out
+
+
+def _product(rows: DataFrame, names: Broadcast, basis: np.ndarray) -> np.ndarray:
+    """Transposed matrix times matrix times `basis`: tasks sum what they read, then blocks of terms are summed."""
+    spark = rows.sparkSession
+    shared = spark.sparkContext.broadcast(basis)
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros_like(shared.value)
+        for batch in batches:
+            row, term, weight = _rows(batch, names.value)
+            _add(total, term, weight, _projected(batch.num_rows, row, term, weight, shared.value), row)
+        yield from blocks({i: total[i : i + BLOCK] for i in range(0, len(total), BLOCK)})
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for b, x in zip(batch.column("b").to_pylist(), batch.column("x"), strict=True):
+                part = np.frombuffer(x.as_buffer(), dtype=np.float64).reshape(-1, basis_width)
+                held[b] = held[b] + part if b in held else part
+        yield from blocks(held)
+
+    def blocks(found: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for b, x in found.items():
+            if x.any():
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), pa.array([x.tobytes()], pa.binary())], ["b", "x"])
+
+    basis_width, out = basis.shape[1], np.zeros_like(basis)
+    part = rows.select("terms", "weights").mapInArrow(local, "b long, x binary")
+    for r in part.repartition("b").mapInArrow(summed, "b long, x binary").collect():  # as large as `basis`
+        out[r.b : r.b + BLOCK] = np.frombuffer(r.x, dtype=np.float64).reshape(-1, basis_width)
+    shared.destroy()
     return out
 
 
-def fit(spark: SparkSession, rows: DataFrame, rank: int = 16, rounds: int = 4, seed: int = 42) -> tuple[pa.Array, np.ndarray]:
-    """The vocabulary and the right singular vectors (terms x rank) of `weighted` rows."""
+def fit(spark: SparkSession, rows: DataFrame, rank: int | None = None, rounds: int = 5, seed: int = 42) -> tuple[pa.Array, np.ndarray]:
+    """The vocabulary and the right singular vectors (terms x rank) of `weighted` rows.
+
+    `rank` is min(RANK, documents - 1, terms) unless given. Subspace iteration with ten columns more than that; the
+    last product is turned to its own singular vectors before the columns beyond `rank` are cut.
+    """
     names = [r.term for r in rows.select(F.explode("terms").alias("term")).distinct().collect()]  # bounded by `most`
     vocabulary = pa.array(sorted(names), pa.string())
-    width = min(rank + 8, max(1, len(vocabulary)))
+    rank = max(1, min(RANK, rows.count() - 1, len(vocabulary))) if rank is None else rank
+    width = min(rank + 10, max(1, len(vocabulary)))
     basis = np.linalg.qr(np.random.default_rng(seed).standard_normal((len(vocabulary), width)))[0]
-    for _ in range(rounds):
-        shared = spark.sparkContext.broadcast((vocabulary, basis))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            names_, v = shared.value
-            total = np.zeros_like(v)
-            for batch in batches:
-                row, term, weight = _rows(batch, names_)
-                np.add.at(total, term, weight[:, None] * _projected(batch.num_rows, row, term, weight, v)[row])
-            used = np.flatnonzero(total.any(axis=1))
-            yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(list(total[used]), pa.list_(pa.float64()))], ["t", "x"])
-
-        part = rows.select("terms", "weights").mapInArrow(run, "t long, x array<double>")
-        summed = part.groupBy("t").agg(F.array(*(F.sum(F.col("x")[i]) for i in range(width))).alias("x")).collect()
-        product = np.zeros_like(basis)
-        for r in summed:
-            product[r.t] = r.x
-        basis = np.linalg.qr(product)[0]
+    known = spark.sparkContext.broadcast(vocabulary)
+    for _ in range(rounds if len(vocabulary) else 0):
+        parts = [_product(rows, known, np.ascontiguousarray(basis[:, i : i + COLUMNS])) for i in range(0, width, COLUMNS)]
+        q, r = np.linalg.qr(np.hstack(parts))
+        basis = q @ np.linalg.svd(r)[0]
     return vocabulary, basis[:, :rank]
 
 
+def as_table(spark: SparkSession, model: tuple[pa.Array, np.ndarray]) -> DataFrame:
+    """A model as rows of `term` and `vector`, to be written like any table."""
+    cells = pa.table({"term": model[0], "vector": pa.array(list(model[1]), pa.list_(pa.float64()))})
+    return spark.createDataFrame(cells)
+
+
+def from_table(rows: DataFrame) -> tuple[pa.Array, np.ndarray]:
+    """The model of such rows, as many as its vocabulary has terms."""
+    found = rows.select("term", "vector").orderBy("term").toArrow()
+    return pa.array(found["term"].to_pylist(), pa.string()), np.array(found["vector"].to_pylist()).reshape(found.num_rows, -1)
+
+
 def transform(spark: SparkSession, rows: DataFrame, model: tuple[pa.Array, np.ndarray]) -> DataFrame:
     """`vec_id` and `embedding` (unit length; a zero vector stays zero) of `weighted` rows."""
     shared = spark.sparkContext.broadcast(model)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from noteweave.functions.text import tokens
-from noteweave.operators.index import corpus_stats, document_frequencies, postings, tokenised
+from noteweave.operators.index import ITSELF, document_frequencies, marked_postings, marked_stats, postings, tokenised
 
 K1, B = 1.5, 0.75
 RRF_K, POOL = 60, 50
@@ -29,49 +29,56 @@ def ranked(scored: DataFrame, k: int, score: str = "score", by: str = "query_id"
     return scored.withColumn(score, F.round(score, 6)).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def bm25_scores(docs: DataFrame, queries: DataFrame, keep: Column | None = None) -> DataFrame:
+def bm25_scores(docs: DataFrame, queries: DataFrame, keep: Column | None = None, posts: DataFrame | None = None) -> DataFrame:
     """`query_id`, `doc_id`, `score` > 0 of every document that shares a term.
 
-    `keep` is a predicate on `docs`; statistics stay those of the whole corpus.
+    `keep` is a predicate on `docs`; statistics stay those of the whole corpus. `posts` are marked postings of `docs`
+    under the same predicate, if they are there; else those of the queries' terms are made here.
     """
-    toks, terms = tokenised(docs), query_terms(queries)
-    n, _, avgdl = corpus_stats(toks).first()  # one row
-    posts = postings(toks, terms)
-    idf = document_frequencies(posts)
-    weight = F.log(F.lit(1.0) + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    idf = idf.select("term", weight.alias("idf"))
-    if keep is not None:
-        posts = posts.join(docs.filter(keep).select("doc_id"), "doc_id", "left_semi")
-    length = F.greatest(F.col("dl"), F.lit(1)) / F.lit(float(avgdl or 1.0))
+    terms = query_terms(queries)
+    posts = marked_postings(docs, keep, terms) if posts is None else posts
+    stats = F.broadcast(marked_stats(posts))  # one row
+    idf = document_frequencies(posts).crossJoin(stats)
+    weight = F.log(F.lit(1.0) + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    idf = idf.select("term", weight.alias("idf"), F.when(F.col("avgdl") > 0, F.col("avgdl")).otherwise(1.0).alias("avgdl"))
+    length = F.greatest(F.col("dl"), F.lit(1)) / F.col("avgdl")
     part = F.col("idf") * F.col("freq") * (K1 + 1) / (F.col("freq") + K1 * (1 - B + B * length))
-    each = posts.join(idf, "term").join(terms, "term").select("query_id", "doc_id", part.alias("part"))
+    each = posts.join(idf, "term").join(terms, "term").select("query_id", "doc_id", F.when(F.col("kept"), part).alias("part"))
     return each.groupBy("query_id", "doc_id").agg(F.sum("part").alias("score")).filter("score > 0")
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int = POOL, keep: Column | None = None) -> DataFrame:
-    return ranked(bm25_scores(docs, queries, keep), k).select("query_id", "rank", "doc_id", "score")
+def bm25(docs: DataFrame, queries: DataFrame, k: int = POOL, keep: Column | None = None, posts: DataFrame | None = None) -> DataFrame:
+    return ranked(bm25_scores(docs, queries, keep, posts), k).select("query_id", "rank", "doc_id", "score")
 
 
 def tfidf(docs: DataFrame, most: int = 50_000) -> DataFrame:
     """`doc_id`, `term`, `weight`: sublinear frequencies, smooth idf, unit length, the `most` commonest terms."""
-    posts = postings(tokenised(docs))
+    return _weights(postings(tokenised(docs)), idf_table(docs, most))
+
+
+def idf_table(docs: DataFrame, most: int = 50_000) -> DataFrame:
+    """`term`, `idf` of the `most` commonest terms."""
+    each = postings(tokenised(docs)).groupBy("term").agg(F.sum(F.least("freq", F.lit(1))).alias("df"), F.sum("freq").alias("total"))
     n = docs.count()
-    top = document_frequencies(posts).join(posts.groupBy("term").agg(F.sum("freq").alias("total")), "term").orderBy(F.desc("total"), "term").limit(most)
-    idf = top.select("term", (F.log((F.lit(1.0) + n) / (F.col("df") + 1.0)) + 1.0).alias("idf"))
+    return each.orderBy(F.desc("total"), "term").limit(most).select("term", (F.log((F.lit(1.0) + n) / (F.col("df") + 1.0)) + 1.0).alias("idf"))
+
+
+def _weights(posts: DataFrame, idf: DataFrame) -> DataFrame:
     raw = posts.join(idf, "term").select("doc_id", "term", ((F.log(F.col("freq")) + 1.0) * F.col("idf")).alias("w"))
-    norm = raw.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norm, "doc_id").select("doc_id", "term", (F.col("w") / F.col("norm")).alias("weight"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc_id")))
+    return raw.select("doc_id", "term", (F.col("w") / norm).alias("weight"))
+
 
+def term_cosine(docs: DataFrame, queries: DataFrame, k: int = POOL, keep: Column | None = None, posts: DataFrame | None = None) -> DataFrame:
+    """The sparse vector channel: cosine of log-frequency document vectors and binary query vectors.
 
-def term_cosine(docs: DataFrame, queries: DataFrame, k: int = POOL, keep: Column | None = None) -> DataFrame:
-    """The sparse vector channel: cosine of log-frequency document vectors and binary query vectors."""
-    toks, terms = tokenised(docs), query_terms(queries)
-    posts = postings(toks).withColumn("w", F.log(F.col("freq")) + 1.0)
-    norms = posts.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    `posts` as in `bm25_scores`, but of all terms.
+    """
+    terms = query_terms(queries)
+    posts = (marked_postings(docs, keep) if posts is None else posts).withColumn("w", F.log(F.col("freq")) + 1.0)
+    norms = posts.groupBy("doc_id").agg(F.sqrt(F.sum(F.when(F.col("term") != ITSELF, F.col("w") * F.col("w")))).alias("norm"))
     sizes = terms.groupBy("query_id").agg(F.sqrt(F.count("*").cast("double")).alias("size"))
-    if keep is not None:
-        posts = posts.join(docs.filter(keep).select("doc_id"), "doc_id", "left_semi")
-    dots = posts.join(terms, "term").groupBy("query_id", "doc_id").agg(F.sum("w").alias("dot"))
+    dots = posts.join(terms, "term").groupBy("query_id", "doc_id").agg(F.sum(F.when(F.col("kept"), F.col("w"))).alias("dot")).filter("dot is not null")
     scored = dots.join(norms, "doc_id").join(sizes, "query_id").select("query_id", "doc_id", (F.col("dot") / (F.col("norm") * F.col("size"))).alias("score"))
     return ranked(scored, k).select("query_id", "rank", "doc_id", "score")
 
@@ -145,9 +152,9 @@ def search(docs: DataFrame, queries: DataFrame, top_k: int = 10, keep: Column |
     `docs` has doc_id, text and any metadata; excerpts are the first 200 characters. In the one-channel modes the
     other weight is zero, as if that channel had found nothing.
     """
-    none = F.lit(False)
-    vector = term_cosine(docs, queries, POOL, none if mode == "keyword" else keep)
-    keyword = bm25(docs, queries, POOL, none if mode == "vector" else keep)
+    posts = None if mode == "keyword" else marked_postings(docs, keep)  # the channels share them
+    keyword = bm25(docs, queries, POOL, keep, posts).filter(F.lit(mode != "vector"))
+    vector = term_cosine(docs, queries, POOL, keep, posts).filter(F.lit(mode != "keyword"))
     best = hits(fuse(vector, keyword, vector_weight, keyword_weight), top_k)
     meta = [c for c in docs.columns if c not in ("doc_id", "text")]
     shown = docs.select("doc_id", *meta, F.substring("text", 1, 200).alias("excerpt"))

@@ -180,7 +180,8 @@ def legacy_similarity(spark, sf_dir):
 
 def _fused(spark, sf_dir, wv, ww):
     docs, asked = table(spark, sf_dir, "documents"), items(spark, sf_dir, 6)
-    found = ranking.hits(ranking.fuse(ranking.term_cosine(docs, asked), ranking.bm25(docs, asked), wv, ww), 10)
+    posts = index.marked_postings(docs)
+    found = ranking.hits(ranking.fuse(ranking.term_cosine(docs, asked, posts=posts), ranking.bm25(docs, asked, posts=posts), wv, ww), 10)
     return found.select("query_id", "rank", "doc_id", F.col("fused").alias("fused_score"), "vec_rank", "kw_rank")
 
 

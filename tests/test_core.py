@@ -226,6 +226,27 @@ def test_lsa_equals_dense_svd(spark, sf):
     assert np.abs(mine @ mine.T - vectors @ vectors.T).max() < 0.02
 
 
+def test_lsa_as_registered(spark, sf):
+    """The rank and rounds of the query: all but one component of 60 documents; the model as a table gives the same vectors."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").limit(60)
+    rows = lsa.weighted(docs).persist()
+    model = lsa.fit(spark, rows)
+    cells = rows.collect()
+    assert model[1].shape == (len(model[0]), min(384, len(cells) - 1, len(model[0])))
+    terms = {t: i for i, t in enumerate(model[0].to_pylist())}
+    dense = np.zeros((len(cells), len(terms)))
+    for n, r in enumerate(cells):
+        dense[n, [terms[t] for t in r.terms]] = r.weights
+    vectors = dense @ np.linalg.svd(dense, full_matrices=False)[2][: model[1].shape[1]].T
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    for held in (model, lsa.from_table(lsa.as_table(spark, model))):
+        got = {r.vec_id: np.array(r.embedding) for r in lsa.transform(spark, rows, held).collect()}
+        mine = np.stack([got[r.doc_id] for r in cells])
+        assert np.abs(mine @ mine.T - vectors @ vectors.T).max() < 1e-3
+    empty = rows.limit(0)
+    assert lsa.transform(spark, empty, lsa.fit(spark, empty)).count() == 0
+
+
 def test_gold_pairs_are_containment(spark):
     """Short and mixed-script items, and items that begin or end inside a word."""
     from noteweave.operators import ranking
