@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from noteweave.functions.text import tokens
@@ -28,29 +28,15 @@ def postings(tokenised_docs: DataFrame, terms: DataFrame | None = None) -> DataF
     return each.groupBy(*own, "term").agg(F.count("*").alias("freq"))
 
 
-#: The term of the posting that stands for the document itself; no token is empty.
-ITSELF = ""
+def query_terms(queries: DataFrame, id_col: str = "query_id", text_col: str = "query") -> DataFrame:
+    """`query_id` and its different terms."""
+    return queries.select(F.col(id_col).alias("query_id"), F.explode(F.array_distinct(tokens(F.col(text_col)))).alias("term"))
 
 
-def marked_postings(docs: DataFrame, keep: Column | None = None, terms: DataFrame | None = None) -> DataFrame:
-    """Postings with `kept` (whether the row meets `keep`), and one posting of ITSELF for each row.
-
-    Frequencies, lengths and the corpus statistics all come from this one plan: what reads it must use `freq` and no
-    filter on the keys, so that Spark sees one exchange and tokenises once.
-    """
-    flag = F.lit(True) if keep is None else F.coalesce(keep, F.lit(False))
-    rows = docs.select("doc_id", flag.alias("kept"), tokens(F.col("text")).alias("tokens")).withColumn("dl", F.size("tokens").cast("long"))
-    rows = rows.withColumn("tokens", F.concat("tokens", F.array(F.lit(ITSELF))))
-    if terms is not None:
-        terms = terms.select("term").union(docs.sparkSession.range(1).select(F.lit(ITSELF)))
-    return postings(rows, terms)
-
-
-def marked_stats(posts: DataFrame) -> DataFrame:
-    """`n` and `avgdl` in one row, from marked postings."""
-    rows = F.when(F.col("term") == ITSELF, F.col("freq"))
-    n = F.coalesce(F.sum(rows), F.lit(0)).cast("double")
-    return posts.agg(n.alias("n"), F.coalesce(F.sum(rows * F.col("dl")) / F.nullif(n, F.lit(0.0)), F.lit(0.0)).alias("avgdl"))
+def ranked(scored: DataFrame, k: int, score: str = "score", by: str | list[str] = "query_id", tie: str = "doc_id") -> DataFrame:
+    """The k best rows of each query: by score rounded to six digits, then id; `rank` from 1."""
+    order = Window.partitionBy(by).orderBy(F.desc(score), tie)
+    return scored.withColumn(score, F.round(score, 6)).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
 def document_frequencies(posts: DataFrame) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from noteweave.functions.front_matter import read
 from noteweave.functions.text import HEADING, chunk_id, content_hash, heading_stack, stem, stripped
 
 #: Front-matter fields that are kept; others are dropped and absent ones are empty.
@@ -14,27 +15,16 @@ SHORTEST = 20
 
 
 def front_matter(notes: DataFrame, raw_col: str = "raw") -> DataFrame:
-    """All columns with the FIELDS, `has_front_matter` and `body`.
+    """All columns with the FIELDS as text, `metadata` (a VARIANT of all fields with their types), `has_front_matter`, `front_matter_error` and `body`.
 
-    Scalars and inline or indented lists are read (the shapes that notes use); a list is joined by a
-    vertical bar. A missing memory_type is `unknown`, other missing fields are empty.
+    Lists are joined by a vertical bar. A missing memory_type is `unknown`, other missing fields are empty. A front matter that
+    is empty or no map counts as missing, one that cannot be parsed has an error and no fields.
     """
-    raw = F.regexp_replace(F.coalesce(F.col(raw_col), F.lit("")), "\r\n", "\n")
-    shape = r"(?s)^---[ \t]*\n(.*?)\n?---[ \t]*(?:\n(.*))?$"
-    found = raw.rlike(shape)
-    yaml = F.when(found, F.regexp_extract(raw, shape, 1)).otherwise("")
-
-    def field(name: str) -> Column:
-        line = F.regexp_extract(yaml, rf"(?m)^{name}:[ \t]*(.*)$", 1)
-        block = F.regexp_extract(yaml, rf"(?m)^{name}:[ \t]*\n((?:[ \t]*- .*\n?)+)", 1)
-        unquoted = lambda c: F.regexp_replace(F.trim(c), r"""^(["'])(.*)\1$""", "$2")
-        inline = F.array_join(F.transform(F.split(F.regexp_replace(F.trim(line), r"^\[|\]$", ""), ","), unquoted), "|")
-        listed = F.array_join(F.transform(F.regexp_extract_all(block, F.lit(r"(?m)^[ \t]*- (.*)$"), F.lit(1)), unquoted), "|")
-        value = F.when(F.trim(line).rlike(r"^\[.*\]$"), inline).when(F.length(block) > 0, listed).otherwise(unquoted(line))
-        return F.when((name == "memory_type") & (value == ""), "unknown").otherwise(value) if name == "memory_type" else value
-
-    columns = {name: field(name) for name in FIELDS}
-    return notes.withColumns({**columns, "has_front_matter": found, "body": F.when(found, F.regexp_extract(raw, shape, 2)).otherwise(raw)})
+    rows = notes.withColumn("_read", read(F.col(raw_col)))
+    text = {name: F.coalesce(F.try_element_at("_read.fields", F.lit(name)), F.lit("")) for name in FIELDS}
+    text["memory_type"] = F.when(text["memory_type"] == "", "unknown").otherwise(text["memory_type"])
+    rest = {"metadata": F.try_parse_json("_read.json"), "has_front_matter": F.col("_read.json").isNotNull(), "front_matter_error": F.col("_read.error"), "body": F.col("_read.body")}
+    return rows.withColumns(text | rest).drop("_read")
 
 
 def sections(notes: DataFrame, path_col: str = "path", body_col: str = "body") -> DataFrame:
@@ -84,8 +74,12 @@ def difference(stored: DataFrame, new: DataFrame, id_col: str = "id", hash_col:
 
 
 def upsert(stored: DataFrame, new: DataFrame, id_col: str = "id", hash_col: str = "content_hash") -> DataFrame:
-    """The table after the upsert: unchanged rows as stored, changed and new ones from `new`, vanished ones gone."""
-    ids = new.select(id_col, hash_col)
-    kept = stored.join(ids, [id_col, hash_col], "left_semi")
-    fresh = new.join(stored.select(id_col, hash_col), [id_col, hash_col], "left_anti")
-    return kept.unionByName(fresh.select(*kept.columns))
+    """The table after the upsert: unchanged rows as stored, changed and new ones from `new`, vanished ones gone.
+
+    Of a repeated id one row counts on either side, that of the greatest hash, as in `difference`.
+    """
+    rest = [c for c in stored.columns if c != id_col]
+    one = lambda rows: rows.groupBy(id_col).agg(F.max_by(F.struct(*rest), hash_col).alias("_r")).select(id_col, "_r.*")
+    fresh, old = one(new.select(*stored.columns)), one(stored)
+    ids = fresh.select(id_col, hash_col)
+    return old.join(ids, [id_col, hash_col], "left_semi").unionByName(fresh.join(old.select(id_col, hash_col), [id_col, hash_col], "left_anti"))

@@ -10,45 +10,20 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from noteweave.functions.text import tokens
-from noteweave.operators.index import ITSELF, document_frequencies, marked_postings, marked_stats, postings, tokenised
+from noteweave.operators.index import document_frequencies, postings, query_terms, ranked, tokenised
+from noteweave.operators.shards import rank, shards_of_texts
 
-K1, B = 1.5, 0.75
 RRF_K, POOL = 60, 50
 #: Query vectors that one pass over the corpus takes with it.
 QUERY_BLOCK = 2048
 
 
-def query_terms(queries: DataFrame, id_col: str = "query_id", text_col: str = "query") -> DataFrame:
-    """`query_id` and its different terms."""
-    return queries.select(F.col(id_col).alias("query_id"), F.explode(F.array_distinct(tokens(F.col(text_col)))).alias("term"))
+def bm25(docs: DataFrame, queries: DataFrame, k: int = POOL, keep: Column | None = None) -> DataFrame:
+    """`query_id`, `rank`, `doc_id`, `score` of the k best documents that share a term with the query.
 
-
-def ranked(scored: DataFrame, k: int, score: str = "score", by: str = "query_id", tie: str = "doc_id") -> DataFrame:
-    """The k best rows of each query: by score rounded to six digits, then id; `rank` from 1."""
-    order = Window.partitionBy(by).orderBy(F.desc(score), tie)
-    return scored.withColumn(score, F.round(score, 6)).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-
-
-def bm25_scores(docs: DataFrame, queries: DataFrame, keep: Column | None = None, posts: DataFrame | None = None) -> DataFrame:
-    """`query_id`, `doc_id`, `score` > 0 of every document that shares a term.
-
-    `keep` is a predicate on `docs`; statistics stay those of the whole corpus. `posts` are marked postings of `docs`
-    under the same predicate, if they are there; else those of the queries' terms are made here.
+    `keep` is a predicate on `docs`; statistics stay those of the whole corpus.
     """
-    terms = query_terms(queries)
-    posts = marked_postings(docs, keep, terms) if posts is None else posts
-    stats = F.broadcast(marked_stats(posts))  # one row
-    idf = document_frequencies(posts).crossJoin(stats)
-    weight = F.log(F.lit(1.0) + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    idf = idf.select("term", weight.alias("idf"), F.when(F.col("avgdl") > 0, F.col("avgdl")).otherwise(1.0).alias("avgdl"))
-    length = F.greatest(F.col("dl"), F.lit(1)) / F.col("avgdl")
-    part = F.col("idf") * F.col("freq") * (K1 + 1) / (F.col("freq") + K1 * (1 - B + B * length))
-    each = posts.join(idf, "term").join(terms, "term").select("query_id", "doc_id", F.when(F.col("kept"), part).alias("part"))
-    return each.groupBy("query_id", "doc_id").agg(F.sum("part").alias("score")).filter("score > 0")
-
-
-def bm25(docs: DataFrame, queries: DataFrame, k: int = POOL, keep: Column | None = None, posts: DataFrame | None = None) -> DataFrame:
-    return ranked(bm25_scores(docs, queries, keep, posts), k).select("query_id", "rank", "doc_id", "score")
+    return rank(shards_of_texts(docs, queries, keep), queries, k).drop("channel")
 
 
 def tfidf(docs: DataFrame, most: int = 50_000) -> DataFrame:
@@ -69,18 +44,15 @@ def _weights(posts: DataFrame, idf: DataFrame) -> DataFrame:
     return raw.select("doc_id", "term", (F.col("w") / norm).alias("weight"))
 
 
-def term_cosine(docs: DataFrame, queries: DataFrame, k: int = POOL, keep: Column | None = None, posts: DataFrame | None = None) -> DataFrame:
-    """The sparse vector channel: cosine of log-frequency document vectors and binary query vectors.
+def term_cosine(docs: DataFrame, queries: DataFrame, k: int = POOL, keep: Column | None = None) -> DataFrame:
+    """The sparse vector channel: cosine of log-frequency document vectors and binary query vectors."""
+    return rank(shards_of_texts(docs, queries, keep), queries, k, ("vector",)).drop("channel")
 
-    `posts` as in `bm25_scores`, but of all terms.
-    """
-    terms = query_terms(queries)
-    posts = (marked_postings(docs, keep) if posts is None else posts).withColumn("w", F.log(F.col("freq")) + 1.0)
-    norms = posts.groupBy("doc_id").agg(F.sqrt(F.sum(F.when(F.col("term") != ITSELF, F.col("w") * F.col("w")))).alias("norm"))
-    sizes = terms.groupBy("query_id").agg(F.sqrt(F.count("*").cast("double")).alias("size"))
-    dots = posts.join(terms, "term").groupBy("query_id", "doc_id").agg(F.sum(F.when(F.col("kept"), F.col("w"))).alias("dot")).filter("dot is not null")
-    scored = dots.join(norms, "doc_id").join(sizes, "query_id").select("query_id", "doc_id", (F.col("dot") / (F.col("norm") * F.col("size"))).alias("score"))
-    return ranked(scored, k).select("query_id", "rank", "doc_id", "score")
+
+def channels(docs: DataFrame, queries: DataFrame, k: int = POOL, keep: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """The vector and the keyword ranking, from one pass over the texts."""
+    both = rank(shards_of_texts(docs, queries, keep), queries, k, ("vector", "keyword"))
+    return tuple(both.filter(F.col("channel") == c).drop("channel") for c in ("vector", "keyword"))
 
 
 def nearest(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int = POOL, metric: str = "dot", id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -152,9 +124,9 @@ def search(docs: DataFrame, queries: DataFrame, top_k: int = 10, keep: Column |
     `docs` has doc_id, text and any metadata; excerpts are the first 200 characters. In the one-channel modes the
     other weight is zero, as if that channel had found nothing.
     """
-    posts = None if mode == "keyword" else marked_postings(docs, keep)  # the channels share them
-    keyword = bm25(docs, queries, POOL, keep, posts).filter(F.lit(mode != "vector"))
-    vector = term_cosine(docs, queries, POOL, keep, posts).filter(F.lit(mode != "keyword"))
+    asked = {"hybrid": ("vector", "keyword"), "vector": ("vector",), "keyword": ("keyword",)}[mode]
+    found = rank(shards_of_texts(docs, queries, keep), queries, POOL, asked)
+    vector, keyword = (found.filter(F.col("channel") == c).drop("channel") for c in ("vector", "keyword"))
     best = hits(fuse(vector, keyword, vector_weight, keyword_weight), top_k)
     meta = [c for c in docs.columns if c not in ("doc_id", "text")]
     shown = docs.select("doc_id", *meta, F.substring("text", 1, 200).alias("excerpt"))

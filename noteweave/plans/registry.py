@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 
 from noteweave.functions.text import chunk_id, content_hash, result_id, tokens
 from noteweave.operators import audit, browse, evaluate, feedback, index, ingest, lsa, ranking
+from noteweave.sources.tables import shared_folder, table
 from noteweave.streaming import feedback as stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,18 +31,6 @@ def query(sql: str | None = None):
     return keep
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder that the session names; else the warehouse, or with a local master a temporary folder."""
-    named = spark.sparkContext.getCheckpointDir() or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named is None and spark.sparkContext.master.startswith("local"):
-        return tempfile.mkdtemp(prefix="stream-")
-    return named or spark.conf.get("spark.sql.warehouse.dir")
-
-
 # --- shared pieces of the SQL twins --------------------------------------------------------------
 
 
@@ -180,8 +168,7 @@ def legacy_similarity(spark, sf_dir):
 
 def _fused(spark, sf_dir, wv, ww):
     docs, asked = table(spark, sf_dir, "documents"), items(spark, sf_dir, 6)
-    posts = index.marked_postings(docs)
-    found = ranking.hits(ranking.fuse(ranking.term_cosine(docs, asked, posts=posts), ranking.bm25(docs, asked, posts=posts), wv, ww), 10)
+    found = ranking.hits(ranking.fuse(*ranking.channels(docs, asked), wv, ww), 10)
     return found.select("query_id", "rank", "doc_id", F.col("fused").alias("fused_score"), "vec_rank", "kw_rank")
 
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Folder names that are left out at any depth, for a sync and for an audit, which sees templates (fixed values).
-EXCLUDED = (".obsidian", ".trash", ".git", "模板", "templates", "Templates")
+#: Folder names that a sync leaves out at any depth, and those that an audit does not look into (fixed values).
+EXCLUDED = (".obsidian", ".trash", "模板")
 UNSEEN = (".obsidian", ".trash")
 
 FEEDBACK = T.StructType([
@@ -18,13 +20,56 @@ FEEDBACK = T.StructType([
 ])
 
 
-def read_notes(spark: SparkSession, folder: str, excluded: tuple[str, ...] = EXCLUDED) -> DataFrame:
-    """`path` (relative, with slashes) and `raw` of every .md file below the folder."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(folder)
-    root = folder.rstrip("/") + "/"
-    path = F.regexp_replace(F.substring_index(F.col("path"), root, -1), r"\\", "/")
-    rows = files.select(path.alias("path"), F.decode("content", "UTF-8").alias("raw"))
-    return rows.filter(~F.exists(F.split("path", "/"), lambda p: p.isin(*excluded)))
+def _place(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, place = _place(spark, path)
+    return fs.exists(place)
+
+
+def folders(spark: SparkSession, root: str, excluded: tuple[str, ...] = EXCLUDED) -> list[str]:
+    """The root and all folders below it, in order; what is excluded is not even listed. Only folders reach the driver."""
+    fs, place = _place(spark, root)
+    out, waiting = [], [fs.getFileStatus(place).getPath()]
+    while waiting:
+        here = waiting.pop()
+        out.append(here.toString())
+        waiting += [s.getPath() for s in fs.listStatus(here) if s.isDirectory() and s.getPath().getName() not in excluded]
+    return sorted(out)
+
+
+def _files(spark: SparkSession, root: str, excluded: tuple[str, ...], names: str) -> DataFrame | None:
+    """The files of the folders as Spark's reader gives them, with their `rel`ative paths; None where there are none."""
+    fs, place = _place(spark, root)
+    top = fs.getFileStatus(place).getPath().toString().rstrip("/") + "/"
+    quoted = [re.sub(r"([\\{}\[\]*?,])", r"\\\1", folder) for folder in folders(spark, root, excluded)]
+    globs = [f"{folder}/{names}" for folder in quoted]
+    globs = [g for g in globs if any(s.isFile() for s in fs.globStatus(_place(spark, g)[1]) or ())]
+    if not globs:
+        return None
+    found = spark.read.format("binaryFile").load(globs)
+    return found.withColumn("rel", F.substring("path", len(top) + 1, 1 << 20))
+
+
+def read_notes(spark: SparkSession, folder: str, excluded: tuple[str, ...] = EXCLUDED, ordered: bool = False) -> DataFrame:
+    """`path` (relative, with slashes) and `raw` of every .md file below the folder; excluded folders are never opened.
+
+    Spark's readers pass over files whose names begin with a dot or an underscore.
+    """
+    files = _files(spark, folder, excluded, "*.md")
+    if files is None:
+        return spark.createDataFrame([], "path string, raw string")
+    rows = files.select(F.col("rel").alias("path"), F.decode("content", "UTF-8").alias("raw"))
+    return rows.orderBy("path") if ordered else rows
+
+
+def read_names(spark: SparkSession, folder: str, excluded: tuple[str, ...] = EXCLUDED) -> DataFrame:
+    """`name`: the relative path of every file below the folder. No file is opened."""
+    files = _files(spark, folder, excluded, "*")
+    return spark.createDataFrame([], "name string") if files is None else files.select(F.col("rel").alias("name"))
 
 
 def write_summary(counts: DataFrame, path: str) -> None:
@@ -34,8 +79,7 @@ def write_summary(counts: DataFrame, path: str) -> None:
 
 def read_summary(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The summary of the last sync; no row where it is missing or malformed."""
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+    if not exists(spark, path):
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
 

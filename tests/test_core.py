@@ -258,22 +258,93 @@ def test_gold_pairs_are_containment(spark):
     assert got == {(k, i) for i, t in enumerate(texts) if t is not None for k, item in enumerate(items) if item is not None and item in t}
 
 
+NOTES = [
+    ("a.md", "no front matter, and [[gone]] with [[b]] in a body that is long enough for the rules"),
+    ("b.md", "---\nmemory_type: fact\nsource: s\ndate_updated: 2026-01-30\n---\n" + "words " * 20),
+    ("c.md", "---\nstatus: odd\nconfidence: 2\nexpiry: 2025-01-01\n---\nshort"),
+    ("模板/t.md", "---\nmemory_type: wrong\nexpiry: 2025-01-01\n---\n"),
+    ("d/bad.md", "---\nmemory_type: [fact\n---\nshort [[nowhere]]"),
+    ("d/empty.md", "---\n---\n" + "words " * 20 + "[[#here]] [[]] [[ ]] [[d\\bad|alias]] [[empty#a|b]]"),
+    ("d/old.md", "---\nmemory_type: experience\ndate_updated: 2025-02-01\n---\n" + "words " * 20),
+    ("d/older.md", "---\nmemory_type: preference\nowner: o\ndate_updated: 2025-07-31\n---\n" + "words " * 20),
+    ("d/form.md", "---\nmemory_type: fact\nsource: s\ndate_updated: 2026/01/30\nexpiry: 2026-01-02x\n---\n" + "words " * 20),
+    ("d/typed.md", "---\nmemory_type: task_state\nstatus: [active]\nconfidence: .5\ndate_updated: '2026-01-30'\nexpiry: 2026-01-29\n---\n" + "words " * 20),
+]
+ISSUES = [
+    ("A", "no_front_matter", "a.md"), ("A", "missing_type", "c.md"), ("A", "missing_field", "c.md"), ("A", "bad_status", "c.md"), ("A", "out_of_range", "c.md"), ("A", "bad_type", "模板/t.md"),
+    ("A", "bad_front_matter", "d/bad.md"), ("A", "no_front_matter", "d/empty.md"), ("A", "bad_date", "d/form.md"), ("A", "bad_date", "d/form.md"), ("A", "expiry_before_update", "d/typed.md"),
+    ("B", "expired", "c.md"), ("B", "expired", "模板/t.md"), ("B", "expired", "d/typed.md"), ("B", "stale", "d/older.md"), ("C", "broken_link", "a.md"), ("D", "short_body", "c.md"), ("D", "short_body", "模板/t.md"),
+]
+
+
 def test_audit_run(spark):
-    from noteweave.operators import audit, ingest
-
-    raw = [
-        ("a.md", "no front matter, and [[gone]] with [[b]] in a body that is long enough for the rules"),
-        ("b.md", "---\nmemory_type: fact\nsource: s\ndate_updated: 2026-01-30\n---\n" + "words " * 20),
-        ("c.md", "---\nstatus: odd\nconfidence: 2\nexpiry: 2025-01-01\n---\nshort"),
-        ("模板/t.md", "---\nmemory_type: wrong\n---\n"),
-    ]
-    notes = ingest.front_matter(spark.createDataFrame(raw, "path string, raw string"))
-    indexed = spark.createDataFrame([("b.md",), ("old.md",)], "path string")
+    """Ages by type, templates, unparsable, empty and missing front matter, forms of dates, links without a target."""
+    notes = ingest.front_matter(spark.createDataFrame(NOTES, "path string, raw string"))
+    indexed = spark.createDataFrame([("b.md",), ("old.md",), ("d/older.md",), ("d/form.md",), ("d/typed.md",), ("d/old.md",), ("d/empty.md",)], "path string")
     got = sorted((r.dimension, r.code, r.file) for r in audit.run(notes, "2026-01-31", indexed).collect())
-    assert got == sorted([
-        ("A", "no_front_matter", "a.md"), ("A", "missing_type", "c.md"), ("A", "missing_field", "c.md"), ("A", "bad_status", "c.md"), ("A", "out_of_range", "c.md"), ("A", "bad_type", "模板/t.md"),
-        ("B", "expired", "c.md"), ("C", "broken_link", "a.md"), ("D", "short_body", "c.md"), ("E", "index", "a.md"), ("E", "index", "old.md"),
-    ])
+    assert got == sorted([*ISSUES, ("E", "index", "a.md"), ("E", "index", "old.md")])
+    assert tuple(audit.coverage(notes).first()) == (10, 7, 5)
+    lines = [r.line for r in audit.report_text(audit.run(notes, "2026-01-31"), 3).collect()]
+    assert [x for x in lines if x.startswith("## ")] == ["## A. Front matter (11)", "## B. Expired and stale (4)", "## C. Broken links (1)", "## D. Contents (2)", "## E. Index (0)"]
+    assert "- and 8 more" in lines and "- a.md: broken_link gone" in lines
+
+
+def test_audit_of_a_folder(spark, tmp_path):
+    root = tmp_path / "v"
+    for path, raw in [*NOTES, ("x{1}/[a].md", "words " * 20 + "[[files/p.pdf]] [[p.pdf]] [[.trash/gone.md]]")]:
+        (root / path).parent.mkdir(parents=True, exist_ok=True)
+        (root / path).write_text(raw)
+    for hidden in (".obsidian", ".trash", "d/.obsidian", "files"):
+        (root / hidden).mkdir(parents=True, exist_ok=True)
+    (root / "files/p.pdf").write_text("x")
+    for hidden in (".obsidian/n.md", ".trash/gone.md", "d/.obsidian/n.md"):
+        (root / hidden).write_text("---\nbad: [\n---\n")
+        (root / hidden).chmod(0)
+    got = sorted((r.dimension, r.code, r.file) for r in audit.vault(spark, str(root), "2026-01-31").collect())
+    assert got == sorted([*ISSUES, ("A", "no_front_matter", "x{1}/[a].md")])
+    assert [r.code for r in audit.vault(spark, str(tmp_path / "none"), "2026-01-31").collect()] == ["no_vault"]
+    paths = [r.path for r in src.read_notes(spark, str(root), ordered=True).collect()]
+    assert paths == sorted(p for p, _ in [*NOTES, ("x{1}/[a].md", "")] if not p.startswith("模板"))
+    assert not any(x.rsplit("/", 1)[-1] in src.EXCLUDED for x in src.folders(spark, str(root)))
+    assert src.read_notes(spark, str(tmp_path / "v/.trash"), excluded=("none",)).columns == ["path", "raw"]
+
+
+@pytest.mark.parametrize("text, want", [
+    ("a: 1\nb: -2.5\nc: true\nd: ~\ne: 2026-01-02\nf: '1'", {"a": 1, "b": -2.5, "c": True, "d": None, "e": "2026-01-02", "f": "1"}),
+    ("m:\n  n:\n    k: v # note\n  l:\n  - 1\n  - x: y\n    z: [p, 'q, r']\nt: done", {"m": {"n": {"k": "v"}, "l": [1, {"x": "y", "z": ["p", "q, r"]}]}, "t": "done"}),
+    ("a: |\n  one\n    two\n\n  three\nb: >-\n  x\n  y\n\n  z", {"a": "one\n  two\n\nthree\n", "b": "x y\nz"}),
+    ('"q k": "a\\n\\"b"\nu: http://x.y/#z\nw: one\n  two\nl: [a,\n  b]\nf: {a: 1, b: [c]}', {"q k": 'a\n"b', "u": "http://x.y/#z", "w": "one two", "l": ["a", "b"], "f": {"a": 1, "b": ["c"]}}),
+    ("# only a comment", None), ("", None), ("- a\n- - b\n", ["a", "- b"]),
+])
+def test_front_matter_values(text, want):
+    from noteweave.functions import front_matter
+
+    assert front_matter.parse(text) == want
+
+
+@pytest.mark.parametrize("text", ["a: b: c", "a: [1", 'a: "x', "\ta: 1", "a: 1\n b: 2", "a: *x", "- a\nb: 1", "a: {b: 1", "a: 1\ntext", "a: 'x' y", "a: @x"])
+def test_front_matter_errors(text):
+    from noteweave.functions import front_matter
+
+    with pytest.raises(front_matter.Malformed):
+        front_matter.parse(text)
+
+
+def test_front_matter_keeps_types(spark):
+    raw = "---\nmemory_type: fact\nconfidence: 0.5\nnested:\n  k: [1, two]\n---\nbody"
+    row = ingest.front_matter(spark.createDataFrame([(raw,), ("---\na: [\n---\nb",), ("---\ntext\n---\nb",)], "raw string"))
+    got = row.select("has_front_matter", "front_matter_error", "confidence", F.variant_get("metadata", "$.nested.k[1]", "string").alias("k"), F.schema_of_variant(F.variant_get("metadata", "$.confidence", "variant")).alias("t"), "body").collect()
+    assert (got[0].has_front_matter, got[0].confidence, got[0].k, got[0].body) == (True, "0.5", "two", "body") and got[0].t.startswith(("DECIMAL", "DOUBLE"))
+    assert [(r.has_front_matter, r.front_matter_error is None, r.body) for r in got[1:]] == [(False, False, "b"), (False, True, "b")]
+
+
+def test_upsert_of_repeated_ids(spark):
+    old = spark.createDataFrame([(1, "a", "x")], "id long, content_hash string, v string")
+    new = spark.createDataFrame([(1, "a", "y"), (1, "b", "z"), (2, "c", "c"), (2, "d", "d")], "id long, content_hash string, v string")
+    after = ingest.upsert(old, new)
+    assert sorted(map(tuple, after.collect())) == [(1, "b", "z"), (2, "d", "d")]
+    assert {(r.id, r.action) for r in ingest.difference(old, new).collect()} == {(1, "update"), (2, "insert")}
+    assert {r.action for r in ingest.difference(after, new).collect()} == {"keep"}
 
 
 def test_sources_of_a_sync(spark, tmp_path):
