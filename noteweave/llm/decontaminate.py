@@ -9,8 +9,10 @@ step, puts out the word it stands on and moves on or not as the word's bit for t
 distances become small Hamming distances. Bit-sampling LSH then takes a few steps of the output as a key; REPEATS
 independent walks and samples from either end of a window, their number set by the wanted recall, put each item in
 2 * REPEATS buckets, and the item-sized windows of a text look their own buckets up. What stands in them is
-verified by the exact edit distance between the item and the best passage around the windows. Steps are sampled
-only while a walk still stands on a word (a step moves on by one word at most), so that keys speak of words alone.
+verified by the exact edit distance between the item and the best passage around the windows. A walk reaches about half of
+STEPS words, so items of more than PIECE words are cut into equal pieces with walks of their own from either end of each: of
+an item's edits some piece has no more than its own share, wherever they stand, and that piece's windows lead to the
+item. Steps are sampled only while a walk still stands on a word (a step moves on by one word at most), so that keys speak of words alone.
 
 Windows need not be embedded where no leak can be: of an item's n - q + 1 runs of q words, e edits
 spoil q * e at most, so a passage with e edits holds the others unchanged. Items are grouped by size, and for each
@@ -20,8 +22,8 @@ at least) are embedded. No leak is lost by it, and which item a window resembles
 Items go to the workers in blocks of about BLOCK characters, one pass over the documents for each block, so
 what is broadcast is bounded; documents are never shuffled, only hits are.
 
-Defined results: null or empty texts and items have no words and never match; repeated items each match under their own id, and repeated
-rows each give their hits; ties between passages go to the first; the window is as long as the item and ends where its passage does; an empty table on either side gives
+Defined results: null or empty texts and items have no words and never match; repeated items each match under their own id, which may be
+null, and repeated rows each give their hits; ties between passages go to the first; the window is as long as the item and ends where its passage does; an empty table on either side gives
 an empty result; further columns are not read.
 """
 
@@ -42,8 +44,8 @@ from noteweave.llm.common import positional, prepare, small_batches
 
 #: Edits allowed for each word of an item; characters of items in a block.
 SHARE, BLOCK = 0.2, 8_000_000
-#: Steps in a key; walks from either end; longest walk; growth of the items' size from group to group.
-SAMPLED, REPEATS, STEPS, GROWTH = 3, 32, 64, 1.2
+#: Steps in a key; walks from either end; longest walk; longest piece of an item; growth of the pieces' size from group to group.
+SAMPLED, REPEATS, STEPS, PIECE, GROWTH = 3, 32, 64, 128, 1.2
 
 #: Scripts without spaces between words: Thai, Lao, Burmese, Khmer, kana, Chinese characters.
 UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\ua9e0-\ua9ff\uaa60-\uaa7f\uf900-\ufaff\uff66-\uff9f\U0001b000-\U0001b16f\U00020000-\U0003ffff"
@@ -90,7 +92,7 @@ def splitmix(x: np.ndarray) -> np.ndarray:
 
 
 class Group:
-    """Items of about one size: their runs, and their LSH buckets from either end."""
+    """Pieces (by number) of about one size: their runs, and their LSH buckets from either end."""
 
     def __init__(self, size: int, q: int, members: list[tuple[int, np.ndarray]], seed: int):
         self.q, self.seed, self.steps = q, seed, min(size, STEPS)
@@ -137,7 +139,7 @@ class Group:
         return np.flatnonzero(total[high] - total[low] >= self.need)
 
     def candidates(self, numbers: np.ndarray, places: np.ndarray, values: np.ndarray) -> dict[int, set[int]]:
-        """For each item that shares a bucket with a window of the text, where such windows start.
+        """For each piece that shares a bucket with a window of the text, where such windows start.
 
         `places` and `values` are the text's runs of q words that some item has.
         """
@@ -164,11 +166,12 @@ class Group:
 
 
 class Index:
-    """A block of items: their words' numbers, groups by size, and the items too short for an edit."""
+    """A block of items: their words' numbers, groups of pieces by size, and the items too short for an edit."""
 
-    def __init__(self, items: list[tuple[int, list[str]]], seed: int = 11):
+    def __init__(self, items: list[tuple[int | None, list[str]]], seed: int = 11):
         self.vocabulary: dict[str, int] = {}
         self.ids, self.items = [], []
+        self.pieces: list[tuple[int, int]] = []  # item and place of the first word
         for item_id, found in items:
             if found:
                 self.ids.append(item_id)
@@ -177,10 +180,13 @@ class Index:
         for k, item in enumerate(self.items):
             n, e = len(item), allowed(len(item))
             if e:
-                size = 5
-                while max(size + 1, int(size * GROWTH)) <= n:
-                    size = max(size + 1, int(size * GROWTH))
-                grouped[size, min(4, n // (e + 1))].append((k, item))
+                borders = np.linspace(0, n, -(-n // PIECE) + 1).astype(int).tolist()
+                for start, stop in zip(borders, borders[1:]):
+                    own, size = stop - start, 5
+                    while max(size + 1, int(size * GROWTH)) <= own:
+                        size = max(size + 1, int(size * GROWTH))
+                    grouped[size, min(4, own // (allowed(own) + 1))].append((len(self.pieces), item[start:stop]))
+                    self.pieces.append((k, start))
             else:
                 whole[n].append((int(codes(item, n)[0]), k))
         self.groups = [Group(size, q, members, seed) for (size, q), members in sorted(grouped.items())]
@@ -200,6 +206,7 @@ class Index:
             for at in np.flatnonzero(np.isin(known, where[where > 0])):
                 start = int(first[np.searchsorted(where, known[at])])
                 out.append((self.ids[owners[at]], 0, start, start + n))
+        near: dict[int, set[int]] = defaultdict(set)
         for q, runs in self.runs.items():
             here = codes(numbers, q)
             places = np.flatnonzero(here)
@@ -208,10 +215,13 @@ class Index:
                 continue
             for group in self.groups:
                 if group.q == q:
-                    for k, starts in sorted(group.candidates(numbers, places, here[places]).items()):
-                        best = self.best(k, sorted(starts), numbers)
-                        if best:
-                            out.append((self.ids[k], *best))
+                    for piece, starts in group.candidates(numbers, places, here[places]).items():
+                        k, offset = self.pieces[piece]
+                        near[k].update(start - offset for start in starts)
+        for k, starts in sorted(near.items()):
+            best = self.best(k, sorted(starts), numbers)
+            if best:
+                out.append((self.ids[k], *best))
         return out
 
     def best(self, k: int, starts: list[int], numbers: np.ndarray) -> tuple[int, int, int] | None:
@@ -249,7 +259,7 @@ def leaks(spark: SparkSession, docs: DataFrame, items: DataFrame, id_col: str =
     prepare(spark)
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"))
     kind = rows.schema["i"].dataType.simpleString()
-    named = items.filter(F.col(item_col).isNotNull()).select(F.col(item_col).cast("long").alias("k"), F.col(item_text_col).alias("t"))
+    named = items.select(F.col(item_col).cast("long").alias("k"), F.col(item_text_col).cast("string").alias("t"))
     out = spark.createDataFrame([], f"i {kind}, item_id long, distance int, start long, stop long")
     for index in blocks(named):
         shared = spark.sparkContext.broadcast(index)
@@ -272,7 +282,7 @@ def without_leaks(spark: SparkSession, docs: DataFrame, items: DataFrame, text_c
     prepare(spark)
     out, columns = positional(docs), docs.columns
     schema, at = out.schema, f"c{columns.index(text_col)}"
-    for index in blocks(items.filter(F.col("item_id").isNotNull()).select(F.col("item_id").alias("k"), F.col("text").alias("t"))):
+    for index in blocks(items.select(F.lit(None).cast("long").alias("k"), F.col("text").cast("string").alias("t"))):  # ids do not matter here
         shared = spark.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

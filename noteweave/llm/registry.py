@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noteweave.llm import bitsliced, bpe_automaton, chat_repair, collocations, decontaminate, html_crf, language_id, lm_scoring, pii, quality_rules, simhash, source_audit, trie_counts
+from noteweave.sources.tables import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -19,10 +20,6 @@ def secret(spark: SparkSession) -> str:
     return spark.conf.get(SECRET_CONF, TEST_SECRET)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(spark, table(spark, sf_dir, "documents"))
 

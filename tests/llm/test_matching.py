@@ -242,6 +242,27 @@ def test_buckets_alone_find_items_at_the_edit_limit():
         assert found >= 0.97 * 60 and other / 60 <= passed
 
 
+@pytest.mark.parametrize("n", [5, 12, 40, 90, 128, 150, 260, 400, 1000, 2000])
+@pytest.mark.parametrize("kind", ["scattered", "head", "tail", "both ends", "cut", "middle"])
+def test_recall_by_length_and_place_of_the_edits(n, kind):
+    """All allowed edits in one place: 0.9 of such copies are found at least (by search, not only by the filter)."""
+    rng = random.Random(f"{n} {kind}")
+    vocabulary = [f"w{i}" for i in range(3000)]
+    e, trials = decontaminate.allowed(n), 10
+    places = {"head": range(e), "tail": range(n - e, n), "both ends": [*range(e // 2), *range(n - (e - e // 2), n)], "middle": range((n - e) // 2, (n - e) // 2 + e)}
+    found = 0
+    for _ in range(trials):
+        item = rng.choices(vocabulary, k=n)
+        if kind == "cut":
+            copy = item[e // 2 : n - (e - e // 2)]
+        else:
+            edited = set(places.get(kind) or rng.sample(range(n), e))
+            copy = [x for i, w in enumerate(item) for x in (rng.choice([[], [rng.choice(vocabulary)], [rng.choice(vocabulary), w]]) if i in edited else [w])]
+        text = " ".join(rng.choices(vocabulary, k=60) + copy + rng.choices(vocabulary, k=60))
+        found += bool(decontaminate.Index([(1, item)]).hits(text))
+    assert found >= 0.9 * trials
+
+
 def test_leaks_in_edge_cases(spark):
     """Very long texts and items, items in several blocks, clashing names, no documents."""
     rng = random.Random(3)
@@ -252,9 +273,12 @@ def test_leaks_in_edge_cases(spark):
         copy[at] = "x"
     rows = [(1, " ".join(rng.choices(vocabulary, k=30000) + copy), "a", "b"), (2, " ".join(rng.choices(vocabulary, k=3000)), None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, item_id string, c0 string")
-    items = spark.createDataFrame([(7, " ".join(long)), (7, " ".join(long)), (None, "w1")], "item_id long, text string")
+    items = spark.createDataFrame([(7, " ".join(long)), (7, " ".join(long))], "item_id long, text string")
     got = [tuple(r) for r in decontaminate.leaks(spark, docs, items).collect()]
     assert len(got) == 2 and {(i, k) for i, k, *_ in got} == {(1, 7)} and all(x[2] <= 300 for x in got)
+    unnamed = spark.createDataFrame([(None, "w1"), (None, " ".join(long[:10]))], "item_id long, text string")
+    assert {(r.doc_id, r.item_id, r.distance) for r in decontaminate.leaks(spark, docs, unnamed).collect()} >= {(1, None, 0), (2, None, 0)}
+    assert decontaminate.without_leaks(spark, docs, unnamed).count() == 0
     left = decontaminate.without_leaks(spark, docs, items)
     assert left.columns == docs.columns and [r.doc_id for r in left.collect()] == [2]
     assert decontaminate.without_leaks(spark, docs.limit(0), items).count() == 0 == decontaminate.leaks(spark, docs.limit(0), items).count()
