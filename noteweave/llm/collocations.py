@@ -3,11 +3,12 @@
 The words of a language are one long sequence with breaks where a piece or a document ends. Every position begins a suffix; cut
 after DEEP words, its suffixes form a tree whose node at depth d is a phrase of d words, and the phrase's frequency is
 the sum over the leaves below it. The tree is far too large for one place, so it is cut vertically: a first
-word is a prefix; a prefix that more than a quarter of a group's budget of suffixes begins with is extended by its next word, and
-once more if that is still too many. What is left are prefixes below which every subtree fits the budget; they are
-dealt to groups by a hash, and each group sorts its suffixes and builds its subtrees alone, reading node counts
-from runs of leaves. Groups have BUDGET suffixes on average; with more than GROUPS * BUDGET words in all the budget
-grows, so fewer than 4 * GROUPS prefixes of a level are ever over it, which bounds the list that is broadcast.
+word is a prefix; a prefix that may begin more than a quarter of a group's budget of suffixes is extended by its next word, and
+once more if that word is as frequent, since a pair is no more frequent than either of its words. What is left are
+prefixes below which every subtree fits the budget; they are dealt to groups by a hash, and each group sorts its suffixes
+and builds its subtrees alone, reading node counts from runs of leaves. Only a pair of two such heavy words lies in
+several groups, whose counts of it are added. Groups have BUDGET suffixes on average; with more than GROUPS * BUDGET words in
+all the budget grows, so fewer than 4 * GROUPS words are ever over it, which bounds the list that is broadcast.
 
 Equal suffixes of a task's chunk are one row with a count before they are shuffled. A word with fewer than `least`
 occurrences is in no candidate, so suffixes end before it: a table of SLOTS bits over hashes of the frequent words, of the same
@@ -37,7 +38,7 @@ from noteweave.llm.common import prepare, small_batches, spread_join, stored
 #: Occurrences that a candidate needs; phrases returned for a language; share of a longer phrase (hundredths) that drops a shorter.
 LEAST, FIRST, COVERED = 10, 2000, 50
 #: Words of a phrase; suffixes in a group; most groups; words in a task's chunk; bits over the frequent words, and bits in a row of them.
-DEEP, BUDGET, GROUPS, CHUNK, SLOTS, ROW = 3, 1 << 20, 1 << 16, 1 << 19, 1 << 26, 1 << 15
+DEEP, BUDGET, GROUPS, CHUNK, SLOTS, ROW = 3, 1 << 20, 1 << 16, 1 << 18, 1 << 26, 1 << 15
 
 #: A-Z in lower case, tabs as spaces, the marks and line ends that part pieces as full stops.
 FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else 0x20 if b == 9 else 0x2E if b in b".,;:!?\n\x0b\x0c\r" else b for b in range(256))
@@ -151,29 +152,12 @@ class Frequent:
         return np.where((numbers >= 0) & known[numbers], numbers, -1)
 
 
-def heavy_pairs(spark: SparkSession, rows: DataFrame, heavy: dict[str, set[str]], frequent) -> DataFrame:
-    """`lang`, `w1`, `w2`, `f` of the pairs whose first word is a heavy prefix."""
-    shared = spark.sparkContext.broadcast(heavy)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, words, numbers in chunks(batches):
-            numbers = frequent.value(words, numbers)
-            wanted = np.array([w.decode("utf-8", "replace") in shared.value.get(lang, ()) for w in words.to_pylist()], bool)
-            first, second = following(numbers, 2)
-            here = (second >= 0) & (wanted[first] if len(wanted) else False)
-            if here.any():
-                yield from sliced(counted(lang, words, [first[here], second[here]]), ["lang", "w1", "w2", "f"])
-
-    return rows.mapInArrow(run, "lang string, w1 string, w2 string, f long").groupBy("lang", "w1", "w2").agg(F.sum("f").alias("f"))
-
-
-def suffixes(spark: SparkSession, rows: DataFrame, heavy: dict[str, dict[str, set[str]]], frequent) -> DataFrame:
+def suffixes(spark: SparkSession, rows: DataFrame, heavy: dict[str, list[str]], frequent) -> DataFrame:
     """`lang`, `w1`, `w2`, `w3` ('' beyond the end), `f` and `depth`: of how many words the suffix's prefix consists.
 
-    `heavy` has for each language the heavy first words, each with the second words that make a heavy pair. A suffix of
-    one word is no phrase and is left out.
+    `heavy` has the heavy words of each language. A suffix of one word is no phrase and is left out.
     """
-    shared = spark.sparkContext.broadcast(heavy)
+    shared = spark.sparkContext.broadcast({lang: pa.array(own, pa.string()) for lang, own in heavy.items()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, words, numbers in chunks(batches):
@@ -182,10 +166,10 @@ def suffixes(spark: SparkSession, rows: DataFrame, heavy: dict[str, dict[str, se
             if not here.any():
                 continue
             columns = counted(lang, words, [x[here] for x in places])
-            own = shared.value.get(lang, {})
             depth = np.ones(len(columns[-1]), np.int32)
-            for at in np.flatnonzero(pc.is_in(columns[1], pa.array(list(own), pa.string())).to_numpy(zero_copy_only=False)).tolist():
-                depth[at] = 3 if columns[2][at].as_py() in own[columns[1][at].as_py()] else 2
+            if lang in shared.value:
+                first, second = (pc.is_in(c, value_set=shared.value[lang]).to_numpy(zero_copy_only=False) for c in columns[1:3])
+                depth += first.astype(np.int32) + (first & second).astype(np.int32)
             yield from sliced([*columns, pa.array(depth)], ["lang", "w1", "w2", "w3", "f", "depth"])
 
     return rows.mapInArrow(run, "lang string, w1 string, w2 string, w3 string, f long, depth int")
@@ -195,7 +179,7 @@ def subtrees(sorted_suffixes: DataFrame, least: int) -> DataFrame:
     """`lang`, `w1`, `w2`, `w3` ('': depth two) and `a` of the nodes at depths two and three with `least` occurrences.
 
     The partitions are sorted, so the leaves of a node are neighbours. Rows are taken some ten thousand at a time, up to where
-    a subtree of depth two ends. A heavy pair is spread over groups, and its own node is not given here.
+    a subtree of depth two ends. A pair of heavy words is spread over groups: each group gives what it has of it.
     """
     names = ["lang", "w1", "w2", "w3"]
 
@@ -216,7 +200,7 @@ def subtrees(sorted_suffixes: DataFrame, least: int) -> DataFrame:
             a = np.add.reduceat(f, starts)
             good = a >= least
             if deep == 2:
-                good &= depth[starts] < 3
+                good |= depth[starts] == 3
             else:
                 good &= pc.not_equal(ends.take(pa.array(starts)), "").to_numpy()
             at = pa.array(starts[good])
@@ -259,20 +243,14 @@ def phrase_counts(spark: SparkSession, docs: DataFrame, least: int = LEAST, text
     parts = max(1, min(groups, -(-total // budget)))
     limit = max(total / parts / 4, least)
     frequent = spark.sparkContext.broadcast(Frequent(frequent_bits(words.filter(F.col("f") >= least))))
-    # Fewer than 4 * parts prefixes of either level are over the limit, whatever the corpus.
-    heavy: dict[str, dict[str, set[str]]] = {}
+    heavy: dict[str, list[str]] = {}  # fewer than 4 * parts words, whatever the corpus
     for r in words.filter(F.col("f") > limit).toLocalIterator():
-        heavy.setdefault(r.lang, {})[r.w1] = set()
-    known = None
-    if heavy:
-        known = stored(heavy_pairs(spark, rows, {lang: set(own) for lang, own in heavy.items()}, frequent).filter(F.col("f") > limit))
-        for r in known.toLocalIterator():
-            heavy[r.lang][r.w1].add(r.w2)
+        heavy.setdefault(r.lang, []).append(r.w1)
     own = suffixes(spark, rows, heavy, frequent)
     key = [F.col("lang"), F.col("w1"), F.when(F.col("depth") > 1, F.col("w2")), F.when(F.col("depth") > 2, F.col("w3"))]
-    phrases = subtrees(own.repartition(parts, *key).sortWithinPartitions("lang", "w1", "w2", "w3"), least)
-    if known is not None:
-        phrases = phrases.unionByName(known.filter(F.col("f") >= least).select("lang", "w1", "w2", F.lit("").alias("w3"), F.col("f").alias("a")))
+    # Sorted by a hash of the pair first: one integer settles nearly every comparison.
+    grouped = own.repartition(parts, *key).sortWithinPartitions(F.xxhash64("lang", "w1", "w2"), "lang", "w1", "w2", "w3")
+    phrases = subtrees(grouped, least).groupBy("lang", "w1", "w2", "w3").agg(F.sum("a").alias("a")).filter(F.col("a") >= least)
     return words, stored(phrases)
 
 
