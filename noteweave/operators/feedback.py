@@ -105,11 +105,92 @@ def structural(chunked: DataFrame, most: int = 6, shortest: int = 40, cap: int =
 
 
 def look_up(wanted: DataFrame, chunked: DataFrame) -> DataFrame:
-    """`wanted` (`source_file`, `header_path`) with the `text` of that chunk, or of its file's first chunk where there is none."""
-    first = chunked.groupBy("source_file", "header_path").agg(F.min_by("text", "chunk_index").alias("own"))
-    file = chunked.groupBy("source_file").agg(F.min_by("text", "chunk_index").alias("any"))
-    found = wanted.join(first, ["source_file", "header_path"], "left").join(file, "source_file", "left")
-    return found.withColumn("text", F.coalesce("own", "any")).drop("own", "any")
+    """`wanted` (`source_file`, `header_path`) with the `text` of that chunk, or of its file's first chunk where there is none.
+
+    Each place is looked up once however many rows want it, and a popular place is not one task's: the rows meet
+    the places found by a join whose hot keys are dealt out.
+    """
+    places = wanted.select("source_file", "header_path").distinct()
+    files = places.select("source_file").distinct()
+    held = chunked.join(files, "source_file", "left_semi")
+    first = held.groupBy("source_file", "header_path").agg(F.min_by("text", "chunk_index").alias("own"))
+    file = held.groupBy("source_file").agg(F.min_by("text", "chunk_index").alias("any"))
+    found = places.join(first, ["source_file", "header_path"], "left").join(file, "source_file", "left")
+    found = found.select("source_file", "header_path", F.coalesce("own", "any").alias("text"))
+    salt, salts = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    return wanted.withColumn("_s", salt).join(found.withColumn("_s", salts), ["source_file", "header_path", "_s"], "left").drop("_s")
+
+
+#: Places that a key of a join is dealt to.
+SALTS = 16
+#: Chunks in a bucket from which negatives are drawn.
+POOL = 64
+
+
+def drawn(asked: DataFrame, chunked: DataFrame, most: int = 3) -> DataFrame:
+    """`query` and `drawn`: up to `most` texts for each row of `asked` (`query`, `not_files`, `not_texts`) that it does not rule out.
+
+    A draw by hashes, the same at any partitioning and without a comparison of all: chunks are dealt to buckets, each bucket keeps
+    the POOL first by hash, and a query draws from the bucket of its own hash, in an order of its own.
+    """
+    buckets = max(1, chunked.count() // (4 * POOL))
+    own = chunked.select("source_file", "text", F.md5(F.concat_ws("|", "source_file", "header_path", F.col("chunk_index").cast("string"))).alias("h"))
+    turn = F.row_number().over(Window.partitionBy("bucket").orderBy("h", "text"))
+    kept = own.withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(buckets))).withColumn("turn", turn).filter(F.col("turn") <= POOL)
+    pools = kept.groupBy("bucket").agg(F.collect_list(F.struct("h", "source_file", "text")).alias("pool"))
+    met = asked.withColumn("bucket", F.pmod(F.xxhash64("query"), F.lit(buckets))).join(pools, "bucket")
+    fits = lambda c: ~F.exists("not_files", lambda f: c["source_file"].contains(f)) & ~F.array_contains("not_texts", c["text"])
+    order = F.array_sort(F.transform(F.filter("pool", fits), lambda c: F.struct(F.md5(F.concat_ws("|", "query", c["h"])).alias("o"), c["text"].alias("text"))))
+    return met.select("query", F.slice(F.array_distinct(F.transform(order, lambda x: x["text"])), 1, most).alias("drawn"))
+
+
+def _with_negatives(pairs: DataFrame, chunked: DataFrame, most: int) -> DataFrame:
+    """(`query`, `pos`, `neg`) from (`query`, `pos`, `negs`, `not_files`): the negatives there are, then drawn ones up to `most`."""
+    few = pairs.filter(F.size("negs") < most)
+    asked = few.groupBy("query").agg(F.array_distinct(F.flatten(F.collect_list("not_files"))).alias("not_files"), F.array_distinct(F.flatten(F.collect_list(F.array_append("negs", F.col("pos"))))).alias("not_texts"))
+    filled = pairs.join(drawn(asked, chunked, most), "query", "left")
+    every = F.slice(F.concat("negs", F.coalesce("drawn", F.array().cast("array<string>"))), 1, most)
+    return filled.select("query", "pos", F.explode(every).alias("neg"))
+
+
+def text_triples(judged: DataFrame, chunked: DataFrame, most: int = 3) -> DataFrame:
+    """(`query`, `pos`, `neg`) as texts, from feedback (`query`, `source_file`, `header_path`, `adopted`, `timestamp`).
+
+    Each adopted place with the first `most` places that were not adopted for its query, in the order of the log; fewer are filled up by
+    a draw. A place whose text is not found, and a negative that equals the positive, is left out.
+    """
+    rows = judged.filter(F.coalesce(F.col("source_file"), F.lit("")) != "").groupBy("query", "source_file", F.coalesce("header_path", F.lit("")).alias("header_path"), "adopted").agg(F.min("timestamp").alias("at"))
+    texts = look_up(rows, chunked).filter("text is not null")
+    turn = F.row_number().over(Window.partitionBy("query").orderBy("at", "source_file", "header_path"))
+    bad = texts.filter("not adopted").withColumn("turn", turn).filter(F.col("turn") <= most)
+    bad = bad.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("b")).select("query", F.transform("b", lambda x: x["text"]).alias("all"))
+    good = texts.filter("adopted").select("query", F.col("text").alias("pos")).distinct().join(bad, "query", "left")
+    negs = F.filter(F.coalesce("all", F.array().cast("array<string>")), lambda t: t != F.col("pos"))
+    return _with_negatives(good.select("query", "pos", negs.alias("negs"), F.array().cast("array<string>").alias("not_files")), chunked, most)
+
+
+def case_triples(cases: DataFrame, chunked: DataFrame, found: DataFrame, most: int = 3) -> DataFrame:
+    """(`query`, `pos`, `neg`) of cases (`query`, `gold`: a part of a file's name), with hard negatives first.
+
+    The positive is one chunk of a gold file, by a hash; hard negatives are the first chunks of `found` (`query`, `rank`,
+    `source_file`, `text`: what a search gives) of other files; a draw fills up.
+    """
+    files = chunked.select("source_file").distinct()
+    gold = cases.join(files, F.col("source_file").contains(F.col("gold")))  # names of files against the stated cases
+    draw = F.md5(F.concat_ws("|", "source_file", "header_path", F.col("chunk_index").cast("string")))
+    pos = gold.join(chunked, "source_file").groupBy("query", "gold").agg(F.min_by("text", F.struct(draw, "text")).alias("pos"))
+    wrong = found.join(cases, "query").filter(~F.col("source_file").contains(F.col("gold")))
+    turn = F.row_number().over(Window.partitionBy("query", "gold").orderBy("rank", "text"))
+    hard = wrong.join(pos, ["query", "gold"]).filter("text <> pos").withColumn("turn", turn).filter(F.col("turn") <= most)
+    hard = hard.groupBy("query", "gold").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("h")).select("query", "gold", F.transform("h", lambda x: x["text"]).alias("hard"))
+    pairs = pos.join(hard, ["query", "gold"], "left").select("query", "pos", F.coalesce("hard", F.array().cast("array<string>")).alias("negs"), F.array("gold").alias("not_files"))
+    return _with_negatives(pairs, chunked, most)
+
+
+def structural_triples(chunked: DataFrame, most: int = 6, shortest: int = 40, cap: int = 400, negatives: int = 1) -> DataFrame:
+    """(`query`, `pos`, `neg`) with headings as queries, as `structural` draws them, and chunks of other files as negatives."""
+    pairs = structural(chunked, most, shortest, cap).join(chunked.select(F.col("id").alias("pos"), "source_file", "text"), "pos")
+    return _with_negatives(pairs.select("query", F.col("text").alias("pos"), F.array().cast("array<string>").alias("negs"), F.array("source_file").alias("not_files")), chunked, negatives)
 
 
 def training_set(primary: DataFrame, *further: DataFrame, least: int = 30) -> DataFrame:

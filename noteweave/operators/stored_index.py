@@ -12,7 +12,6 @@ of new and changed documents are written. `compact` merges all segments into one
 
 from __future__ import annotations
 
-import json
 import uuid
 
 import numpy as np
@@ -23,45 +22,24 @@ from pyspark.sql import functions as F
 
 from noteweave.operators import ranking
 from noteweave.operators.shards import Shards, of_texts, pack, rank
+from noteweave.sources import commits
 
 #: Branches of the digest tree.
 BRANCHES = 64
 
 
-def _fs(spark: SparkSession, path: str):
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
-
-
 def manifest(spark: SparkSession, root: str, version: int | None = None) -> dict:
     """The newest committed version of the index, or the one named; version 0 is empty."""
-    fs, folder = _fs(spark, f"{root}/manifest")
-    known = sorted(s.getPath().getName() for s in fs.listStatus(folder)) if fs.exists(folder) else []
-    known = [x for x in known if x.endswith(".json") and not x.startswith((".", "_"))]
-    if version is not None:
-        known = [x for x in known if x == f"{version:08d}.json"]
-        if not known and version:
-            raise ValueError(f"{root} has no version {version}")
-    if not known:
+    known = commits.numbers(spark, f"{root}/manifest")
+    if version and version not in known:
+        raise ValueError(f"{root} has no version {version}")
+    if not known or version == 0:
         return {"version": 0, "segments": [], "removed": [], "n": 0, "tokens": 0, "branches": {}}
-    stream = fs.open(_fs(spark, f"{root}/manifest/{known[-1]}")[1])
-    try:
-        return json.loads(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-    finally:
-        stream.close()
+    return commits.read(spark, f"{root}/manifest", known[-1] if version is None else version)
 
 
 def _commit(spark: SparkSession, root: str, new: dict) -> dict:
-    """Write the manifest beside its place and rename it; a version that another run committed first is an error."""
-    fs, _ = _fs(spark, root)
-    hidden, place = (_fs(spark, f"{root}/manifest/{x}")[1] for x in (f".{uuid.uuid4().hex}", f"{new['version']:08d}.json"))
-    out = fs.create(hidden, True)
-    out.write(json.dumps(new, sort_keys=True).encode())
-    out.close()
-    if fs.exists(place) or not fs.rename(hidden, place):
-        fs.delete(hidden, False)
-        raise RuntimeError(f"version {new['version']} of {root} was committed by another run")
-    return new
+    return commits.commit(spark, f"{root}/manifest", new["version"], new)
 
 
 def digests(docs: DataFrame) -> DataFrame:

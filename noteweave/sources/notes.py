@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from noteweave.sources.commits import place
+
 #: Folder names that a sync leaves out at any depth, and those that an audit does not look into (fixed values).
 EXCLUDED = (".obsidian", ".trash", "模板")
 UNSEEN = (".obsidian", ".trash")
@@ -20,20 +22,15 @@ FEEDBACK = T.StructType([
 ])
 
 
-def _place(spark: SparkSession, path: str):
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
-
-
 def exists(spark: SparkSession, path: str) -> bool:
-    fs, place = _place(spark, path)
-    return fs.exists(place)
+    fs, here = place(spark, path)
+    return fs.exists(here)
 
 
 def folders(spark: SparkSession, root: str, excluded: tuple[str, ...] = EXCLUDED) -> list[str]:
     """The root and all folders below it, in order; what is excluded is not even listed. Only folders reach the driver."""
-    fs, place = _place(spark, root)
-    out, waiting = [], [fs.getFileStatus(place).getPath()]
+    fs, top = place(spark, root)
+    out, waiting = [], [fs.getFileStatus(top).getPath()]
     while waiting:
         here = waiting.pop()
         out.append(here.toString())
@@ -43,11 +40,11 @@ def folders(spark: SparkSession, root: str, excluded: tuple[str, ...] = EXCLUDED
 
 def _files(spark: SparkSession, root: str, excluded: tuple[str, ...], names: str) -> DataFrame | None:
     """The files of the folders as Spark's reader gives them, with their `rel`ative paths; None where there are none."""
-    fs, place = _place(spark, root)
-    top = fs.getFileStatus(place).getPath().toString().rstrip("/") + "/"
+    fs, here = place(spark, root)
+    top = fs.getFileStatus(here).getPath().toString().rstrip("/") + "/"
     quoted = [re.sub(r"([\\{}\[\]*?,])", r"\\\1", folder) for folder in folders(spark, root, excluded)]
     globs = [f"{folder}/{names}" for folder in quoted]
-    globs = [g for g in globs if any(s.isFile() for s in fs.globStatus(_place(spark, g)[1]) or ())]
+    globs = [g for g in globs if any(s.isFile() for s in fs.globStatus(place(spark, g)[1]) or ())]
     if not globs:
         return None
     found = spark.read.format("binaryFile").load(globs)
@@ -101,6 +98,21 @@ def read_cases(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(need(F.col("query")).alias("query"), need(gold).alias("gold"))
 
 
+def write_cases(cases: DataFrame, path: str) -> None:
+    """Cases (`query`, `gold`) as one JSON array, as `read_cases` reads them; a set of cases is small."""
+    pairs = F.transform(F.array_sort(F.collect_list(F.struct("query", "gold"))), lambda c: c)
+    cases.agg(F.to_json(pairs).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_triples(spark: SparkSession, path: str) -> DataFrame:
+    """`query`, `pos`, `neg` of JSON arrays of triples: [query, positive, negative] or [query, positive, [negatives]], one row for each negative."""
+    text = spark.read.text(path, wholetext=True)
+    each = text.select(F.explode(F.from_json("value", "array<array<string>>")).alias("t")).filter(F.size("t") == 3)
+    many = F.from_json(F.col("t")[2], "array<string>")
+    negatives = F.when(F.col("t")[2].startswith("[") & many.isNotNull(), many).otherwise(F.array(F.col("t")[2]))
+    return each.select(F.col("t")[0].alias("query"), F.col("t")[1].alias("pos"), F.explode(negatives).alias("neg"))
+
+
 def write_collection(df: DataFrame, root: str, name: str) -> None:
     """Replace one collection of a table partitioned by collection, leaving the others."""
     df.withColumn("collection", F.lit(name)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("collection").parquet(root)

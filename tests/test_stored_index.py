@@ -79,7 +79,7 @@ def test_crashed_and_concurrent_runs(spark, tmp_path):
     extra = frame(spark, [(500, "alpha alpha", "en", "s")]).join(stored_index.digests(frame(spark, [(500, "alpha alpha", "en", "s")])), "doc_id")
     stored_index._write_segment(spark, root, extra, shards.of_texts(extra))
     same(stored_index.bm25(spark, root, asked(spark)), ranking.bm25(frame(spark, rows), asked(spark)))
-    with pytest.raises(RuntimeError, match="committed by another"):
+    with pytest.raises(RuntimeError, match="made by another"):
         stored_index._commit(spark, root, known)
     with pytest.raises(ValueError, match="no version"):
         stored_index.bm25(spark, root, asked(spark), version=9)
