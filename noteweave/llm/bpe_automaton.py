@@ -25,14 +25,15 @@ read, so clashing names do no harm.
 
 from __future__ import annotations
 
+import functools
 import json
 import re
+import unicodedata
 from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,22 +46,44 @@ SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 KEPT_WORDS, KEPT_STEPS = 50_000, 150_000
 
 
+#: What Unicode 16.0 has beyond 15.1 among letters and among numbers, as the library's tables have it too.
+LATER_LETTERS = "1C89-1C8A A7CB-A7CD A7DA-A7DC 105C0-105F3 10D4A-10D65 10D6F-10D85 10EC2-10EC4 11380-11389 1138B-1138B 1138E-1138E 11390-113B5 113B7-113B7 113D1-113D1 113D3-113D3 11BC0-11BE0 13460-143FA 16100-1611D 16D40-16D6C 18CFF-18CFF 1E5D0-1E5ED 1E5F0-1E5F0"
+LATER_NUMBERS = "10D40-10D49 116D0-116E3 11BF0-11BF9 16130-16139 16D70-16D79 1CCF0-1CCF9 1E5F1-1E5FA"
+
+
+def char_classes(last: int) -> tuple[str, str, str]:
+    """The letters, numbers and white space up to a code point, as the ranges of a character class.
+
+    By the tables of Unicode 15.1, which the standard library has, and the additions above: the library that the vocabulary
+    is made for has the same.
+    """
+    later = [[tuple(int(x, 16) for x in span.split("-")) for span in spans.split()] for spans in (LATER_LETTERS, LATER_NUMBERS)]
+    kinds = bytearray(last + 1)
+    for code in range(last + 1):
+        kinds[code] = {"L": 1, "N": 2}.get(unicodedata.category(chr(code))[0], 0)
+    for code in (*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000):
+        kinds[code] = 3
+    for kind, spans in enumerate(later, 1):
+        for low, high in spans:
+            kinds[low : min(high, last) + 1] = bytes([kind]) * (min(high, last) + 1 - low) if low <= last else b""
+    return tuple("".join(f"\\U{m.start():08x}-\\U{m.end() - 1:08x}" for m in re.finditer(bytes([kind]) + b"+", bytes(kinds))) for kind in (1, 2, 3))
+
+
+@functools.cache
 def splitter() -> Callable[[str], list[str]]:
     """A function that cuts a text by SPLIT.
 
-    Texts without characters beyond U+FFFF, nearly all, go by the standard library's faster engine
-    with the same classes spelled out; the others by the pattern itself.
+    The classes are spelled out for the standard library's engine: those up to U+FFFF alone, which it tests by a table,
+    for texts without characters beyond, nearly all; all of them for the others.
     """
-    whole = regex.compile(SPLIT).findall
-    plane = "".join(chr(c) for c in range(0x10000) if not 0xD800 <= c < 0xE000)
 
-    def spelled(kind: str) -> str:
-        return "".join(f"\\u{ord(x[0]):04x}-\\u{ord(x[-1]):04x}" for x in regex.findall(kind + "+", plane))
+    def pattern(last: int) -> Callable[[str], list[str]]:
+        letter, number, space = char_classes(last)
+        return re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{letter}]+| ?[{number}]+| ?[^{space}{letter}{number}]+|[{space}]+(?![^{space}])|[{space}]+").findall
 
-    letter, number, space = map(spelled, (r"\p{L}", r"\p{N}", r"\s"))
-    plain = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{letter}]+| ?[{number}]+| ?[^{space}{letter}{number}]+|[{space}]+(?![^{space}])|[{space}]+").findall
+    plain, whole = pattern(0xFFFF), functools.cache(lambda: pattern(0x10FFFF))
     astral = re.compile("[\U00010000-\U0010ffff]").search
-    return lambda text: plain(text) if text.isascii() or not astral(text) else whole(text)
+    return lambda text: plain(text) if text.isascii() or not astral(text) else whole()(text)
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -139,7 +162,7 @@ class Coder:
         self.lengths = {t: len(b) for t, b in automaton.labels.items()}
         self.start_anew()
         self.find = splitter()
-        self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(automaton.specials, key=len, reverse=True))) + ")") if automaton.specials else None
+        self.special = re.compile("(" + "|".join(map(re.escape, sorted(automaton.specials, key=len, reverse=True))) + ")") if automaton.specials else None
         self.emit = automaton.labels | {i: s.encode() for s, i in automaton.specials.items()}
         outer = self
 

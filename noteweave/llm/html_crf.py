@@ -142,7 +142,7 @@ def leaf_blocks(page: str) -> list[tuple[str, frozenset, float, bool, str]]:
                 words, main = _marks(attributes)
                 _, above, was = stack[-1]
                 stack.append((tag, above | words | {f"in:{tag}"}, was or main))
-        if tag in RAW and not attributes.endswith("/"):
+        if tag in RAW:  # a slash at the end does not close these
             ending = CLOSING[tag].search(page, at)
             stop = ending.start() if ending else end
             if tag in ("title", "textarea"):

@@ -1,12 +1,14 @@
 """Personal data: detected entities get keyed, type-consistent surrogates. DataFrame functions only.
 
-Detection is one pattern, evaluated once for each text, for e-mail addresses, IP addresses, card and account
+Detection is one pattern, for e-mail addresses, IP addresses, card and account
 numbers, social security numbers, phone numbers, IBANs, secrets (hexadecimal digests and access keys) and names
-(after a form of address or words like "my name is", or a listed given name with a surname).
+(after a form of address or words like "my name is", or a listed given name with a surname). Only texts with mentions are
+read by it a second time, to be cut at them. A name that was found once in a text is replaced in all of it: each of its words, wherever it
+stands alone or without its form of address.
 
 A surrogate is computed once for each different entity, from its canonical form, an attempt number and a key
 (HMAC-SHA-256): digits become digits, letters letters of the same script and case, separators stay, so the format
-survives; card numbers keep their check digit's validity; e-mail addresses keep their top-level domain, and equal
+survives; card numbers and IBANs keep their check digits' validity; e-mail addresses keep their top-level domain, and equal
 domains stay equal; given names become names of the same gender and script, and surnames are built from syllables of
 the script. Mentions that differ in format only, such as a phone number with and without brackets, share a canonical
 form, so coreference holds within and across rows.
@@ -19,7 +21,7 @@ Entities are a small table beside the texts; it is dealt by entity and never gat
 rendered once. Rows without entities are not shuffled; the others are joined once with the rendered mentions of their
 own text. Mentions, entities and texts that hold more than a small share of the rows are split over many tasks.
 
-Defined results: null and empty texts stay as they are, with no entities; repeated rows and equal
+Defined results: null and empty texts stay as they are, with no entities; the count of entities is that of the mentions the pattern finds; repeated rows and equal
 texts get equal results; ties (two entities with one surrogate) go to the smaller hash; an empty table gives an empty
 result; all columns are kept, whatever their names.
 """
@@ -197,6 +199,12 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(parts, F.lit(0), lambda a, b: a + b)
 
 
+def _mod97(value: Column) -> Column:
+    """The remainder by 97 of digits and capital letters (A: 10 to Z: 35)."""
+    step = lambda a, c: F.when(c.rlike("[0-9]"), (a * 10 + c.try_cast("int")) % 97).otherwise((a * 100 + F.ascii(c) - 55) % 97)
+    return F.aggregate(_chars(value), F.lit(0), step)
+
+
 def surrogate(entity: Column, attempt: Column, secret: str) -> Column:
     """The surrogate of a `type|canonical form` key at an attempt; a pure function of both and the secret."""
     what, value = F.substring_index(entity, "|", 1), F.regexp_replace(entity, r"^[^|]*\|", "")
@@ -211,7 +219,10 @@ def surrogate(entity: Column, attempt: Column, secret: str) -> Column:
     kept = F.concat(F.substring(value, 1, 1), F.substring(masked, F.lit(2), F.length(value) - 2))
     check = F.pmod(F.lit(10) - _luhn(F.concat(kept, F.lit("0"))) % 10, F.lit(10)).cast("string")
     card = F.when(_luhn(value) % 10 == 0, F.concat(kept, check)).otherwise(F.concat(kept, F.substring(masked, -1, 1)))
-    iban = F.concat(F.substring(value, 1, 2), F.substring(masked, F.lit(3), F.length(value)))
+    account = F.substring(masked, F.lit(5), F.length(value))
+    checked = F.lpad((98 - _mod97(F.concat(account, F.substring(value, 1, 2), F.lit("00")))).cast("string"), 2, "0")
+    real = _mod97(F.concat(F.substring(value, F.lit(5), F.length(value)), F.substring(value, 1, 4))) == 1
+    iban = F.concat(F.substring(value, 1, 2), F.when(real, checked).otherwise(F.substring(masked, 3, 2)), account)
     pick = lambda parts, i: F.element_at(F.array(*map(F.lit, parts)), _drawn(stream, i, F.lit(len(parts))) + 1)
 
     def built(script: str, last: list[str]) -> Column:
@@ -285,6 +296,25 @@ def rendered_mentions(found: DataFrame, secret: str) -> DataFrame:
     return own.select("mention", _rendered(F.col("mention"), F.col("own")).alias("new"))
 
 
+def _names(own: Column) -> Column:
+    """Word by word what the names among a text's mentions become; forms of address and other types are left out."""
+    words = lambda e: F.filter(F.arrays_zip(F.split(e["key"], " ").alias("word"), F.split(e["value"], " ").alias("new")), lambda x: x["word"].isNotNull() & x["new"].isNotNull() & (x["word"] != x["new"]) & x["word"].rlike(rf"^{_PART}$"))
+    named_ = F.filter(F.map_entries(own), lambda e: kind(e["key"]) == "name")
+    return F.map_from_entries(F.array_distinct(F.flatten(F.transform(named_, words))))
+
+
+def _with_names(text: Column, names: Column) -> Column:
+    """A stretch of text between mentions with every word replaced that is part of a name found elsewhere in the text."""
+    words = F.split(text, r"(?<![\p{L}'’-])(?=[\p{L}])|(?<=[\p{L}'’-])(?![\p{L}'’-])")
+
+    def new(word: Column) -> Column:
+        base = F.regexp_replace(word, "['’]s?$", "")  # a genitive keeps its ending
+        found = F.coalesce(F.try_element_at(names, base), F.when(_upper(base), F.upper(F.try_element_at(names, F.initcap(base)))))
+        return F.coalesce(F.concat(found, F.substring(word, F.length(base) + 1, F.length(word))), word)
+
+    return F.when(F.size(names) > 0, F.array_join(F.transform(words, new), "")).otherwise(text)
+
+
 def pseudonymise(df: DataFrame, secret: str, text_col: str = "text", count_col: str | None = None) -> DataFrame:
     """`df` with the entities of `text_col` replaced, and their number in `count_col` if it is named."""
     columns = df.columns
@@ -298,7 +328,7 @@ def pseudonymise(df: DataFrame, secret: str, text_col: str = "text", count_col:
     each = stored(held.select("h1", "h2", F.explode(F.array_distinct("found")).alias("mention")).distinct())
     new = spread_join(each, rendered_mentions(each, secret), ["mention"])
     own = new.groupBy("h1", "h2").agg(F.map_from_entries(F.collect_list(F.struct("mention", "new"))).alias("own"))
-    pieces = F.zip_with(F.split(text, PATTERN, -1), F.transform("found", lambda m: F.try_element_at("own", m)), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
-    replaced = spread_join(held, own, ["h1", "h2"]).withColumn(at, F.array_join(pieces, "")).withColumns(count)
+    pieces = F.zip_with(F.split(text, PATTERN, -1), F.transform("found", lambda m: F.try_element_at("own", m)), lambda a, b: F.concat(_with_names(a, F.col("names")), F.coalesce(b, F.lit(""))))
+    replaced = spread_join(held, own.withColumn("names", _names(F.col("own"))), ["h1", "h2"]).withColumn(at, F.array_join(pieces, "")).withColumns(count)
     names = [*columns, count_col] if count_col else columns
     return named(clean, names).unionByName(named(replaced, names))

@@ -178,9 +178,9 @@ def links(fps: DataFrame) -> DataFrame:
 
     Of a key that many share, only links to the smallest node around each shared word are given.
     """
-    keys = fuzzy_keys(fps)
+    keys = checkpoint(fuzzy_keys(fps))
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    keys = checkpoint(keys.join(shared, "key"))
+    keys = checkpoint(spread_join(keys, shared, ["key"]))
     few = keys.filter(F.col("n") <= PAIRWISE)
     left = few.filter("probe").select("key", F.col("fp").alias("fp_a"), F.col("node").alias("x"))
     right = few.select("key", F.col("fp").alias("fp_b"), F.col("node").alias("y"))
@@ -200,9 +200,9 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = spread_join(both.filter("b > a"), low, ["a"]).select(F.col("m").alias("a"), "b").filter("a < b").distinct()
+        large = checkpoint(spread_join(both.filter("b > a"), low, ["a"]).select(F.col("m").alias("a"), "b").filter("a < b").distinct())
         down = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(down, "b")
+        small = spread_join(large, down, ["b"])
         edges = checkpoint(small.select(F.col("m").alias("a"), F.when(F.col("a") == F.col("m"), F.col("b")).otherwise(F.col("a")).alias("b")).filter("a < b").distinct())
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
@@ -216,7 +216,7 @@ def near_duplicates(spark: SparkSession, df: DataFrame, id_col: str = "doc_id",
     nodes = checkpoint(rows.groupBy("fp").agg(F.min(F.col(id_col).cast("long")).alias("first")).withColumn("node", F.coalesce("first", F.lit((1 << 63) - 1) - F.abs(F.xxhash64("fp") % F.lit(1 << 40)))))
     found = components(links(nodes))
     best = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    out = rows.join(best, "fp")
+    out = spread_join(rows, best, ["fp"])  # copies, and texts without words, share a fingerprint
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
     unknown = F.lit((1 << 63) - 1 - (1 << 40))
     return out.select(id_col, hexed, F.when(F.col("component_id") < unknown, F.col("component_id")).alias("component_id"))

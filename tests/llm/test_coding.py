@@ -214,3 +214,20 @@ def test_trie_edges(spark):
     assert trie.plain(trie_counts.START + word) == trie.terminal_count(word)
     assert [(i, p) for i, _, p in got] == [(1, 2), (2, 0), (3, 0), (4, 1), (4, 60000)] and got[4][1] == 60000 and got[1][1] == 0
     assert trie_counts.count_tokens(spark, docs.limit(0), PIECES).count() == 0
+
+
+def test_splitting_of_every_character():
+    """Each code point before an 's, after a space and beside a letter, a digit and a mark is cut as the tokenizers library does."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    cut = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).pre_tokenizer.pre_tokenize_str
+    find = bpe_automaton.splitter()
+    codes = [c for c in (*range(0x32400), *range(0x32400, 0xE0000, 97), *range(0xE0000, 0xE0200), *range(0xE0200, 0x110000, 997)) if not 0xD800 <= c < 0xE000]
+    for start in range(0, len(codes), 10_000):
+        text = "".join(f"{chr(c)}'s {chr(c)}a{chr(c)}1{chr(c)}!\n" for c in codes[start : start + 10_000])
+        ends, at = [], 0
+        for piece in find(text):
+            at += len(piece)
+            ends.append(at)
+        assert ends == [stop for _, (_, stop) in cut(text)]

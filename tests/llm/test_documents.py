@@ -293,3 +293,26 @@ def test_pipeline_stages_on_odd_tables(spark, sf):
                 assert sorted((r.doc_id or 0) for r in kept) == [1, 2, 3, 4]
             if name in ("personal_data", "encode"):
                 assert len(kept) == docs.count()
+
+
+def test_raw_elements_closed_by_a_slash_stay_raw():
+    """`<script src=x/>` and `<script src='x' />` do not end where they begin."""
+    for head in ("<script src=/js/>", "<script src='/x.js' />", "<STYLE media=a/>"):
+        tag = head[1:7].rstrip(" ").lower().removesuffix(" m")
+        tag = "style" if tag.startswith("style") else "script"
+        page = f"<article><p>One line of the article, long enough.</p>{head}var leaked = 1;</{tag}><p>Another line of it, as long.</p></article>"
+        found = " ".join(b[0] for b in html_crf.leaf_blocks(page))
+        assert "leaked" not in found and "One line" in found and "Another line" in found
+
+
+def test_every_mention_of_a_found_name_is_replaced(spark):
+    """Without the form of address, word by word, in genitives and capitals, and in no other document; IBANs stay valid."""
+    rows = [(1, "ask Dr Zoe Miller now, contact Zoe Miller, Miller's wife or ZOE. Millers O'Miller zoe"), (2, "Zoe Miller lives"), (3, "Pay to DE89370400440532013000 or GB82 WEST 1234 5698 7654 32 today"), (4, None)]
+    got = {r.doc_id: (r.text, r.n) for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "k", count_col="n").collect()}
+    text, n = got[1]
+    first, last = re.match(r"ask Dr (\S+) (\S+) now", text).groups()
+    assert n == 1 and text == f"ask Dr {first} {last} now, contact {first} {last}, {last}'s wife or {first.upper()}. Millers O'Miller zoe" and {first, last}.isdisjoint({"Zoe", "Miller"})
+    assert got[2] == ("Zoe Miller lives", 0) and got[4] == (None, 0)
+    found = re.findall(r"(?:DE\d{20}|GB[\dA-Z ]{25})", got[3][0])
+    number = lambda x: int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97
+    assert [number(x.replace(" ", "")) for x in found] == [1, 1] and "DE8937" not in got[3][0]
