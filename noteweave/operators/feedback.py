@@ -153,11 +153,11 @@ def _with_negatives(pairs: DataFrame, chunked: DataFrame, most: int) -> DataFram
     return filled.select("query", "pos", F.explode(every).alias("neg"))
 
 
-def text_triples(judged: DataFrame, chunked: DataFrame, most: int = 3) -> DataFrame:
+def text_triples(judged: DataFrame, chunked: DataFrame, most: int = 3, fill: bool = True) -> DataFrame:
     """(`query`, `pos`, `neg`) as texts, from feedback (`query`, `source_file`, `header_path`, `adopted`, `timestamp`).
 
     Each adopted place with the first `most` places that were not adopted for its query, in the order of the log; fewer are filled up by
-    a draw. A place whose text is not found, and a negative that equals the positive, is left out.
+    a draw if `fill`. A place whose text is not found, and a negative that equals the positive, is left out.
     """
     rows = judged.filter(F.coalesce(F.col("source_file"), F.lit("")) != "").groupBy("query", "source_file", F.coalesce("header_path", F.lit("")).alias("header_path"), "adopted").agg(F.min("timestamp").alias("at"))
     texts = look_up(rows, chunked).filter("text is not null")
@@ -166,7 +166,8 @@ def text_triples(judged: DataFrame, chunked: DataFrame, most: int = 3) -> DataFr
     bad = bad.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("b")).select("query", F.transform("b", lambda x: x["text"]).alias("all"))
     good = texts.filter("adopted").select("query", F.col("text").alias("pos")).distinct().join(bad, "query", "left")
     negs = F.filter(F.coalesce("all", F.array().cast("array<string>")), lambda t: t != F.col("pos"))
-    return _with_negatives(good.select("query", "pos", negs.alias("negs"), F.array().cast("array<string>").alias("not_files")), chunked, most)
+    pairs = good.select("query", "pos", negs.alias("negs"), F.array().cast("array<string>").alias("not_files"))
+    return _with_negatives(pairs, chunked, most) if fill else pairs.select("query", "pos", F.explode("negs").alias("neg"))
 
 
 def case_triples(cases: DataFrame, chunked: DataFrame, found: DataFrame, most: int = 3) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from noteweave.functions.text import tokens
+from noteweave.operators.browse import MOST_HITS, clamped
 from noteweave.operators.index import document_frequencies, postings, query_terms, ranked, tokenised
 from noteweave.operators.shards import rank, shards_of_texts
 
@@ -121,13 +122,13 @@ def hits(fused: DataFrame, top_k: int) -> DataFrame:
 def search(docs: DataFrame, queries: DataFrame, top_k: int = 10, keep: Column | None = None, mode: str = "hybrid", vector_weight: float = 1.0, keyword_weight: float = 1.0) -> DataFrame:
     """Hybrid, vector-only or keyword-only search under a metadata predicate, with the hit's metadata.
 
-    `docs` has doc_id, text and any metadata; excerpts are the first 200 characters. In the one-channel modes the
+    `docs` has doc_id, text and any metadata; `top_k` is between 1 and 50; excerpts are the first 200 characters. In the one-channel modes the
     other weight is zero, as if that channel had found nothing.
     """
     asked = {"hybrid": ("vector", "keyword"), "vector": ("vector",), "keyword": ("keyword",)}[mode]
     found = rank(shards_of_texts(docs, queries, keep), queries, POOL, asked)
     vector, keyword = (found.filter(F.col("channel") == c).drop("channel") for c in ("vector", "keyword"))
-    best = hits(fuse(vector, keyword, vector_weight, keyword_weight), top_k)
+    best = hits(fuse(vector, keyword, vector_weight, keyword_weight), clamped(top_k, MOST_HITS))
     meta = [c for c in docs.columns if c not in ("doc_id", "text")]
     shown = docs.select("doc_id", *meta, F.substring("text", 1, 200).alias("excerpt"))
     return best.join(shown, "doc_id").select("query_id", "rank", "doc_id", F.bround("fused", 5).alias("fused_score"), F.bround("similarity", 3).alias("similarity"), F.bround("bm25", 3).alias("bm25"), *meta, "excerpt")

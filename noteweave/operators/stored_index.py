@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noteweave.operators import ranking
+from noteweave.operators.browse import MOST_HITS, clamped
 from noteweave.operators.shards import Shards, of_texts, pack, rank
 from noteweave.sources import commits
 
@@ -180,7 +181,7 @@ def search(spark: SparkSession, root: str, queries: DataFrame, top_k: int = 10,
     channels = {"hybrid": ("keyword", "vector"), "keyword": ("keyword",), "vector": ("vector",)}[mode]
     found = rank(_shards(spark, root, known, keep), queries, ranking.POOL, channels)
     part = lambda c: found.filter(F.col("channel") == c).drop("channel")
-    best = ranking.hits(ranking.fuse(part("vector"), part("keyword"), vector_weight, keyword_weight), top_k)
+    best = ranking.hits(ranking.fuse(part("vector"), part("keyword"), vector_weight, keyword_weight), clamped(top_k, MOST_HITS))
     shown = documents(spark, root, known).drop("segment", "digest", "branch")
     meta = [c for c in shown.columns if c not in ("doc_id", "excerpt")]
     return best.join(shown, "doc_id").select("query_id", "rank", "doc_id", F.bround("fused", 5).alias("fused_score"), F.bround("similarity", 3).alias("similarity"), F.bround("bm25", 3).alias("bm25"), *meta, "excerpt")

@@ -8,10 +8,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from noteweave.functions.text import chunk_id, content_hash, result_id, tokens
-from noteweave.operators import audit, browse, evaluate, feedback, index, ingest, lsa, ranking
-from noteweave.sources.tables import shared_folder, table
+from noteweave.functions.text import chunk_id, content_hash, doc_text, result_id
+from noteweave.operators import audit, browse, evaluate, feedback, index, ingest, lsa, ranking, stored_index
+from noteweave.sources.tables import shared_folder, staged, table
 from noteweave.streaming import feedback as stream
+from noteweave.streaming import keyed
+from noteweave.streaming import table as buckets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -71,10 +73,6 @@ h AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY fused DES
 ITEMS = "SELECT item_id AS query_id, text AS query FROM benchmark"
 
 
-def first_tokens(n: int) -> str:
-    return f"SELECT item_id AS query_id, array_to_string(({tok('text')})[1:{n}], ' ') AS query FROM benchmark"
-
-
 GOLD = "gold AS (SELECT item_id AS query_id, doc_id FROM benchmark b JOIN documents x ON contains(x.text, b.text))"
 
 
@@ -84,9 +82,8 @@ def metric_cte(ranking: str, name: str) -> str:
   round(coalesce(avg(CASE WHEN first <= 5 THEN CAST(1.0 AS DOUBLE) / first ELSE 0.0 END), 0), 6) AS mrr FROM fh_{name})"""
 
 
-def items(spark: SparkSession, sf_dir: str, first: int | None = None) -> DataFrame:
-    text = F.col("text") if first is None else F.array_join(F.slice(tokens(F.col("text")), 1, first), " ")
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), text.alias("query"))
+def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
 # --- text and index ------------------------------------------------------------------------------
@@ -101,7 +98,7 @@ def tokenize_docs(spark, sf_dir):
 @query("SELECT doc_id, md5(source || '|' || lang || '|' || substr(text, 1, 100)) AS chunk_id, sha256(text) AS content_hash, source || ' ' || lang || ' | ' || substr(text, 1, 40) AS doc_text FROM documents")
 def chunk_identity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    shown = F.concat(F.col("source"), F.lit(" "), F.col("lang"), F.lit(" | "), F.substring("text", 1, 40))
+    shown = doc_text(F.col("source"), F.col("lang"), F.substring("text", 1, 40))
     return docs.select("doc_id", chunk_id(F.col("source"), F.col("lang"), F.col("text")).alias("chunk_id"), content_hash(F.col("text")).alias("content_hash"), shown.alias("doc_text"))
 
 
@@ -167,7 +164,7 @@ def legacy_similarity(spark, sf_dir):
 
 
 def _fused(spark, sf_dir, wv, ww):
-    docs, asked = table(spark, sf_dir, "documents"), items(spark, sf_dir, 6)
+    docs, asked = table(spark, sf_dir, "documents"), items(spark, sf_dir)
     found = ranking.hits(ranking.fuse(*ranking.channels(docs, asked), wv, ww), 10)
     return found.select("query_id", "rank", "doc_id", F.col("fused").alias("fused_score"), "vec_rank", "kw_rank")
 
@@ -175,48 +172,81 @@ def _fused(spark, sf_dir, wv, ww):
 RRF = "WITH {posts}, {cos}, {bm}, {fu} SELECT query_id, rank, doc_id, fused AS fused_score, vec_rank, kw_rank FROM h WHERE rank <= 10"
 
 
-@query(RRF.format(posts=POSTS, cos=cosine_ctes(first_tokens(6)), bm=bm25_ctes(first_tokens(6)), fu=fused_ctes()))
+@query(RRF.format(posts=POSTS, cos=cosine_ctes(ITEMS), bm=bm25_ctes(ITEMS), fu=fused_ctes()))
 def rrf_fusion(spark, sf_dir):
     return _fused(spark, sf_dir, 1.0, 1.0)
 
 
-@query(RRF.format(posts=POSTS, cos=cosine_ctes(first_tokens(6)), bm=bm25_ctes(first_tokens(6)), fu=fused_ctes(2.0, 1.0)))
+@query(RRF.format(posts=POSTS, cos=cosine_ctes(ITEMS), bm=bm25_ctes(ITEMS), fu=fused_ctes(2.0, 1.0)))
 def rrf_fusion_weighted(spark, sf_dir):
     return _fused(spark, sf_dir, 2.0, 1.0)
 
 
 KEEP = "lang = 'en' AND contains(source, '1')"
-HITS = "SELECT query_id, rank, doc_id, round_even(fused, 5) AS fused_score, lang, source, substr(text, 1, 200) AS excerpt FROM h JOIN documents USING (doc_id) WHERE rank <= 10"
+HITS = "SELECT query_id, rank, doc_id, round_even(fused, 5) AS fused_score, round_even(similarity, 3) AS similarity, round_even(bm25, 3) AS bm25, lang, source, substr(text, 1, 200) AS excerpt FROM h JOIN documents USING (doc_id) WHERE rank <= 10"
 
 
 def _search(spark, sf_dir, mode):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     keep = browse.matches({"lang": "en", "source": {"contains": "1"}})
-    found = ranking.search(docs, items(spark, sf_dir, 6), 10, keep, mode)
-    return found.select("query_id", "rank", "doc_id", "fused_score", "lang", "source", "excerpt")
+    found = ranking.search(docs, items(spark, sf_dir), 10, keep, mode)
+    return found.select("query_id", "rank", "doc_id", "fused_score", "similarity", "bm25", "lang", "source", "excerpt")
 
 
-@query(f"WITH {POSTS}, {cosine_ctes(first_tokens(6), keep=KEEP)}, {bm25_ctes(first_tokens(6), keep=KEEP)}, {fused_ctes()} {HITS}")
+@query(f"WITH {POSTS}, {cosine_ctes(ITEMS, keep=KEEP)}, {bm25_ctes(ITEMS, keep=KEEP)}, {fused_ctes()} {HITS}")
 def hybrid_search_filtered(spark, sf_dir):
     return _search(spark, sf_dir, "hybrid")
 
 
-@query(f"WITH {POSTS}, {cosine_ctes(first_tokens(6), keep='false')}, {bm25_ctes(first_tokens(6), keep=KEEP)}, {fused_ctes()} {HITS}")
+@query(f"WITH {POSTS}, {cosine_ctes(ITEMS, keep='false')}, {bm25_ctes(ITEMS, keep=KEEP)}, {fused_ctes()} {HITS}")
 def bm25_only(spark, sf_dir):
     return _search(spark, sf_dir, "keyword")
 
 
-@query(f"WITH {POSTS}, {cosine_ctes(first_tokens(6), keep=KEEP)}, {bm25_ctes(first_tokens(6), keep='false')}, {fused_ctes()} {HITS}")
+@query(f"WITH {POSTS}, {cosine_ctes(ITEMS, keep=KEEP)}, {bm25_ctes(ITEMS, keep='false')}, {fused_ctes()} {HITS}")
 def vector_only(spark, sf_dir):
     return _search(spark, sf_dir, "vector")
 
 
-@query(f"""WITH {POSTS}, {bm25_ctes(first_tokens(6))}, qt AS (SELECT query_id, list_distinct({tok('query')}) AS q FROM ({first_tokens(6)})),
+def _stored(spark, sf_dir) -> str:
+    """An index of the documents as they once were, brought up to date: some changed, some gone, some new."""
+    root = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    once = docs.filter("doc_id % 11 <> 0").withColumn("text", F.when(F.col("doc_id") % 97 == 0, F.concat(F.lit("once "), "text")).otherwise(F.col("text")))
+    gone = docs.filter("doc_id % 50 = 0").withColumn("doc_id", F.col("doc_id") + 100_000_000)
+    stored_index.refresh(spark, root, once.unionByName(gone))
+    stored_index.refresh(spark, root, docs)
+    return root
+
+
+@query(f"WITH {POSTS}, {bm25_ctes(ITEMS, k=10)} SELECT query_id, rank, doc_id, score FROM r")
+def bm25_stored(spark, sf_dir):
+    return stored_index.bm25(spark, _stored(spark, sf_dir), items(spark, sf_dir), 10)
+
+
+@query(f"WITH {POSTS}, {cosine_ctes(ITEMS, keep=KEEP)}, {bm25_ctes(ITEMS, keep=KEEP)}, {fused_ctes()} {HITS}")
+def search_stored(spark, sf_dir):
+    keep = browse.matches({"lang": "en", "source": {"contains": "1"}})
+    return stored_index.search(spark, _stored(spark, sf_dir), items(spark, sf_dir), 10, keep)
+
+
+@query("SELECT CASE WHEN doc_id % 11 = 0 THEN 'insert' ELSE 'update' END AS action, count(*) AS n FROM documents WHERE doc_id % 11 = 0 OR doc_id % 97 = 0 GROUP BY 1 UNION ALL SELECT 'delete', count(*) FROM documents WHERE doc_id % 50 = 0 UNION ALL SELECT 'documents', count(*) FROM documents")
+def index_refresh(spark, sf_dir):
+    """What the second refresh changed, and how many documents the index then has."""
+    root = _stored(spark, sf_dir)
+    known = stored_index.manifest(spark, root)
+    names = [s for s in spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/changes"))]
+    last = max(names, key=lambda x: x.getModificationTime()).getPath().toString()
+    done = spark.read.parquet(last).groupBy("action").agg(F.count("*").alias("n"))
+    return done.unionByName(stored_index.documents(spark, root, known).agg(F.lit("documents").alias("action"), F.count("*").alias("n")))
+
+
+@query(f"""WITH {POSTS}, {bm25_ctes(ITEMS)}, qt AS (SELECT query_id, list_distinct({tok('query')}) AS q FROM ({ITEMS})),
 j AS (SELECT r.query_id, r.doc_id, r.rank AS pool_rank, CASE WHEN count(*) OVER (PARTITION BY r.query_id) > 10 THEN round(len(list_intersect(q, {tok('substr(text, 1, 512)')})) / greatest(len(q), 1), 6) END AS rerank_score
   FROM r JOIN qt USING (query_id) JOIN documents USING (doc_id))
 SELECT * FROM (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC NULLS LAST, pool_rank) AS INTEGER) AS rank, doc_id, rerank_score, pool_rank FROM j) WHERE rank <= 10""")
 def rerank_lexical(spark, sf_dir):
-    docs, asked = table(spark, sf_dir, "documents"), items(spark, sf_dir, 6)
+    docs, asked = table(spark, sf_dir, "documents"), items(spark, sf_dir)
     return ranking.rerank(docs, asked, ranking.bm25(docs, asked), 10)
 
 
@@ -229,7 +259,7 @@ def tfidf_weights(spark, sf_dir):
 
 @query()
 def lsa_similarity(spark, sf_dir):
-    rows = lsa.weighted(table(spark, sf_dir, "documents")).persist()
+    rows = staged(lsa.weighted(table(spark, sf_dir, "documents")))
     vectors = lsa.transform(spark, rows, lsa.fit(spark, rows))
     return ranking.nearest(spark, vectors, vectors.filter("vec_id % 100 = 0"), 5)
 
@@ -455,6 +485,44 @@ def audit_report(spark, sf_dir):
     return audit.report(audit.structure(_order_notes(spark, sf_dir)))
 
 
+AUDIT_OF = "1999-01-01"
+VAULT = f"""n AS (SELECT o_orderkey AS k, o_orderkey % 7 = 0 AS template, CASE WHEN o_orderkey % 7 = 0 THEN '模板/' ELSE 'notes/' END || (o_orderkey % 10) || '/' || o_orderkey || '.md' AS path, {TYPES} AS type,
+  CASE WHEN o_orderkey % 11 = 0 THEN 'none' WHEN o_orderkey % 13 = 0 THEN 'bad' WHEN o_orderkey % 17 = 0 THEN 'empty' ELSE 'fm' END AS kind, CASE o_orderkey % 6 WHEN 0 THEN 'active' WHEN 1 THEN 'odd' ELSE '' END AS status,
+  CASE o_orderkey % 8 WHEN 0 THEN 'high' WHEN 1 THEN '1.5' WHEN 2 THEN '0.5' ELSE '' END AS conf, CASE WHEN o_orderkey % 19 = 0 THEN strftime(o_orderdate, '%Y/%m/%d') ELSE strftime(o_orderdate, '%Y-%m-%d') END AS day, o_orderkey % 19 = 0 AS odd_day,
+  CASE o_orderkey % 5 WHEN 0 THEN strftime(o_orderdate + INTERVAL 30 DAY, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate - INTERVAL 30 DAY, '%Y-%m-%d') ELSE '' END AS expiry, CAST(o_orderdate AS DATE) AS d, o_orderkey % 4 = 0 AS short FROM orders),
+h AS (SELECT * FROM n WHERE kind = 'fm' AND NOT template), e AS (SELECT path FROM n WHERE k % 2 = 0), on_disk AS (SELECT path FROM n WHERE kind <> 'bad' AND NOT template AND NOT short),
+i AS (SELECT 'A' AS dimension, 'no_front_matter' AS code, path AS file, '' AS detail FROM n WHERE kind IN ('none', 'empty') UNION ALL SELECT 'A', 'bad_front_matter', path, 'an inline list or map without end' FROM n WHERE kind = 'bad'
+UNION ALL SELECT 'A', 'missing_type', path, '' FROM h WHERE type = '' UNION ALL SELECT 'A', 'bad_type', path, type FROM n WHERE kind = 'fm' AND type = 'bogus' UNION ALL SELECT 'A', 'missing_field', path, 'memory_type' FROM h WHERE type = ''
+UNION ALL SELECT 'A', 'missing_field', path, 'source' FROM h WHERE type = 'fact' AND k % 3 = 0 UNION ALL SELECT 'A', 'missing_field', path, 'status' FROM h WHERE type = 'task_state' AND status = '' UNION ALL SELECT 'A', 'bad_status', path, status FROM h WHERE status = 'odd'
+UNION ALL SELECT 'A', 'bad_date', path, 'date_updated=' || day FROM h WHERE odd_day UNION ALL SELECT 'A', 'not_numeric', path, conf FROM h WHERE conf = 'high' UNION ALL SELECT 'A', 'out_of_range', path, conf FROM h WHERE conf = '1.5'
+UNION ALL SELECT 'A', 'expiry_before_update', path, expiry FROM h WHERE NOT odd_day AND expiry <> '' AND expiry < day UNION ALL SELECT 'B', 'expired', path, expiry FROM n WHERE kind = 'fm' AND expiry <> '' AND expiry < '{AUDIT_OF}'
+UNION ALL SELECT 'B', 'stale', path, CAST(DATE '{AUDIT_OF}' - d AS VARCHAR) FROM n WHERE kind = 'fm' AND NOT odd_day AND DATE '{AUDIT_OF}' - d > CASE WHEN type = 'task_state' THEN 30 ELSE 180 END
+UNION ALL SELECT 'C', 'broken_link', path, 'missing ' || (k % 50) FROM n WHERE kind <> 'bad' AND NOT short UNION ALL SELECT 'C', 'broken_link', path, 'notes/' || ((k + 1) % 10) || '/' || (k + 1) FROM n WHERE kind <> 'bad' AND NOT short AND k + 1 NOT IN (SELECT k FROM n WHERE NOT template)
+UNION ALL SELECT 'D', 'short_body', path, '6' FROM n WHERE kind <> 'bad' AND short UNION ALL SELECT 'E', 'index', path, 'indexed_not_on_disk' FROM (FROM e EXCEPT FROM on_disk) UNION ALL SELECT 'E', 'index', path, 'on_disk_not_indexed' FROM (FROM on_disk EXCEPT FROM e))"""
+
+
+def _vault(spark, sf_dir) -> DataFrame:
+    """Orders as notes with every fault: missing, empty and unparsable front matter, templates, odd types, dates and states, short bodies."""
+    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    by = lambda n, values, rest: F.coalesce(*(F.when(k % n == i, v) for i, v in values.items()), F.lit(rest))
+    day = lambda c, form="yyyy-MM-dd": F.date_format(c, form)
+    path = F.concat(F.when(k % 7 == 0, "模板/").otherwise("notes/"), k % 10, F.lit("/"), k, F.lit(".md"))
+    links = F.concat(F.lit("See [[notes/"), (k + 1) % 10, F.lit("/"), k + 1, F.lit("]] and [[missing "), k % 50, F.lit("|that]] or [[#here]] in a body that is long enough for it.\n"))
+    body = F.when(k % 4 == 0, "Short.").otherwise(links)
+    expiry = by(5, {0: day(F.date_add("o_orderdate", 30)), 1: day(F.date_sub("o_orderdate", 30))}, "")
+    updated = F.when(k % 19 == 0, day("o_orderdate", "yyyy/MM/dd")).otherwise(day("o_orderdate"))
+    fields = {"memory_type": F.expr(TYPES), "source": F.when(k % 3 == 0, "").otherwise("x"), "status": by(6, {0: "active", 1: "odd"}, ""), "confidence": by(8, {0: "high", 1: "1.5", 2: "0.5"}, ""), "date_updated": updated, "expiry": expiry}
+    held = F.concat(F.lit("---\n"), *(F.concat(F.lit(f"{name}: "), value, F.lit("\n")) for name, value in fields.items()), F.lit("---\n"), body)
+    raw = F.when(k % 11 == 0, body).when(k % 13 == 0, F.concat(F.lit("---\nmemory_type: [x\n---\n"), body)).when(k % 17 == 0, F.concat(F.lit("---\n---\n"), body)).otherwise(held)
+    return ingest.front_matter(o.select("o_orderkey", path.alias("path"), raw.alias("raw")))
+
+
+@query(f"WITH {VAULT} SELECT * FROM i")
+def audit_run(spark, sf_dir):
+    notes = staged(_vault(spark, sf_dir).drop("metadata"))
+    return audit.run(notes, AUDIT_OF, notes.filter("o_orderkey % 2 = 0"))
+
+
 @query("""WITH d AS (SELECT doc_id FROM documents WHERE doc_id % 17 <> 0 AND length(regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', '')) >= 50)
 SELECT doc_id, 'indexed_not_on_disk' AS code FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM d) UNION ALL SELECT doc_id, 'on_disk_not_indexed' FROM d WHERE doc_id NOT IN (SELECT doc_id FROM labels)""")
 def audit_index(spark, sf_dir):
@@ -475,14 +543,10 @@ def _gold(spark, sf_dir) -> DataFrame:
     return ranking.gold_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).withColumnRenamed("item_id", "query_id")
 
 
-def _metrics(spark, sf_dir, first: int, gold: DataFrame) -> DataFrame:
-    asked = items(spark, sf_dir, first)
-    return evaluate.metrics(evaluate.first_hits(ranking.bm25(table(spark, sf_dir, "documents"), asked), gold, asked))
-
-
-@query(f"WITH {POSTS}, {GOLD}, {bm25_ctes(first_tokens(4))}, {metric_cte('r', 'm')} SELECT n, hit1, hit5, mrr FROM m")
+@query(f"WITH {POSTS}, {GOLD}, {bm25_ctes(ITEMS)}, {metric_cte('r', 'm')} SELECT n, hit1, hit5, mrr FROM m")
 def retrieval_eval(spark, sf_dir):
-    return _metrics(spark, sf_dir, 4, _gold(spark, sf_dir))
+    asked = items(spark, sf_dir)
+    return evaluate.metrics(evaluate.first_hits(ranking.bm25(table(spark, sf_dir, "documents"), asked), _gold(spark, sf_dir), asked))
 
 
 @query(f"WITH {GOLD} SELECT item_id FROM benchmark WHERE item_id NOT IN (SELECT query_id FROM gold)")
@@ -491,22 +555,26 @@ def gold_reachability(spark, sf_dir):
     return evaluate.unreachable(items_, _gold(spark, sf_dir).withColumnRenamed("query_id", "item_id")).select("item_id")
 
 
-@query("""SELECT doc_id, source AS gold FROM (SELECT doc_id, source, h, row_number() OVER (PARTITION BY source ORDER BY h, doc_id) AS turn FROM (SELECT doc_id, source, md5(CAST(doc_id AS VARCHAR)) AS h FROM documents))
-WHERE turn <= 50 // (SELECT count(DISTINCT source) FROM documents) + 1 ORDER BY h, doc_id LIMIT 50""")
+@query("""WITH c AS (SELECT doc_id, source, text FROM (SELECT doc_id, source, text, h, row_number() OVER (PARTITION BY source ORDER BY h, doc_id) AS turn FROM (SELECT doc_id, source, text, md5(CAST(doc_id AS VARCHAR)) AS h FROM documents))
+WHERE turn <= 50 // (SELECT count(DISTINCT source) FROM documents) + 1 ORDER BY h, doc_id LIMIT 50),
+l AS (SELECT *, substr(list_filter(list_transform(string_split(text, chr(10))[2:], lambda x: trim(regexp_replace(x, '^[#\\-*\\s`]+', ''))), lambda x: length(x) >= 12)[1], 1, 44) AS head FROM c),
+q AS (SELECT *, regexp_extract(head, '^(.{8}[^.!?;。！？；]*)[.!?;。！？；]', 1) AS cut FROM l)
+SELECT doc_id, source AS gold, coalesce(trim(CASE WHEN length(cut) >= 8 THEN cut ELSE head END), trim(substr(text, 1, 44))) AS query FROM q""")
 def self_cases(spark, sf_dir):
-    return evaluate.self_cases(table(spark, sf_dir, "documents"), 50).select("doc_id", "gold")
+    return evaluate.self_cases(table(spark, sf_dir, "documents"), 50)
 
 
-@query(f"""WITH {POSTS}, {GOLD}, {bm25_ctes(first_tokens(4), 'ra')}, {bm25_ctes(first_tokens(6), 'rb')}, {bm25_ctes(first_tokens(2), 'rc')}, {metric_cte('ra', 'a')}, {metric_cte('rb', 'b')}, {metric_cte('rc', 'c')}
-SELECT candidate, x.hit5, x.mrr, a.mrr AS base_mrr, round(x.mrr - a.mrr, 4) AS delta_mrr, x.hit5 >= 0.85 - 1e-9 AND x.mrr >= a.mrr - 0.02 - 1e-9 AS passed FROM (SELECT 'six' AS candidate, * FROM b UNION ALL SELECT 'two', * FROM c UNION ALL SELECT 'same', * FROM a) x CROSS JOIN a""")
+@query(f"""WITH {POSTS}, {GOLD}, {bm25_ctes(ITEMS)}, {cosine_ctes(ITEMS)}, {fused_ctes()}, {metric_cte('r', 'a')}, {metric_cte('v', 'b')}, {metric_cte('h', 'c')}
+SELECT candidate, x.hit5, x.mrr, a.mrr AS base_mrr, round(x.mrr - a.mrr, 4) AS delta_mrr, x.hit5 >= 0.85 - 1e-9 AND x.mrr >= a.mrr - 0.02 - 1e-9 AS passed FROM (SELECT 'vector' AS candidate, * FROM b UNION ALL SELECT 'hybrid', * FROM c UNION ALL SELECT 'same', * FROM a) x CROSS JOIN a""")
 def offline_gate(spark, sf_dir):
-    gold = _gold(spark, sf_dir)
-    base = _metrics(spark, sf_dir, 4, gold).first()
-    rows = None
-    for name, first in (("six", 6), ("two", 2), ("same", 4)):
-        part = _metrics(spark, sf_dir, first, gold).select(F.lit(name).alias("candidate"), "hit5", "mrr")
-        rows = part if rows is None else rows.unionByName(part)
-    judged = feedback.gate(rows.withColumn("base_mrr", F.lit(base.mrr)))
+    """Vector and hybrid search, and the keyword search itself, against keyword search."""
+    docs, asked, gold = table(spark, sf_dir, "documents"), items(spark, sf_dir), _gold(spark, sf_dir)
+    vector, keyword = ranking.channels(docs, asked)
+    fused = ranking.hits(ranking.fuse(vector, keyword), 2 * ranking.POOL).select("query_id", "rank", "doc_id")
+    measured = lambda found: evaluate.metrics(evaluate.first_hits(found, gold, asked))
+    base = measured(keyword)
+    rows = measured(vector).select(F.lit("vector").alias("candidate"), "hit5", "mrr").unionByName(measured(fused).select(F.lit("hybrid").alias("candidate"), "hit5", "mrr")).unionByName(base.select(F.lit("same").alias("candidate"), "hit5", "mrr"))
+    judged = feedback.gate(rows.crossJoin(base.select(F.col("mrr").alias("base_mrr"))))  # one row
     return judged.select("candidate", "hit5", "mrr", "base_mrr", F.round(F.col("mrr") - F.col("base_mrr"), 4).alias("delta_mrr"), "passed")
 
 
@@ -532,9 +600,9 @@ def feedback_latest(spark, sf_dir):
     return _latest(spark, sf_dir).select("user_id", "k", "event_id", "adopted")
 
 
-@query(f"WITH {LATEST} SELECT count(*) AS total, count(*) FILTER (adopted) AS adopted, count(*) FILTER (NOT adopted) AS rejected, round(count(*) FILTER (adopted) / count(*), 6) AS rate FROM l")
+@query(f"WITH {LATEST} SELECT count(*) AS total, count(*) FILTER (adopted) AS adopted, count(*) FILTER (NOT adopted) AS rejected, round(count(*) FILTER (adopted) / count(*), 6) AS rate, printf('%.1f%%', 100.0 * count(*) FILTER (adopted) / count(*)) AS rate_text FROM l")
 def feedback_stats(spark, sf_dir):
-    return feedback.totals(_latest(spark, sf_dir)).drop("rate_text")
+    return feedback.totals(_latest(spark, sf_dir))
 
 
 @query(f"WITH {LATEST} SELECT file, count(*) FILTER (adopted) AS n_adopted, count(*) FILTER (NOT adopted) AS n_rejected FROM l GROUP BY file")
@@ -583,9 +651,9 @@ def training_triples(spark, sf_dir):
     return feedback.triples(_latest(spark, sf_dir).select(F.col("user_id").alias("query"), F.col("k").alias("doc"), "adopted"))
 
 
-@query(f"WITH {POSTS}, {GOLD}, {bm25_ctes(first_tokens(4), k=20)} SELECT query_id, neg, turn FROM (SELECT query_id, doc_id AS neg, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank, doc_id) AS INTEGER) AS turn FROM r ANTI JOIN gold USING (query_id, doc_id)) WHERE turn <= 3")
+@query(f"WITH {POSTS}, {GOLD}, {bm25_ctes(ITEMS, k=20)} SELECT query_id, neg, turn FROM (SELECT query_id, doc_id AS neg, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank, doc_id) AS INTEGER) AS turn FROM r ANTI JOIN gold USING (query_id, doc_id)) WHERE turn <= 3")
 def hard_negatives(spark, sf_dir):
-    found = ranking.bm25(table(spark, sf_dir, "documents"), items(spark, sf_dir, 4), 20)
+    found = ranking.bm25(table(spark, sf_dir, "documents"), items(spark, sf_dir), 20)
     return feedback.hard_negatives(found, _gold(spark, sf_dir))
 
 
@@ -609,6 +677,55 @@ def feedback_texts(spark, sf_dir):
     return feedback.look_up(asked.join(names, "n").drop("n"), docs).select("event_id", content_hash(F.col("text")).alias("h"))
 
 
+JUDGED = f"""{EVENTS}, j AS (SELECT CAST(user_id AS VARCHAR) AS query, 'src' || (k % 20) AS source_file, CASE k % 5 WHEN 0 THEN 'en' WHEN 1 THEN 'de' WHEN 2 THEN 'fr' WHEN 3 THEN 'es' ELSE 'none' END AS header_path, adopted, min(event_id) AS since FROM e GROUP BY ALL),
+c AS (SELECT source AS source_file, lang AS header_path, arg_min(text, doc_id) AS own FROM documents GROUP BY ALL), f AS (SELECT source AS source_file, arg_min(text, doc_id) AS any_ FROM documents GROUP BY source),
+t AS (SELECT j.*, coalesce(own, any_) AS text FROM j LEFT JOIN c USING (source_file, header_path) LEFT JOIN f USING (source_file) WHERE coalesce(own, any_) IS NOT NULL)"""
+
+
+@query(f"""WITH {JUDGED}, n AS (SELECT query, text AS neg FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY since, source_file, header_path) AS turn FROM t WHERE NOT adopted) WHERE turn <= 3)
+SELECT p.query, sha256(p.pos) AS pos, sha256(n.neg) AS neg FROM (SELECT DISTINCT query, text AS pos FROM t WHERE adopted) p JOIN n USING (query) WHERE p.pos <> n.neg""")
+def triples_with_texts(spark, sf_dir):
+    """Places that users took or left, with their texts; no draws, which SQL cannot repeat."""
+    lang = F.element_at(F.array(*map(F.lit, ("en", "de", "fr", "es", "none"))), (F.col("k") % 5 + 1).cast("int"))
+    judged = _feedback(spark, sf_dir).select(F.col("user_id").cast("string").alias("query"), F.concat(F.lit("src"), F.col("k") % 20).alias("source_file"), lang.alias("header_path"), "adopted", F.col("event_id").alias("timestamp"))
+    chunked = table(spark, sf_dir, "documents").select(F.col("source").alias("source_file"), F.col("lang").alias("header_path"), F.col("doc_id").alias("chunk_index"), "text")
+    found = feedback.text_triples(judged, chunked, 3, fill=False)
+    return found.select("query", content_hash(F.col("pos")).alias("pos"), content_hash(F.col("neg")).alias("neg"))
+
+
+@query(f"""WITH {EVENTS}, s AS (SELECT user_id, ts AS at, 'shown ' || k AS file FROM e JOIN (SELECT event_id FROM events WHERE event_type IN ('view', 'click')) USING (event_id))
+SELECT event_id, coalesce(s.file, e.file) AS file, s.at IS NOT NULL AS matched FROM (SELECT e.* FROM e JOIN (SELECT event_id FROM events WHERE event_type IN ('purchase', 'signup')) USING (event_id)) e LEFT JOIN s ON s.user_id = e.user_id AND s.at <= e.ts AND s.at >= e.ts - INTERVAL 6 HOUR""")
+def served_feedback(spark, sf_dir):
+    """Purchases and signups with what the user was shown in the six hours before: the table form of the join of two streams."""
+    rows = _feedback(spark, sf_dir).join(table(spark, sf_dir, "events").select("event_id", "event_type"), "event_id")
+    shown = rows.filter("event_type in ('view', 'click')").select("user_id", F.col("ts").alias("at"), F.concat(F.lit("shown "), "k").alias("file"))
+    given = rows.filter("event_type in ('purchase', 'signup')").select("event_id", "user_id", "ts", "file")
+    return keyed.served(given, shown, ["user_id"], ["file"], "ts", "at", "6 hours").select("event_id", "file", "matched")
+
+
+@query(f"WITH {LATEST} SELECT user_id, k, event_id, adopted FROM l")
+def feedback_keyed_state(spark, sf_dir):
+    """The latest state by keyed state, as a stream of updates into a table by buckets."""
+    events = table(spark, sf_dir, "events")
+    source = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    k = F.get_json_object("props", "$.k").cast("long")
+    rows = source.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", k.alias("k"), F.col("event_type").isin("purchase", "signup").alias("adopted"))
+    root = f"{shared_folder(spark)}/keyed-{uuid.uuid4().hex}"
+    updates = keyed.latest(rows, ["user_id", "k"], ["ts", "event_id"], "ts")
+    buckets.sink(updates, f"{root}/rows", f"{root}/log", ["user_id", "k"], ["ts", "event_id"], mode="update", gone="expired").awaitTermination()
+    return buckets.read(spark, f"{root}/rows").select("user_id", "k", "event_id", "adopted")
+
+
+@query(f"WITH {LATEST} SELECT user_id, k, event_id, adopted FROM l")
+def feedback_upserts(spark, sf_dir):
+    """The latest state by upserts of four batches, one of them twice."""
+    rows = _feedback(spark, sf_dir).select("user_id", "k", "ts", "event_id", "adopted")
+    root = f"{shared_folder(spark)}/upserts-{uuid.uuid4().hex}"
+    for batch in (0, 1, 2, 2, 3):
+        buckets.apply(root, rows.filter(F.col("event_id") % 4 == batch), ["user_id", "k"], ["ts", "event_id"], "events", batch)
+    return buckets.read(spark, root).select("user_id", "k", "event_id", "adopted")
+
+
 @query(f"WITH {LATEST} SELECT count(*) FILTER (adopted) AS positives, count(*) FILTER (adopted) >= 8 AS triggered FROM l")
 def loop_trigger(spark, sf_dir):
     return feedback.triggered(_latest(spark, sf_dir))

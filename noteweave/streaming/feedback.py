@@ -1,4 +1,4 @@
-"""The feedback log as a stream: latest state of each key, windowed adoption, upserts of a table."""
+"""The feedback log as a stream: latest state of each key, windowed adoption."""
 
 from __future__ import annotations
 
@@ -6,8 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from noteweave.operators.ingest import upsert
-
 
 def read_log(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int | None = None) -> DataFrame:
     """New JSON-lines files of a folder; malformed lines are dropped."""
@@ -38,23 +36,3 @@ def drain(result: DataFrame, checkpoint: str, target: str) -> DataFrame:
     query = result.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return result.sparkSession.read.schema(result.schema).parquet(target)
-
-
-def upsert_sink(stream: DataFrame, root: str, checkpoint: str, id_col: str = "id", hash_col: str = "content_hash"):
-    """Keep a table current with the stream: each batch adds rows whose id or content hash is new.
-
-    Every batch writes the next version of the table, named by its number, so a repeated batch gives the
-    same version and a reader never sees a half-written one.
-    """
-
-    def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        fresh = batch.groupBy(id_col).agg(F.max_by(F.struct(*batch.columns), hash_col).alias("r")).select("r.*")
-        if number:
-            stored = spark.read.parquet(f"{root}/version={number - 1}")
-            changed = fresh.select(id_col, hash_col)
-            gone = stored.join(changed.select(id_col), id_col, "left_anti")
-            fresh = gone.unionByName(upsert(stored.join(changed.select(id_col), id_col, "left_semi"), fresh, id_col, hash_col))
-        fresh.write.mode("overwrite").parquet(f"{root}/version={number}")
-
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
