@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -74,6 +76,11 @@ def percent(rate: Column) -> Column:
     return F.format_string("%.1f%%", rate * 100)
 
 
-def heading_stack(levels_titles: Column) -> Column:
-    """Fold (level, title) structs into the stack after the last: the first level - 1 entries, then the title."""
-    return F.aggregate(levels_titles, F.array().cast("array<string>"), lambda s, h: F.concat(F.slice(s, F.lit(1), F.least(h["level"] - 1, F.size(s))), F.array(h["title"])))
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)` with the value computed once: bound as the only element of an array."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def pushed(stack: Column, level: Column, title: Column) -> Column:
+    """The stack of headings after one more: its first level - 1 entries, then the title."""
+    return F.array_append(F.slice(stack, F.lit(1), F.least(level - 1, F.size(stack))), title)

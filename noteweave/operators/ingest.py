@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noteweave.functions.front_matter import read
-from noteweave.functions.text import HEADING, chunk_id, content_hash, heading_stack, stem, stripped
+from noteweave.functions.text import HEADING, chunk_id, content_hash, once, pushed, stem, stripped
 
 #: Front-matter fields that are kept; others are dropped and absent ones are empty.
 FIELDS = ("memory_type", "status", "tags", "source", "owner", "module", "outcome", "task_status", "date_created", "date_updated", "expiry", "confidence")
@@ -27,42 +27,53 @@ def front_matter(notes: DataFrame, raw_col: str = "raw") -> DataFrame:
     return rows.withColumns(text | rest).drop("_read")
 
 
+#: Where a heading line begins: the same lines as HEADING has.
+BEFORE_HEADING = r"(?md)^(?=#{1,6}[\s&&[^\n]]+[^\n\r\u0085\u2028\u2029]*[\r\u0085\u2028\u2029]?$)"
+
+
+def _folded(body: Column) -> Column:
+    """The sections of a body as an array of (`section`, `header_path`, `text`): one fold over its headings, within the row."""
+
+    def section(part: Column, last: Column) -> Column:
+        line = F.substring_index(part, "\n", 1)
+        level = F.length(F.regexp_extract(line, HEADING, 1))
+        text = F.when(level > 0, F.regexp_replace(part, r"\A[^\n]*\n?", "")).otherwise(part)
+        return F.struct(level.alias("level"), F.trim(F.regexp_extract(line, HEADING, 2)).alias("title"), F.when(last, text).otherwise(F.regexp_replace(text, r"\n\z", "")).alias("text"))
+
+    none = F.struct(F.array().cast("array<string>").alias("stack"), F.lit(0).cast("long").alias("n"), F.array().cast("array<struct<section:bigint,header_path:string,text:string>>").alias("out"))
+
+    def step(state: Column, part: Column) -> Column:
+        n = state["n"] + (part["level"] > 0).cast("long")
+        stack = F.when(part["level"] > 0, pushed(state["stack"], part["level"], part["title"])).otherwise(state["stack"])
+        found = lambda s: F.struct(n.alias("section"), F.array_join(s, " > ").alias("header_path"), part["text"].alias("text"))
+        return once(stack, lambda s: F.struct(s.alias("stack"), n.alias("n"), F.array_append(state["out"], found(s)).alias("out")))
+
+    parts = once(F.split(F.coalesce(body, F.lit("")), BEFORE_HEADING, -1), lambda ps: F.transform(ps, lambda p, i: section(p, i == F.size(ps) - 1)))
+    return F.aggregate(parts, none, step, lambda state: state["out"])
+
+
 def sections(notes: DataFrame, path_col: str = "path", body_col: str = "body") -> DataFrame:
     """`path`, `section` (0: before any heading), `header_path` and `text` of each section of each note.
 
-    The fold over a note's lines runs inside its row; a heading's place in the stack is positional.
+    The fold over a note's headings runs inside its row, so nothing is shuffled; a heading's place in the stack is positional.
     """
-    lines = F.split(F.coalesce(F.col(body_col), F.lit("")), "\n")
-    each = F.transform(lines, lambda x: F.struct(F.length(F.regexp_extract(x, HEADING, 1)).alias("level"), F.trim(F.regexp_extract(x, HEADING, 2)).alias("title"), x.alias("line")))
-    rows = notes.select(F.col(path_col).alias("path"), each.alias("lines")).select("path", F.posexplode("lines").alias("pos", "l"))
-    upto = Window.partitionBy("path").orderBy("pos")
-    numbered = rows.withColumn("section", F.sum((F.col("l.level") > 0).cast("long")).over(upto))
-    kept = numbered.groupBy("path", "section").agg(
-        F.sort_array(F.collect_list(F.when(F.col("l.level") == 0, F.struct("pos", F.col("l.line").alias("line"))))).alias("body"),
-        F.max(F.when(F.col("l.level") > 0, F.struct(F.col("l.level").alias("level"), F.col("l.title").alias("title")))).alias("heading"),
-    )
-    # The stack after each heading is a fold over the note's headings up to it: one short array for each note.
-    heads = kept.filter("heading is not null").groupBy("path").agg(F.sort_array(F.collect_list(F.struct("section", F.col("heading.level").alias("level"), F.col("heading.title").alias("title")))).alias("heads"))
-    text = F.array_join(F.transform("body", lambda r: r["line"]), "\n")
-    joined = kept.join(heads, "path", "left")
-    stack = heading_stack(F.filter(F.coalesce("heads", F.array().cast("array<struct<section:bigint,level:int,title:string>>")), lambda h: h["section"] <= F.col("section")))
-    return joined.select("path", "section", F.array_join(stack, " > ").alias("header_path"), text.alias("text"))
+    return notes.select(F.col(path_col).alias("path"), F.explode(_folded(F.col(body_col))).alias("s")).select("path", "s.*")
 
 
 def chunks(notes: DataFrame, path_col: str = "path", body_col: str = "body") -> DataFrame:
     """Chunks of the sections that are long enough, or of the whole note if none is.
 
     `id`, `source_file`, `header_path`, `chunk_index`, `text`, `content_hash`; a section without heading is
-    named after the file.
+    named after the file. Nothing is shuffled.
     """
-    parts = sections(notes, path_col, body_col).withColumn("text", stripped(F.col("text"))).filter(F.length("text") > SHORTEST)
-    parts = parts.withColumn("header_path", F.when(F.col("header_path") == "", stem(F.col("path"))).otherwise(F.col("header_path")))
-    at = F.row_number().over(Window.partitionBy("path").orderBy("section")) - 1
-    kept = parts.select(F.col("path").alias("source_file"), "header_path", at.alias("chunk_index"), "text", chunk_id(F.col("path"), F.col("header_path"), F.col("text")).alias("id"))
-    whole = notes.select(F.col(path_col).alias("source_file"), stripped(F.col(body_col)).alias("text")).filter(F.length("text") > 0)
-    whole = whole.join(kept.select("source_file").distinct(), "source_file", "left_anti")
-    whole = whole.select("source_file", stem(F.col("source_file")).alias("header_path"), F.lit(0).alias("chunk_index"), "text", F.md5(F.concat_ws("|", "source_file", F.lit("full")).cast("binary")).alias("id"))
-    return kept.unionByName(whole).withColumn("content_hash", content_hash(F.col("text")))
+    path, whole = F.col(path_col), stripped(F.col(body_col))
+    named = lambda x: F.struct(F.when(x["header_path"] == "", stem(path)).otherwise(x["header_path"]).alias("header_path"), x["text"].alias("text"), F.lit(False).alias("whole"))
+    clean = F.transform(_folded(F.col(body_col)), lambda x: F.struct(x["header_path"].alias("header_path"), stripped(x["text"]).alias("text")))
+    long = F.transform(F.filter(clean, lambda x: F.length(x["text"]) > SHORTEST), named)
+    one = F.filter(F.array(F.struct(stem(path).alias("header_path"), whole.alias("text"), F.lit(True).alias("whole"))), lambda x: F.length(x["text"]) > 0)
+    found = notes.select(path.alias("source_file"), F.posexplode(once(long, lambda x: F.when(F.size(x) > 0, x).otherwise(one))).alias("chunk_index", "c"))
+    own = F.when(F.col("c.whole"), F.md5(F.concat_ws("|", "source_file", F.lit("full")).cast("binary"))).otherwise(chunk_id(F.col("source_file"), F.col("c.header_path"), F.col("c.text")))
+    return found.select("source_file", F.col("c.header_path").alias("header_path"), "chunk_index", F.col("c.text").alias("text"), own.alias("id"), content_hash(F.col("c.text")).alias("content_hash"))
 
 
 def difference(stored: DataFrame, new: DataFrame, id_col: str = "id", hash_col: str = "content_hash") -> DataFrame:

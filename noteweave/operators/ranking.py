@@ -150,8 +150,8 @@ def rerank(docs: DataFrame, queries: DataFrame, pool: DataFrame, top_k: int = 10
     return scored.withColumn("new_rank", F.row_number().over(order)).filter(F.col("new_rank") <= top_k).select("query_id", F.col("new_rank").alias("rank"), "doc_id", "rerank_score", F.col("rank").alias("pool_rank"))
 
 
-#: Items without an inner token that are broadcast at a time.
-SHORT_ITEMS = 10_000
+#: Items without an inner token that one automaton holds.
+SHORT_ITEMS = 100_000
 
 
 def with_paths(docs: DataFrame, *parts: str) -> DataFrame:
@@ -164,8 +164,9 @@ def gold_pairs(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     Not a comparison of all pairs: a text that contains an item has all its inner tokens, which are its CJK grams
     and the runs of letters and digits that touch neither end of it. The item's rarest inner token leads to the
-    documents that hold it, and only those are compared. Items without any are a stated query set, which meets all
-    texts in blocks of SHORT_ITEMS. The empty item is in every text that is not null.
+    documents that hold it, and only those are compared. Items without any (in Cyrillic or Thai, say, where no
+    token stands) go into automata over many patterns, SHORT_ITEMS in each, which read each text once. The empty item is in every
+    text that is not null.
     """
     toks = tokenised(docs)
     kept = F.regexp_replace(F.regexp_replace("text", "^[a-zA-Z0-9]+", ""), "[a-zA-Z0-9]+$", "")
@@ -181,5 +182,37 @@ def gold_pairs(docs: DataFrame, items: DataFrame) -> DataFrame:
     blocks = -(-short.count() // SHORT_ITEMS)
     for number in range(blocks):
         block = short if blocks == 1 else short.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == number)
-        found = found.unionByName(texts.join(F.broadcast(block), F.col("doc_text").contains(F.col("text"))).select("item_id", "doc_id"))
+        found = found.unionByName(holding(texts, [(r.item_id, r.text) for r in block.collect()], found.schema["item_id"].dataType.simpleString()))  # about SHORT_ITEMS rows
     return found
+
+
+def holding(texts: DataFrame, patterns: list[tuple], id_type: str) -> DataFrame:
+    """(`item_id`, `doc_id`) of the patterns (id, text) that each text (`doc_id`, `doc_text`) contains, by an Aho-Corasick automaton."""
+    spark = texts.sparkSession
+    by_text: dict[str, list] = {}
+    for item, text in patterns:
+        by_text.setdefault(text, []).append(item)
+    shared = spark.sparkContext.broadcast(by_text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for text, items in shared.value.items():
+            if text:
+                automaton.add_word(text, items)
+        automaton.make_automaton()
+        everywhere = shared.value.get("", [])
+        for batch in batches:
+            rows, items = [], []
+            for row, text in enumerate(batch.column("doc_text").to_pylist()):
+                if text is None:
+                    continue
+                own = {id(found): found for _, found in automaton.iter(text)} if len(automaton) else {}
+                for found in (*own.values(), everywhere):
+                    items += found
+                    rows += [row] * len(found)
+            kinds = {"int": pa.int32(), "bigint": pa.int64()}
+            yield pa.RecordBatch.from_arrays([pa.array(items, kinds.get(id_type, pa.string())), batch.column("doc_id").take(pa.array(rows, pa.int64()))], ["item_id", "doc_id"])
+
+    return texts.mapInArrow(run, f"item_id {id_type}, doc_id {texts.schema['doc_id'].dataType.simpleString()}")

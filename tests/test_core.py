@@ -44,6 +44,31 @@ def test_chunks(spark):
     assert got["b.md"].header_path == "b" and got["c.md"].text == "short"
 
 
+def test_sections_keep_every_line(spark):
+    """Against a plain loop over the lines, with odd line ends, empty titles and headings side by side."""
+    import re
+
+    bodies = ["", "\n", "a\n\n# H\n\nb\n", "# A\n# B\n\n## C\nx\n###nope\n####### no\n#### D \ny", "pre\r\n# T\r\nbody\r\n", "#\t\n## \nz", "# a\u2028b\ntext\n# c\u2028", "x\n# H", "# H\n", None]
+    rows = ingest.sections(frame(spark, list(enumerate(bodies)), "path int, body string"))
+    got = {(r.path, r.section): (r.header_path, r.text) for r in rows.collect()}
+    want = {}
+    for k, body in enumerate(bodies):
+        stack, n, own = [], 0, {}
+        for line in (body or "").split("\n"):
+            found = re.match(r"(#{1,6})[ \t\r\x0b\f]+([^\r\u0085\u2028\u2029]*)[\r\u0085\u2028\u2029]?$", line)
+            if found:
+                n += 1
+                stack = [*stack[: len(found[1]) - 1], found[2].strip(" ")]
+            else:
+                own.setdefault(n, []).append(line)
+            own.setdefault(n, [])
+            want[k, n] = (" > ".join(stack), None)
+        want |= {(k, m): (want[k, m][0], "\n".join(lines)) for m, lines in own.items()}
+    assert got == want
+    plan = ingest.chunks(frame(spark, list(enumerate(bodies)), "path int, body string"))._jdf.queryExecution().toString()
+    assert "Exchange" not in plan
+
+
 def test_front_matter(spark):
     raw = "---\nmemory_type: fact\ntags: [a, 'b']\ndate_updated: 2026-01-02\n---\nbody\nmore"
     got = ingest.front_matter(frame(spark, [(raw,), ("no front",), (None,)], "raw string")).collect()
@@ -247,6 +272,21 @@ def test_lsa_as_registered(spark, sf):
     assert lsa.transform(spark, empty, lsa.fit(spark, empty)).count() == 0
 
 
+def test_gold_pairs_in_scripts_without_tokens(spark, monkeypatch):
+    """Cyrillic, Greek, Thai and marks, in several automata, repeated and overlapping items: equal to a comparison of all."""
+    import random
+
+    monkeypatch.setattr(ranking, "SHORT_ITEMS", 7)
+    rng = random.Random(5)
+    alphabet = "абвгαβγกขค. "
+    texts = ["".join(rng.choices(alphabet, k=rng.randint(0, 60))) for _ in range(80)] + [None, ""]
+    items = ["".join(rng.choices(alphabet, k=rng.randint(1, 4))) for _ in range(40)] + ["", None, "абв", "абв", "бв"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = ranking.gold_pairs(docs, spark.createDataFrame(list(enumerate(items)), "item_id long, text string"))
+    assert sorted((r.item_id, r.doc_id) for r in rows.collect()) == sorted((k, i) for i, t in enumerate(texts) if t is not None for k, item in enumerate(items) if item is not None and item in t)
+    assert "NestedLoop" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
 def test_gold_pairs_are_containment(spark):
     """Short and mixed-script items, and items that begin or end inside a word."""
     from noteweave.operators import ranking
@@ -347,6 +387,16 @@ def test_upsert_of_repeated_ids(spark):
     assert {r.action for r in ingest.difference(after, new).collect()} == {"keep"}
 
 
+def test_summary_of_a_sync(spark, tmp_path):
+    """Counted once, kept while the total agrees, and counted anew where it does not."""
+    docs = frame(spark, [(1, "a", "fact"), (2, "a", None), (3, "b", "fact")], "doc_id long, file string, kind string")
+    ask = lambda rows, now: browse.summary(spark, f"{tmp_path}/s", rows, "file", "kind", now).first()
+    first = ask(docs, "one")
+    assert (first.total_chunks, first.total_files, first.type_distribution, first.last_sync) == (3, 2, {"fact": 2, "unknown": 1}, "one")
+    assert ask(docs, "two").last_sync == "one" and ask(docs.limit(2), "three").last_sync == "three"
+    assert [browse.clamped(x, 50) for x in (-1, 0, 7, "60")] == [1, 1, 7, 50]
+
+
 def test_sources_of_a_sync(spark, tmp_path):
     from noteweave.operators import feedback
     from noteweave.sources import notes
