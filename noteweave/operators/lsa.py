@@ -12,10 +12,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noteweave.operators.ranking import tfidf
+from noteweave.operators import ranking
+from noteweave.operators.index import postings, tokenised
+from noteweave.operators.ranking import tfidf, weights
 
 
 def weighted(docs: DataFrame, most: int = 50_000) -> DataFrame:
@@ -35,6 +37,8 @@ def _rows(batch: pa.RecordBatch, vocabulary: pa.Array) -> tuple[np.ndarray, np.n
 
 #: Components at most; columns that one pass takes along; terms of a block of sums; cells that are multiplied at a time.
 RANK, COLUMNS, BLOCK, CELLS = 384, 128, 1024, 1 << 16
+#: The residual, as a share of the largest eigenvalue, at which the rounds of `fit` end.
+TOLERANCE = 1e-3
 
 
 def _add(out: np.ndarray, at: np.ndarray, weight: np.ndarray, source: np.ndarray, of: np.ndarray) -> None:
@@ -85,23 +89,66 @@ def _product(rows: DataFrame, names: Broadcast, basis: np.ndarray) -> np.ndarray
     return out
 
 
-def fit(spark: SparkSession, rows: DataFrame, rank: int | None = None, rounds: int = 5, seed: int = 42) -> tuple[pa.Array, np.ndarray]:
+def fit(spark: SparkSession, rows: DataFrame, rank: int | None = None, rounds: int = 12, seed: int = 42, tolerance: float = TOLERANCE) -> tuple[pa.Array, np.ndarray]:
     """The vocabulary and the right singular vectors (terms x rank) of `weighted` rows.
 
-    `rank` is min(RANK, documents - 1, terms) unless given. Subspace iteration with ten columns more than that; the
-    last product is turned to its own singular vectors before the columns beyond `rank` are cut.
+    `rank` is min(RANK, documents - 1, terms) unless given. Subspace iteration with ten columns more than that: each round's
+    product also gives the best vectors within the subspace and how far each is from being one of the matrix (the norm of
+    what the squared matrix adds to a multiple of it, against the largest eigenvalue). The rounds end where that is at most `tolerance` for
+    all `rank` vectors, or after `rounds` of them.
     """
     names = [r.term for r in rows.select(F.explode("terms").alias("term")).distinct().collect()]  # bounded by `most`
     vocabulary = pa.array(sorted(names), pa.string())
     rank = max(1, min(RANK, rows.count() - 1, len(vocabulary))) if rank is None else rank
     width = min(rank + 10, max(1, len(vocabulary)))
     basis = np.linalg.qr(np.random.default_rng(seed).standard_normal((len(vocabulary), width)))[0]
+    found = basis
     known = spark.sparkContext.broadcast(vocabulary)
     for _ in range(rounds if len(vocabulary) else 0):
-        parts = [_product(rows, known, np.ascontiguousarray(basis[:, i : i + COLUMNS])) for i in range(0, width, COLUMNS)]
-        q, r = np.linalg.qr(np.hstack(parts))
-        basis = q @ np.linalg.svd(r)[0]
-    return vocabulary, basis[:, :rank]
+        product = np.hstack([_product(rows, known, np.ascontiguousarray(basis[:, i : i + COLUMNS])) for i in range(0, width, COLUMNS)])
+        found, distance, turned = _best(basis, product)
+        if distance[:rank].max() <= tolerance:
+            break
+        basis = np.linalg.qr(turned)[0]
+    return vocabulary, found[:, :rank]
+
+
+def _best(basis: np.ndarray, product: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The best eigenvectors within the span of `basis`, largest first, their residuals, and their products."""
+    inner = basis.T @ product
+    values, turn = np.linalg.eigh((inner + inner.T) / 2)
+    values, turn = values[::-1], turn[:, ::-1]
+    found, turned = basis @ turn, product @ turn
+    return found, np.linalg.norm(turned - found * values, axis=0) / max(values[0], 1e-300), turned
+
+
+def residuals(spark: SparkSession, rows: DataFrame, model: tuple[pa.Array, np.ndarray]) -> np.ndarray:
+    """How far each vector of a model is from being a singular vector of `weighted` rows, as `fit` measures it."""
+    known = spark.sparkContext.broadcast(model[0])
+    basis = np.linalg.qr(model[1])[0]
+    return _best(basis, np.hstack([_product(rows, known, np.ascontiguousarray(basis[:, i : i + COLUMNS])) for i in range(0, basis.shape[1], COLUMNS)]))[1]
+
+
+def folded(docs: DataFrame, idf: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows as `weighted` has them, of texts that the model need not have seen: under the stored `idf` (`term`, `idf`) of its corpus."""
+    cells = weights(postings(tokenised(docs, id_col, text_col)), idf).groupBy("doc_id").agg(F.collect_list(F.struct("term", "weight")).alias("cells"))
+    return cells.select("doc_id", F.col("cells.term").alias("terms"), F.col("cells.weight").alias("weights"))
+
+
+def search(spark: SparkSession, docs: DataFrame, queries: DataFrame, idf: DataFrame, model: tuple[pa.Array, np.ndarray], top_k: int = 10, keep: Column | None = None, vector_weight: float = 1.0, keyword_weight: float = 1.0) -> DataFrame:
+    """Hybrid search with latent vectors: `query_id`, `rank`, `doc_id`, `fused_score`, `similarity`, `bm25`, and the `channel` that found it.
+
+    Documents and queries are folded into the model; both channels go by the predicate `keep`. Queries without a known term have keyword
+    hits only. Ids are whole numbers.
+    """
+    kept = docs if keep is None else docs.filter(keep)
+    mine = transform(spark, folded(kept, idf), model)
+    asked = transform(spark, folded(queries.withColumnRenamed("query_id", "doc_id"), idf, "doc_id", "query"), model)
+    known = F.exists("embedding", lambda x: x != 0)
+    vector = ranking.nearest(spark, mine.filter(known), asked.filter(known)).withColumnRenamed("vec_id", "doc_id")
+    best = ranking.hits(ranking.fuse(vector, ranking.bm25(docs, queries, ranking.POOL, keep), vector_weight, keyword_weight), top_k)
+    channel = F.when(F.col("kw_rank").isNull(), "vector").when(F.col("vec_rank").isNull(), "keyword").otherwise("both")
+    return best.select("query_id", "rank", "doc_id", F.bround("fused", 5).alias("fused_score"), F.bround("similarity", 3).alias("similarity"), F.bround("bm25", 3).alias("bm25"), channel.alias("channel"))
 
 
 def as_table(spark: SparkSession, model: tuple[pa.Array, np.ndarray]) -> DataFrame:
@@ -125,7 +172,7 @@ def transform(spark: SparkSession, rows: DataFrame, model: tuple[pa.Array, np.nd
         for batch in batches:
             x = _projected(batch.num_rows, *_rows(batch, names), v)
             norm = np.linalg.norm(x, axis=1, keepdims=True)
-            x = (x / np.where(norm == 0, 1.0, norm)).astype(np.float32)
+            x = np.where(norm > 1e-6, x / np.maximum(norm, 1e-6), 0.0).astype(np.float32)  # less is noise
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(list(x), pa.list_(pa.float32()))], ["vec_id", "embedding"])
 
     return rows.mapInArrow(run, "vec_id long, embedding array<float>")

@@ -29,7 +29,7 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = POOL, keep: Column | None
 
 def tfidf(docs: DataFrame, most: int = 50_000) -> DataFrame:
     """`doc_id`, `term`, `weight`: sublinear frequencies, smooth idf, unit length, the `most` commonest terms."""
-    return _weights(postings(tokenised(docs)), idf_table(docs, most))
+    return weights(postings(tokenised(docs)), idf_table(docs, most))
 
 
 def idf_table(docs: DataFrame, most: int = 50_000) -> DataFrame:
@@ -39,7 +39,8 @@ def idf_table(docs: DataFrame, most: int = 50_000) -> DataFrame:
     return each.orderBy(F.desc("total"), "term").limit(most).select("term", (F.log((F.lit(1.0) + n) / (F.col("df") + 1.0)) + 1.0).alias("idf"))
 
 
-def _weights(posts: DataFrame, idf: DataFrame) -> DataFrame:
+def weights(posts: DataFrame, idf: DataFrame) -> DataFrame:
+    """`doc_id`, `term`, `weight`: unit vectors of sublinear frequencies under `idf`."""
     raw = posts.join(idf, "term").select("doc_id", "term", ((F.log(F.col("freq")) + 1.0) * F.col("idf")).alias("w"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc_id")))
     return raw.select("doc_id", "term", (F.col("w") / norm).alias("weight"))

@@ -264,6 +264,15 @@ def lsa_similarity(spark, sf_dir):
     return ranking.nearest(spark, vectors, vectors.filter("vec_id % 100 = 0"), 5)
 
 
+@query()
+def search_latent(spark, sf_dir):
+    """Hybrid search under a predicate with latent vectors of 32 components, documents and items folded in. A singular value decomposition has no SQL."""
+    docs = table(spark, sf_dir, "documents")
+    idf = staged(ranking.idf_table(docs))
+    model = lsa.fit(spark, staged(lsa.folded(docs, idf)), 32)
+    return lsa.search(spark, docs, items(spark, sf_dir), idf, model, 10, browse.matches({"lang": "en"}))
+
+
 # --- browsing ------------------------------------------------------------------------------------
 
 

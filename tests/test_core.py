@@ -272,6 +272,41 @@ def test_lsa_as_registered(spark, sf):
     assert lsa.transform(spark, empty, lsa.fit(spark, empty)).count() == 0
 
 
+def test_truncated_svd_to_a_tolerance(spark):
+    """Below the full rank: rounds end by the residual, and the vectors span what a dense decomposition gives."""
+    rng = np.random.default_rng(0)
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(rng.choice(words[10 * (i % 6) : 10 * (i % 6) + 14], 30)) for i in range(120)]
+    rows = lsa.weighted(frame(spark, list(enumerate(texts)), "doc_id long, text string")).persist()
+    cells = rows.collect()
+    model = lsa.fit(spark, rows, 5, rounds=40, tolerance=1e-4)
+    assert lsa.residuals(spark, rows, model).max() <= 1e-4
+    assert lsa.residuals(spark, rows, lsa.fit(spark, rows, 5, rounds=1, tolerance=1e-4)).max() > 1e-4
+    terms = {t: i for i, t in enumerate(model[0].to_pylist())}
+    dense = np.zeros((len(cells), len(terms)))
+    for n, r in enumerate(cells):
+        dense[n, [terms[t] for t in r.terms]] = r.weights
+    want = np.linalg.svd(dense, full_matrices=False)[2][:5].T
+    assert np.linalg.svd(want.T @ model[1])[1].min() > 0.999
+
+
+def test_search_with_latent_vectors(spark):
+    """Unseen queries are folded in, the predicate holds in both channels, and each hit names its channel."""
+    animals, plants = "cat dog horse cow sheep".split(), "oak fern moss rose pine".split()
+    rows = [(i, " ".join(g[(i + j) % 5] for j in range(3)), g[0]) for i in range(20) for g in [animals if i % 2 else plants]] + [(90, "unique oddity", "x")]
+    docs = frame(spark, rows, "doc_id long, text string, kind string")
+    idf = ranking.idf_table(docs).persist()
+    model = lsa.fit(spark, lsa.folded(docs, idf).persist(), 2)
+    asked = frame(spark, [(1, "horse horse unseen"), (2, "oddity"), (3, "unknown words")], "query_id long, query string")
+    got = [r.asDict() for r in lsa.search(spark, docs, asked, idf, model, 30).collect()]
+    one = [r for r in got if r["query_id"] == 1]
+    without = [r for r in one if r["channel"] == "vector"]
+    assert {r["doc_id"] % 2 for r in one if r["similarity"] and r["similarity"] > 0.5 and r["doc_id"] != 90} == {1} and without and all(r["bm25"] is None for r in without)
+    assert any(r["channel"] == "both" for r in one) and [r["doc_id"] for r in got if r["query_id"] == 2 and r["bm25"]] == [90] and not [r for r in got if r["query_id"] == 3]
+    few = lsa.search(spark, docs, asked, idf, model, 30, browse.matches({"kind": "oak"})).collect()
+    assert few and all(r.doc_id % 2 == 0 and r.doc_id < 90 for r in few)
+
+
 def test_gold_pairs_in_scripts_without_tokens(spark, monkeypatch):
     """Cyrillic, Greek, Thai and marks, in several automata, repeated and overlapping items: equal to a comparison of all."""
     import random
