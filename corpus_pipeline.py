@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noteweave.llm import bpe_automaton, decontaminate, language_id, pii, simhash_dedup
-from noteweave.llm.common import checkpoint
+from noteweave.llm.common import stored
 from noteweave.llm.registry import VOCABULARY, secret
 
 
@@ -51,8 +51,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to `documents`; what each stage returns is written to the shared checkpoint folder."""
+    """Apply all stages to `documents`; what each stage returns is written as Parquet to the shared checkpoint folder.
+
+    `noteweave.llm.common.release` deletes those tables once the result is written.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = checkpoint(stage(spark, docs, sf_dir))
+        docs = stored(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
