@@ -221,7 +221,8 @@ def repair(spark: SparkSession, turns: DataFrame, conv_col: str = "conv_id", tur
     kind = rows.schema["c"].dataType.simpleString()
     # Long conversations: the states at the borders of their blocks.
     spans = rows.groupBy(F.col("c").alias("spanning")).agg(F.min("b").alias("low"), F.max("b").alias("high")).filter("low < high")
-    fixed = borders(rows.select("c", "g", "b", "n", "r").join(spans, F.col("c").eqNullSafe(F.col("spanning")), "left_semi"))
+    key = lambda c: F.coalesce(F.concat(F.lit("k"), F.col(c).cast("string")), F.lit("null")).alias("k")
+    fixed = borders(spread_join(rows.select("c", "g", "b", "n", "r", key("c")), spans.select(key("spanning")), ["k"]).drop("k"))
     types = {"c": to_arrow_type(rows.schema["c"].dataType)}
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
