@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noteweave.llm import bpe_automaton, decontaminate, language_id, pii, simhash_dedup
-from noteweave.llm.common import stored
+from noteweave.llm.common import stored as checkpoint
 from noteweave.llm.registry import VOCABULARY, secret
 
 
@@ -57,5 +57,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
+        docs = checkpoint(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
