@@ -42,13 +42,15 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder of the session; where none is set, one in the warehouse, or with a local master, whose
-    executors share the driver's disk, a temporary one."""
+    """The checkpoint folder of the session; where none is set and the master is local, so that the executors share the driver's
+    disk, a temporary one. On a cluster without one this is an error: executors would write where nobody else can read."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir")
         local = (sc.master or "").startswith("local")
-        sc.setCheckpointDir(named or (tempfile.mkdtemp(prefix="checkpoint-") if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"))
+        if not named and not local:
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
     return sc.getCheckpointDir()
 
 
@@ -60,7 +62,18 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that `stored` wrote and that nothing will read again."""
+    for df in tables:
+        jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(conf).delete(path, True)
+        _written.remove(df.stored_at)
 
 
 def release(spark: SparkSession) -> None:
@@ -93,7 +106,7 @@ def spread_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "
     """
     total = left.count()
     counts = left.groupBy(*keys).agg(F.count("*").alias("_n")).filter((F.col("_n") * HOT > total) & (F.col("_n") > FEW))
-    hot = checkpoint(counts.select(*keys, F.ceil(F.col("_n") * HOT / max(1, total)).cast("int").alias("_parts")))
+    hot = stored(counts.select(*keys, F.ceil(F.col("_n") * HOT / max(1, total)).cast("int").alias("_parts")))
     if hot.isEmpty():
         return left.join(right, keys, how)
     parts = F.coalesce("_parts", F.lit(1))

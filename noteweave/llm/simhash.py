@@ -18,7 +18,7 @@ that share such a word are linked to the smallest of them. Two fingerprints diff
 exactly if they share such a word, so this is exact and linear too.
 
 Components come from alternating large-star and small-star rounds over the links, each round
-checkpointed in the shared folder, so nothing is gathered in one place; nodes with very many links are split.
+stored in the shared folder, so nothing is gathered in one place; nodes with very many links are split.
 
 Defined results: null, empty and white-space-only texts have fingerprint zero and link like any other;
 with fewer words than a shingle the whole sequence is the one shingle; a repeated doc_id keeps its rows,
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from noteweave.llm.common import checkpoint, prepare, small_batches, spread_join
+from noteweave.llm.common import discard, prepare, small_batches, spread_join, stored
 
 #: Lowest bit and width of each segment.
 SEGMENTS = ((42, 22), (21, 21), (0, 21))
@@ -178,9 +178,9 @@ def links(fps: DataFrame) -> DataFrame:
 
     Of a key that many share, only links to the smallest node around each shared word are given.
     """
-    keys = checkpoint(fuzzy_keys(fps))
+    keys = stored(fuzzy_keys(fps))
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    keys = checkpoint(spread_join(keys, shared, ["key"]))
+    keys = spread_join(keys, shared, ["key"])
     few = keys.filter(F.col("n") <= PAIRWISE)
     left = few.filter("probe").select("key", F.col("fp").alias("fp_a"), F.col("node").alias("x"))
     right = few.select("key", F.col("fp").alias("fp_b"), F.col("node").alias("y"))
@@ -195,15 +195,16 @@ def links(fps: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """`node` and `component` (the smallest node reachable) for the nodes of edges `a` < `b`."""
-    edges = checkpoint(edges.select("a", "b"))
+    edges = stored(edges.select("a", "b"))
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = checkpoint(spread_join(both.filter("b > a"), low, ["a"]).select(F.col("m").alias("a"), "b").filter("a < b").distinct())
+        large = stored(spread_join(both.filter("b > a"), low, ["a"]).select(F.col("m").alias("a"), "b").filter("a < b").distinct())
         down = large.groupBy("b").agg(F.min("a").alias("m"))
         small = spread_join(large, down, ["b"])
-        edges = checkpoint(small.select(F.col("m").alias("a"), F.when(F.col("a") == F.col("m"), F.col("b")).otherwise(F.col("a")).alias("b")).filter("a < b").distinct())
+        done, edges = edges, stored(small.select(F.col("m").alias("a"), F.when(F.col("a") == F.col("m"), F.col("b")).otherwise(F.col("a")).alias("b")).filter("a < b").distinct())
+        discard(done, large)
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             return edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("component"))
@@ -212,8 +213,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
     """`id_col`, `fingerprint` (16 hex digits) and `component_id` for each row."""
-    rows = checkpoint(fingerprints(spark, df, id_col, text_col, size))
-    nodes = checkpoint(rows.groupBy("fp").agg(F.min(F.col(id_col).cast("long")).alias("first")).withColumn("node", F.coalesce("first", F.lit((1 << 63) - 1) - F.abs(F.xxhash64("fp") % F.lit(1 << 40)))))
+    rows = stored(fingerprints(spark, df, id_col, text_col, size))
+    nodes = stored(rows.groupBy("fp").agg(F.min(F.col(id_col).cast("long")).alias("first")).withColumn("node", F.coalesce("first", F.lit((1 << 63) - 1) - F.abs(F.xxhash64("fp") % F.lit(1 << 40)))))
     found = components(links(nodes))
     best = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     out = spread_join(rows, best, ["fp"])  # copies, and texts without words, share a fingerprint

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from noteweave.llm import simhash
-from noteweave.llm.common import checkpoint, named, positional, prepare, small_batches, spread_join, stored
+from noteweave.llm.common import discard, named, positional, prepare, small_batches, spread_join, stored
 from noteweave.llm.simhash import PAIRWISE, components, shingle_hashes
 
 SHINGLE, SIMILAR = 5, 0.8
@@ -179,24 +179,26 @@ def verified(nodes: DataFrame, signed: DataFrame, pairs: DataFrame) -> DataFrame
     Sets share no more elements than the lesser of their counters allow, so most other pairs go by the sketches,
     which are much shorter than the sets.
     """
-    pairs, total = checkpoint(pairs), lambda c: F.aggregate(c, F.lit(0), lambda x, y: x + y)
+    pairs, total = stored(pairs), lambda c: F.aggregate(c, F.lit(0), lambda x, y: x + y)
 
     def with_both(rows: DataFrame, facts: DataFrame, name: str) -> DataFrame:
         # The smaller node of a pair may be that of very many.
         one, two = (facts.select(F.col("node").alias(end), F.col(name).alias(f"{name}{end}")) for end in ("a", "b"))
         return spread_join(rows, one, ["a"]).join(two, "b")
 
-    kept = checkpoint(with_both(pairs, signed, "k").filter(similar(total(F.zip_with("ka", "kb", lambda x, y: F.least(x, y))), total("ka"), total("kb"))).select("a", "b"))
-    held = checkpoint(kept.select(F.col("a").alias("node")).unionByName(kept.select(F.col("b").alias("node"))).distinct())
+    kept = stored(with_both(pairs, signed, "k").filter(similar(total(F.zip_with("ka", "kb", lambda x, y: F.least(x, y))), total("ka"), total("kb"))).select("a", "b"))
+    held = stored(kept.select(F.col("a").alias("node")).unionByName(kept.select(F.col("b").alias("node"))).distinct())
     few = held.count() <= BROADCAST_NODES
     sets = stored(shingle_sets(nodes.join(F.broadcast(held) if few else held, "node", "left_semi")))
-    return checkpoint(with_both(kept, sets, "s").filter(similar(F.size(F.array_intersect("sa", "sb")), F.size("sa"), F.size("sb"))).select("a", "b"))
+    found = stored(with_both(kept, sets, "s").filter(similar(F.size(F.array_intersect("sa", "sb")), F.size("sa"), F.size("sb"))).select("a", "b"))
+    discard(pairs, kept, held, sets)
+    return found
 
 
 def simhash_pairs(signed: DataFrame) -> DataFrame:
     """Pairs `a` < `b`, not yet verified: each text with the smallest one of its fingerprint, and with the smallest linked one."""
     fps = signed.select("fp", "node")
-    first = checkpoint(fps.groupBy("fp").agg(F.min("node").alias("node")))
+    first = stored(fps.groupBy("fp").agg(F.min("node").alias("node")))
     equal = spread_join(fps, first.withColumnRenamed("node", "a"), ["fp"]).filter("a < node").select("a", F.col("node").alias("b"))
     return equal.unionByName(simhash.links(first).groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
 
@@ -242,7 +244,7 @@ def deduplicate(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     columns, plain = docs.columns, positional(docs)
     own, text = (f"c{columns.index(c)}" for c in (id_col, text_col))
     marked = plain.withColumns({"h1": F.xxhash64(text), "h2": F.xxhash64(text, F.lit(1)), "id": F.col(own).cast("long")})
-    first = checkpoint(marked.groupBy("h1", "h2").agg(F.min("id").alias("id")))
+    first = stored(marked.groupBy("h1", "h2").agg(F.min("id").alias("id")))
     # Without an id a text is named by its hash, below all ids that are not negative.
     first = first.withColumn("node", F.coalesce("id", -F.abs(F.col("h1") % F.lit(1 << 62)) - 1)).withColumn("id", F.coalesce("id", F.lit(0)))
     keys = ["h1", "h2", "id"]
