@@ -99,8 +99,9 @@ def test_rollbacks_and_failures(spark, tmp_path, chunked, cases, monkeypatch):
     assert closed_loop.state(spark, root)["active_collection"] == "notes"
 
 
-def test_a_turn_with_its_own_training(spark, tmp_path, chunked, cases):
+def test_a_turn_with_its_own_training(spark, tmp_path, chunked, cases, monkeypatch):
     """The weights are fitted and both models measured on the cases."""
+    monkeypatch.setattr(closed_loop, "WEIGHTS", ((2.0, 1.0),))
     done = closed_loop.run(spark, str(tmp_path / "loop"), log(spark, GOOD), chunked, cases, NOW.format(1), apply=True)
     assert done["action"] == "promote_to_ab" and set(done["gate_deltas"]) == {"hit1", "hit5", "mrr"} and done["n_triples"] >= 6
     assert closed_loop.measure(chunked, cases, "1.0,1.0")["hit5"] == 1.0
