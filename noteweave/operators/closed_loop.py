@@ -21,6 +21,7 @@ from noteweave.operators import evaluate, feedback, ranking
 from noteweave.sources import commits
 from noteweave.sources.notes import write_collection
 from noteweave.sources.state import RATIO
+from noteweave.sources.tables import staged
 
 #: Triples below which those of the cases are added; weights that training tries.
 FEW, WEIGHTS = 30, ((1.0, 1.0), (2.0, 1.0), (1.0, 2.0), (4.0, 1.0), (1.0, 4.0))
@@ -122,10 +123,10 @@ def run(
     positive = rows.filter("adopted").count()
     if not force and positive < least:
         return log({"event": "skip_insufficient_feedback", "action": "skip", "positive": positive, "threshold": least})
-    triples, source = feedback.text_triples(rows, chunked), "feedback"
+    triples, source = staged(feedback.text_triples(rows, chunked)), "feedback"
     n = triples.count()
     if n < FEW:
-        boot = feedback.case_triples(cases, chunked, search_cases(chunked, cases, old["active_model"]).drop("gold"))
+        boot = staged(feedback.case_triples(cases, chunked, search_cases(chunked, cases, old["active_model"]).drop("gold")))
         triples, source = (triples.unionByName(boot), "feedback+bootstrap") if n else (boot, "bootstrap")
         n = triples.count()
     if not n:
