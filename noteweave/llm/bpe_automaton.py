@@ -16,7 +16,8 @@ A word is encoded by running the automaton over its bytes. While it reads, sever
 way, each a pair of (state it leaves, node of the labels' trie); that set is determinised into one row of
 a byte transition table, filled as it is used. Each prefix has one accepted path, so each byte position
 is entered by one arc at most and the path is read off backwards. A byte costs one table look-up, and
-long words need no merge queue. Decoding emits the labels of the arcs.
+long words need no merge queue. The different words of a batch of texts go through the table side by side, one
+byte of each at a time, in arrays; words longer than most go alone. Decoding emits the labels of the arcs.
 
 Defined results: null text counts as empty; empty text gives no tokens; repeated rows and ties are
 independent rows; an empty table gives an empty result; columns beside the two named ones are not
@@ -29,8 +30,8 @@ import functools
 import json
 import re
 import unicodedata
-from collections.abc import Callable, Iterator
-from itertools import chain
+from array import array
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +43,9 @@ from noteweave.llm.common import prepare, small_batches
 #: Fixed value: the byte-level pre-splitting pattern that the vocabulary was made with.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-#: Words and byte transitions that a worker keeps; a table starts anew beyond that.
-KEPT_WORDS, KEPT_STEPS = 50_000, 150_000
+#: Byte transitions that a worker keeps, beyond which the table starts anew; bits of its slots, which hold those of a chunk more;
+#: bytes of words in a chunk; words that are worth an array.
+KEPT_STEPS, SLOT_BITS, CHUNK, LANES = 400_000, 20, 1 << 17, 100
 
 
 #: What Unicode 16.0 has beyond 15.1 among letters and among numbers, as the library's tables have it too.
@@ -154,92 +156,218 @@ class Automaton:
         return cls(labels, [(vocab[a], vocab[b], vocab[a + b]) for a, b in merges], added)
 
 
+class Words(dict):
+    """Numbers words as they come."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = found = len(self)
+        return found
+
+
 class Coder:
     """Encodes and decodes texts with the tables of an automaton; lives in one worker."""
 
     def __init__(self, automaton: Automaton):
         self.automaton = automaton
-        self.lengths = {t: len(b) for t, b in automaton.labels.items()}
-        self.start_anew()
+        self.emit = automaton.labels | {i: s.encode() for s, i in automaton.specials.items()}
+        top = max(self.emit, default=-1) + 1
+        self.lengths = np.zeros(top, np.int64)
+        for token, label in automaton.labels.items():
+            self.lengths[token] = len(label)
+        self.shown = pa.array([self.emit.get(t, b"") for t in range(top)], pa.binary())
         self.find = splitter()
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(automaton.specials, key=len, reverse=True))) + ")") if automaton.specials else None
-        self.emit = automaton.labels | {i: s.encode() for s, i in automaton.specials.items()}
-        outer = self
+        self.start_anew()
 
-        class Words(dict):
-            def __missing__(self, word: str) -> tuple[int, ...]:
-                self[word] = found = outer.word(word.encode())
-                return found
+    def start_anew(self, arcs: bytes | None = None) -> int:
+        """An empty byte table, with a row for `arcs` if given, whose number is returned.
 
-        self.words = Words()
+        A row is the arcs under way (state << 32 | node) and the arc that just ended (-1: none). Transitions are keyed by
+        row << 8 | byte, in slots probed one after the other; numpy and plain code see the same memory.
+        """
+        first = array("q", (0, -1)).tobytes()
+        self.rows, self.known, self.steps = [first], {first: 0}, 0
+        self.entered, self.key, self.to = array("i", [-1]), array("q", [-1]) * (1 << SLOT_BITS), array("i", [0]) * (1 << SLOT_BITS)
+        self.keys, self.tos, self.enters = np.frombuffer(self.key, np.int64), np.frombuffer(self.to, np.int32), np.full(1, -1, np.int32)
+        return 0 if arcs is None else self.row_of(arcs)
 
-    def start_anew(self) -> None:
-        """Rows of the byte table: the arcs under way, and the arc that just ended (-1: none)."""
-        self.rows, self.entered, self.known, self.steps = [((0, 0),)], [-1], {}, {}
+    def row_of(self, arcs: bytes) -> int:
+        found = self.known.setdefault(arcs, len(self.rows))
+        if found == len(self.rows):
+            self.rows.append(arcs)
+            self.entered.append(array("q", arcs)[-1])
+        return found
 
-    def step(self, row: int, byte: int) -> int:
+    def step(self, key: int) -> int:
         """Fill in one byte transition."""
-        auto, under_way, ended = self.automaton, [], -1
-        for state, node in self.rows[row]:
-            if (node := auto.trie.get(node << 8 | byte)) is not None:
-                if node in auto.inner:
-                    under_way.append((state, node))
-                if ended < 0 and (token := auto.token_at[node]) >= 0 and auto.allows(state, token):
+        auto, byte, under_way, ended = self.automaton, key & 255, array("q"), -1
+        trie, inner, token_at, allows = auto.trie, auto.inner, auto.token_at, auto.allows
+        for arc in array("q", self.rows[key >> 8])[:-1]:
+            if (node := trie.get((arc & 0xFFFFFFFF) << 8 | byte)) is not None:
+                state = arc >> 32
+                if node in inner:
+                    under_way.append(state << 32 | node)
+                if ended < 0 and (token := token_at[node]) >= 0 and allows(state, token):
                     ended = token
         if ended >= 0:
-            under_way.append((auto.target[ended], 0))
-        key = (tuple(under_way), ended)
-        found = self.known.setdefault(key, len(self.rows))
-        if found == len(self.rows):
-            self.rows.append(key[0])
-            self.entered.append(ended)
-        self.steps[row << 8 | byte] = found
+            under_way.append(auto.target[ended] << 32)
+        under_way.append(ended)
+        found = self.row_of(under_way.tobytes())
+        slot = self.slot(key)
+        while self.key[slot] >= 0:
+            slot = (slot + 1) & ((1 << SLOT_BITS) - 1)
+        self.key[slot], self.to[slot] = key, found
+        self.steps += 1
         return found
 
+    @staticmethod
+    def slot(key):
+        """Where to look for a key, or keys, first."""
+        return (key ^ key >> 17 ^ key >> 9) * 0x9E3779B1 >> 10 & ((1 << SLOT_BITS) - 1)
+
+    def follow(self, keys: np.ndarray) -> np.ndarray:
+        """The rows that the transitions lead to; those not known yet are filled in."""
+        slots = self.slot(keys)
+        out, open_ = self.tos[slots], np.flatnonzero(self.keys[slots] != keys)
+        while len(open_):
+            at, own = slots[open_], keys[open_]
+            there = self.keys[at]
+            new, done = there < 0, there == own
+            if new.any():
+                for key in np.unique(own[new]).tolist():
+                    if self.find_step(key) < 0:
+                        self.step(key)
+            out[open_[done]] = self.tos[at[done]]
+            passed = ~(new | done)
+            slots[open_[passed]] = (at[passed] + 1) & ((1 << SLOT_BITS) - 1)
+            open_ = open_[~done]
+        return out
+
+    def find_step(self, key: int) -> int:
+        """The row that a known transition leads to, or -1."""
+        slot = self.slot(key)
+        while (there := self.key[slot]) >= 0:
+            if there == key:
+                return self.to[slot]
+            slot = (slot + 1) & ((1 << SLOT_BITS) - 1)
+        return -1
+
     def word(self, data: bytes) -> tuple[int, ...]:
-        if len(self.steps) > KEPT_STEPS:
-            self.start_anew()
-        steps, entered, lengths, row, ended = self.steps, self.entered, self.lengths, 0, []
+        """A word alone."""
+        row, ended, lengths = 0, [], self.lengths
         for byte in data:
-            following = steps.get(row << 8 | byte)
-            row = self.step(row, byte) if following is None else following
-            ended.append(entered[row])
+            if (following := self.find_step(row << 8 | byte)) < 0:
+                if self.steps >= KEPT_STEPS:
+                    row = self.start_anew(self.rows[row])
+                following = self.step(row << 8 | byte)
+            row = following
+            ended.append(self.entered[row])
         path, n = [], len(data)
         while n:
             path.append(token := ended[n - 1])
-            n -= lengths[token]
+            n -= int(lengths[token])
         return tuple(path[::-1])
 
-    def encode(self, text: str | None) -> list[int]:
+    def chunk(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of words that stand one after the other in `data`, and the number of each word's."""
+        if self.steps >= KEPT_STEPS:
+            self.start_anew()
+        ended, last = np.zeros(len(data), np.int32), np.zeros(len(data), bool)
+        order = np.argsort(-sizes, kind="stable")
+        begin, left = starts[order], sizes[order]
+        longest = int(left[LANES - 1]) if len(left) >= LANES else 0
+        alone = int(np.searchsorted(-left, -longest))  # so many are longer
+        for start, size in zip(begin[:alone].tolist(), left[:alone].tolist()):
+            path = np.array(self.word(data[start : start + size].tobytes()), np.int64)
+            ends = start + np.cumsum(self.lengths[path]) - 1
+            ended[ends], last[ends] = path, True
+        if self.steps >= KEPT_STEPS:
+            self.start_anew()
+        begin, left = begin[alone:], left[alone:].copy()
+        row = np.zeros(len(begin), np.int64)
+        for place in range(longest):
+            n = int(np.searchsorted(-left, -place))  # so many reach this byte
+            at = begin[:n] + place
+            row[:n] = self.follow(row[:n] << 8 | data[at])
+            if len(self.enters) < len(self.entered):
+                self.enters = np.array(self.entered, np.int32)
+            ended[at] = self.enters[row[:n]]
+        begin, left = begin[left > 0], left[left > 0]
+        while len(begin):
+            at = begin + left - 1
+            last[at] = True
+            left -= self.lengths[ended[at]]
+            begin, left = begin[left > 0], left[left > 0]
+        before = np.concatenate([[0], np.cumsum(last)])
+        return ended[last], before[starts + sizes] - before[starts]
+
+    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of the words, one after the other, and the number of each word's."""
+        held = pa.array(words, pa.large_binary())
+        ends = np.frombuffer(held.buffers()[1], np.int64)[: len(words) + 1]
+        data = np.frombuffer(held.buffers()[2], np.uint8) if ends[-1] else np.zeros(0, np.uint8)
+        tokens, counts, first = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], 0
+        while first < len(words):
+            stop = max(first + 1, int(np.searchsorted(ends, ends[first] + CHUNK, side="right")) - 1)
+            found, n = self.chunk(data[ends[first] : ends[stop]], ends[first:stop] - ends[first], np.diff(ends[first : stop + 1]))
+            tokens.append(found)
+            counts.append(n)
+            first = stop
+        return np.concatenate(tokens), np.concatenate(counts)
+
+    def parts(self, text: str | None) -> list[str]:
+        """A text's words and special tokens."""
         if not text:
             return []
-        if len(self.words) > KEPT_WORDS:
-            self.words.clear()
-        look = self.words.__getitem__
         if self.special is None or not self.special.search(text):
-            return list(chain.from_iterable(map(look, self.find(text))))
-        ids: list[int] = []
-        for part in self.special.split(text):
-            if part in self.automaton.specials:
-                ids.append(self.automaton.specials[part])
-            else:
-                ids += chain.from_iterable(map(look, self.find(part)))
-        return ids
+            return self.find(text)
+        return [x for part in self.special.split(text) for x in ([part] if part in self.automaton.specials else self.find(part))]
+
+    def encode_all(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and where those of each end."""
+        numbers, codes, sizes = Words(), array("i"), []
+        for text in texts:
+            found = self.parts(text)
+            codes.extend(map(numbers.__getitem__, found))
+            sizes.append(len(found))
+        # A special token, which no word holds, stands there as one byte, which is one token.
+        specials = [(numbers[s], i) for s, i in self.automaton.specials.items() if s in numbers]
+        words = list(numbers)
+        for number, _ in specials:
+            words[number] = "a"
+        tokens, counts = self.words(words)
+        starts = np.cumsum(counts) - counts
+        for number, token in specials:
+            tokens[starts[number]] = token
+        codes = np.frombuffer(codes, np.int32)
+        n = counts[codes]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        ids = tokens[np.repeat(starts[codes] - ends[:-1], n) + np.arange(ends[-1])]
+        return ids, ends[np.cumsum(np.array(sizes, np.int64))]
+
+    def encode(self, text: str | None) -> list[int]:
+        return self.encode_all([text])[0].tolist()
 
     def decode(self, ids) -> str:
         return b"".join(map(self.emit.__getitem__, ids)).decode("utf-8", "replace")
 
-
-def _coder(shared, kept: list = []) -> Coder:  # noqa: B006  one coder for each worker and automaton
-    if not kept or kept[0] is not shared.value:
-        kept[:] = [shared.value, Coder(shared.value)]
-    return kept[1]
+    def decode_all(self, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+        """The texts of ids that `encode_all` gave."""
+        shown = self.shown.take(pa.array(ids))
+        at = np.frombuffer(shown.buffers()[1], np.int32)[: len(ids) + 1] if len(ids) else np.zeros(1, np.int32)
+        out = pa.StringArray.from_buffers(len(ends), pa.py_buffer(at[np.concatenate([[0], ends])].tobytes()), shown.buffers()[2])
+        try:
+            out.validate(full=True)
+        except pa.ArrowInvalid:  # bytes that are no text
+            return pa.array([self.decode(x.tolist()) for x in np.split(ids, ends[:-1])], pa.string())
+        return out
 
 
-def _lists(values: list[list[int]]) -> pa.ListArray:
-    ends = np.zeros(len(values) + 1, np.int32)
-    np.cumsum([len(x) for x in values], out=ends[1:])
-    return pa.ListArray.from_arrays(ends, np.fromiter(chain.from_iterable(values), np.int32, ends[-1]))
+def _coder(shared) -> Coder:
+    """One coder for each worker and automaton, which goes with the broadcast once later tasks no longer use that."""
+    if not hasattr(shared, "coder"):
+        shared.coder = Coder(shared.value)
+    return shared.coder
 
 
 def round_trip(spark: SparkSession, df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -250,8 +378,9 @@ def round_trip(spark: SparkSession, df: DataFrame, vocabulary: str, id_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(shared)
         for batch in small_batches(batches, "t"):
-            ids = [coder.encode(text) for text in batch.column("t").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("i"), _lists(ids), pa.array(map(coder.decode, ids), pa.string())], ["i", "ids", "decoded"])
+            ids, ends = coder.encode_all(batch.column("t").to_pylist())
+            listed = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids))
+            yield pa.RecordBatch.from_arrays([batch.column("i"), listed, coder.decode_all(ids, ends)], ["i", "ids", "decoded"])
 
     rows = df.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"))
     out = rows.mapInArrow(run, f"i {rows.schema['i'].dataType.simpleString()}, ids array<int>, decoded string")

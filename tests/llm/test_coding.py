@@ -6,6 +6,7 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -34,6 +35,31 @@ def test_coder_equals_library(coder, library):
         assert coder.decode(ids) == library.decode(ids, skip_special_tokens=False) == text
 
 
+def test_batches_equal_library_and_keep_their_tables(coder, library, monkeypatch):
+    """Whole batches, with words side by side and alone, over restarts of the table, and none where a corpus fits it."""
+    rng = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyzäöüßéèñçабвгд日本語中文"
+    texts = [" ".join("".join(rng.choices(letters, k=rng.randint(1, 14))) for _ in range(700)) for _ in range(140)]
+    texts += [None, "", "<|endoftext|>", "a<|endoftext|><|endoftext|> a\n", "中" * 3000 + " " + "ха" * 2000, "😀 " * 50, texts[0]]
+    fills, step = [], bpe_automaton.Coder.step
+    monkeypatch.setattr(bpe_automaton.Coder, "step", lambda self, *key: fills.append(key) or step(self, *key))
+    for kept, bits, chunk, lanes in ((400_000, 20, 1 << 17, 100), (5_000, 18, 1 << 17, 100), (5_000, 14, 3_000, 1), (50, 9, 70, 4)):
+        for name, value in (("KEPT_STEPS", kept), ("SLOT_BITS", bits), ("CHUNK", chunk), ("LANES", lanes)):
+            monkeypatch.setattr(bpe_automaton, name, value)
+        fresh, texts = bpe_automaton.Coder(coder.automaton), texts if kept == 400_000 else texts[-15:]
+        want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+        ids, ends = fresh.encode_all(texts)
+        assert [ids[a:b].tolist() for a, b in zip([0, *ends], ends, strict=False)] == want
+        assert fresh.decode_all(ids, ends).to_pylist() == [t or "" for t in texts]
+        if kept == 400_000:
+            assert len(fills) > 150_000
+            fills.clear()
+            fresh.encode_all(texts)
+            assert not fills
+    cut = next(t for t, b in coder.automaton.labels.items() if b == b"\xc3")
+    assert fresh.decode_all(np.array([cut, cut], np.int32), np.array([1, 2])).to_pylist() == ["\ufffd", "\ufffd"] == [coder.decode([cut])] * 2
+
+
 def test_gadgets_forbid_exactly_the_merged_pairs():
     """On a small vocabulary, accepted sequences are exactly what merging in rank order produces."""
     letters = {i: bytes([97 + i]) for i in range(2)}
