@@ -26,7 +26,8 @@ repeated, as those of a stored table do.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -44,28 +45,14 @@ PRIOR = 4.0
 HEAVY, HELD, PACKED, BUCKET = 500_000, 1 << 22, 1 << 21, 1 << 22
 #: Target ids are broadcast up to this many, and joined by shuffle beyond.
 BROADCAST_IDS = 2_000_000
-#: Word hashes that a task remembers.
-REMEMBERED = 500_000
+#: Bytes of a word that is hashed beside the others, in arrays; counts whose losses are kept.
+LONG, TABLE = 256, 1024
 
-START = np.uint64(xxh64_intdigest("", 17))
-
-
-def tokens(text: str | None) -> list[str]:
-    return text.lower().split() if text else []
-
-
-class Hashes(dict):
-    """Words' hashes, remembered."""
+#: What str.split() cuts at, among bytes and beyond ASCII.
+SPACE = np.isin(np.arange(256), [*range(9, 14), *range(28, 33)])
+SPACES = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
-    def __missing__(self, word: str) -> int:
-        self[word] = found = xxh64_intdigest(word, 17)
-        return found
-
-    def of(self, text: str | None) -> np.ndarray:
-        if len(self) > REMEMBERED:
-            self.clear()
-        found = tokens(text)
-        return np.fromiter(map(self.__getitem__, found), np.uint64, len(found))
+START = np.uint64(xxh64_intdigest("", 17))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -74,13 +61,50 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def entries(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A text's different keys, even for contexts and odd for pairs, and how often each occurs."""
-    before = np.concatenate([[START], words[:-1]])[: len(words)]
+def words(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, `text.lower().split()`, one after the other, and the number of each text's.
+
+    A hash mixes in a word's size and then eight bytes at a time, of all words together.
+    """
+    lowered = [text.lower() if text else "" for text in texts]
+    encoded = [(x if x.isascii() else SPACES.sub(" ", x)).encode() for x in lowered]
+    data = b"\n".join([b"", *encoded, b""])
+    bounds = np.cumsum([1, *(len(x) + 1 for x in encoded)])
+    n, padded = len(data), np.frombuffer(data + bytes(16 - len(data) % 8), np.uint64)
+    space = SPACE[np.frombuffer(data, np.uint8)]
+    edges = np.flatnonzero(space[1:] != space[:-1]) + 1
+    starts, sizes = edges[::2], edges[1::2] - edges[::2]
+    out = mixed(START + sizes.astype(np.uint64))
+    for place in range(0, LONG, 8):
+        some = np.flatnonzero((sizes > place) & (sizes <= LONG))
+        if not len(some):
+            break
+        at, rest = starts[some] + place, np.minimum(sizes[some] - place, 8).astype(np.uint64)
+        shift = (at & 7).astype(np.uint64) << np.uint64(3)
+        eight = padded[at >> 3] >> shift | padded[(at >> 3) + 1] << (np.uint64(63) - shift) << np.uint64(1)
+        eight &= ~np.uint64(0) >> (np.uint64(64) - (rest << np.uint64(3)))
+        out[some] = mixed(out[some] * np.uint64(0x9E3779B97F4A7C15) + eight)
+    for k in np.flatnonzero(sizes > LONG).tolist():
+        out[k] = xxh64_intdigest(data[starts[k] : starts[k] + sizes[k]], 17)
+    return out, np.diff(np.searchsorted(starts, bounds))
+
+
+def entries(found: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each text's different keys, even for contexts and odd for pairs, how often each occurs there, and the text's place."""
+    ends = np.cumsum(sizes)
+    before = np.empty_like(found)
+    before[1:] = found[:-1]
+    before[(ends - sizes)[sizes > 0]] = START
     context = mixed(before)
-    pair = mixed(context * np.uint64(0x9E3779B97F4A7C15) + words)
-    keys = np.concatenate([context & ~np.uint64(1), pair | np.uint64(1)]).view(np.int64)
-    return np.unique(keys, return_counts=True)
+    pair = mixed(context * np.uint64(0x9E3779B97F4A7C15) + found)
+    keys, texts = np.empty(2 * len(found), np.int64), np.repeat(np.arange(len(sizes)), 2 * sizes)
+    keys[::2], keys[1::2] = (context & ~np.uint64(1)).view(np.int64), (pair | np.uint64(1)).view(np.int64)
+    for start, stop in zip((2 * (ends - sizes)).tolist(), (2 * ends).tolist(), strict=True):
+        keys[start:stop].sort()
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (texts[1:] != texts[:-1])
+    at = np.flatnonzero(new)
+    return keys[at], np.diff(np.append(at, len(keys))), texts[at]
 
 
 def losses(keys: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
@@ -94,24 +118,23 @@ def gathered(rows: DataFrame) -> DataFrame:
     share, limit = HEAVY, HELD
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, parts, words, held = Hashes(), [], [], 0
+        parts, seen, held = [], [], 0
 
         def out() -> Iterator[pa.RecordBatch]:
             keys, n = np.unique(np.concatenate(parts), return_counts=True)
             may = n * share >= held
-            found = ((0, np.unique(np.concatenate(words)).view(np.int64), None), (1, keys[may], n[may]), (2, np.zeros(1, np.int64), np.array([held])))
+            found = ((0, np.unique(np.concatenate(seen)).view(np.int64), None), (1, keys[may], n[may]), (2, np.zeros(1, np.int64), np.array([held])))
             for kind, k, count in found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int8)), pa.array(k), pa.array(np.zeros(len(k), np.int64) if count is None else count)], ["kind", "k", "n"])
 
         for batch in small_batches(batches, "t"):
-            for text in batch.column("t").to_pylist():
-                found = hashes.of(text)
-                parts.append(entries(found)[0])
-                words.append(np.unique(found))
-                held += len(parts[-1])
+            found, sizes = words(batch.column("t").to_pylist())
+            parts.append(entries(found, sizes)[0])
+            seen.append(found)
+            held += len(parts[-1])
             if held > limit:
                 yield from out()
-                parts, words, held = [], [], 0
+                parts, seen, held = [], [], 0
         if held:
             yield from out()
 
@@ -122,15 +145,14 @@ def heavy_counts(rows: DataFrame, shared) -> DataFrame:
     """`slot`, `target` and `background`: exact occurrences of the heavy keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heavy, hashes = shared.value, Hashes()
+        heavy = shared.value
         counts = np.zeros((2, len(heavy)), np.int64)
         for batch in small_batches(batches, "t"):
-            for text, good in zip(batch.column("t").to_pylist(), batch.column("target").to_pylist(), strict=True):
-                keys, n = entries(hashes.of(text))
-                slot, hit = placed(keys, heavy)
-                counts[1, slot[hit]] += n[hit]
-                if good:
-                    counts[0, slot[hit]] += n[hit]
+            keys, n, text = entries(*words(batch.column("t").to_pylist()))
+            slot, hit = placed(keys, heavy)
+            good = hit & batch.column("target").to_numpy(zero_copy_only=False)[text]
+            np.add.at(counts[1], slot[hit], n[hit])
+            np.add.at(counts[0], slot[good], n[good])
         some = np.flatnonzero(counts[1])
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[0, some]), pa.array(counts[1, some])], ["slot", "target", "background"])
 
@@ -164,20 +186,19 @@ def packed(rows: DataFrame, kind: str, shared, size: int, buckets: int) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heavy, values = shared.value
-        hashes, number = Hashes(), 0
-        ids, docs, held = [], [], 0
+        known = [losses(np.full(TABLE, odd), np.arange(TABLE), size) for odd in (0, 1)]
+        number, ids, docs, held, standing = 0, [], [], 0, 0
 
         def out() -> pa.RecordBatch:
             part = (TaskContext.get().partitionId() << 32) + number
-            keys, n, doc, good = (np.concatenate([d[c] for d in docs]) for c in range(4))
-            base = np.array([d[4] for d in docs])
+            keys, n, doc, good, base = (np.concatenate([d[c] for d in docs]) for c in range(5))
             bucket = ((keys.view(np.uint64) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             keys, n, doc, good, bucket = (x[order] for x in (keys, n, doc, good, bucket))
             names = np.union1d(np.unique(bucket), [number % buckets])
             ends = np.searchsorted(bucket, names, side="right")
             bears = names == number % buckets
-            own = np.cumsum(np.where(bears, len(docs), 0))
+            own = np.cumsum(np.where(bears, len(base), 0))
             listed = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], own]).astype(np.int32)), pa.concat_arrays(ids))
             columns = [pa.array(names), pa.array(np.full(len(names), part)), _lists(keys, ends), _lists(n, ends), _lists(doc, ends), _lists(good, ends), listed]
             columns += [_lists(base[:, c], own) for c in range(3)]
@@ -185,18 +206,24 @@ def packed(rows: DataFrame, kind: str, shared, size: int, buckets: int) -> DataF
 
         for batch in small_batches(batches, "t"):
             ids.append(batch.column("i").cast(id_type))
-            for text, mark in zip(batch.column("t").to_pylist(), batch.column("target").to_pylist(), strict=True):
-                found = hashes.of(text)
-                keys, n = entries(found)
-                slot, hit = placed(keys, heavy)
-                rare, times = keys[~hit], n[~hit]
-                sums = n[hit] @ values[slot[hit]] if hit.any() else np.zeros(2)
-                sums = sums + [times @ losses(rare, times * mark, size), times @ losses(rare, times, size)]
-                docs.append((rare, times.astype(np.int32), np.full(len(rare), len(docs), np.int32), np.full(len(rare), mark), (len(found), *sums)))
-                held += len(rare)
+            found, sizes = words(batch.column("t").to_pylist())
+            keys, n, text = entries(found, sizes)
+            slot, hit = placed(keys, heavy)
+            mark = batch.column("target").to_numpy(zero_copy_only=False)[text]
+            rare, heavy_n, heavy_slot = ~hit, n[hit], slot[hit]
+            keys, times, own, good = keys[rare], n[rare], text[rare], mark[rare]
+            base = [sizes]
+            for m in (0, 1):
+                counts = times * good if m == 0 else times
+                lost = np.where(keys & 1, known[1][np.minimum(counts, TABLE - 1)], known[0][np.minimum(counts, TABLE - 1)])
+                many = counts >= TABLE
+                lost[many] = losses(keys[many], counts[many], size)
+                base.append(np.bincount(text[hit], heavy_n * values[heavy_slot, m], len(sizes)) + np.bincount(own, times * lost, len(sizes)))
+            docs.append((keys, times.astype(np.int32), (own + standing).astype(np.int32), good, np.stack(base, axis=1)))
+            held, standing = held + len(keys), standing + len(sizes)
             if held > limit:
                 yield out()
-                ids, docs, held, number = [], [], 0, number + 1
+                ids, docs, held, standing, number = [], [], 0, 0, number + 1
         if docs:
             yield out()
 

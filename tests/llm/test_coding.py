@@ -193,6 +193,35 @@ def test_crowded_blocks_are_cut(spark, monkeypatch):
     assert text[6] == "<|user|>\nhi<|end|>\n<|assistant|>\nyes<|end|>\n" and text[4].count("again") == 300
 
 
+def test_lm_words_of_a_batch_are_those_of_split():
+    """Hashes of whole batches: one for each word of `str.lower().split()`, whatever text and place it stands in."""
+    rng = random.Random(6)
+    texts = [None, "", " ", "a", "A b\u3000c\xa0d\x1fe", "İst ß x", "x" * 300 + " y", "x" * 256, "x" * 257 + "\x85z", "\n\na b a b a"]
+    texts += ["".join(rng.choices("abcDE \u3000é\x1c\u200b日\r", k=rng.randint(0, 60))) for _ in range(2000)] + ["".join(rng.choices("ab", k=n)) for n in range(600)]
+    hashes, sizes = lm_scoring.words(texts)
+    split = [(t or "").lower().split() for t in texts]
+    assert sizes.tolist() == [len(x) for x in split]
+    of = dict(zip((w for x in split for w in x), hashes.tolist(), strict=True))
+    assert len(set(of.values())) == len(of) and [of[w] for x in split for w in x] == hashes.tolist()
+    keys, n, place = lm_scoring.entries(hashes, sizes)
+    for k, x in enumerate(split):
+        pairs, contexts = Counter(zip(["<s>", *x], x, strict=False)), Counter(["<s>", *x][: len(x)])
+        odd = keys[place == k] & 1 == 1
+        assert sorted(n[place == k][odd]) == sorted(pairs.values()) and sorted(n[place == k][~odd]) == sorted(contexts.values())
+
+
+def test_lm_counts_beyond_the_kept_losses(spark, monkeypatch):
+    """Keys that occur thousands of times in one text and go through the buckets."""
+    monkeypatch.setattr(lm_scoring, "HEAVY", 1)
+    docs = spark.createDataFrame([(1, "a b " * 2000), (2, "a b " * 1500), (3, "c")], "doc_id long, text string")
+    got = {r.doc_id: r for r in lm_scoring.score(spark, docs, docs.filter("doc_id = 1")).collect()}
+    loss = lambda pair, context: math.log(context + 4) - math.log(pair + 4 / 3)
+    want = {i: (loss(2, 3) + n * loss(3500, 3500) + (n - 1) * loss(3498, 3498)) / (2 * n) for i, n in ((1, 2000), (2, 1500))}
+    assert {i: got[i].background_loss for i in want} == pytest.approx(want)
+    assert got[1].target_loss == pytest.approx((loss(1, 1) + 2000 * loss(2000, 2000) + 1999 * loss(1999, 1999)) / 4000)
+    assert got[3].target_loss == pytest.approx(loss(0, 1))
+
+
 @pytest.mark.parametrize("heavy, held, bucket", [(500_000, 1 << 22, 1 << 22), (20, 64, 50), (1, 1, 7)])
 def test_lm_scores_equal_plain_models(spark, monkeypatch, heavy, held, bucket):
     """Equal where all keys are broadcast, where some go to many buckets from many parts, and where nearly all do."""
