@@ -1,9 +1,11 @@
 """Automaton coding, trie counts, chat repair and LM scoring against brute force."""
 
+import gc
 import hashlib
 import itertools
 import math
 import random
+import weakref
 from collections import Counter
 
 import numpy as np
@@ -60,6 +62,21 @@ def test_batches_equal_library_and_keep_their_tables(coder, library, monkeypatch
     assert fresh.decode_all(np.array([cut, cut], np.int32), np.array([1, 2])).to_pylist() == ["\ufffd", "\ufffd"] == [coder.decode([cut])] * 2
 
 
+def test_coder_goes_with_its_broadcast(coder):
+    """A worker has one coder for a broadcast, and none once later tasks have made it drop that."""
+
+    class Shared:
+        value = coder.automaton
+
+    shared = Shared()
+    made = bpe_automaton._coder(shared)
+    assert bpe_automaton._coder(shared) is made
+    gone = weakref.ref(made)
+    del made, shared
+    gc.collect()
+    assert gone() is None
+
+
 def test_gadgets_forbid_exactly_the_merged_pairs():
     """On a small vocabulary, accepted sequences are exactly what merging in rank order produces."""
     letters = {i: bytes([97 + i]) for i in range(2)}
