@@ -20,7 +20,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from noteweave.functions.text import tokens
+from noteweave.functions import words
+from noteweave.functions.text import text_or_empty, tokens
 from noteweave.operators.index import query_terms, ranked
 from noteweave.sources.tables import staged
 
@@ -36,8 +37,6 @@ def pack(counts: DataFrame, wanted: set[str] | None = None) -> DataFrame:
     """
     spark = counts.sparkSession
     shared = None if wanted is None else spark.sparkContext.broadcast(pa.array(sorted(wanted), pa.string()))
-    id_type = counts.schema["doc_id"].dataType.simpleString()
-    schema = f"kind string, shard string, term string, slots array<int>, freqs array<int>, ids array<{id_type}>, lengths array<int>, norms array<double>, kept array<boolean>"
 
     def shard(name: str, table: pa.Table, out_types: dict[str, pa.DataType]) -> Iterator[pa.RecordBatch]:
         ids, terms = table.column("doc_id").combine_chunks(), table.column("terms").combine_chunks()
@@ -56,29 +55,16 @@ def pack(counts: DataFrame, wanted: set[str] | None = None) -> DataFrame:
         term, at = values // max(n, 1), values % max(n, 1)
         lengths = np.bincount(at, freq, n).astype(np.int32)
         norms = np.sqrt(np.bincount(at, (np.log(freq) + 1.0) ** 2, n))
-        empty = {c: pa.nulls(1, t) for c, t in out_types.items()}
-        one = lambda values, t: pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), pa.array(values) if not isinstance(values, pa.Array) else values).cast(t)
-        row = empty | {"kind": pa.array(["shards"]), "shard": pa.array([name]), "ids": one(ids, out_types["ids"]), "lengths": one(lengths, out_types["lengths"]), "norms": one(norms, out_types["norms"]), "kept": one(table.column("kept").combine_chunks(), out_types["kept"])}
-        yield pa.RecordBatch.from_arrays([row[c] for c in out_types], list(out_types))
         names = words.take(pa.array(order))
         asked = np.flatnonzero(pc.is_in(names, value_set=shared.value).to_numpy(zero_copy_only=False)) if shared is not None else np.arange(len(names))
-        starts = np.searchsorted(term, np.arange(len(names) + 1))
-        for cut in range(0, len(asked), 20_000):
-            some = asked[cut : cut + 20_000]
-            many = starts[some + 1] - starts[some]
-            take = np.repeat(starts[some] - np.cumsum(many) + many, many) + np.arange(many.sum())
-            offsets = pa.array(np.concatenate([[0], np.cumsum(many)]), pa.int32())
-            lists = {c: pa.ListArray.from_arrays(offsets, pa.array(x[take], pa.int32())).cast(out_types[c]) for c, x in (("slots", at), ("freqs", freq))}
-            part = {c: pa.nulls(len(some), t) for c, t in out_types.items()} | {"kind": pa.array(["lists"] * len(some)), "shard": pa.array([name] * len(some)), "term": names.take(pa.array(some)).cast(pa.string())} | lists
-            yield pa.RecordBatch.from_arrays([part[c] for c in out_types], list(out_types))
+        yield from _shard_rows(name, ids, table.column("kept").combine_chunks(), lengths, norms, names, asked, term, at, freq, out_types)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         docs = size = number = 0
-        text, ints = pa.string(), pa.list_(pa.int32())
         types: dict[str, pa.DataType] = {}
         for batch in batches:
-            types = types or {"kind": text, "shard": text, "term": text, "slots": ints, "freqs": ints, "ids": pa.list_(batch.schema.field("doc_id").type), "lengths": ints, "norms": pa.list_(pa.float64()), "kept": pa.list_(pa.bool_())}
+            types = types or _types(batch)
             sizes = np.cumsum(pc.fill_null(pc.list_value_length(batch.column("terms")), 0).to_numpy().astype(np.int64))
             start = 0
             while start < batch.num_rows:
@@ -92,7 +78,77 @@ def pack(counts: DataFrame, wanted: set[str] | None = None) -> DataFrame:
         if held:
             yield from shard(f"{TaskContext.get().partitionId()}-{number}", pa.Table.from_batches(held), types)
 
-    return counts.select("doc_id", "kept", "terms", "freqs").mapInArrow(run, schema)
+    return counts.select("doc_id", "kept", "terms", "freqs").mapInArrow(run, _schema(counts))
+
+
+def _schema(rows: DataFrame) -> str:
+    id_type = rows.schema["doc_id"].dataType.simpleString()
+    return f"kind string, shard string, term string, slots array<int>, freqs array<int>, ids array<{id_type}>, lengths array<int>, norms array<double>, kept array<boolean>"
+
+
+def _types(batch: pa.RecordBatch) -> dict[str, pa.DataType]:
+    text, ints = pa.string(), pa.list_(pa.int32())
+    return {"kind": text, "shard": text, "term": text, "slots": ints, "freqs": ints, "ids": pa.list_(batch.schema.field("doc_id").type), "lengths": ints, "norms": pa.list_(pa.float64()), "kept": pa.list_(pa.bool_())}
+
+
+def _shard_rows(name: str, ids: pa.Array, kept: pa.Array, lengths: np.ndarray, norms: np.ndarray, names: pa.Array, asked: np.ndarray, term: np.ndarray, at: np.ndarray, freq: np.ndarray, out_types: dict[str, pa.DataType]) -> Iterator[pa.RecordBatch]:
+    """The rows of one shard, with the lists of the `asked` of its `names`; cells are sorted by `term`, then place."""
+    n = len(ids)
+    empty = {c: pa.nulls(1, t) for c, t in out_types.items()}
+    one = lambda values, t: pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), pa.array(values) if not isinstance(values, pa.Array) else values).cast(t)
+    row = empty | {"kind": pa.array(["shards"]), "shard": pa.array([name]), "ids": one(ids, out_types["ids"]), "lengths": one(lengths, out_types["lengths"]), "norms": one(norms, out_types["norms"]), "kept": one(kept, out_types["kept"])}
+    yield pa.RecordBatch.from_arrays([row[c] for c in out_types], list(out_types))
+    starts = np.searchsorted(term, np.arange(len(names) + 1))
+    for cut in range(0, len(asked), 20_000):
+        some = asked[cut : cut + 20_000]
+        many = starts[some + 1] - starts[some]
+        take = np.repeat(starts[some] - np.cumsum(many) + many, many) + np.arange(many.sum())
+        offsets = pa.array(np.concatenate([[0], np.cumsum(many)]), pa.int32())
+        lists = {c: pa.ListArray.from_arrays(offsets, pa.array(x[take], pa.int32())).cast(out_types[c]) for c, x in (("slots", at), ("freqs", freq))}
+        part = {c: pa.nulls(len(some), t) for c, t in out_types.items()} | {"kind": pa.array(["lists"] * len(some)), "shard": pa.array([name] * len(some)), "term": names.take(pa.array(some)).cast(pa.string())} | lists
+        yield pa.RecordBatch.from_arrays([part[c] for c in out_types], list(out_types))
+
+
+def pack_texts(docs: DataFrame, wanted: set[str], keep: Column | None = None) -> DataFrame:
+    """Shards as `pack` makes them of `of_texts`, with lists of the `wanted` terms only; texts are cut in arrays, other terms are never held."""
+    shared = docs.sparkSession.sparkContext.broadcast(pa.array(sorted(wanted), pa.string()))
+    kept = F.lit(True) if keep is None else F.coalesce(keep, F.lit(False))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        docs = size = number = 0
+        types: dict[str, pa.DataType] = {}
+
+        def shard() -> Iterator[pa.RecordBatch]:
+            ids, kept = (pa.concat_arrays([x[i] for x in held]) for i in (0, 1))
+            lengths, norms, term, at, freq = (np.concatenate([x[i] for x in held]) for i in range(2, 7))
+            order = np.lexsort((at, term))
+            term = term[order]
+            yield from _shard_rows(f"{TaskContext.get().partitionId()}-{number}", ids, kept, lengths.astype(np.int32), norms, shared.value, np.unique(term), term, at[order], freq[order], types)
+
+        for batch in batches:
+            types = types or _types(batch)
+            for first, texts in words.slices(batch.column("text")):
+                row, word, freq, own = words.counted(texts)
+                lengths = np.bincount(row, freq, len(texts)).astype(np.int64)
+                norms = np.sqrt(np.bincount(row, (np.log(freq) + 1.0) ** 2, len(texts)))
+                term = pc.fill_null(pc.index_in(own.cast(pa.string()), value_set=shared.value), -1).to_numpy()[word]
+                row, term, freq = row[term >= 0], term[term >= 0].astype(np.int64), freq[term >= 0]
+                sizes, start = np.cumsum(lengths), 0
+                while start < len(texts):
+                    base = int(sizes[start - 1]) if start else 0
+                    stop = int(min(start + SHARD - docs, max(start + 1, np.searchsorted(sizes, base + TOKENS - size, side="right")), len(texts)))
+                    a, b = np.searchsorted(row, [start, stop])
+                    held.append((batch.column("doc_id").slice(first + start, stop - start), batch.column("kept").slice(first + start, stop - start), lengths[start:stop], norms[start:stop], term[a:b], row[a:b] - start + docs, freq[a:b]))
+                    docs, size, start = docs + stop - start, size + int(sizes[stop - 1]) - base, stop
+                    if docs >= SHARD or size >= TOKENS:
+                        yield from shard()
+                        held, docs, size, number = [], 0, 0, number + 1
+        if held:
+            yield from shard()
+
+    rows = docs.select("doc_id", kept.alias("kept"), text_or_empty(F.col("text")).alias("text"))
+    return rows.mapInArrow(run, _schema(rows))
 
 
 def of_texts(docs: DataFrame, keep: Column | None = None) -> DataFrame:
@@ -225,4 +281,4 @@ def shards_of_texts(docs: DataFrame, queries: DataFrame, keep: Column | None = N
     """
     asked = query_terms(queries).select("term").distinct()
     wanted = {r.term for r in asked.collect()} if queries.limit(QUERY_BLOCK + 1).count() <= QUERY_BLOCK else None
-    return Shards(staged(pack(of_texts(docs, keep), wanted)))
+    return Shards(staged(pack(of_texts(docs, keep)) if wanted is None else pack_texts(docs, wanted, keep)))

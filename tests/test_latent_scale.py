@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from noteweave.functions import words
 from noteweave.functions.text import tokens
-from noteweave.operators import index, lsa, ranking
+from noteweave.operators import index, lsa, ranking, shards
 
 ODD = ["", None, "abc", "ABC def", "中", "中文", "a中b文c字", "Z", "9鿿一", "é中à文", "😀中😀文x", "x" * 50, "㐀䷿一鿿ꀀ中", "a", "İIK K", "the cat  the Cat"]
 
@@ -108,3 +108,22 @@ def test_nearest_in_slices(spark, monkeypatch):
             order = sorted((i for i, s in scores.items() if s == s and s > -np.inf), key=lambda i: (-scores[i], i))[:7]
             want += [(q, n + 1, i) for n, i in enumerate(order)]
     assert got == want
+
+
+def test_shards_of_texts_cut_in_arrays(spark, monkeypatch):
+    """The keyword channel of `search` reads texts once, without the JVM's tokens; shards, lists and statistics are those of `pack`."""
+    monkeypatch.setattr(shards, "SHARD", 3)
+    monkeypatch.setattr(words, "SLICE", 30)
+    docs = spark.createDataFrame([(i, t, "x" if i % 2 else None) for i, t in enumerate(ODD * 2)], "doc_id int, text string, kind string").coalesce(1)
+    wanted = {"abc", "中文", "the", "nowhere"}
+    keep = F.col("kind") == "x"
+    new, old = shards.pack_texts(docs, wanted, keep), shards.pack(shards.of_texts(docs, keep), wanted)
+    assert new.schema == old.schema
+    shown = lambda df: sorted(str([[round(y, 9) if isinstance(y, float) else y for y in x] if isinstance(x, list) else x for x in r]) for r in df.collect())
+    assert shown(new) == shown(old)
+    assert "regexp_extract_all" not in plan(new)
+    queries = spark.createDataFrame([(1, "the abc 中文"), (2, "nowhere"), (3, "")], "query_id long, query string")
+    few = shards.Shards(shards.pack(shards.of_texts(docs, keep), wanted))
+    for channel in ("keyword", "vector"):
+        rows = [sorted(shards.rank(x, queries, 4, (channel,)).collect()) for x in (few, shards.shards_of_texts(docs, queries, keep))]
+        assert rows[0] == rows[1] and rows[0]
