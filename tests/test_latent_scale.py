@@ -62,7 +62,7 @@ def test_rounds_keep_earlier_products(spark, monkeypatch):
         dense[r.doc_id, r.numbers] = r.weights
     columns, rank, tolerance = [], 20, 1e-3
     product = lsa._product
-    monkeypatch.setattr(lsa, "_product", lambda *a: columns.append(len(a[-1])) or product(*a))
+    monkeypatch.setattr(lsa, "_product", lambda *a: columns.append(len(a[1])) or product(*a))
     names, found = lsa.fit(spark, rows, rank, rounds=40, tolerance=tolerance, vocabulary=vocabulary)
     monkeypatch.undo()
     x = np.linalg.qr(np.random.default_rng(42).standard_normal((len(vocabulary), rank + 10)))[0]
